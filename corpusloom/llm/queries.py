@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import line_dedup, packing, phrase_index, simhash_golay, token_store
 from .common import table
 
 
+def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(phrase_index.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    return line_dedup.clean(docs).select("doc_id", "n_lines", F.col("_n_exact").alias("n_exact"), F.col("_n_near").alias("n_near"), "text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -19,8 +33,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_best_fit_packing, op10_token_store)}
+    return {f.__name__: f for f in (op3_phrase_index, op5_simhash_golay, op7_line_dedup, op9_best_fit_packing, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_phrase_index": phrase_index.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL}
