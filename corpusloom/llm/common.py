@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,13 @@ def sized(values: list, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
 def ascii_lower(c: Column) -> Column:
     """A-Z only, in every locale and for every other letter."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """As ``sized``, for an Arrow array of strings or binaries, in bytes."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(end):
+        stop = max(start + 1, int(np.searchsorted(end, limit + (end[start - 1] if start else 0), "right")))
+        yield start, stop
+        start = stop

@@ -88,15 +88,13 @@ class EliasFano:
         return (v + np.uint64(self.base & (2**64 - 1))).astype(np.int64)
 
 
-def write_shard(doc_ids: list[int | None], ids: list[bytes], before: int) -> tuple[bytes, int]:
-    """Bytes of a shard, and its count of ids. ids: of each document, as unsigned 32 bit."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    width = 2 if not len(flat) or flat.max() < 65536 else 4
-    bounds = EliasFano.encode(np.cumsum([0, *(len(x) // 4 for x in ids)]))
+def write_shard(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray, before: int) -> bytes:
+    """A shard of documents whose ids lie on end, document i from bounds[i]."""
+    width = 2 if not len(ids) or ids.max() < 65536 else 4
     known = [d for d in doc_ids if d is not None]
-    docs = EliasFano.encode(np.array(known, np.int64))
-    head = _HEAD.pack(MAGIC, len(ids), len(flat), before, width, len(bounds), len(docs), len(doc_ids) - len(known))
-    return head + bounds + docs + flat.astype(f"<u{width}").tobytes(), len(flat)
+    ef, docs = EliasFano.encode(bounds), EliasFano.encode(np.array(known, np.int64))
+    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), before, width, len(ef), len(docs), len(doc_ids) - len(known))
+    return head + ef + docs + ids.astype(f"<u{width}").tobytes()
 
 
 class Shard:
@@ -117,35 +115,21 @@ class Shard:
         return [None] * self.nulls + self.docs.all().tolist()
 
 
-def write(docs: DataFrame, path: str | None = None, shard_ids: int = 1_000_000) -> DataFrame:
-    """Tokenize ``docs`` (doc_id, text) into shards in ascending doc_id; the stored table of them."""
+def write(docs: DataFrame, path: str | None = None, shard_bytes: int = 8_000_000) -> DataFrame:
+    """Tokenize ``docs`` (doc_id, text) into shards of so many bytes of text, or one longer text, in
+    ascending doc_id; the stored table of them."""
     path = path or tokens.default_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tok, part, seq, before = tokens.tokenizer(path), TaskContext.get().partitionId(), 0, 0
-        doc_ids, ids, held = [], [], 0
-        end = tokens.END_ID.to_bytes(4, "little")
-
-        def cut():
-            nonlocal doc_ids, ids, held, seq, before
-            raw, n = write_shard(doc_ids, ids, before)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(ids)], "n_ids": [n], "shard": pa.array([raw], pa.binary())})
-            doc_ids, ids, held, seq, before = [], [], 0, seq + 1, before + n
-            return row
-
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in common.sized(texts):
-                for k, raw in zip(keys[lo:hi], tok.encode(texts[lo:hi]), strict=True):
-                    doc_ids.append(k)
-                    ids.append(raw + end)
-                    held += len(raw) // 4 + 1
-                    if held >= shard_ids:
-                        yield cut()
-        if ids:
-            yield cut()
+            for lo, hi in common.slices(b.column(1), shard_bytes):
+                ids, bounds = tok.documents(b.column(1)[lo:hi])
+                raw = write_shard(b.column(0)[lo:hi].to_pylist(), ids, bounds, before)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [hi - lo], "n_ids": [len(ids)], "shard": pa.array([raw], pa.binary())})
+                seq, before = seq + 1, before + len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]

@@ -3,46 +3,142 @@
 from __future__ import annotations
 
 import os
-import sys
-from array import array
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed: the id that ends a document.
 END_ID = 1
+#: Signs that end a word as a token of their own.
+_TAILS = (",", ".")
+#: Fixed by the vocabulary: how it cuts a lower-case ASCII word into runs.
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes, exact for vocabularies that never join across
-    a space: texts are cut at spaces and line ends, each distinct word is encoded once and kept.
-
-    ``kept`` bounds the words held; past it they are forgotten and met anew. Words over
-    ``long_word`` letters are encoded but never held.
+    """Ids of texts, exact for the vocabulary ``word_bpe_49k.json``: it lowers letters, never joins
+    across a space, cuts words into runs of letters, single digits and runs of other signs, and
+    marks the last token of a run.
+
+    Texts are lowered (A-Z) and cut at spaces and line ends, and distinct words are looked up in a
+    table, from which the ids of the texts are gathered; all that is Arrow's and numpy's work. New
+    words are encoded together as one text, whose tokens are told apart by the marks: most are a
+    run of letters, with a comma or full stop that has an id of its own. Words with other letters
+    than ASCII among other signs are encoded one by one.
+
+    ``kept`` bounds the words held, and eight times that the bytes of them; past it only those
+    used last stay.
     """
 
-    def __init__(self, path: str, kept: int = 300_000, long_word: int = 64):
+    def __init__(self, path: str, kept: int = 500_000, long_word: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._kept, self._long, self._ids = kept, long_word, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = list(words.difference(self._ids))
-        if len(self._ids) + len(new) > self._kept:
-            self._ids, new = {}, list(words)
-        big = []
-        for w, e in zip(new, self._tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = array("I", e.ids)
-            if sys.byteorder != "little":
-                ids.byteswap()
-            self._ids[w] = ids.tobytes()
-            if len(w) > self._long:
-                big.append(w)
-        out = [b"".join(map(self._ids.__getitem__, ws)) for ws in split]
-        for w in big:
-            del self._ids[w]
-        return out
+        self._kept, self._long = kept, long_word
+        vocab = self._tok.get_vocab(with_added_tokens=True)
+        self._last = np.zeros(max(vocab.values()) + 1, bool)
+        self._last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._words = pa.array([], pa.string())
+        self._first = self._size = self._used = np.zeros(0, np.int64)
+        self._flat = np.zeros(0, np.uint32)
+        self._call = 0
+        self._tail_ids = {t: int(x[0]) for t, x in zip(_TAILS, self._each(list(_TAILS)), strict=True) if len(x) == 1}
+
+    def _each(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str], runs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids on end, count of each) of words that are cut into so many runs, from one encoding."""
+        ids = np.array(self._tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self._last[ids]) + 1
+        if len(ends) != sum(runs):  # a letter that turns into more than letters
+            own = self._each(words)
+            return np.concatenate(own), np.array([len(x) for x in own])
+        return ids, np.diff(ends[np.cumsum(runs) - 1], prepend=0)
+
+    def _append(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self._words = pa.concat_arrays([self._words, words])
+        self._first = np.concatenate([self._first, len(self._flat) + np.cumsum(size) - size])
+        self._size = np.concatenate([self._size, size])
+        self._used = np.concatenate([self._used, np.full(len(size), self._call)])
+        self._flat = np.concatenate([self._flat, ids])
+
+    def _row(self, words: pa.Array) -> np.ndarray:
+        """Rows of the table, -1 for words that it lacks."""
+        return pc.fill_null(pc.index_in(words, value_set=self._words), -1).to_numpy()
+
+    def _ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids on end, where each row's end)."""
+        n = self._size[rows]
+        end = np.cumsum(n)
+        return self._flat[np.repeat(self._first[rows] - (end - n), n) + np.arange(int(n.sum()))], end
+
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self._used >= self._call - 1)
+        ids, size = self._ids_of(stay)[0], self._size[stay]
+        words, used = self._words.take(pa.array(stay)), self._used[stay]
+        self._words, self._flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self._first = self._size = self._used = np.zeros(0, np.int64)
+        self._append(words, ids, size)
+        self._used = used
+
+    def _learn(self, words: pa.Array) -> None:
+        tailed = pc.fill_null(pc.is_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(list(self._tail_ids), pa.string())), False)
+        bare = pc.if_else(tailed, pc.utf8_slice_codeunits(words, 0, -1), words)
+        fit = pc.and_(pc.utf8_is_alpha(bare), pc.less_equal(pc.utf8_length(bare), self._long))
+        runs = bare.filter(fit).unique()
+        runs = runs.filter(pa.array(self._row(runs) < 0))
+        other = words.filter(pc.invert(fit))
+        cut = pc.and_(pc.string_is_ascii(other), pc.greater(pc.binary_length(other), 0))
+        ascii_, odd = other.filter(cut), other.filter(pc.invert(cut))
+        new = [*runs.to_pylist(), *(cuts := ascii_.to_pylist())]
+        if new:
+            self._append(pa.concat_arrays([runs, ascii_]), *self._together(new, [1] * len(runs) + [len(_RUNS.findall(w)) for w in cuts]))
+        if len(odd):
+            own = self._each(odd.to_pylist())
+            self._append(odd, np.concatenate(own), np.array([len(x) for x in own]))
+        both = pc.and_(fit, tailed)
+        with_tail = words.filter(both)
+        ids, end = self._ids_of(self._row(bare.filter(both)))
+        tails = np.array([self._tail_ids[w] for w in pc.utf8_slice_codeunits(with_tail, -1).to_pylist()], np.uint32)
+        self._append(with_tail, np.insert(ids, end, tails), np.diff(end, prepend=0) + 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, where each text begins and the last one ends); no nulls."""
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        if not len(special):
+            return self._gather(texts)
+        # the vocabulary's special tokens are told from their letters before these are lowered
+        ids, bounds = self._gather(pc.if_else(pc.match_substring(texts, "<|"), "", texts))
+        own = self._each(texts.take(pa.array(special)).to_pylist())
+        size = np.diff(bounds)
+        size[special] = [len(x) for x in own]
+        parts = np.split(ids, bounds[special])
+        return np.concatenate([parts[0], *(x for pair in zip(own, parts[1:], strict=True) for x in pair)]), np.concatenate([[0], np.cumsum(size)])
+
+    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        self._call += 1
+        rows = self._row(coded.dictionary)
+        new = coded.dictionary.filter(pa.array(rows < 0))
+        if len(new):
+            if len(self._words) + len(new) > self._kept or self._words.nbytes > 8 * self._kept:
+                self._used[rows[rows >= 0]] = self._call
+                self._forget()
+            self._learn(new)
+            rows = self._row(coded.dictionary)
+        self._used[rows] = self._call
+        ids, end = self._ids_of(rows[coded.indices.to_numpy()])
+        return ids, np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the end id after each text."""
+        ids, bounds = self.encode(texts)
+        return np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
