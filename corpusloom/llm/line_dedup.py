@@ -24,7 +24,7 @@ text. A line of very many documents meets itself in partial minima and in a join
 
 Defined cases: null text stays null; blank lines stay; rows of the same doc_id and the same text
 count as one document, and of one doc_id and different texts as documents in the order of a hash;
-null doc_ids come first; an empty table gives no rows; other columns are kept by ``clean``.
+null doc_ids come first; an empty table gives no rows; ``clean`` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -163,16 +163,20 @@ def without(text: Column, lines: Column) -> Column:
     return F.when(F.size(lines) == 0, text).otherwise(F.array_join(F.filter(kept, lambda s: s.isNotNull()), "\n"))
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` without its dropped lines, and ``_n_exact`` and ``_n_near``, the counts of
-    these."""
-    gone = dropped(docs).withColumnsRenamed({"doc_id": "_d", "th": "_t", "exact": "_exact", "near": "_near"})
-    met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
+def clean(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with ``text`` without its dropped lines; ``counts`` names two more columns, how many
+    equal an earlier line and how many are an edit away from one."""
+    own = "_gone"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    gone = dropped(docs).withColumnsRenamed({"doc_id": f"{own}d", "th": f"{own}t", "exact": f"{own}x", "near": f"{own}n"})
+    met = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[f"{own}d"]) & (F.xxhash64(docs["text"]) == gone[f"{own}t"]), "left")
     none = F.array().cast("array<int>")
-    met = met.withColumns({"_exact": F.coalesce("_exact", none), "_near": F.coalesce("_near", none)})
-    lines = F.array_sort(F.concat("_exact", "_near"))
-    met = met.withColumn("_gone", lines)
-    return met.withColumns({"text": without(F.col("text"), F.col("_gone")), "_n_exact": F.size("_exact").cast("long"), "_n_near": F.size("_near").cast("long")}).drop("_d", "_t", "_exact", "_near", "_gone")
+    met = met.withColumns({f"{own}x": F.coalesce(f"{own}x", none), f"{own}n": F.coalesce(f"{own}n", none)})
+    met = met.withColumn(f"{own}a", F.array_sort(F.concat(f"{own}x", f"{own}n")))
+    met = met.withColumn("text", without(F.col("text"), F.col(f"{own}a")))
+    sizes = [F.size(f"{own}{k}").cast("long").alias(c) for k, c in zip("xn", counts or (), strict=False)]
+    return met.select(*docs.columns, *sizes)
 
 
 #: The same result in DuckDB: every variant of every line is built and compared as a list of words.

@@ -42,7 +42,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
-    return line_dedup.clean(docs).select("doc_id", "n_lines", F.col("_n_exact").alias("n_exact"), F.col("_n_near").alias("n_near"), "text")
+    return line_dedup.clean(docs, ("n_exact", "n_near")).select("doc_id", "n_lines", "n_exact", "n_near", "text")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
