@@ -247,7 +247,7 @@ def matches(index: DataFrame, queries: list[tuple[str, str]], slop: int | None =
                         continue
                     at = block.phrase(terms) if slop is None else block.near(np.unique(terms), slop)
                     doc = block.document_of(at)
-                    yield pa.RecordBatch.from_pydict({"query_id": [q] * len(at), "doc_id": pa.array([row["doc_ids"][d] for d in doc.tolist()], pa.int64()), "position": pa.array(at - block.bounds[doc], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * len(at), pa.string()), "doc_id": pa.array([row["doc_ids"][d] for d in doc.tolist()], pa.int64()), "position": pa.array(at - block.bounds[doc], pa.int64())})
 
     return index.mapInArrow(run, "query_id string, doc_id long, position long")
 

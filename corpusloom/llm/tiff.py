@@ -95,13 +95,13 @@ def lzw_encode(data: bytes) -> bytes:
         if new == 4094:
             put(256, width)
             table, new, width = {bytes((i,)): i for i in range(256)}, 258, 9
-        elif new >= (1 << width) - 1:
+        elif new >= 1 << width:
             width += 1
         w = bytes((c,))
     if w:
         put(table[w], width)
         new += 1
-        if new >= (1 << width) - 1 and width < 12:
+        if new >= 1 << width and width < 12:
             width += 1
     put(257, width)
     if filled:
@@ -247,20 +247,20 @@ def payload(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % LINE or (0 if text else LINE))
 
 
-def encode(text: bytes) -> bytes:
+def encode(text: bytes, page_rows: int = PAGE_ROWS) -> bytes:
     """A text as TIFF pages 64 samples wide."""
     grid = np.frombuffer(payload(text), np.uint8).reshape(-1, LINE)
-    return write([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)])
+    return write([grid[y : y + page_rows] for y in range(0, len(grid), page_rows)])
 
 
-def store(docs: DataFrame) -> DataFrame:
+def store(docs: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Rows (doc_id, n_bytes, media): each text of ``docs`` as a TIFF."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in common.sized(texts, 8_000_000):
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array([encode(t) for t in texts[lo:hi]], pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array([encode(t, page_rows) for t in texts[lo:hi]], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")

@@ -92,11 +92,11 @@ class WordTokenizer:
         runs = bare.filter(fit).unique()
         runs = runs.filter(pa.array(self._row(runs) < 0))
         other = words.filter(pc.invert(fit))
-        cut = pc.and_(pc.string_is_ascii(other), pc.greater(pc.binary_length(other), 0))
-        ascii_, odd = other.filter(cut), other.filter(pc.invert(cut))
-        new = [*runs.to_pylist(), *(cuts := ascii_.to_pylist())]
+        cuts = np.array([len(_RUNS.findall(w)) if w.isascii() else 0 for w in other.to_pylist()], np.int64)
+        ascii_, odd = other.filter(pa.array(cuts > 0)), other.filter(pa.array(cuts == 0))
+        new = [*runs.to_pylist(), *ascii_.to_pylist()]
         if new:
-            self._append(pa.concat_arrays([runs, ascii_]), *self._together(new, [1] * len(runs) + [len(_RUNS.findall(w)) for w in cuts]))
+            self._append(pa.concat_arrays([runs, ascii_]), *self._together(new, [1] * len(runs) + cuts[cuts > 0].tolist()))
         if len(odd):
             own = self._each(odd.to_pylist())
             self._append(odd, np.concatenate(own), np.array([len(x) for x in own]))
