@@ -43,7 +43,9 @@ _POS = ("doc_id", "th", "line")
 
 
 def words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(_BLANK)), r"[ \t\r\f]+")
+    for blank in _BLANK[1:]:
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -53,8 +55,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """Each line with words: its place, count of words, two hashes, and the keys of its halves, for
     partners of as many words (class n) and of one less (class n - 1)."""
-    lines = numbered(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.btrim("s", F.lit(_BLANK)) != "")
-    lines = lines.select(*_POS, words(F.col("s")).alias("w")).withColumn("n", F.size("w"))
+    lines = numbered(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    lines = lines.select(*_POS, words(F.col("s")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
 
     def halves(m: Column) -> list[Column]:
         left = F.floor(m / 2).cast("int")
@@ -71,59 +73,71 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def exact(lines: DataFrame) -> DataFrame:
-    """Lines with ``first``, whether no earlier line has the same words."""
+def repeated(lines: DataFrame) -> DataFrame:
+    """Places of lines whose words an earlier line has."""
     pos = F.struct(*_POS)
-    again = lines.groupBy("h1", "h2").agg(F.min(pos).alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return lines.join(again, ["h1", "h2"], "left").withColumn("first", F.col("kept").isNull() | (pos == F.col("kept"))).drop("kept")
+    again = common.stored(lines.groupBy("h1", "h2").agg(F.min(pos).alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated_words")
+    return lines.join(again, ["h1", "h2"]).where(pos != F.col("kept")).select(*_POS)
+
+
+def bound(x: Column, f) -> Column:
+    """f(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def running(h: Column) -> Column:
-    """XORs of the first 0, 1, ... n of ``h``, in steps of 512 so that long lines stay linear."""
+    """XORs of the first 0, 1, ... n of ``h``: within steps of 32, then over these, so that long lines
+    stay near linear and nothing is appended to."""
     def scan(xs: Column) -> Column:
-        return F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+        return F.transform(F.sequence(F.lit(0), F.size(xs)), lambda i: F.aggregate(F.slice(xs, F.lit(1), i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)))
+
+    def joined(steps: Column) -> Column:
+        def over(base: Column) -> Column:
+            inner = F.zip_with(steps, F.slice(base, F.lit(1), F.size(steps)), lambda s, b: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda v: v.bitwiseXOR(b)))
+            return F.concat(F.flatten(inner), F.array(F.element_at(base, -1)))
 
-    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / 512).cast("int")), lambda k: scan(F.slice(h, k * 512 + 1, F.lit(512))))
-    base = scan(F.transform(steps, lambda s: F.element_at(s, -1)))
-    inner = F.flatten(F.zip_with(steps, F.slice(base, F.lit(1), F.size(steps)), lambda s, b: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda v: v.bitwiseXOR(b))))
-    return F.concat(inner, F.array(F.element_at(base, -1)))
+        return bound(scan(F.transform(steps, lambda s: F.element_at(s, -1))), over)
 
+    cuts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / 32).cast("int"))
+    return bound(h, lambda xs: bound(F.transform(cuts, lambda k: scan(F.slice(xs, k * 32 + 1, F.lit(32)))), joined))
 
-def candidates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Words of the first lines that share a half with another: place, n, w, and the ``halves`` they
-    share (numbers as in hashed_lines)."""
-    one = lines.where(f"first and n >= {MIN_WORDS}")
-    spread = one.select(*_POS, "h1", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("half", "k")).where("k is not null")
-    shared = common.stored(spread.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("k"), "line_halves", "lz4")
-    few = common.stored(spread.join(small(shared), "k", "left_semi").groupBy(*_POS).agg(F.collect_set("half").alias("halves")), "near_lines", "lz4")
+
+def candidates(docs: DataFrame, lines: DataFrame, again: DataFrame) -> DataFrame:
+    """Lines, less those of ``again``, that share a half with other words: place, n, w, the ``halves``
+    shared (numbers as in hashed_lines), and running hashes of the words before (p) and after (q)."""
+    spread = lines.where(F.col("n") >= MIN_WORDS).select(*_POS, "h1", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("half", "k")).where("k is not null")
+    shared = common.stored(spread.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("k"), "line_halves")
+    few = spread.join(small(shared), "k", "left_semi").groupBy(*_POS).agg(F.collect_set("half").alias("halves"))
+    same = [few[c].eqNullSafe(again[c]) for c in _POS]
+    few = common.stored(few.join(again, same, "left_anti"), "near_lines")
     by_doc = few.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "halves")).alias("near"))
     texts = numbered(docs)
     met = texts.join(small(by_doc).withColumnsRenamed({"doc_id": "d2", "th": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", F.split("text", "\n").alias("all"), "near")
     met = met.select("doc_id", "th", F.explode(F.transform("near", lambda x: F.struct(x["line"].alias("line"), x["halves"].alias("halves"), F.get("all", x["line"]).alias("s")))).alias("x"))
-    return met.select("doc_id", "th", "x.line", "x.halves", words(F.col("x.s")).alias("w")).withColumn("n", F.size("w")).dropDuplicates([*_POS])
+    met = met.select("doc_id", "th", "x.line", "x.halves", words(F.col("x.s")).alias("w")).withColumn("n", F.size("w")).dropDuplicates([*_POS])
+    n = F.col("n")
+    return met.withColumns({"p": running(F.transform("w", lambda x, j: F.xxhash64(x, j))), "q": running(F.transform("w", lambda x, j: F.xxhash64(x, n - j)))})
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Rows (place, v): hashed deletion variants of candidate lines."""
+    """Rows (place, v): hashed deletion variants of stored candidate lines."""
     n = F.col("n")
-    rows = lines.select(*_POS, "n", "halves", running(F.transform("w", lambda x, j: F.xxhash64(x, j))).alias("p"), running(F.transform("w", lambda x, j: F.xxhash64(x, n - j))).alias("q"))
-    rows = rows.withColumn("q", F.transform("q", lambda v: v.bitwiseXOR(F.element_at("q", -1))))
 
-    def at(places: tuple[Column, Column], gap: bool) -> Column:
-        lo, hi = places
-        keys = F.transform(F.sequence(lo, hi), lambda i: F.xxhash64(i, n - (0 if gap else 1), F.get("p", i), F.get("q", i if gap else i + 1)))
-        return F.when(lo <= hi, keys).otherwise(F.array().cast("array<long>"))
+    def at(lo: Column, end: Column, gap: bool) -> Column:
+        """Keys of variants at places lo .. end - 1."""
+        count = F.greatest(end - lo, F.lit(0))
+        both = F.arrays_zip(F.slice("p", lo + 1, count).alias("p"), F.slice("q", lo + (1 if gap else 2), count).alias("q"))
+        total = F.element_at("q", -1)
+        return F.transform(both, lambda x, i: F.xxhash64(lo + i, n - (0 if gap else 1), x["p"], x["q"].bitwiseXOR(total)))
 
     def of(m: Column, half: int, shorter: bool) -> Column:
         left = F.floor(m / 2).cast("int")
-        right = m - left
-        lo, end = (left, n) if half == 0 else (F.lit(0), n - right)
-        out = at((lo, end - 1), False)
-        return out if shorter else F.concat(out, at((lo, end), True))
+        lo, end = (left, n) if half == 0 else (F.lit(0), n - (m - left))
+        return at(lo, end, False) if shorter else F.concat(at(lo, end, False), at(lo, end + 1, True))
 
     none = F.array().cast("array<long>")
     parts = [F.when(F.array_contains("halves", i), of(n if i < 2 else n - 1, i % 2, i >= 2)).otherwise(none) for i in range(4)]
-    return rows.select(*_POS, F.explode(F.array_distinct(F.concat(*parts))).alias("v"))
+    return lines.select(*_POS, F.explode(F.array_distinct(F.concat(*parts))).alias("v"))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -137,7 +151,7 @@ def one_edit(a: Column, b: Column) -> Column:
 def near(lines: DataFrame) -> DataFrame:
     """Places of candidate lines that have an earlier one an edit apart."""
     pos = F.struct(*_POS)
-    v = common.stored(variants(lines), "variants", "lz4")
+    v = common.stored(variants(lines), "variants")
     groups = v.groupBy("v").agg(F.min(pos).alias("kept"), F.max(pos).alias("last")).where("kept <> last").select("v", "kept")
     pairs = v.join(groups, "v").select(pos.alias("own"), "kept").where("own <> kept").groupBy("own").agg(F.min("kept").alias("kept"))
     own = lines.select(pos.alias("own"), "w")
@@ -147,9 +161,10 @@ def near(lines: DataFrame) -> DataFrame:
 
 def dropped(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, th, exact, near): sorted numbers of a document's dropped lines of each kind."""
-    lines = common.stored(exact(common.stored(hashed_lines(docs), "hashed_lines", "lz4")), "lines", "lz4")
-    some = common.stored(candidates(docs, lines), "candidate_lines")
-    gone = lines.where("not first").select(*_POS, F.lit(True).alias("same")).unionAll(near(some).select(*_POS, F.lit(False)))
+    lines = common.stored(hashed_lines(docs), "hashed_lines")
+    again = common.stored(repeated(lines), "repeated_lines")
+    some = common.stored(candidates(docs, lines, again), "candidate_lines")
+    gone = again.withColumn("same", F.lit(True)).unionAll(near(some).select(*_POS, F.lit(False)))
     sets = gone.groupBy("doc_id", "th").agg(F.collect_set(F.when(F.col("same"), F.col("line"))).alias("exact"), F.collect_set(F.when(~F.col("same"), F.col("line"))).alias("near"))
     return sets.select("doc_id", "th", F.array_sort("exact").alias("exact"), F.array_sort("near").alias("near"))
 
