@@ -113,7 +113,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([kind] * len(at), pa.int32()), pa.array(at), pa.array(total[at])], ["lang", "kind", "at", "n"])
 
-    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").mapInArrow(count, "lang string, kind int, at long, n long")
+    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").mapInArrow(common.frugal(count), "lang string, kind int, at long, n long")
     table = rows.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()  # at most languages times the tables' sizes
     langs = sorted(set(table.column("lang").to_pylist()))
     own = np.array([langs.index(x) for x in table.column("lang").to_pylist()], np.int64)
@@ -169,21 +169,26 @@ def label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[tup
         yield model.langs[top], float(weight[top] / weight.sum()), spans
 
 
+def labelled(texts: pa.Array, model: Model) -> Iterator[tuple[str, float, list[tuple[int, str]]]]:
+    """``label`` of an Arrow array, a part of bounded size at a time; null is empty."""
+    for lo, hi in common.slices(texts, 1_000_000):
+        yield from label([t or "" for t in texts[lo:hi].to_pylist()], model)
+
+
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score) of ``docs`` (doc_id, text), with ``spans`` also the
     spans as (words, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            got = [x for lo, hi in common.sized(texts) for x in label(texts[lo:hi], model)]
+            got = list(labelled(b.column(2), model))
             out = [b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             if spans:
                 out.append(pa.array([[{"words": n, "lang": x} for n, x in g[2]] for g in got], pa.list_(pa.struct([("words", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang_pred", "score", "spans"][: len(out)])
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<words: long, lang: string>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(common.frugal(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -193,8 +198,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(names.index("text")).to_pylist()]
-            keep = [lang != "und" and score >= least for lo, hi in common.sized(texts) for lang, score, _ in label(texts[lo:hi], model)]
+            keep = [lang != "und" and score >= least for lang, score, _ in labelled(b.column(names.index("text")), model)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)

@@ -54,9 +54,9 @@ def build(docs: DataFrame, block_bytes: int = 3_000_000) -> DataFrame:
 
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in common.sized(texts, block_bytes):
-                split = [words(t) for t in texts[lo:hi]]
+            for lo, hi in common.slices(b.column(1), block_bytes):
+                keys = b.column(0)[lo:hi].to_pylist()
+                split = [words(t) for t in b.column(1)[lo:hi].to_pylist()]
                 flat = [w for ws in split for w in ws]
                 terms = sorted(set(flat))
                 number = dict(zip(terms, range(len(terms)), strict=True))
@@ -64,12 +64,12 @@ def build(docs: DataFrame, block_bytes: int = 3_000_000) -> DataFrame:
                 positions = np.argsort(ids, kind="stable").astype("<u4")
                 lists = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(terms)))]).astype("<u4")
                 bounds = np.cumsum([0, *map(len, split)]).astype("<u4")
-                columns = ([f"{part}-{seq}"], [keys[lo:hi]], [bounds.tobytes()], [b" ".join(terms)], [lists.tobytes()], [positions.tobytes()])
+                columns = ([f"{part}-{seq}"], [keys], [bounds.tobytes()], [b" ".join(terms)], [lists.tobytes()], [positions.tobytes()])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4), strict=True)], ["block", "doc_ids", "bounds", "terms", "lists", "positions"])
                 seq += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return common.stored(rows.mapInArrow(index, INDEX), "postings", "lz4")
+    return common.stored(rows.mapInArrow(common.frugal(index), INDEX), "postings", "lz4")
 
 
 class Block:
@@ -222,10 +222,10 @@ def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART
 
     parts = list(parts_of(benchmark, part_words))
     if len(parts) == 1:
-        return index.mapInArrow(judge(parts[0]), RESULT)
+        return index.mapInArrow(common.frugal(judge(parts[0])), RESULT)
     some = None
     for part in parts:
-        one = index.mapInArrow(partial(part), "block string, place int, doc_id long, n_words long, ranges array<array<int>>, items array<string>")
+        one = index.mapInArrow(common.frugal(partial(part)), "block string, place int, doc_id long, n_words long, ranges array<array<int>>, items array<string>")
         some = one if some is None else some.unionAll(one)
     met = some.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
     return met.select("doc_id", "n_words", "ranges", "items").mapInArrow(join, RESULT)

@@ -134,7 +134,7 @@ def write(docs: DataFrame, path: str | None = None, shard_bytes: int = 8_000_000
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return common.stored(ordered.mapInArrow(encode, SHARDS), "shards", "lz4")
+    return common.stored(ordered.mapInArrow(common.frugal(encode), SHARDS), "shards", "lz4")
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -154,4 +154,4 @@ def read(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(wide[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids(), pa.int64()), "start": at[:-1] + (base[part] + s.before), "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return shards.select("part", "shard").mapInArrow(rows, ROWS)
+    return shards.select("part", "shard").mapInArrow(common.frugal(rows), ROWS)
