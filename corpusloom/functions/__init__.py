@@ -1 +1 @@
-"""Part of corpusloom; see README.md."""
+"""Column builders."""

@@ -1 +1 @@
-"""Part of corpusloom; see README.md."""
+"""Operators: DataFrame in, DataFrame out."""

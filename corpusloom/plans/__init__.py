@@ -1 +1 @@
-"""Part of corpusloom; see README.md."""
+"""Whole runs built from operators, and the queries over the test tables."""

@@ -1 +1 @@
-"""Part of corpusloom; see README.md."""
+"""Sources and sinks."""
