@@ -6,7 +6,7 @@ import argparse
 import hashlib
 import shutil
 import sys
-import tempfile
+import uuid
 from pathlib import Path
 
 from . import config
@@ -24,6 +24,13 @@ def cache_dir(root: str) -> Path:
     return Path.home() / ".cache" / "corpusloom" / hashlib.sha256(str(Path(root).resolve()).encode()).hexdigest()[:16]
 
 
+def kept_table(spark, root: str) -> str:
+    """Where parsed files are kept: executors write there, so in the shared folder where one is named."""
+    place = cache_dir(root)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/')}/corpusloom-kept/{place.name}/parsed" if named else f"file://{place}/parsed"
+
+
 def hashed_words(texts: list[str], size: int = 256) -> list[list[float]]:
     """Vectors without a model: counts of words, by hash. A stand-in where no encoder is given."""
     out = []
@@ -86,7 +93,7 @@ def analyze(spark, root: str, settings: config.Config) -> str:
     if not settings.force and Path(root, settings.output_file).is_file() and cache.same_run(cache.read_manifest(place / "manifest.json"), new):
         return "Up to date."
     place.mkdir(parents=True, exist_ok=True)
-    stages = plan.analyze(spark, roots, settings, encode=hashed_words, kept=f"file://{place}/parsed")
+    stages = plan.analyze(spark, roots, settings, encode=hashed_words, kept=kept_table(spark, root))
     text = plan.write(stages, root, settings)
     cache.write_manifest(new, place / "manifest.json")
     from pyspark.sql import functions as F
@@ -132,13 +139,14 @@ def main(argv: list[str] | None = None) -> int:
         for name, seconds in plan.benchmark(spark, [args.root, *settings.extra_roots], settings).items():
             print(f"{name:10} {seconds:8.2f} s")
     else:
+        from .storage import shared_dir
         from .streaming import debounce, watcher
 
         print(analyze(spark, args.root, settings))
-        with tempfile.TemporaryDirectory() as state:
-            watcher.register(spark)
-            events = spark.readStream.format("tree_changes").option("path", args.root).load()
-            debounce.watch(events, lambda changed: print(len(changed), "changed:", analyze(spark, args.root, settings)), state, settings.debounce).awaitTermination()
+        watcher.register(spark)
+        events = spark.readStream.format("tree_changes").option("path", args.root).load()
+        state = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+        debounce.watch(events, lambda changed: print(len(changed), "changed:", analyze(spark, args.root, settings)), state, settings.debounce).awaitTermination()
     return 0
 
 

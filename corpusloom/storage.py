@@ -16,8 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` there and read it back: lineage ends, and no executor's loss undoes it."""
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` there and read it back: lineage ends, no executor's loss undoes it, and columns are
+    still pruned, which a checkpoint of an RDD prevents."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's stored tables, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
