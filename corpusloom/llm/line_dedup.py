@@ -55,8 +55,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """Each line with words: its place, count of words, two hashes, and the keys of its halves, for
     partners of as many words (class n) and of one less (class n - 1)."""
-    lines = numbered(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    lines = lines.select(*_POS, words(F.col("s")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    lines = numbered(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.btrim("s", F.lit(_BLANK)) != "")
+    lines = lines.select(*_POS, words(F.col("s")).alias("w")).withColumn("n", F.size("w"))
 
     def halves(m: Column) -> list[Column]:
         left = F.floor(m / 2).cast("int")
@@ -85,21 +85,24 @@ def bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def running(h: Column) -> Column:
-    """XORs of the first 0, 1, ... n of ``h``: within steps of 32, then over these, so that long lines
-    stay near linear and nothing is appended to."""
+def running(h: Column, steps: tuple[int, ...] = (8, 64)) -> Column:
+    """XORs of the first 0, 1, ... n of ``h``: within steps of so many, then over these in turn, so that
+    long lines stay near linear and nothing is appended to."""
     def scan(xs: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(xs)), lambda i: F.aggregate(F.slice(xs, F.lit(1), i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)))
 
-    def joined(steps: Column) -> Column:
+    if not steps:
+        return scan(h)
+
+    def joined(parts: Column) -> Column:
         def over(base: Column) -> Column:
-            inner = F.zip_with(steps, F.slice(base, F.lit(1), F.size(steps)), lambda s, b: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda v: v.bitwiseXOR(b)))
+            inner = F.zip_with(parts, F.slice(base, F.lit(1), F.size(parts)), lambda s, b: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda v: v.bitwiseXOR(b)))
             return F.concat(F.flatten(inner), F.array(F.element_at(base, -1)))
 
-        return bound(scan(F.transform(steps, lambda s: F.element_at(s, -1))), over)
+        return bound(running(F.transform(parts, lambda s: F.element_at(s, -1)), steps[1:]), over)
 
-    cuts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / 32).cast("int"))
-    return bound(h, lambda xs: bound(F.transform(cuts, lambda k: scan(F.slice(xs, k * 32 + 1, F.lit(32)))), joined))
+    cuts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / steps[0]).cast("int"))
+    return bound(h, lambda xs: bound(F.transform(cuts, lambda k: scan(F.slice(xs, k * steps[0] + 1, F.lit(steps[0])))), joined))
 
 
 def candidates(docs: DataFrame, lines: DataFrame, again: DataFrame) -> DataFrame:
