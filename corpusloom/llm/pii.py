@@ -174,7 +174,7 @@ KINDS: tuple[tuple[str, str, Callable[[re.Match, bytes], str | None]], ...] = (
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", address),
     ("date", r"(?<!\d)(?:(?P<y1>\d{4})(?P<sep1>[\-/.])(?P<m1>\d{1,2})(?P=sep1)(?P<d1>\d{1,2})|(?P<a>\d{1,2})(?P<sep2>[\-/.])(?P<b>\d{1,2})(?P=sep2)(?P<y2>\d{4}))(?!\d)", date),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", ssn),
-    ("card", r"(?<!\d)(?<!\d[ \-])\d(?:[ \-]?\d){12,18}(?!\d)(?![ \-]\d)", card),
+    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)", card),
     ("phone", r"(?<![\w+])(?:(?P<plus>\+)\d{1,3}[ .\-]?|1[ .\-])?(?P<rest>\(\d{3}\) ?\d{3}[ .\-]?\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4}|(?(plus)\d{1,4}(?:[ .\-]?\d{2,4}){1,5}|(?!)))(?!\w)", phone),
 )
 _PATTERNS = [(kind, re.compile(pattern), make) for kind, pattern, make in KINDS]

@@ -345,6 +345,12 @@ def test_equal_cards_in_other_layouts_stay_linked():
     assert plain == spaced == dashed and pii.luhn(plain[:-1]) == int(plain[-1])
 
 
+def test_values_side_by_side():
+    for text, kinds in {"+1 (269) 555-3296 4524132264652876 and": ["phone", "card"], "4524132264652876 +1 (269) 555-3296": ["card", "phone"], "1.2.3.4 4041894974608795 5.6.7.8": ["ip", "card", "ip"], "12 4041 8949 7460 8795 12": ["card"], "378282246310005, 3782 822463 10005": ["card", "card"]}.items():
+        new, found = pii.replaced(text, KEY)
+        assert found == kinds and not set(re.findall(r"\d[\d .\-]{6,}\d", text)) & set(re.findall(r"\d[\d .\-]{6,}\d", new))
+
+
 def test_what_fails_its_check_stays():
     for text in ("4041894974608796", "2023-02-29", "300.1.2.3", "000-12-3456", "DE00 3704 0044 0532 0130 00", "version 1.2.3", "no numbers", "page 12 of 345"):
         assert pii.replaced(text, KEY) == (text, [])
