@@ -18,8 +18,8 @@ from corpusloom.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; texts without a letter, null texts and texts in which no
-    language has half of the letters go."""
+    """Documents in learned languages; texts without a letter, null texts and texts in which no language
+    has ``langid.LEAST`` of the letters go."""
     return langid.accepted(docs, langid.fit(docs))
 
 

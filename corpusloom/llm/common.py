@@ -1,10 +1,9 @@
-"""What several operators share: tables, written intermediate results, batches of bounded size."""
+"""What several operators share: tables, batches of bounded size, memory of Python workers."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -14,40 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the cluster names no shared folder in spark.checkpoint.dir, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..storage import stored
+
+__all__ = ["ascii_lower", "frugal", "sized", "slices", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; set here only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = LOCAL_CHECKPOINTS
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors,
-    and keeps column pruning, which an RDD checkpoint doesn't."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's stored tables, once no result that reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def sized(values: list, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``values`` (texts or bytes, never None) of about ``limit`` units at most; one
     longer value is a range of its own."""

@@ -35,6 +35,9 @@ from . import common
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that a model is fitted on at most.
 SAMPLE = 4000
+#: Share of its letters that a text's language must have for the text to be accepted: texts in several
+#: languages are no junk.
+LEAST = 0.3
 #: Cost of a switch of language, in nats.
 SWITCH = 12.0
 #: Share of a language's words in a script from which the script has it as a candidate.
@@ -191,7 +194,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(common.frugal(run), schema)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """``docs`` as they are, without those in no learned language or with a score below ``least``.
     Texts are judged beside their row, so nothing is joined and every column stays."""
     names = docs.columns

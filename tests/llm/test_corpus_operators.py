@@ -290,7 +290,7 @@ def test_pipeline_against_brute_force(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(table)
     labels = list(langid.label([t or "" for _, t in docs], model))
-    docs = [d for d, (lang, score, _) in zip(docs, labels) if lang != "und" and score >= 0.5]
+    docs = [d for d, (lang, score, _) in zip(docs, labels) if lang != "und" and score >= langid.LEAST]
     docs = [(d, t) for d, t, x, y in brute_lines(docs) if not (x + y and not re.search(r"[^ \t\r\f\n]", t))]
     docs = [dt for dt, (d, _, least) in zip(docs, brute_classes(docs)) if d == least]
     docs = [dt for dt, r in zip(docs, brute_contamination(docs, items)) if not r[-1]]
