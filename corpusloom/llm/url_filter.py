@@ -121,7 +121,8 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) ->
     members = classes.withColumns({"host": host(F.col("node")), "path": path(F.col("node"))}).join(verdicts, ["host", "path"])
     decided = members.groupBy("component").agg(F.min("verdict").alias("of_class"))  # allow comes before block
     by_node = classes.join(decided, "component").select("node", "of_class")
-    out = urls.join(verdicts, ["host", "path"], "left").join(by_node, "node", "left")
+    # both grow with the pages, however well they compress: neither is to be broadcast
+    out = urls.join(verdicts.hint("merge"), ["host", "path"], "left").join(by_node.hint("merge"), "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "of_class", F.lit("allow")).alias("verdict"))
 
 
