@@ -158,6 +158,14 @@ def test_local_search_empties_a_bin_that_best_fit_leaves():
     assert sum(b.times for b in packing.local_search(bins, 10)) == 2
 
 
+@pytest.mark.parametrize("m", [1, 50, 1000, 1_000_000])
+def test_local_search_goes_on_however_many_bins_are_in_excess(m):
+    # 2058+1034+1004 and 1044+1044+1004+1004 fill sequences; best fit leaves 11 m
+    first = packing.best_fit({2058: 6 * m, 1044: 6 * m, 1034: 6 * m, 1004: 12 * m}, 4096)
+    assert sum(b.times for b in first) == 11 * m
+    assert sum(b.times for b in packing.local_search(first, 4096)) == 9 * m
+
+
 # -- pages
 
 
