@@ -157,7 +157,7 @@ def write(stages: Stages, root: str, settings: config.Config, changes: DataFrame
     arch = Path(root, "ARCHITECTURE.md")
     recent = ""
     if settings.since and not settings.no_git and (cutoff := tx.parse_since(settings.since, now)) is not None:
-        recent = repo_files.recent_changes(repo_files.commits(spark, root) if changes is None else changes, cutoff)
+        recent = repo_files.recent_changes(repo_files.commits(spark, root, since=cutoff) if changes is None else changes, cutoff)
     sections = report.sections(stages.included, stages.edges, stages.cyclic, symbols, found, arch.read_text(encoding="utf-8") if arch.is_file() else "", recent)
     report.write_document(sections, out)
     if settings.layers:

@@ -8,6 +8,7 @@ entered. Roots are folders that the executors can open too (one machine, or a sh
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import subprocess
 from collections.abc import Iterator
@@ -83,11 +84,11 @@ class RepoFiles(DataSource):
 
 class _LogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self._root, self._limit = options["path"], int(options.get("limit", config.COMMITS))
+        self._root, self._since, self._limit = options["path"], options.get("since"), int(options.get("limit", config.COMMITS))
 
     def read(self, partition) -> Iterator[tuple]:
         # newest first, against the first parent only; a root commit against nothing
-        command = ["git", "-C", self._root, "log", f"-n{self._limit}", "--date-order", "--no-renames", "--diff-merges=first-parent", "--root", "--name-only", "-z", "--format=%x01%H%x02%ct%x02%s%x02"]
+        command = ["git", "-C", self._root, "log", f"--since=@{self._since}" if self._since else f"-n{self._limit}", "--date-order", "--no-renames", "--diff-merges=first-parent", "--root", "--name-only", "-z", "--format=%x01%H%x02%ct%x02%s%x02"]
         found = subprocess.run(command, capture_output=True)
         if found.returncode:
             return
@@ -99,7 +100,8 @@ class _LogReader(DataSourceReader):
 
 
 class CommitLog(DataSource):
-    """``spark.read.format("commit_log")``: a row for each commit and file; option ``path``."""
+    """``spark.read.format("commit_log")``: a row for each commit and file; options ``path``, and
+    ``since`` (whole seconds), from when on all are read, or ``limit``, the newest."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,9 +148,11 @@ def files(spark: SparkSession, roots: list[str], extra_ignore: tuple[str, ...] =
     return out.select("root", "path", paths.name(p).alias("name"), paths.suffix(p).alias("ext"), paths.language(p).alias("language"), "size", "mtime", "sha256", text.decoded(F.col("content")).alias("text"))
 
 
-def commits(spark: SparkSession, root: str, limit: int = config.COMMITS) -> DataFrame:
+def commits(spark: SparkSession, root: str, limit: int = config.COMMITS, since: float | None = None) -> DataFrame:
+    """The newest ``limit`` commits, or all that are no older than ``since``."""
     register(spark)
-    return spark.read.format("commit_log").option("path", str(root)).option("limit", limit).load()
+    log = spark.read.format("commit_log").option("path", str(root)).option("limit", limit)
+    return (log if since is None else log.option("since", math.ceil(since))).load()
 
 
 def change_stats(changes: DataFrame, known: DataFrame) -> DataFrame:
@@ -161,12 +165,12 @@ def change_stats(changes: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def recent_changes(changes: DataFrame, cutoff: float, files_shown: int = config.RECENT_FILES) -> str:
-    """Commits since ``cutoff``, newest first, and the files that they touched. Of the files, only
-    those shown come to the driver."""
+    """All commits since ``cutoff``, newest first, and the files that they touched. Only what is shown
+    comes to the driver."""
     recent = changes.where(F.col("ts") >= cutoff)
     heads = recent.groupBy("sha").agg(F.max("ts").alias("ts"), F.first("subject").alias("subject")).orderBy(F.desc("ts"), "sha")
     line = F.format_string("- `%s` (%s) %s", F.left("sha", F.lit(8)), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd"), "subject")
-    shown = [r["l"] for r in heads.select(line.alias("l")).limit(config.COMMITS).collect()]
+    shown = [r["l"] for r in heads.select(line.alias("l")).collect()]
     if not shown:
         return ""
     touched = recent.where("path is not null").select("path").distinct()

@@ -73,6 +73,19 @@ def test_commit_log(spark, tree):
     assert repo_files.recent_changes(log, 2e9) == ""
 
 
+def test_recent_changes_have_every_commit_since_the_cutoff(spark, tree):
+    log = spark.range(6000).selectExpr("lpad(cast(id as string), 8, '0') AS sha", "cast(id AS double) AS ts", "'f' AS path", "'s' AS subject")
+    lines = repo_files.recent_changes(log, 10.0).split("\n")
+    assert len([x for x in lines if x.endswith(") s")]) == 5990 and lines[2].startswith("- `00005999`") and lines[2 + 5989].startswith("- `00000010`")
+    git(tree, "init", "-q")
+    for day in (1, 2, 3, 4):
+        git(tree, "commit", "-q", "--allow-empty", "-m", f"day {day}", date=f"2024-01-0{day}T00:00:00")
+    assert {r.subject for r in repo_files.commits(spark, str(tree), limit=1).collect()} == {"day 4"}
+    at = datetime.datetime(2024, 1, 2, tzinfo=datetime.timezone.utc).timestamp()
+    assert {r.subject for r in repo_files.commits(spark, str(tree), limit=1, since=at).collect()} == {"day 2", "day 3", "day 4"}
+    assert {r.subject for r in repo_files.commits(spark, str(tree), limit=1, since=at + 0.5).collect()} == {"day 3", "day 4"}
+
+
 def test_edges_of_a_tree(spark, tree):
     files = plan.scan(spark, [str(tree)], config.Config())
     got = {(r.src, r.dst, r.edge_type) for r in plan.dependencies(plan.parse(files), files).collect()}
