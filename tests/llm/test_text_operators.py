@@ -191,6 +191,21 @@ def test_structure_of_pages():
     assert text_of("<article><p>a</div></span> b</article>c") == "a b c"
 
 
+def test_an_open_head_ends_where_the_body_begins():
+    for page in ("<head><title>t</title><body><article>a b</article>", "<head><meta charset=x><p>a b", "<html><head><title>t</title>a b", "<head><style>x</style><main>a b</main>"):
+        assert text_of(page) == "a b"
+    assert text_of("<head>\n<title>t</title>\n</head>\n<body>a b") == "a b"
+
+
+def test_marks_are_whole_names():
+    for tag in ('div class="content-sidebar-wrap"', 'div class="sidebar-wrapper"', "form", 'div class="no-sidebar"'):
+        assert text_of(f"<{tag}><nav>n</nav><main>a b</main></{tag.split()[0]}>") == "a b"
+    assert text_of('<article class="post comments-open">a<h2 id="related-work">b</h2><section id="social-impact">c</section></article>') == "a b c"
+    for name in ("sidebar", "comment-list", "cookie-notice", "ad-300x250", "site-header", "share_buttons"):
+        assert text_of(f'<main>a</main><div class="x {name}">b<p>c</div>') == "a"
+    assert text_of('<article>a<div id="comments"><article class="comment">b</article><article>c</article></div></article>') == "a"
+
+
 def test_repeated_runs_leave_open_text(spark):
     notice = "all rights of this page are reserved by the owner"
     rows = [(i, f"http://h.example/{i}", f"<div>{notice}</div><div>unique text number {i} that stands here alone {i}</div>") for i in range(4)]
