@@ -219,6 +219,15 @@ def test_repeated_runs_leave_open_text(spark):
     assert html_text.extract(docs.limit(0)).count() == 0
 
 
+def test_short_and_split_repeats_leave_open_text_but_copies_of_a_page_do_not(spark):
+    menu = "<ul><li>Home</li><li>About us</li></ul>"
+    split = ("<div>one two three</div><div>four five six</div>", "<div>one two</div><div>three four five six</div>", "<div>one two three four</div><div>five six</div>")
+    rows = [(i, f"http://h.example/{i}", f"{menu}<p>page {'abc'[i]} alone</p>{split[i]}<p>All rights reserved</p>") for i in range(3)]
+    rows += [(10 + i, "http://copies.example/", "<p>the same page three times over under three ids</p><p>short</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"page {'abc'[i]} alone" for i in range(3)} | {10 + i: "the same page three times over under three ids short" for i in range(3)}
+
+
 # -- languages
 
 
