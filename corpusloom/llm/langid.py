@@ -5,9 +5,10 @@ candidates. A trigram letter model of each candidate gives the word a log-likeli
 over the words of a text, with a penalty for each switch of language, labels spans. The text's
 language is the one that labels most of its letters, its score that share.
 
-Most texts have one language. Viterbi's answer is a single span just if no stretch of words gains
-more than the penalty by any other language, which running sums show at once; only texts where
-one does go through the word-by-word walk. The answer is the same.
+Most texts have one language. Viterbi's answer is a single span if no stretch of words gains more
+than the penalty by any other language, nor a first and a last stretch together, as a path that
+leaves the best language altogether has one switch less than it has stretches. Running sums show
+both at once; only other texts go through the word-by-word walk. The answer is the same.
 
 The model is fitted on ``SAMPLE`` labelled documents at most, those whose hashed doc_id is least;
 counts are gathered as hashed tables of fixed size, so neither texts nor what grows with the corpus
@@ -133,7 +134,7 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     best = int(s.sum(axis=0).argmax())
     gain = np.cumsum(s - s[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, s.shape[1])), gain[:-1]]), axis=0)
-    if (gain - low).max() <= switch:
+    if (gain - low).max() <= switch and gain.max() + (gain[-1] - low[-1]).max() <= switch:
         return np.full(len(s), best)
     came = np.empty(s.shape, np.int64)
     v, stay = s[0].copy(), np.arange(s.shape[1])

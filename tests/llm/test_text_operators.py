@@ -244,6 +244,11 @@ def brute_viterbi(s, switch):
     return max(best, key=lambda x: x[0])
 
 
+def test_viterbi_leaves_the_best_single_language_altogether():
+    assert langid.viterbi(np.array([[3.0, 0, -9], [-9, 0, 3]]), 4.0).tolist() == [0, 2]
+    assert langid.viterbi(np.array([[1.0, 5, 0], [4, 0, 5]]), 4.0).tolist() == [1, 2]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.integers(-9, 9), min_size=3, max_size=3), min_size=1, max_size=25))
 def test_viterbi_is_optimal(s):
