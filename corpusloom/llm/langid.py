@@ -3,7 +3,7 @@
 A word's letters fall in script ranges, which leave only the languages seen in that script as
 candidates. A trigram letter model of each candidate gives the word a log-likelihood, and Viterbi
 over the words of a text, with a penalty for each switch of language, labels spans. The text's
-language is the one that labels most of its letters, its score that share.
+language is the one that labels most of its letters, its score that share of all its letters.
 
 Most texts have one language. Viterbi's answer is a single span if no stretch of words gains more
 than the penalty by any other language, nor a first and a last stretch together, as a path that
@@ -16,7 +16,8 @@ comes to the driver. Prediction needs no shuffle.
 
 Defined cases: null text, or text without a letter, gives ``und`` with score 0; so does everything
 if nothing could be learned; a null doc_id is not held out and not learned from; words of a script
-that no learned language uses count for none; repeated rows are judged alike; other columns are
+that no learned language uses are in no span and count for none, but their letters lower the score;
+a text of only such words gives ``und`` with score 0; repeated rows are judged alike; other columns are
 ignored.
 """
 
@@ -86,14 +87,15 @@ class Model:
     candidate: np.ndarray  # [scripts, languages]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood of each distinct word in each language."""
+        """Log-likelihood of each distinct word in each language; not a number for words that are in no
+        script of a learned language."""
         x = Letters(words)
         each = np.log(self.tri[x.h3] + np.float32(SMOOTH)) - np.log(self.bi[x.h2] + np.float32(SMOOTH * LETTERS))
         out = np.add.reduceat(each, x.first, axis=0, dtype=np.float64)
         allowed = self.candidate[x.script]
         none = ~allowed.any(axis=1)
         out[~allowed] = FAR
-        out[none] = 0
+        out[none] = np.nan
         return out
 
 
@@ -157,9 +159,12 @@ def label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[tup
     number = dict(zip(distinct, range(len(distinct)), strict=True))
     known = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
     scores = model.scores(distinct) if distinct and model.langs else np.zeros((len(distinct), 0))
-    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct)) * known
+    if model.langs:
+        known &= ~np.isnan(scores).any(axis=1)
     for words in split:
         ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        letters = size[ids].sum()
         if not known.all():
             ids = ids[known[ids]]
         if not len(ids) or not model.langs:
@@ -170,7 +175,7 @@ def label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[tup
         top = int(weight.argmax())
         cut = np.flatnonzero(np.diff(path)) + 1
         spans = [(int(y - x), model.langs[path[x]]) for x, y in zip([0, *cut], [*cut, len(path)], strict=True)]
-        yield model.langs[top], float(weight[top] / weight.sum()), spans
+        yield model.langs[top], float(weight[top] / letters), spans
 
 
 def labelled(texts: pa.Array, model: Model) -> Iterator[tuple[str, float, list[tuple[int, str]]]]:

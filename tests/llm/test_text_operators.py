@@ -244,6 +244,18 @@ def brute_viterbi(s, switch):
     return max(best, key=lambda x: x[0])
 
 
+def test_scripts_that_no_language_uses_lower_the_score(spark):
+    docs = [(i, t, x) for i, (t, x) in enumerate([("the house and the garden of this town", "en"), ("das haus und der garten dieser stadt", "de")] * 20)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    texts = ["\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "\u4f60\u597d\u4e16\u754c", "the town \u043f\u0440\u0438\u0432\u0435\u0442\u043c\u0438", "the town", "the house and the garden of this town das haus und der garten dieser stadt"]
+    got = list(langid.label(texts, model))
+    assert got[0] == got[1] == ("und", 0.0, [])
+    assert got[2] == ("en", 7 / 15, [(2, "en")]) and got[3] == ("en", 1.0, [(2, "en")])
+    assert got[4][1] > langid.LEAST
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in langid.accepted(rows, model).collect()} == {2, 3, 4}
+
+
 def test_viterbi_leaves_the_best_single_language_altogether():
     assert langid.viterbi(np.array([[3.0, 0, -9], [-9, 0, 3]]), 4.0).tolist() == [0, 2]
     assert langid.viterbi(np.array([[1.0, 5, 0], [4, 0, 5]]), 4.0).tolist() == [1, 2]
