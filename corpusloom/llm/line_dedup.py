@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: One edit in five words is a similarity of 0.8.
+#: One edit in five words is a similarity of 0.8; the bound is one edit for longer lines too.
 MIN_WORDS = 5
 #: Rows of a checked broadcast: beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
