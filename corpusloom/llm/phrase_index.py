@@ -15,7 +15,7 @@ the same stored index; with more than one part a document's partial results meet
 hit ranges.
 
 Defined cases: null text has no words; a null item text has no window; items of one id count as
-one item; repeated doc_ids are judged row by row where the items fit in one part, and are told
+one item, and so do all without an id, which the digest leaves out; repeated doc_ids are judged row by row where the items fit in one part, and are told
 apart by their place in the index otherwise; empty tables give no rows, an empty benchmark gives
 clean documents; other columns are ignored.
 """
@@ -122,23 +122,23 @@ class Block:
 class Windows:
     """Windows of test items as rows of term numbers, by window length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int = WINDOW):
         number: dict[bytes, int] = {}
-        by: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        by: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
         for item, text in items:
             ids = [number.setdefault(w, len(number)) for w in words(text)]
             n = min(width, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
                 by.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
         self.terms = list(number)
-        self.by_width = [(n, np.array(list(w), np.int64).reshape(-1, n), [sorted(x) for x in w.values()]) for n, w in sorted(by.items())]
+        self.by_width = [(n, np.array(list(w), np.int64).reshape(-1, n), [list(x) for x in w.values()]) for n, w in sorted(by.items())]
 
 
-def hits(block: Block, windows: Windows) -> tuple[np.ndarray, dict[int, set[str]]]:
+def hits(block: Block, windows: Windows) -> tuple[np.ndarray, dict[int, set[str | None]]]:
     """Which words of the block are inside an occurrence, and each document's items."""
     n = int(block.bounds[-1])
     edge = np.zeros(n + 1, np.int32)
-    items: dict[int, set[str]] = {}
+    items: dict[int, set[str | None]] = {}
     own = block.numbers(windows.terms)
     for width, rows, owners in windows.by_width:
         local = own[rows]
@@ -152,18 +152,18 @@ def hits(block: Block, windows: Windows) -> tuple[np.ndarray, dict[int, set[str]
     return np.cumsum(edge[:-1]) > 0, items
 
 
-def _result(keys: list, n_words: list[int], n_hit: list[int], items: list[list[str]]) -> pa.RecordBatch:
-    sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+def _result(keys: list, n_words: list[int], n_hit: list[int], items: list[list[str | None]]) -> pa.RecordBatch:
+    sha = [hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in items]
     return pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     )
 
 
-def parts_of(items: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+def parts_of(items: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
     """Test items (item_id, text) in parts whose size is bounded, one after the other."""
     part, held = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for r in items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null").toLocalIterator():
         raw = r["t"].encode()
         if part and held + len(raw) // 2 > part_words:
             yield part
@@ -205,7 +205,7 @@ def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART
                             if max(x, s) < min(y, e):
                                 ranges.setdefault(d, []).append([max(x, s) - s, min(y, e) - s])
                     n = len(row["doc_ids"])
-                    yield pa.RecordBatch.from_pydict({"block": [row["block"]] * n, "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": np.diff(block.bounds.astype(np.int64)), "ranges": pa.array([ranges.get(d, []) for d in range(n)], pa.list_(pa.list_(pa.int32()))), "items": pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))})
+                    yield pa.RecordBatch.from_pydict({"block": [row["block"]] * n, "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": np.diff(block.bounds.astype(np.int64)), "ranges": pa.array([ranges.get(d, []) for d in range(n)], pa.list_(pa.list_(pa.int32()))), "items": pa.array([list(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))})
 
         return run
 
@@ -218,15 +218,18 @@ def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART
                 for x, y in sorted((x, y) for one in lists for x, y in one):
                     total, end = total + max(0, y - max(x, end)), max(end, y)
                 n_hit.append(total)
-            yield _result(keys, n_words, n_hit, [sorted({x for one in own for x in one}) for own in items])
+            yield _result(keys, n_words, n_hit, [list({x for one in own for x in one}) for own in items])
 
-    parts = list(parts_of(benchmark, part_words))
-    if len(parts) == 1:
-        return index.mapInArrow(common.frugal(judge(parts[0])), RESULT)
+    parts = parts_of(benchmark, part_words)
+    part, following = next(parts), next(parts, None)
+    if following is None:
+        return index.mapInArrow(common.frugal(judge(part)), RESULT)
     some = None
-    for part in parts:
+    while part is not None:
         one = index.mapInArrow(common.frugal(partial(part)), "block string, place int, doc_id long, n_words long, ranges array<array<int>>, items array<string>")
+        one = common.stored(one, "benchmark_part")
         some = one if some is None else some.unionAll(one)
+        part, following = following, next(parts, None)
     met = some.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
     return met.select("doc_id", "n_words", "ranges", "items").mapInArrow(join, RESULT)
 

@@ -99,6 +99,17 @@ def test_contamination_odd_inputs(spark):
     assert not any(r.contaminated for r in phrase_index.contamination(phrase_index.build(docs), items.limit(0)).collect())
 
 
+@pytest.mark.parametrize("part_words", [phrase_index.PART_WORDS, 3])
+def test_items_without_an_id_still_contaminate(spark, part_words):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "a b c x y z"), (4, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (None, "b c"), ("i", "x y z")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in phrase_index.contamination(phrase_index.build(docs), items, part_words).collect()}
+    none, own = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"i").hexdigest()
+    # as the SQL has it
+    assert got == {1: (3, 1, none, True), 2: (3, 1, own, True), 3: (6, 2, own, True), 4: (0, 0, none, False)}
+
+
+
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "cat the sat"), (3, "mat x x x x the cat"), (4, "the"), (5, "cat")], "doc_id long, text string")
     index = phrase_index.build(docs)
