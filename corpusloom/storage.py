@@ -6,21 +6,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where the cluster names no shared folder in spark.checkpoint.dir, as in tests.
+#: Only where one machine runs everything and names no folder in spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """This application's part of the shared folder; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = LOCAL_CHECKPOINTS
     return f"{named.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` there and read it back: lineage ends, no executor's loss undoes it, and columns are
-    still pruned, which a checkpoint of an RDD prevents."""
+    still pruned, which a checkpoint of an RDD prevents. ``options``: of the Parquet writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**(options or {})).option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
