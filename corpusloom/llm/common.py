@@ -12,10 +12,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import stored
 
-__all__ = ["ascii_lower", "frugal", "sized", "slices", "stored", "table"]
+__all__ = ["ascii_lower", "free_name", "frugal", "mapped", "sized", "slices", "stored", "stored_large", "table"]
+
+#: Bytes of rows that a Python worker is handed at once; one larger row is handed alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Parquet's groups of rows for tables whose cells have megabytes: writers and readers hold one group.
+LARGE_CELLS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +57,13 @@ def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the Python worker gives back the memory that it took for the partition.
     Workers stay for later tasks, also of stages that need their memory elsewhere."""
@@ -64,3 +78,17 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
                 ctypes.CDLL(None).malloc_trim(0)
 
     return tidy
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with ``frugal`` workers and batches bounded in bytes, as rows can be of any
+    length; the bound is the session's from here on, unless that has a lower one."""
+    conf = df.sparkSession.conf
+    if int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(_BATCH))) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(frugal(run), schema)
+
+
+def stored_large(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
+    """``stored`` for tables whose cells have megabytes."""
+    return stored(df, name, compression, LARGE_CELLS)

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 END_ID = 1
 #: Signs that end a word as a token of their own.
 _TAILS = (",", ".")
+#: First bytes of the combining marks that ASCII letters can be composed with (U+0300 to U+037F).
+_MARKS = (b"\xcc", b"\xcd")
 #: Fixed by the vocabulary: how it cuts a lower-case ASCII word into runs.
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -25,14 +27,16 @@ class WordTokenizer:
     Texts are lowered (A-Z) and cut at spaces and line ends, and distinct words are looked up in a
     table, from which the ids of the texts are gathered; all that is Arrow's and numpy's work. New
     words are encoded together as one text, whose tokens are told apart by the marks: most are a
-    run of letters, with a comma or full stop that has an id of its own. Words with other letters
-    than ASCII among other signs are encoded one by one.
+    run of plain letters, with a comma or full stop that has an id of its own. Plain are a-z and
+    those letters of Latin's further blocks that the library itself, asked once for each, takes as
+    one letter that changes nothing around it. Every other word, with letters that grow when
+    lowered, combine, or stand among other signs, goes to the library as it is, one by one.
 
     ``kept`` bounds the words held, and eight times that the bytes of them; past it only those
     used last stay.
     """
 
-    def __init__(self, path: str, kept: int = 500_000, long_word: int = 64):
+    def __init__(self, path: str, kept: int = 200_000, long_word: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,11 +46,26 @@ class WordTokenizer:
         self._last = np.zeros(max(vocab.values()) + 1, bool)
         self._last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._words = pa.array([], pa.string())
-        self._first = self._size = self._used = np.zeros(0, np.int64)
+        self._first = self._size = self._used = np.zeros(0, np.int32)
         self._flat = np.zeros(0, np.uint32)
         self._call = 0
+        self._plain = f"^[a-z{self._plain_letters()}]+$"
         self._tail_ids = {t: int(x[0]) for t, x in zip(_TAILS, self._each(list(_TAILS)), strict=True) if len(x) == 1}
 
+    def _plain_letters(self) -> str:
+        """Small letters from U+00DF to U+024F that are one letter of a run in every place of a word."""
+        letters = [c for c in map(chr, range(0xDF, 0x250)) if c.isalpha() and c.lower() == c]
+        asked = [[c, f"a{c}b", f"{c}a", f"a{c}", f"a{c}.", f"{c}{c}"] for c in letters]
+        coded = iter(self._each([w for ws in asked for w in ws]))
+        dot = self._each(["."])[0].tolist()
+        out = []
+        for c in letters:
+            got = [next(coded) for _ in range(6)]
+            one_run = all(self._last[x].sum() == 1 and self._last[x[-1]] for x in (*got[:4], got[5]))
+            if one_run and got[4].tolist() == [*got[3].tolist(), *dot]:
+                out.append(c)
+        return "".join(out)
+
     def _each(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tok.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -61,9 +80,10 @@ class WordTokenizer:
 
     def _append(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
         self._words = pa.concat_arrays([self._words, words])
-        self._first = np.concatenate([self._first, len(self._flat) + np.cumsum(size) - size])
+        size = size.astype(np.int32)
+        self._first = np.concatenate([self._first, len(self._flat) + np.cumsum(size, dtype=np.int32) - size])
         self._size = np.concatenate([self._size, size])
-        self._used = np.concatenate([self._used, np.full(len(size), self._call)])
+        self._used = np.concatenate([self._used, np.full(len(size), self._call, np.int32)])
         self._flat = np.concatenate([self._flat, ids])
 
     def _row(self, words: pa.Array) -> np.ndarray:
@@ -73,22 +93,24 @@ class WordTokenizer:
     def _ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids on end, where each row's end)."""
         n = self._size[rows]
-        end = np.cumsum(n)
-        return self._flat[np.repeat(self._first[rows] - (end - n), n) + np.arange(int(n.sum()))], end
+        end = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(self._first[rows] - (end - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self._flat[at], end
 
     def _forget(self) -> None:
         stay = np.flatnonzero(self._used >= self._call - 1)
         ids, size = self._ids_of(stay)[0], self._size[stay]
         words, used = self._words.take(pa.array(stay)), self._used[stay]
         self._words, self._flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
-        self._first = self._size = self._used = np.zeros(0, np.int64)
+        self._first = self._size = self._used = np.zeros(0, np.int32)
         self._append(words, ids, size)
         self._used = used
 
     def _learn(self, words: pa.Array) -> None:
         tailed = pc.fill_null(pc.is_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(list(self._tail_ids), pa.string())), False)
         bare = pc.if_else(tailed, pc.utf8_slice_codeunits(words, 0, -1), words)
-        fit = pc.and_(pc.utf8_is_alpha(bare), pc.less_equal(pc.utf8_length(bare), self._long))
+        fit = pc.and_(pc.match_substring_regex(bare, self._plain), pc.less_equal(pc.utf8_length(bare), self._long))
         runs = bare.filter(fit).unique()
         runs = runs.filter(pa.array(self._row(runs) < 0))
         other = words.filter(pc.invert(fit))
@@ -108,11 +130,15 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, where each text begins and the last one ends); no nulls."""
-        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        # special tokens are told from their letters, and marks join capitals or not, before these are lowered
+        raw = texts.cast(pa.binary())
+        whole = pc.match_substring(raw, b"<|")
+        for lead in _MARKS:
+            whole = pc.or_(whole, pc.match_substring(raw, lead))
+        special = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if not len(special):
             return self._gather(texts)
-        # the vocabulary's special tokens are told from their letters before these are lowered
-        ids, bounds = self._gather(pc.if_else(pc.match_substring(texts, "<|"), "", texts))
+        ids, bounds = self._gather(pc.if_else(whole, "", texts))
         own = self._each(texts.take(pa.array(special)).to_pylist())
         size = np.diff(bounds)
         size[special] = [len(x) for x in own]
@@ -133,7 +159,7 @@ class WordTokenizer:
             rows = self._row(coded.dictionary)
         self._used[rows] = self._call
         ids, end = self._ids_of(rows[coded.indices.to_numpy()])
-        return ids, np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, np.concatenate([[0], end], dtype=np.int64)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, with the end id after each text."""
