@@ -1,31 +1,38 @@
-"""Token ids of a corpus as binary shards: one concatenated id array per shard, with the document
+"""Token ids of a corpus as binary shard files: one concatenated id array per file, with the document
 boundaries and document ids in Elias-Fano form.
 
-Shard layout, little-endian: magic, counts, then four parts: the ids (unsigned 16 or 32 bit),
-the boundaries, the doc_ids, the count of leading null doc_ids. An Elias-Fano part holds the low
-bits packed, the high bits in unary, and the position of every 256th one as select samples, so
-that ``select`` reads a few bytes and no table of 64-bit offsets exists.
+File layout, little-endian: magic, counts, then three parts: the boundaries, the doc_ids, the ids
+(unsigned 16 or 32 bit). An Elias-Fano part holds the low bits packed, the high bits in unary, and
+the position of every 256th one as select samples, so that ``select`` reads a few bytes and no table
+of 64-bit offsets exists, in the file or in memory. Any reader can map a file and take a document
+from it; ``Shard`` does so.
 
-Plan: range-partition by doc_id (one shuffle of the texts), sort, tokenize in order, write the
-shards as rows of a Parquet table in the shared folder. Only one total per partition comes to the
-driver. Reading needs no shuffle: a shard knows where it starts within its partition.
+Plan: range-partition by doc_id (one shuffle of the texts), sort, tokenize in order. Each task writes
+its files to the shared folder by Arrow's file systems (``file``, ``hdfs``, ``s3``, ...), under names
+of its own attempt, and their names and counts are stored as a table: only files of attempts that
+ended well are in it, so lost executors and attempts that run twice change nothing. Only one total
+per partition comes to the driver. Reading deals the files out and shuffles no ids: a file knows
+where it starts within its partition.
 
 Defined cases: null text is empty (one id, the end id); null doc_ids come first; repeated doc_ids
-are kept, ordered by a hash of the text; an empty table gives no shard and no row; other columns
+are kept, ordered by a hash of the text; an empty table gives no file and no row; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
 from . import common, tokens
 
 MAGIC = b"EFTOKENS"
@@ -33,19 +40,22 @@ _HEAD = struct.Struct("<8sQQQBQQQ")  # magic, documents, ids, ids before it in t
 _EF = struct.Struct("<QQqBQQ")  # count, universe, base, low bits, bytes of lows and of highs
 SAMPLE = 256
 
-SHARDS = "part int, seq int, n_docs long, n_ids long, shard binary"
+#: Ids that a reader holds at once, or those of one longer document.
+HELD = 1 << 20
+
+SHARDS = "part int, seq int, file string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class EliasFano:
     """A non-decreasing sequence of integers near its minimal space, with select."""
 
-    def __init__(self, raw: bytes | memoryview):
+    def __init__(self, raw: bytes):
         n, _, base, low, nl, nh = _EF.unpack_from(raw)
         at = _EF.size
         self.n, self.base, self.low = n, base, low
-        self._low = np.frombuffer(raw, np.uint8, nl, at)
-        self._high = np.frombuffer(raw, np.uint8, nh, at + nl)
+        self._low = raw[at : at + nl]
+        self._high = raw[at + nl : at + nl + nh]
         self._sample = np.frombuffer(raw, "<u4", -(-n // SAMPLE), at + nl + nh)
 
     @staticmethod
@@ -64,29 +74,23 @@ class EliasFano:
         return _EF.pack(n, top, base, low, len(lows), len(highs)) + lows + highs + ones[::SAMPLE].astype("<u4").tobytes()
 
     def select(self, i: int) -> int:
-        """Value i, from its low bits and the place of the i-th one after the nearest sample."""
+        """Value i, from its low bits and the place of the i-th one, counted from the nearest sample in
+        steps of 64 bits."""
         at = int(self._sample[i // SAMPLE])
         left, byte = i % SAMPLE, at // 8
-        window = int(self._high[byte]) >> (at % 8) << (at % 8)
+        window = int.from_bytes(self._high[byte : byte + 8], "little") >> (at % 8) << (at % 8)
         while (c := window.bit_count()) <= left:
             left -= c
-            byte += 1
-            window = int(self._high[byte])
+            byte += 8
+            window = int.from_bytes(self._high[byte : byte + 8], "little")
         for _ in range(left):
             window &= window - 1
         high = byte * 8 + (window & -window).bit_length() - 1 - i
         first = i * self.low
-        chunk = int.from_bytes(self._low[first // 8 : (first + self.low + 7) // 8].tobytes(), "little")
+        chunk = int.from_bytes(self._low[first // 8 : (first + self.low + 7) // 8], "little")
         low = (chunk >> (first % 8)) & ((1 << self.low) - 1)
         return self.base + (high << self.low | low)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64)
-        bits = np.unpackbits(self._low, bitorder="little", count=self.n * self.low).reshape(self.n, self.low).astype(np.uint64)
-        v = high << np.uint64(self.low) | (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return (v + np.uint64(self.base & (2**64 - 1))).astype(np.int64)
-
 
 def write_shard(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray, before: int) -> bytes:
     """A shard of documents whose ids lie on end, document i from bounds[i]."""
@@ -97,48 +101,96 @@ def write_shard(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray,
     return head + ef + docs + ids.astype(f"<u{width}").tobytes()
 
 
+def opened(file: str) -> pa.NativeFile:
+    """A shard file at an address in the shared folder."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(file)
+    return fs.open_input_file(path)
+
+
 class Shard:
-    """Random access to the documents of a shard."""
+    """Random access to the documents of a shard file: its head and boundaries are read, ids only where
+    they are asked for."""
 
-    def __init__(self, raw: bytes):
-        magic, self.n_docs, self.n_ids, self.before, width, nb, nd, self.nulls = _HEAD.unpack_from(raw)
+    def __init__(self, file: pa.NativeFile):
+        self._file = file
+        magic, self.n_docs, self.n_ids, self.before, self.width, nb, nd, self.nulls = _HEAD.unpack(file.read_at(_HEAD.size, 0))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        view, at = memoryview(raw), _HEAD.size
-        self.bounds, self.docs = EliasFano(view[at : at + nb]), EliasFano(view[at + nb : at + nb + nd])
-        self.ids = np.frombuffer(raw, f"<u{width}", self.n_ids, at + nb + nd)
+        self._at = _HEAD.size + nb + nd
+        self.bounds, self.docs = EliasFano(file.read_at(nb, _HEAD.size)), EliasFano(file.read_at(nd, _HEAD.size + nb))
+
+    def ids(self, lo: int, hi: int) -> np.ndarray:
+        return np.frombuffer(self._file.read_at((hi - lo) * self.width, self._at + lo * self.width), f"<u{self.width}")
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        return self.ids(self.bounds.select(i), self.bounds.select(i + 1))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + self.docs.all().tolist()
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.docs.select(i - self.nulls)
+
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, first id's place, ids) of every document, reading HELD ids or one document at once."""
+        at = lo = hi = 0
+        held = np.zeros(0, np.uint32)
+        for i in range(self.n_docs):
+            end = self.bounds.select(i + 1)
+            if end > hi:
+                lo, hi = at, max(end, min(at + HELD, self.n_ids))
+                held = self.ids(lo, hi)
+            yield self.doc_id(i), at, held[at - lo : end - lo]
+            at = end
 
 
 def write(docs: DataFrame, path: str | None = None, shard_bytes: int = 8_000_000) -> DataFrame:
-    """Tokenize ``docs`` (doc_id, text) into shards of so many bytes of text, or one longer text, in
+    """Tokenize ``docs`` (doc_id, text) into shard files of so many bytes of text, or one longer text, in
     ascending doc_id; the stored table of them."""
     path = path or tokens.default_path()
+    place = f"{shared_dir(docs.sparkSession)}/token_files-{uuid.uuid4().hex}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, part, seq, before = tokens.tokenizer(path), TaskContext.get().partitionId(), 0, 0
+        tok, part, attempt = tokens.tokenizer(path), TaskContext.get().partitionId(), uuid.uuid4().hex
+        fs, root = pyarrow.fs.FileSystem.from_uri(place)
+        seq = before = held = 0
+        keys: list[int | None] = []
+        ids: list[np.ndarray] = []
+        size: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal seq, before, held
+            flat, bounds = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(size))])
+            name = f"{part:06d}-{seq:06d}-{attempt}.ids"
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(f"{root}/{name}") as out:
+                out.write(write_shard(keys, flat, bounds, before))
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [f"{place}/{name}"], "n_docs": [len(keys)], "n_ids": [len(flat)]})
+            seq, before, held = seq + 1, before + len(flat), 0
+            for x in (keys, ids, size):
+                x.clear()
+            return row
+
         for b in batches:
-            for lo, hi in common.slices(b.column(1), shard_bytes):
-                ids, bounds = tok.documents(b.column(1)[lo:hi])
-                raw = write_shard(b.column(0)[lo:hi].to_pylist(), ids, bounds, before)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [hi - lo], "n_ids": [len(ids)], "shard": pa.array([raw], pa.binary())})
-                seq, before = seq + 1, before + len(ids)
+            for lo, hi in common.slices(b.column(1), min(shard_bytes, common.BATCH_BYTES)):
+                texts = b.column(1)[lo:hi]
+                if held and held + texts.nbytes > shard_bytes:
+                    yield close()
+                own, bounds = tok.documents(texts)
+                keys += b.column(0)[lo:hi].to_pylist()
+                ids.append(own.astype(np.uint32))
+                size.append(np.diff(bounds))
+                held += texts.nbytes
+        if keys:
+            yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return common.stored(ordered.mapInArrow(common.frugal(encode), SHARDS), "shards", "lz4")
+    return common.stored(common.mapped(ordered, encode, SHARDS), "shards")
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """One row per document of stored shards: its offset in the whole corpus, its count of ids and
+    """One row per document of stored shard files: its offset in the whole corpus, its count of ids and
     their checksum. The totals that the driver takes are one number per partition written."""
     totals = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     base, sofar = {}, 0
@@ -147,11 +199,11 @@ def read(shards: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = Shard(raw.as_py())
-                at = s.bounds.all()
-                wide = memoryview(s.ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(wide[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids(), pa.int64()), "start": at[:-1] + (base[part] + s.before), "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return shards.select("part", "shard").mapInArrow(common.frugal(rows), ROWS)
+            for part, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with opened(file) as f:
+                    s = Shard(f)
+                    got = [(d, at + base[part] + s.before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in s.documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    dealt = shards.select("part", "file").repartition(max(1, len(totals)))
+    return common.mapped(dealt, rows, ROWS)
