@@ -8,7 +8,12 @@ own layout with fresh check digits. So the same value becomes the same pseudonym
 different values stay different, nothing is looked up and nothing is shuffled. Sets of less than
 ``TINY`` values are shifted by a keyed amount that is never zero instead.
 
-Texts are searched whole; those without a digit or an ``@`` are passed on without a look.
+Texts are searched whole, in time linear in their length: every pattern is bounded, or begins where
+nothing before it could have. Those without a digit, an ``@`` or a name of a secret are passed on
+without a look.
+
+What only looks like a value stays: a secret has letters and digits, or capitals and small letters
+beyond a first capital; numbers after ``version`` or ``v`` are no date.
 
 Defined cases: null text stays null with no values; overlapping matches: the earliest, then the
 first kind below, wins; repeated rows are treated alike; an empty table gives no rows; other columns
@@ -29,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 ROUNDS, TINY = 8, 1000
 
 
@@ -84,11 +91,22 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+#: Fixed: first digits that issuers of cards have (from, to), and the lengths of their numbers.
+ISSUERS = (
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", (14, 16, 19)), ("3095", "3095", (14, 16, 19)), ("36", "36", (14, 16, 19)),
+    ("38", "39", (14, 16, 19)), ("3528", "3589", (16, 17, 18, 19)), ("6011", "6011", (16, 19)), ("644", "649", (16, 19)), ("65", "65", (16, 19)), ("62", "62", (16, 17, 18, 19)), ("2200", "2204", (16, 17, 18, 19)),
+    ("5018", "5018", (13, 14, 15, 16, 17, 18, 19)), ("5020", "5020", (13, 14, 15, 16, 17, 18, 19)), ("5038", "5038", (13, 14, 15, 16, 17, 18, 19)), ("5893", "5893", (13, 14, 15, 16, 17, 18, 19)),
+    ("6304", "6304", (13, 14, 15, 16, 17, 18, 19)), ("6759", "6759", (13, 14, 15, 16, 17, 18, 19)), ("6761", "6763", (13, 14, 15, 16, 17, 18, 19)),
+)
+
+
 def card(m: re.Match, key: bytes) -> str | None:
+    """The issuer's digits stay, the others are permuted."""
     d = re.sub(r"\D", "", m[0])
-    if not 13 <= len(d) <= 19 or d[0] == "0" or len(set(d)) == 1 or luhn(d[:-1]) != int(d[-1]):
+    own = next((len(lo) for lo, hi, lengths in ISSUERS if len(d) in lengths and lo <= d[: len(lo)] <= hi), None)
+    if own is None or luhn(d[:-1]) != int(d[-1]):
         return None
-    body = d[0] + relabel(d[1:-1], key, [string.digits] * (len(d) - 2))
+    body = d[:own] + relabel(d[own:-1], key, [string.digits] * (len(d) - own - 1))
     return laid_out(m[0], body + str(luhn(body)))
 
 
@@ -129,6 +147,8 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 
 def date(m: re.Match, key: bytes) -> str | None:
+    if (m["sep2"] or m["sep1"]) == "." and _of_version(m):
+        return None
     order = "ymd" if m["y1"] else "dmy" if m["sep2"] == "." or int(m["b"]) <= 12 < int(m["a"]) else "mdy"
     parts = (m["y1"], m["m1"], m["d1"]) if m["y1"] else (m["a"], m["b"], m["y2"])
     at = dict(zip(order, parts, strict=True))
@@ -151,8 +171,18 @@ def address(m: re.Match, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _of_version(m: re.Match) -> bool:
+    return bool(re.search(r"(?i)(?<![a-z])(?:version|ver|v|release|section|chapter)[ .:]{0,2}\Z", m.string[max(0, m.start() - 12) : m.start()]))
+
+
+def local_part(m: re.Match) -> str:
+    """What stands before an address's ``@``, 64 signs at most."""
+    return re.search(r"[A-Za-z0-9._%+\-]*\Z", m.string[max(0, m.start() - 64) : m.start()])[0]
+
+
 def email(m: re.Match, key: bytes) -> str | None:
-    return same_classes(m["local"], key) + m[0][len(m["local"]) :]
+    local = local_part(m)
+    return same_classes(local, key) + m[0] if local else None
 
 
 def cloud_key(m: re.Match, key: bytes) -> str | None:
@@ -161,13 +191,15 @@ def cloud_key(m: re.Match, key: bytes) -> str | None:
 
 def secret(m: re.Match, key: bytes) -> str | None:
     v = m["secret"]
+    if not (re.search(r"\d", v) and re.search("[A-Za-z]", v) or re.search("[a-z]", v[1:]) and re.search("[A-Z]", v[1:])) and not re.fullmatch(r"\d{8,}", v):
+        return None
     hexed = re.fullmatch(r"[0-9a-f]+", v) and re.search(r"\d", v)
     return m[0][: m.start("secret") - m.start()] + (relabel(v, key, ["0123456789abcdef"] * len(v)) if hexed else same_classes(v, key)) + m[0][m.end("secret") - m.start() :]
 
 
 #: (kind, pattern, maker) in order of precedence where matches begin together.
 KINDS: tuple[tuple[str, str, Callable[[re.Match, bytes], str | None]], ...] = (
-    ("email", r"(?P<local>[A-Za-z0-9._%+\-]+)@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+", email),
+    ("email", r"@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?", email),
     ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key))\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_\-]{8,})[\"']?", secret),
     ("cloud_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", cloud_key),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
@@ -188,7 +220,8 @@ def found(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         while m := pattern.search(text, at):
             new = make(m, hashlib.blake2b(kind.encode(), key=key).digest())
             if new is not None:
-                all_.append((m.start(), rank, m.end(), kind, new))
+                start = m.start() - len(local_part(m)) if kind == "email" else m.start()
+                all_.append((start, rank, m.end(), kind, new))
             at = m.end() if new is not None else m.start() + 1
     out, end = [], 0
     for start, _, stop, kind, new in sorted(all_):
@@ -208,10 +241,11 @@ def replaced(text: str, key: bytes) -> tuple[str, list[str]]:
     return "".join([*parts, text[at:]]) if parts else text, kinds
 
 
-def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with ``text`` under pseudonyms, and ``_kinds``, what was replaced in it."""
-    names = docs.columns
-    where = names.index("text")
+def pseudonymize(docs: DataFrame, key: bytes, kinds_as: str = "_kinds") -> DataFrame:
+    """``docs`` with ``text`` under pseudonyms, and a last column ``kinds_as``, what was replaced in it;
+    its name is lengthened by ``_`` where ``docs`` has a column of it."""
+    kinds_as = common.free_name(docs.columns, kinds_as)
+    where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,9 +258,9 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
                 kinds.append(own)
             columns = list(b.columns)
             columns[where] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], [*names, "_kinds"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], [*b.schema.names, kinds_as])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_kinds", T.ArrayType(T.StringType()))]))
+    return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(kinds_as, T.ArrayType(T.StringType()))]))
 
 
 def report(docs: DataFrame, key: bytes) -> DataFrame:

@@ -6,7 +6,10 @@ floating-point predictors, joins planes, and gives one row per page. ``store`` w
 8-bit grey pages. Both are narrow: no shuffle, a bounded batch at a time.
 
 Defined cases: null or empty text is a payload of 64 zero bytes; equal texts give equal bytes;
-broken files give one row with ``error`` and no samples; repeated rows are kept; an empty table
+what can't be read of a file gives one row with ``error`` and no samples, after the pages before it;
+sizes that a file can't hold are errors before anything is taken for them, and a page has
+``MOST_PAGE`` bytes at most; a file without a page has an error too; ``digest`` of a file with an
+error has null in place of a payload, and the error; repeated rows are kept; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -30,6 +33,9 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT =
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
+#: The most bytes of a page.
+MOST_PAGE = 1 << 30
+
 LINE = 64
 #: Rows of 64 samples in a strip and in a page of a stored payload.
 STRIP_ROWS, PAGE_ROWS = 1024, 1 << 18
@@ -54,9 +60,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MOST_PAGE) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         k = data[i]
         if k < 128:
             out += data[i + 1 : i + 2 + k]
@@ -109,10 +115,10 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MOST_PAGE) -> bytes:
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, width, last, out = first[:], 9, b"", []
-    acc = filled = 0
+    acc = filled = size = 0
     for byte in data:
         acc, filled = (acc << 8 | byte) & 0xFFFFFFFF, filled + 8
         if filled < width:
@@ -130,14 +136,28 @@ def lzw_decode(data: bytes) -> bytes:
             entry = table[code] if code < len(table) else last + last[:1]
             table.append(last + entry[:1])
         out.append(entry)
+        size += len(entry)
+        if size >= most:
+            break
         last = entry
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
     return b"".join(out)
 
 
+def inflate(data: bytes, most: int) -> bytes:
+    d = zlib.decompressobj()
+    out = d.decompress(data, most)
+    if not d.eof and len(out) < most:
+        raise ValueError("deflate data ends early")
+    return out
+
+
 ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 6), PACKBITS: packbits_encode}
-DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+#: Each takes the most bytes that a chunk can have: what decodes to more is cut, not held.
+DECODE = {NONE: lambda d, most: bytes(d[:most]), LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
+#: The most that one byte of each compression can decode to, by its format.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 
 
 def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip_rows: int = STRIP_ROWS, tile: int = 0) -> bytes:
@@ -191,11 +211,15 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         seen.add(at)
         n = struct.unpack_from(order + ("Q" if big else "H"), raw, at)[0]
         at += 8 if big else 2
+        if n * (20 if big else 12) > len(raw) - at:
+            raise ValueError(f"a directory of {n} entries in a file of {len(raw)} bytes")
         tags = {}
         for _ in range(n):
             tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), raw, at)
             inline = at + (12 if big else 8)
             if kind in FIELD:
+                if count > len(raw):
+                    raise ValueError(f"a field of {count} values in a file of {len(raw)} bytes")
                 form = order + (f"{count}s" if kind == 2 else FIELD[kind] * count)
                 where = inline if struct.calcsize(form) <= (8 if big else 4) else struct.unpack_from(order + ("Q" if big else "I"), raw, inline)[0]
                 tags[tag] = struct.unpack_from(form, raw, where)
@@ -222,6 +246,8 @@ def page(raw: bytes, order: str, tags: dict[int, tuple]) -> tuple[np.ndarray, di
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     wide, high, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, kind, compression, predictor = one(BITS, 1), one(FORMAT, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    if len(set(tags.get(BITS, (1,)))) > 1 or kind == 3 and bits < 32 or predictor == 3 and kind != 3:
+        raise ValueError(f"no samples of {tags.get(BITS)} bits, format {kind}, predictor {predictor}")
     if bits not in (8, 16, 32, 64) or compression not in DECODE or predictor not in (1, 2, 3):
         raise ValueError(f"no samples of {bits} bits, compression {compression}, predictor {predictor}")
     dtype = np.dtype(f"{order}{'uif'[kind - 1] if kind <= 3 else 'u'}{bits // 8}")
@@ -231,12 +257,18 @@ def page(raw: bytes, order: str, tags: dict[int, tuple]) -> tuple[np.ndarray, di
         ch, cw, offsets, counts = one(TILE_HEIGHT), one(TILE_WIDTH), tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         ch, cw, offsets, counts = min(one(ROWS, high), high), wide, tags[OFFSETS], tags[COUNTS]
+    if min(wide, high, cw, ch, samples, per) < 1 or samples % planes:
+        raise ValueError(f"no page of {wide} by {high} samples in chunks of {cw} by {ch}")
     across, down = -(-wide // cw), -(-high // ch)
+    size = high * wide * samples * dtype.itemsize
+    # chunks are at least the page: more than the file can decode to is a lie
+    if size > min(MOST_PAGE, GROWTH[compression] * (len(raw) + 1)) or len(offsets) != across * down * planes or len(counts) != len(offsets):
+        raise ValueError(f"a page of {size} bytes in {len(offsets)} chunks and {len(raw)} bytes")
     out = np.zeros((planes, high, wide, per), dtype)
     for i, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         plane, y, x = i // (across * down), i // across % down * ch, i % across * cw
         rows = ch if TILE_OFFSETS in tags else min(ch, high - y)
-        data = DECODE[compression](raw[at : at + n])
+        data = DECODE[compression](raw[at : at + n], rows * cw * per * dtype.itemsize)
         c = np.frombuffer(data, dtype, rows * cw * per).reshape(rows, cw, per)
         out[plane, y : y + rows, x : x + cw] = undo(c, predictor, order)[: high - y, : wide - x]
     joined = np.concatenate(list(out), axis=2) if planes > 1 else out[0]
@@ -263,7 +295,7 @@ def store(docs: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array([encode(t, page_rows) for t in texts[lo:hi]], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return common.mapped(rows, run, "doc_id long, n_bytes long, media binary")
 
 
 def read(media: DataFrame) -> DataFrame:
@@ -273,10 +305,12 @@ def read(media: DataFrame) -> DataFrame:
     def pages_of(raw: bytes) -> Iterator[tuple]:
         try:
             found = list(directories(raw))
+            if not found:
+                raise ValueError("no page")
             for i, (order, tags) in enumerate(found):
                 pixels, what = page(raw, order, tags)
                 yield (i, len(found), *what.values(), pixels.tobytes(), None)
-        except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
+        except Exception as e:  # noqa: BLE001  whatever a broken file does, it is its row's error
             yield (None,) * 9 + (f"{type(e).__name__}: {e}",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +328,7 @@ def read(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PAGES)
+    return common.mapped(media.select("doc_id", "n_bytes", "media"), run, PAGES)
 
 
 def features(data: np.ndarray) -> str:
@@ -309,18 +343,21 @@ def features(data: np.ndarray) -> str:
 
 def digest(pages: DataFrame) -> DataFrame:
     """One row per document of ``read``'s rows, whose pages follow each other in order."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int, error string"
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         for b in batches:
             rows = []
-            for key, n, size, sha, i, of, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, n, size, sha, i, of, raw, error in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 parts = [*(parts if i else []), raw or b""]
-                if i is None or i + 1 == of:
+                if error is not None:
+                    rows.append((key, n, None, None, None, size, sha, None, of, error))
+                    parts = []
+                elif i + 1 == of:
                     data = b"".join(parts)
-                    rows.append((key, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-LINE:]), size, sha, features(np.frombuffer(data, np.uint8)) if data else None, of))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+                    rows.append((key, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-LINE:]), size, sha, features(np.frombuffer(data, np.uint8)) if data else None, of, None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [x.split()[0] for x in schema.split(", ")])
 
-    return pages.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "pages", "pixels").mapInArrow(run, schema)
+    return common.mapped(pages.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "pages", "pixels", "error"), run, schema)

@@ -4,6 +4,8 @@ import hashlib
 import html
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -350,6 +352,46 @@ def test_media_digests(spark):
     assert tiff.digest(tiff.read(tiff.store(empty_documents(spark)))).count() == 0
 
 
+def test_mutated_files_are_rows(spark):
+    """Whatever happens to a file's bytes, there is a row for it, and never more samples than it can hold."""
+    rng = random.Random(8)
+    whole = [tiff.write([PIXELS, PIXELS[:5, :7, :1]], c, p, strip_rows=9, tile=t) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (0, 16)]
+    rows = []
+    for i in range(2000):
+        raw = bytearray(rng.choice(whole))
+        tail = len(raw) - 300
+        for _ in range(rng.randint(1, 4)):  # mostly in the directories, at the end
+            at = rng.randrange(tail, len(raw)) if rng.random() < 0.7 else rng.randrange(len(raw))
+            raw[at] = rng.choice((0, 1, 255, rng.randrange(256)))
+        rows.append((i, 1, raw[: rng.randrange(len(raw))] if rng.random() < 0.2 else raw))
+    media = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = tiff.read(media).collect()
+    assert {r.doc_id for r in got} == set(range(2000))
+    assert all((r.pixels is None) == (r.error is not None) for r in got) and 200 < sum(r.error is not None for r in got)
+    assert tiff.digest(tiff.read(media)).count() == 2000
+
+
+@pytest.mark.parametrize("tag, value", [(tiff.WIDTH, 0), (tiff.ROWS, 0), (tiff.WIDTH, 2**31 - 1), (tiff.HEIGHT, 2**31 - 1), (tiff.SAMPLES, 0), (tiff.SAMPLES, 60000)])
+def test_sizes_that_a_file_cannot_hold_are_errors(tag, value):
+    raw = bytearray(tiff.write([PIXELS], tiff.DEFLATE, 1))
+    at = raw.index(struct.pack("<HHI", tag, 4, 1))
+    struct.pack_into("<I", raw, at + 8, value)
+    with pytest.raises(ValueError):
+        tiff.page(bytes(raw), *next(tiff.directories(bytes(raw))))
+
+
+def test_media_digests_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in tiff.digest(tiff.read(tiff.store(docs))).collect()}
+    for d, t in docs.collect():
+        data = tiff.payload(t.encode())
+        values = np.frombuffer(data, np.uint8).astype(float)
+        media = tiff.encode(t.encode())
+        hist = ",".join(f"{np.mean((values >= 32 * k) & (values < 32 * k + 32)):.4f}" for k in range(8))
+        assert got[d].feature == f"mean={values.mean():.4f};std={values.std():.4f};hist={hist}"
+        assert (got[d].media_bytes, got[d].media_sha256, got[d].error) == (len(media), hashlib.sha256(media).hexdigest(), None)
+
+
 def test_broken_media_is_a_row_with_an_error(spark):
     media = spark.createDataFrame([(1, 3, bytearray(b"II*\0\xff\xff\0\0")), (2, 0, None), (3, 1, bytearray(tiff.encode(b"x")[:-30]))], "doc_id long, n_bytes long, media binary")
     got = tiff.read(media).collect()
@@ -411,10 +453,56 @@ def test_values_side_by_side():
 
 
 def test_what_fails_its_check_stays():
-    for text in ("4041894974608796", "2023-02-29", "300.1.2.3", "000-12-3456", "DE00 3704 0044 0532 0130 00", "version 1.2.3", "no numbers", "page 12 of 345"):
+    for text in ("4041894974608796", "2023-02-29", "300.1.2.3", "000-12-3456", "DE00 3704 0044 0532 0130 00", "version 1.2.3", "no numbers", "page 12 of 345", "secret: something about nature", "Version 1.2.2020", "7536784127813050", "a@b", "@x.example", "token = Something"):
         assert pii.replaced(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize("run", ["a", "a1", "1", "1.", "a.", "token", "@", "a@", "a@b.", "AB12 ", "1-", "password ", "+1 "])
+def test_long_runs_take_linear_time(run):
+    at = time.process_time()
+    pii.replaced(run * (1_000_000 // len(run)), KEY)
+    assert time.process_time() - at < 20
+
+
+def brute_found(text):
+    """Kinds and values by plain checks of every substring between signs that can't be part of one."""
+    out = []
+    for m in re.finditer(r"[^\s,#$&*!]+", text):
+        w = m[0].rstrip("%.|")
+        if re.fullmatch(r"[\w.%+\-]+@(\w+\.)+\w+", w, re.A):
+            out.append(("email", w))
+        elif re.fullmatch(r"\d{16}", w) and w[0] == "4" and sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(w)) % 10 == 0:
+            out.append(("card", w))
+        elif len(w.split(".")) == 4 and all(x.isdigit() and str(int(x)) == x and int(x) < 256 for x in w.split(".")):
+            out.append(("ip", w))
+    out += [("phone", x) for x in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", text)]
+    return sorted(out + [("secret", x) for x in re.findall(r'token = "[0-9a-f]{40}"', text)])
+
+
+def test_values_against_brute_force(spark):
+    """Of the table: what is found, what is left of it, and that equal values stay equal everywhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in pii.pseudonymize(docs, KEY).collect()}
+    new: dict[tuple[str, str], set[str]] = {}
+    n = 0
+    for d, text in docs.collect():
+        want = brute_found(text)
+        found = [(kind, text[x:y], by) for x, y, kind, by in pii.found(text, KEY)]
+        assert sorted((k, v) for k, v, _ in found) == want, d
+        assert got[d]._kinds == [k for k, *_ in found] and all(v not in got[d].text for _, v in want)
+        for kind, v, by in found:
+            new.setdefault((kind, v), set()).add(by)
+        n += len(want)
+        if not want:
+            assert got[d].text == text
+    assert n > 50 and all(len(x) == 1 for x in new.values()) and len(set().union(*new.values())) == len(new)
+
+
+def test_clashing_names_of_kinds(spark):
+    docs = spark.createDataFrame([("a@b.example", 1)], "text string, _kinds long")
+    assert [tuple(r) for r in pii.pseudonymize(docs, KEY).select("_kinds", "_kinds_").collect()] == [(1, ["email"])]
+
+
 def test_report(spark):
     docs = odd_documents(spark).select("doc_id", "text").unionAll(spark.createDataFrame([(20, "mail a.b1@x.example on 2024-01-01 to a.b1@x.example")], "doc_id long, text string"))
     got = pii.report(docs, KEY).collect()
