@@ -14,6 +14,8 @@ The model is fitted on ``SAMPLE`` labelled documents at most, those whose hashed
 counts are gathered as hashed tables of fixed size, so neither texts nor what grows with the corpus
 comes to the driver. Prediction needs no shuffle.
 
+A language of which none of the ``SAMPLE`` documents is can't be predicted.
+
 Defined cases: null text, or text without a letter, gives ``und`` with score 0; so does everything
 if nothing could be learned; a null doc_id is not held out and not learned from; words of a script
 that no learned language uses are in no span and count for none, but their letters lower the score;
@@ -119,7 +121,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([kind] * len(at), pa.int32()), pa.array(at), pa.array(total[at])], ["lang", "kind", "at", "n"])
 
-    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").mapInArrow(common.frugal(count), "lang string, kind int, at long, n long")
+    rows = common.mapped(labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang"), count, "lang string, kind int, at long, n long")
     table = rows.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()  # at most languages times the tables' sizes
     langs = sorted(set(table.column("lang").to_pylist()))
     own = np.array([langs.index(x) for x in table.column("lang").to_pylist()], np.int64)
@@ -152,36 +154,66 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
+class Labeller:
+    """Labels texts, keeping what it scored: a word is scored once, however many texts have it. Past
+    ``kept`` words it begins anew, which changes no answer."""
+
+    def __init__(self, model: Model, kept: int = 100_000):
+        self._model, self._kept = model, kept
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self._scores = np.zeros((0, len(self._model.langs)))
+        self._size, self._known = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _learn(self, words: list[str]) -> None:
+        """Number and score words that are new."""
+        if len(self._number) + len(words) > self._kept:
+            self._forget()
+        self._number.update(zip(words, range(len(self._number), len(self._number) + len(words)), strict=True))
+        model = self._model
+        known = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
+        scores = model.scores(words) if model.langs else np.zeros((len(words), 0))
+        self._size = np.concatenate([self._size, np.fromiter(map(len, words), np.int64, len(words)) * known])
+        self._scores = np.concatenate([self._scores, scores])
+        self._known = np.concatenate([self._known, known & ~np.isnan(scores).any(axis=1)])
+
+    def label(self, texts: list[str]) -> Iterator[tuple[str, float, list[tuple[int, str]]]]:
+        """(language, score, spans) of each text; spans are (words, language) in order."""
+        langs = self._model.langs
+        split = [WORD.findall(t.lower()) for t in texts]
+        distinct = set().union(*split)
+        if len(self._number) + len(distinct) > self._kept:
+            self._forget()
+        if new := [w for w in distinct if w not in self._number]:
+            self._learn(new)
+        number, all_known = self._number, bool(self._known.all())
+        for words in split:
+            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            letters = self._size[ids].sum()
+            if not all_known:
+                ids = ids[self._known[ids]]
+            if not len(ids) or not langs:
+                yield "und", 0.0, []
+                continue
+            path = viterbi(self._scores[ids])
+            weight = np.bincount(path, self._size[ids], len(langs))
+            top = int(weight.argmax())
+            cut = np.flatnonzero(np.diff(path)) + 1
+            spans = [(int(y - x), langs[path[x]]) for x, y in zip([0, *cut], [*cut, len(path)], strict=True)]
+            yield langs[top], float(weight[top] / letters), spans
+
+
 def label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[tuple[int, str]]]]:
-    """(language, score, spans) of each text; spans are (words, language) in order."""
-    split = [WORD.findall(t.lower()) for t in texts]
-    distinct = list(set().union(*split))
-    number = dict(zip(distinct, range(len(distinct)), strict=True))
-    known = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
-    scores = model.scores(distinct) if distinct and model.langs else np.zeros((len(distinct), 0))
-    size = np.fromiter(map(len, distinct), np.int64, len(distinct)) * known
-    if model.langs:
-        known &= ~np.isnan(scores).any(axis=1)
-    for words in split:
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        letters = size[ids].sum()
-        if not known.all():
-            ids = ids[known[ids]]
-        if not len(ids) or not model.langs:
-            yield "und", 0.0, []
-            continue
-        path = viterbi(scores[ids])
-        weight = np.bincount(path, size[ids], len(model.langs))
-        top = int(weight.argmax())
-        cut = np.flatnonzero(np.diff(path)) + 1
-        spans = [(int(y - x), model.langs[path[x]]) for x, y in zip([0, *cut], [*cut, len(path)], strict=True)]
-        yield model.langs[top], float(weight[top] / letters), spans
-
-
-def labelled(texts: pa.Array, model: Model) -> Iterator[tuple[str, float, list[tuple[int, str]]]]:
-    """``label`` of an Arrow array, a part of bounded size at a time; null is empty."""
+    """(language, score, spans) of each text."""
+    yield from Labeller(model).label(texts)
+
+
+def labelled(texts: pa.Array, labeller: Labeller) -> Iterator[tuple[str, float, list[tuple[int, str]]]]:
+    """Labels of an Arrow array, a part of bounded size at a time; null is empty."""
     for lo, hi in common.slices(texts, 1_000_000):
-        yield from label([t or "" for t in texts[lo:hi].to_pylist()], model)
+        yield from labeller.label([t or "" for t in texts[lo:hi].to_pylist()])
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
@@ -189,25 +221,27 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     spans as (words, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model)
         for b in batches:
-            got = list(labelled(b.column(2), model))
+            got = list(labelled(b.column(2), labeller))
             out = [b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             if spans:
                 out.append(pa.array([[{"words": n, "lang": x} for n, x in g[2]] for g in got], pa.list_(pa.struct([("words", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang_pred", "score", "spans"][: len(out)])
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<words: long, lang: string>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(common.frugal(run), schema)
+    return common.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), run, schema)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """``docs`` as they are, without those in no learned language or with a score below ``least``.
     Texts are judged beside their row, so nothing is joined and every column stays."""
-    names = docs.columns
+    where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model)
         for b in batches:
-            keep = [lang != "und" and score >= least for lang, score, _ in labelled(b.column(names.index("text")), model)]
+            keep = [lang != "und" and score >= least for lang, score, _ in labelled(b.column(where), labeller)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(common.frugal(run), docs.schema)
+    return common.mapped(docs, run, docs.schema)

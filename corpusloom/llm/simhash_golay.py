@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(common.frugal(run), "doc_id long, fp long")
+    return common.mapped(rows, run, "doc_id long, fp long")
 
 
 def remainder(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def links(fps: DataFrame, crowded: int = 32) -> DataFrame:
             row, key = join_keys(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["k", "fp"])
 
-    keyed = common.stored(fps.select("fp").mapInArrow(common.frugal(emit), "k long, fp long"), "golay_keys", "lz4")
+    keyed = common.stored(common.mapped(fps.select("fp"), emit, "k long, fp long"), "golay_keys", "lz4")
     shared = common.stored(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "golay_shared", "lz4")
     few = keyed.join(shared.where(F.col("n") <= crowded).select("k"), "k")
     pairs = few.select("k", F.col("fp").alias("a")).join(few.select("k", F.col("fp").alias("b")), "k").where("a < b")

@@ -82,7 +82,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["u", "t"])
 
     some = pages.where("url is not null and html is not null").select("url", "html").where(F.col("url").contains("://"))
-    edges = some.mapInArrow(run, "u string, t string").select(node(F.col("u")).alias("a"), node(F.col("t")).alias("b"))
+    edges = common.mapped(some, run, "u string, t string").select(node(F.col("u")).alias("a"), node(F.col("t")).alias("b"))
     return edges.where("a <> b")
 
 
