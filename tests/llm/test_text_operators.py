@@ -240,6 +240,68 @@ def test_short_and_split_repeats_leave_open_text_but_copies_of_a_page_do_not(spa
     assert got == {i: f"page {'abc'[i]} alone" for i in range(3)} | {10 + i: "the same page three times over under three ids short" for i in range(3)}
 
 
+def brute_boilerplate(pages):
+    """{page: {(at, n)}} by comparing every place of a host's page with every place of its others. pages:
+    {page: (host, tokens)}."""
+    R, P, L, D = html_text.RUN, html_text.PAGES, html_text.LONG, html_text.DEPTH
+    out = {}
+    for p, (h, ws) in pages.items():
+        others = [w for q, (g, w) in pages.items() if q != p and g == h]
+        for i in range(len(ws) - R + 1):
+            same = [max((next((n for n in range(min(len(ws) - i, len(w) - j, D)) if ws[i + n] != w[j + n]), min(len(ws) - i, len(w) - j, D)) for j in range(len(w))), default=0) for w in others]
+            shared, n = max(same, default=0), 1 + sum(x >= R for x in same)
+            if n >= P or shared >= L:
+                out.setdefault(p, set()).add((i, max(shared, R)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffix_array_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    notice = [f"n{i}" for i in range(40)]
+    rows = []
+    for i in range(24):
+        words = [rng.choice("ab") for _ in range(rng.randint(0, 30))] + rng.choice(([], notice[rng.randint(0, 30) :], ["na"] * rng.randint(1, 60))) + [f"u{i}{rng.random()}" for _ in range(rng.randint(0, 9))]
+        rows.append((i, f"http://h{i % 2}.example/{i}", " ".join(words)))
+    rows += [(100, rows[3][1], rows[3][2]), (101, "http://h0.example/", "alone")]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")  # groups of equal prefixes lie over several ranges
+        parsed = html_text.parse(spark.createDataFrame(rows, "page_id long, url string, html string"))
+        page_of = {r.page_id: r.page for r in parsed.collect()}
+        got = {r.page: {(x.at, x.n) for x in r.repeats} for r in html_text.boilerplate(parsed, parsed.select("host").distinct()).collect() if r.repeats}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = brute_boilerplate({page_of[i]: (i % 2 if i < 100 else 0, text.split()) for i, _, text in rows if i != 100})
+    assert got == want and any(n > html_text.RUN for x in want.values() for _, n in x)
+
+
+def test_long_repeats_on_two_pages_and_unique_runs(spark):
+    notice = "this long notice stands on two pages of the host and on no third one of them"
+    rows = [(1, f"<p>{notice}</p><p>first page alone</p>"), (2, f"<p>before it {notice} after it</p><p>second page alone</p>"), (3, "<p>this long notice stands on third pages</p>")]
+    docs = spark.createDataFrame([(i, "http://h.example/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(docs).collect()}
+    assert got == {1: "first page alone", 2: "before it after it second page alone", 3: "this long notice stands on third pages"}
+
+
+def test_attributes_are_read_in_order():
+    for tag in ('p title="the hidden truth"', 'a href="/hidden-valley"', 'p data-id="social"', 'div class="social-science"', "p title='class=ad'", "p data-hidden"):
+        assert text_of(f"<article><{tag}>kept</{tag.split()[0]}></article>") == "kept", tag
+    for tag in ("p hidden", 'p style="x; display : none"', "p aria-hidden=true", 'p title="a" class=ad', 'p CLASS="ad"'):
+        assert text_of(f"<article>a<{tag}>gone</{tag.split()[0]}></article>") == "a", tag
+    assert text_of('<main class="content no-sidebar">a</main>') == text_of('<article class="post related-none tags-x">a</article>') == "a"
+    assert text_of('<article><p class="x>text</p></article>') == "text"
+
+
+def test_very_long_pages_and_odd_rows(spark):
+    body = " ".join(f"word{i % 9973}" for i in range(200_000))
+    rows = [(1, "http://h.example/", f"<article>{body}</article>"), (2, "http://h.example/", f"<p>{body}</p>"), (None, None, None), (3, "", "<p>a"), (3, "", "<p>a")]
+    got = html_text.extract(spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host long, page string")).collect()
+    assert sorted(((r.page_id, r.text) for r in got), key=repr) == sorted([(1, body), (2, body), (None, ""), (3, "a"), (3, "a")], key=repr)
+
+
 # -- languages
 
 
