@@ -10,9 +10,10 @@ kept where the next shortest list has the position that its own place asks for,
 window that lacks a term in the block costs one look at its terms. Proximity search takes the
 rarest term's positions and asks for every other term within a slop of it.
 
-The windows are sent to the executors in parts of at most ``PART_WORDS`` words. All parts go over
-the same stored index; with more than one part a document's partial results meet in one shuffle of
-hit ranges.
+The windows are sent to the executors in parts of at most ``PART_WORDS`` words, one part after the
+other, so that neither the driver nor a task holds more than one. All parts go over the same stored
+index; with more than one part a document's partial results meet in one shuffle of hit ranges. A
+task holds one block at a time, as views of the row it got.
 
 Defined cases: null text has no words; a null item text has no window; items of one id count as
 one item, and so do all without an id, which the digest leaves out; repeated doc_ids are judged row by row where the items fit in one part, and are told
@@ -38,7 +39,8 @@ WINDOW = 10
 #: Bound of what is broadcast at once.
 PART_WORDS = 2_000_000
 
-INDEX = "block string, doc_ids array<long>, bounds binary, terms binary, lists binary, positions binary"
+INDEX = "block string, doc_ids array<long>, texts array<long>, bounds binary, terms binary, lists binary, positions binary"
+_INDEX = ("block", "doc_ids", "texts", "bounds", "terms", "lists", "positions")
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -46,7 +48,7 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def build(docs: DataFrame, block_bytes: int = 3_000_000) -> DataFrame:
+def build(docs: DataFrame, block_bytes: int = 1_000_000) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text)."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,32 +56,39 @@ def build(docs: DataFrame, block_bytes: int = 3_000_000) -> DataFrame:
 
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo, hi in common.slices(b.column(1), block_bytes):
-                keys = b.column(0)[lo:hi].to_pylist()
-                split = [words(t) for t in b.column(1)[lo:hi].to_pylist()]
+            for lo, hi in common.slices(b.column(2), block_bytes):
+                split = [words(t.as_py()) for t in b.column(2)[lo:hi]]
                 flat = [w for ws in split for w in ws]
+                bounds = np.cumsum([0, *map(len, split)]).astype("<u4")
+                del split
                 terms = sorted(set(flat))
                 number = dict(zip(terms, range(len(terms)), strict=True))
                 ids = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+                del flat, number
                 positions = np.argsort(ids, kind="stable").astype("<u4")
                 lists = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(terms)))]).astype("<u4")
-                bounds = np.cumsum([0, *map(len, split)]).astype("<u4")
-                columns = ([f"{part}-{seq}"], [keys], [bounds.tobytes()], [b" ".join(terms)], [lists.tobytes()], [positions.tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4), strict=True)], ["block", "doc_ids", "bounds", "terms", "lists", "positions"])
+                whole = (b" ".join(terms), lists, positions)
+                del terms, ids
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), *[_listed(b.column(k)[lo:hi]) for k in (0, 1)], *[pa.array([memoryview(x)], pa.binary()) for x in (bounds, *whole)]], _INDEX)
                 seq += 1
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return common.stored(rows.mapInArrow(common.frugal(index), INDEX), "postings", "lz4")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return common.stored_large(common.mapped(rows, index, INDEX), "postings")
+
+
+def _listed(values: pa.Array) -> pa.ListArray:
+    """One list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 class Block:
-    """One row of the index, with lists as views."""
+    """One row of the index, with lists as views of a batch's buffers."""
 
-    def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
-        self.bounds, self.lists, self.positions = (np.frombuffer(row[k], "<u4") for k in ("bounds", "lists", "positions"))
-        terms = row["terms"].split(b" ") if row["terms"] else []
-        self._number = dict(zip(terms, range(len(terms)), strict=True))
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.name, self.doc_ids, self.texts = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].values
+        self.bounds, self.lists, self.positions = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u4") for k in (3, 5, 6))
+        terms = batch.column(4)[i].as_py()
+        self._number = dict(zip(terms.split(b" "), range(len(self.lists)), strict=False)) if terms else {}
 
     def numbers(self, terms: list[bytes]) -> np.ndarray:
         """The block's number of each term, -1 where it has none."""
@@ -119,6 +128,12 @@ class Block:
         return found
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Block(b, i)
+
+
 class Windows:
     """Windows of test items as rows of term numbers, by window length."""
 
@@ -152,11 +167,11 @@ def hits(block: Block, windows: Windows) -> tuple[np.ndarray, dict[int, set[str
     return np.cumsum(edge[:-1]) > 0, items
 
 
-def _result(keys: list, n_words: list[int], n_hit: list[int], items: list[list[str | None]]) -> pa.RecordBatch:
+def _result(keys: pa.Array, texts: pa.Array, n_words: np.ndarray, n_hit: np.ndarray, items: list) -> pa.RecordBatch:
     sha = [hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in items]
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        [keys, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(np.asarray(n_hit) > 0), texts],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_key"],
     )
 
 
@@ -173,65 +188,66 @@ def parts_of(items: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tu
     yield part
 
 
-def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
-    """Per indexed document: its words, those hit by any window, and the items that occur in it."""
+def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS, text_key: bool = False) -> DataFrame:
+    """Per indexed document: its words, those hit by any window, and the items that occur in it. With
+    ``text_key`` also the xxhash64 of its text, which tells rows of one doc_id apart."""
 
-    def judge(part: list[tuple[str, bytes]]):
+    def judge(part: list[tuple[str | None, bytes]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(part)
-            for b in batches:
-                for row in b.to_pylist():
-                    block = Block(row)
-                    hit, items = hits(block, windows)
-                    sums = np.concatenate([[0], np.cumsum(hit)])[block.bounds]
-                    yield _result(row["doc_ids"], np.diff(block.bounds.astype(np.int64)).tolist(), np.diff(sums).tolist(), [list(items.get(d, ())) for d in range(len(row["doc_ids"]))])
+            for block in blocks(batches):
+                hit, items = hits(block, windows)
+                sums = np.concatenate([[0], np.cumsum(hit)])[block.bounds]
+                yield _result(block.doc_ids, block.texts, np.diff(block.bounds.astype(np.int64)), np.diff(sums), [items.get(d, ()) for d in range(len(block.doc_ids))])
 
         return run
 
-    def partial(part: list[tuple[str, bytes]]):
+    def partial(part: list[tuple[str | None, bytes]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(part)
-            for b in batches:
-                for row in b.to_pylist():
-                    block = Block(row)
-                    hit, items = hits(block, windows)
-                    step = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    lo, hi = step[::2], step[1::2]
-                    # a range of hit words may run over documents that follow each other
-                    ranges: dict[int, list[list[int]]] = {}
-                    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                        for d in range(int(block.document_of(np.array([x]))[0]), int(block.document_of(np.array([y - 1]))[0]) + 1):
-                            s, e = int(block.bounds[d]), int(block.bounds[d + 1])
-                            if max(x, s) < min(y, e):
-                                ranges.setdefault(d, []).append([max(x, s) - s, min(y, e) - s])
-                    n = len(row["doc_ids"])
-                    yield pa.RecordBatch.from_pydict({"block": [row["block"]] * n, "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": np.diff(block.bounds.astype(np.int64)), "ranges": pa.array([ranges.get(d, []) for d in range(n)], pa.list_(pa.list_(pa.int32()))), "items": pa.array([list(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))})
+            for block in blocks(batches):
+                hit, items = hits(block, windows)
+                step = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                # a range of hit words may run over documents that follow each other
+                ranges: dict[int, list[list[int]]] = {}
+                for x, y in zip(step[::2].tolist(), step[1::2].tolist(), strict=True):
+                    for d in range(int(block.document_of(np.array([x]))[0]), int(block.document_of(np.array([y - 1]))[0]) + 1):
+                        s, e = int(block.bounds[d]), int(block.bounds[d + 1])
+                        if max(x, s) < min(y, e):
+                            ranges.setdefault(d, []).append([max(x, s) - s, min(y, e) - s])
+                n = len(block.doc_ids)
+                columns = {"block": pa.array([block.name] * n), "place": pa.array(range(n), pa.int32()), "doc_id": block.doc_ids, "text_key": block.texts, "n_words": pa.array(np.diff(block.bounds.astype(np.int64)))}
+                columns |= {"ranges": pa.array([ranges.get(d, []) for d in range(n)], pa.list_(pa.list_(pa.int32()))), "items": pa.array([list(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_pydict(columns)
 
         return run
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, n_words, ranges, items = (c.to_pylist() for c in b.columns)
+            ranges, items = b.column(3).to_pylist(), b.column(4).to_pylist()
             n_hit = []
             for lists in ranges:
                 total = end = 0
                 for x, y in sorted((x, y) for one in lists for x, y in one):
                     total, end = total + max(0, y - max(x, end)), max(end, y)
                 n_hit.append(total)
-            yield _result(keys, n_words, n_hit, [list({x for one in own for x in one}) for own in items])
+            yield _result(b.column(0), b.column(1), b.column(2).to_numpy(), np.array(n_hit, np.int64), [{x for one in own for x in one} for own in items])
 
+    result = RESULT + ", text_key long"
     parts = parts_of(benchmark, part_words)
     part, following = next(parts), next(parts, None)
     if following is None:
-        return index.mapInArrow(common.frugal(judge(part)), RESULT)
+        out = common.mapped(index, judge(part), result)
+        return out if text_key else out.drop("text_key")
     some = None
     while part is not None:
-        one = index.mapInArrow(common.frugal(partial(part)), "block string, place int, doc_id long, n_words long, ranges array<array<int>>, items array<string>")
+        one = common.mapped(index, partial(part), "block string, place int, doc_id long, text_key long, n_words long, ranges array<array<int>>, items array<string>")
         one = common.stored(one, "benchmark_part")
         some = one if some is None else some.unionAll(one)
         part, following = following, next(parts, None)
-    met = some.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
-    return met.select("doc_id", "n_words", "ranges", "items").mapInArrow(join, RESULT)
+    met = some.groupBy("block", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "n_words")], F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
+    out = common.mapped(met.select("doc_id", "text_key", "n_words", "ranges", "items"), join, result)
+    return out if text_key else out.drop("text_key")
 
 
 def matches(index: DataFrame, queries: list[tuple[str, str]], slop: int | None = None) -> DataFrame:
@@ -241,18 +257,16 @@ def matches(index: DataFrame, queries: list[tuple[str, str]], slop: int | None =
     split = [(q, words(t.encode())) for q, t in queries]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block(row)
-                for q, ws in split:
-                    terms = block.numbers(ws)
-                    if not len(terms) or (terms < 0).any():
-                        continue
-                    at = block.phrase(terms) if slop is None else block.near(np.unique(terms), slop)
-                    doc = block.document_of(at)
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * len(at), pa.string()), "doc_id": pa.array([row["doc_ids"][d] for d in doc.tolist()], pa.int64()), "position": pa.array(at - block.bounds[doc], pa.int64())})
-
-    return index.mapInArrow(run, "query_id string, doc_id long, position long")
+        for block in blocks(batches):
+            for q, ws in split:
+                terms = block.numbers(ws)
+                if not len(terms) or (terms < 0).any():
+                    continue
+                at = block.phrase(terms) if slop is None else block.near(np.unique(terms), slop)
+                doc = block.document_of(at)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([q] * len(at), pa.string()), "doc_id": block.doc_ids.take(pa.array(doc)), "position": pa.array(at - block.bounds[doc], pa.int64())})
+
+    return common.mapped(index, run, "query_id string, doc_id long, position long")
 
 
 #: The same result in DuckDB: windows of every document are compared with the items' windows.
