@@ -21,6 +21,8 @@ __all__ = ["ascii_lower", "free_name", "frugal", "mapped", "sized", "slices", "s
 #: Bytes of rows that a Python worker is handed at once; one larger row is handed alone.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The GNU C library's M_ARENA_MAX, M_MMAP_THRESHOLD and M_TRIM_THRESHOLD, and what they are set to.
+_MALLOPT = ((-8, 1), (-3, 1 << 20), (-1, 1 << 20))
 #: Parquet's groups of rows for tables whose cells have megabytes: writers and readers hold one group.
 LARGE_CELLS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
@@ -65,17 +67,23 @@ def free_name(taken: list[str], name: str) -> str:
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the Python worker gives back the memory that it took for the partition.
-    Workers stay for later tasks, also of stages that need their memory elsewhere."""
+    """``run`` in a Python worker that keeps no more memory than it uses: freed blocks go back to the
+    system at once, and all that is left after the partition. Workers stay for later tasks, also of
+    stages that need their memory elsewhere."""
 
     @wraps(run)
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such calls
+            for option, value in _MALLOPT:
+                libc.mallopt(option, value)
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            with contextlib.suppress(AttributeError, OSError):
+                libc.malloc_trim(0)
 
     return tidy
 

@@ -11,10 +11,14 @@ import pyarrow.compute as pc
 
 #: Fixed: the id that ends a document.
 END_ID = 1
+#: Bytes of texts that are best encoded together: what is held meanwhile is some twenty times that.
+TEXT_BYTES = 2 << 20
 #: Signs that end a word as a token of their own.
 _TAILS = (",", ".")
 #: First bytes of the combining marks that ASCII letters can be composed with (U+0300 to U+037F).
 _MARKS = (b"\xcc", b"\xcd")
+#: Words that are encoded as one text.
+_AT_ONCE = 4096
 #: Fixed by the vocabulary: how it cuts a lower-case ASCII word into runs.
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -70,7 +74,11 @@ class WordTokenizer:
         return [np.array(e.ids, np.uint32) for e in self._tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def _together(self, words: list[str], runs: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids on end, count of each) of words that are cut into so many runs, from one encoding."""
+        """(ids on end, count of each) of words that are cut into so many runs, from one encoding of a few
+        thousand each, as the library's own results take far more room than ids."""
+        if len(words) > _AT_ONCE:
+            parts = [self._together(words[i : i + _AT_ONCE], runs[i : i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE)]
+            return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         ids = np.array(self._tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self._last[ids]) + 1
         if len(ends) != sum(runs):  # a letter that turns into more than letters
