@@ -17,7 +17,11 @@ How the join finds the second kind without pairs and in linear space:
   as much as its words.
 * Two lines an edit apart share their first or last half. Only lines that share a half with another
   distinct line emit variants, and only at places in the other half.
-* The edit distance of every line to be dropped and its earliest neighbour is verified on the words.
+* The edit distance of every line and the earliest of each of its groups is verified on the words. Lines
+  that share a 64-bit key by chance fail this, whoever is earliest; the lines of such keys, a handful in
+  10^12, go through the join again by keys of 128 bits, so that no chance meeting hides a neighbour.
+* Equal lines are equal in two 64-bit hashes of their words: of 10^13 lines, two others meet in both with
+  a chance below 10^-12.
 
 Only keys are shuffled until the last join, which takes each document's dropped line numbers to its
 text. A line of very many documents meets itself in partial minima and in a join that can be split.
@@ -36,6 +40,8 @@ from . import common
 
 #: One edit in five words is a similarity of 0.8; the bound is one edit for longer lines too.
 MIN_WORDS = 5
+#: Of a variant's key; tests take fewer, so that keys meet by chance.
+KEY_BITS = 64
 #: Rows of a checked broadcast: beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 _BLANK = " \t\r\f"
@@ -122,24 +128,31 @@ def candidates(docs: DataFrame, lines: DataFrame, again: DataFrame) -> DataFrame
     return met.withColumns({"p": running(F.transform("w", lambda x, j: F.xxhash64(x, j))), "q": running(F.transform("w", lambda x, j: F.xxhash64(x, n - j)))})
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """Rows (place, v): hashed deletion variants of stored candidate lines."""
+def variants(lines: DataFrame, wide: bool = False) -> DataFrame:
+    """Rows (place, v): hashed deletion variants of stored candidate lines; ``wide`` adds c, a second
+    hash."""
     n = F.col("n")
 
+    def key(*parts: Column) -> Column:
+        v = F.xxhash64(*parts) if KEY_BITS == 64 else F.xxhash64(*parts).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+        return F.struct(v.alias("v"), F.xxhash64(F.lit(7), *parts).alias("c")) if wide else v
+
     def at(lo: Column, end: Column, gap: bool) -> Column:
         """Keys of variants at places lo .. end - 1."""
         count = F.greatest(end - lo, F.lit(0))
         both = F.arrays_zip(F.slice("p", lo + 1, count).alias("p"), F.slice("q", lo + (1 if gap else 2), count).alias("q"))
         total = F.element_at("q", -1)
-        return F.transform(both, lambda x, i: F.xxhash64(lo + i, n - (0 if gap else 1), x["p"], x["q"].bitwiseXOR(total)))
+        return F.transform(both, lambda x, i: key(lo + i, n - (0 if gap else 1), x["p"], x["q"].bitwiseXOR(total)))
 
     def of(m: Column, half: int, shorter: bool) -> Column:
         left = F.floor(m / 2).cast("int")
         lo, end = (left, n) if half == 0 else (F.lit(0), n - (m - left))
         return at(lo, end, False) if shorter else F.concat(at(lo, end, False), at(lo, end + 1, True))
 
-    none = F.array().cast("array<long>")
+    none = F.array().cast("array<struct<v: bigint, c: bigint>>" if wide else "array<long>")
     parts = [F.when(F.array_contains("halves", i), of(n if i < 2 else n - 1, i % 2, i >= 2)).otherwise(none) for i in range(4)]
+    if wide:
+        return lines.select(*_POS, F.explode(F.concat(*parts)).alias("x")).select(*_POS, "x.v", "x.c").distinct()
     return lines.select(*_POS, F.explode(F.array_distinct(F.concat(*parts))).alias("v"))
 
 
@@ -151,15 +164,22 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(d == 0, rest(a, 1) == rest(b, 1)).when(d == 1, rest(a, 1) == rest(b, 0)).when(d == -1, rest(a, 0) == rest(b, 1)).otherwise(False)
 
 
-def near(lines: DataFrame) -> DataFrame:
+def near(lines: DataFrame, wide: bool = False) -> DataFrame:
     """Places of candidate lines that have an earlier one an edit apart."""
-    pos = F.struct(*_POS)
-    v = common.stored(variants(lines), "variants")
-    groups = v.groupBy("v").agg(F.min(pos).alias("kept"), F.max(pos).alias("last")).where("kept <> last").select("v", "kept")
-    pairs = v.join(groups, "v").select(pos.alias("own"), "kept").where("own <> kept").groupBy("own").agg(F.min("kept").alias("kept"))
+    pos, key = F.struct(*_POS), ["v", "c"] if wide else ["v"]
+    v = common.stored(variants(lines, wide), "variants")
+    groups = v.groupBy(*key).agg(F.min(pos).alias("kept"), F.max(pos).alias("last")).where("kept <> last").drop("last")
+    pairs = v.join(groups, key).select(pos.alias("own"), "v", "kept").where("own <> kept")
     own = lines.select(pos.alias("own"), "w")
     both = pairs.join(own, "own").withColumnRenamed("w", "w1").join(own.withColumnsRenamed({"own": "kept", "w": "w2"}), "kept")
-    return both.where(one_edit(F.col("w1"), F.col("w2"))).select("own.*")
+    seen = common.stored(both.select("own", "v", one_edit(F.col("w1"), F.col("w2")).alias("near")), "verified")
+    found = seen.where("near").select("own.*").distinct()
+    chance = seen.where("not near").select("v").distinct()
+    if wide or chance.isEmpty():
+        return found
+    again = v.join(chance, "v", "left_semi").select(*_POS).distinct().withColumnsRenamed({c: f"_{c}" for c in _POS})
+    same = [lines[c].eqNullSafe(again[f"_{c}"]) for c in _POS]
+    return found.unionAll(near(common.stored(lines.join(again, same, "left_semi"), "met_by_chance"), True)).distinct()
 
 
 def dropped(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from test_text_operators import empty_documents, holds, odd_documents
 
 import corpus_pipeline
@@ -259,6 +260,15 @@ def test_lines_of_few_words(spark, lines, per):
     assert ranked(counted(spark.createDataFrame(docs, "doc_id long, text string"))) == ranked(brute_lines(docs))
 
 
+@pytest.mark.parametrize("bits", [1, 5])
+def test_keys_that_meet_by_chance_hide_no_neighbour(spark, monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "KEY_BITS", bits)
+    base = [[f"w{i}x{j}" for j in range(7)] for i in range(12)]
+    lines = [*base, *[[*x[:3], "new", *x[4:]] for x in base[::2]], *[x[1:] for x in base[1::3]], *base[:2]]
+    docs = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    assert ranked(counted(spark.createDataFrame(docs, "doc_id long, text string"))) == ranked(brute_lines(docs))
+
+
 def test_lines_odd_inputs(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, "same words are here now", 1, "a"), (1, "same words are here now", 1, "a"), (2, long, 2, "b"), (3, long.replace("w77 ", ""), 3, "c"), (4, None, None, None)]
@@ -310,6 +320,17 @@ def test_pipeline_against_brute_force(spark):
     assert bins <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_only_contaminated_rows_go(spark):
+    """Rows of one doc_id, or without one, are judged each; columns of any name stay."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, "clean words of a first row", 1, "a"), (1, item, 2, "b"), (None, "another clean text", 3, "c"), (None, f"x {item}", 4, "d"), (2, item, 5, "e"), (3, None, 6, "f"), (None, None, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _same long, text_key string")
+    got = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert got.columns == docs.columns and {r._same for r in got.collect()} == {1, 3, 6, 7}
+    got = corpus_pipeline.lines(spark, docs.withColumnRenamed("text_key", "n_chars").withColumn("n_chars", F.lit(0).cast("long")).withColumn("_near", F.lit(1)), SF)
+    assert got.columns == ["doc_id", "text", "_same", "n_chars", "_near"] and got.count() == 5
+
+
 def test_stages_keep_the_columns_and_odd_rows_pass(spark):
     docs = odd_documents(spark).withColumnRenamed("n", "n_chars")
     for make in (lambda: docs, lambda: docs.limit(0)):
