@@ -171,7 +171,7 @@ def write(docs: DataFrame, path: str | None = None, shard_bytes: int = 8_000_000
             return row
 
         for b in batches:
-            for lo, hi in common.slices(b.column(1), min(shard_bytes, common.BATCH_BYTES)):
+            for lo, hi in common.slices(b.column(1), min(shard_bytes, tokens.TEXT_BYTES)):
                 texts = b.column(1)[lo:hi]
                 if held and held + texts.nbytes > shard_bytes:
                     yield close()
