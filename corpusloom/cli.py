@@ -6,6 +6,7 @@ import argparse
 import hashlib
 import shutil
 import sys
+import time
 import uuid
 from pathlib import Path
 
@@ -24,11 +25,13 @@ def cache_dir(root: str) -> Path:
     return Path.home() / ".cache" / "corpusloom" / hashlib.sha256(str(Path(root).resolve()).encode()).hexdigest()[:16]
 
 
-def kept_table(spark, root: str) -> str:
-    """Where parsed files are kept: executors write there, so in the shared folder where one is named."""
-    place = cache_dir(root)
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/corpusloom-kept/{place.name}/parsed" if named else f"file://{place}/parsed"
+def kept_folder(spark, root: str) -> str:
+    """Where parsed files and vectors are kept: executors write there, so in the shared folder where one
+    is named."""
+    from .storage import shared_root
+
+    place, named = cache_dir(root), shared_root(spark)
+    return f"{named}/corpusloom-kept/{place.name}" if named else f"file://{place}/tables"
 
 
 def hashed_words(texts: list[str], size: int = 256) -> list[list[float]]:
@@ -50,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
     def run(name: str) -> argparse.ArgumentParser:
         a = sub.add_parser(name)
         a.add_argument("root")
-        for flag, kind in (("tokens", int), ("output", str), ("since", str), ("query", str), ("task", str), ("format", str), ("llm-provider", str), ("llm-model", str), ("llm-max-tokens", int)):
+        for flag, kind in (("tokens", int), ("output", str), ("since", str), ("query", str), ("task", str), ("format", str), ("vocabulary", str), ("llm-provider", str), ("llm-model", str), ("llm-max-tokens", int)):
             a.add_argument(f"--{flag}", type=kind)
         for flag in ("exclude", "extra-root"):
             a.add_argument(f"--{flag}", action="append")
@@ -78,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
 def settings_of(args: argparse.Namespace) -> config.Config:
     return config.load_config(
         args.root, token_budget=args.tokens, output_file=args.output, since=args.since, query=args.query, task=args.task, output_format=args.format, verbose=args.verbose, no_git=args.no_git, layers=args.layers, force=args.force,
-        extra_ignore=args.exclude, extra_roots=args.extra_root, include_sensitive=args.include_sensitive, llm_enabled=args.llm, llm_provider=args.llm_provider, llm_model=args.llm_model, llm_max_tokens=args.llm_max_tokens, debounce=getattr(args, "debounce", None),
+        extra_ignore=args.exclude, extra_roots=args.extra_root, include_sensitive=args.include_sensitive, llm_enabled=args.llm, llm_provider=args.llm_provider, llm_model=args.llm_model, llm_max_tokens=args.llm_max_tokens, vocabulary=args.vocabulary, debounce=getattr(args, "debounce", None),
     )
 
 
@@ -93,17 +96,25 @@ def analyze(spark, root: str, settings: config.Config) -> str:
     if not settings.force and Path(root, settings.output_file).is_file() and cache.same_run(cache.read_manifest(place / "manifest.json"), new):
         return "Up to date."
     place.mkdir(parents=True, exist_ok=True)
-    stages = plan.analyze(spark, roots, settings, encode=hashed_words, kept=kept_table(spark, root))
+    stages = plan.analyze(spark, roots, settings, encode=hashed_words, kept=kept_folder(spark, root))
     text = plan.write(stages, root, settings)
     cache.write_manifest(new, place / "manifest.json")
     from pyspark.sql import functions as F
 
     from .functions import text as tx
+    from .functions import tokens as bpe
+    from .operators import extract, graph, report
 
-    source = stages.files.agg(F.coalesce(F.sum(tx.estimated_tokens(F.col("text"))), F.lit(0)).alias("n")).first()["n"]
-    shown = stages.included.agg(F.coalesce(F.sum("token_count"), F.lit(0)).alias("n")).first()["n"]
-    saved = f", {100 - 100 * shown // source} % less" if source else ""
-    return f"{stages.files.count()} files, {source} tokens; {stages.included.count()} shown in {shown} tokens{saved}: {settings.output_file} ({len(text)} letters)"
+    count = (lambda c: bpe.count(settings.vocabulary, c)) if settings.vocabulary else tx.estimated_tokens
+    n = report.savings(stages.files.select(count(F.col("text")).alias("tokens")), stages.included).first()
+    lines = [
+        f"{n['files']} files, {n['tokens']} tokens; {n['shown']} shown in {n['shown_tokens']} tokens" + (f", {n['saved']} % less" if n["tokens"] else "") + f": {settings.output_file} ({len(text)} letters)",
+    ]
+    if settings.verbose:
+        counted, health = graph.counts(stages.parsed, stages.edges).first(), extract.health(stages.parsed).orderBy("language").collect()
+        lines += [f"  graph    {counted['nodes']} files, {counted['edges']} edges, {stages.cyclic.count()} on cycles", f"  budget   {n['shown_tokens']} of {settings.token_budget} tokens"]
+        lines += [f"  parsed   {r['language']}: {r['success']} of {r['total']}" for r in health]
+    return "\n".join(lines)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -111,14 +122,23 @@ def main(argv: list[str] | None = None) -> int:
     from .sources import cache
 
     if args.command == "cache":
-        place = cache_dir(args.root)
+        spark, place = session(), cache_dir(args.root)
+        kept, tables = kept_folder(spark, args.root), place / "tables"
+        elsewhere = kept != f"file://{tables}"
         if args.action == "export":
+            if elsewhere:
+                cache.fetch(spark, kept, tables)
             cache.export_archive(place, args.archive)
         elif args.action == "import":
             cache.import_archive(args.archive, place)
+            if elsewhere:
+                cache.put(spark, tables, kept)
         elif args.action == "clear":
             shutil.rmtree(place, ignore_errors=True)
-        print(f"{place}: {cache.folder_bytes(place) if place.exists() else 0} bytes")
+            cache.drop(spark, kept)
+        at = time.strftime("%Y-%m-%d %H:%M:%S", time.localtime(place.stat().st_mtime)) if place.exists() else "never"
+        size = (cache.folder_bytes(place) if place.exists() else 0) + (cache.kept_bytes(spark, kept) if elsewhere else 0)
+        print(f"{place}, last changed {at}: {size} bytes")
         return 0
     if not Path(args.root).is_dir():
         print(f"no such folder: {args.root}", file=sys.stderr)
@@ -127,7 +147,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "search":
         from .plans import analyze as plan
 
-        for r in plan.search(spark, [args.root], args.query, hashed_words, args.limit).collect():
+        for r in plan.search(spark, [args.root], args.query, hashed_words, args.limit, kept=kept_folder(spark, args.root)).collect():
             print(f"{r['relevance']:.3f}  {r['path']}")
         return 0
     settings = settings_of(args)

@@ -189,6 +189,8 @@ class Config:
     llm_model: str = ""
     llm_max_tokens: int = 256
     force: bool = False
+    #: A vocabulary file that tokens are counted by; estimated where there is none.
+    vocabulary: str = ""
 
 
 def load_config(root: str | Path, **given: Any) -> Config:

@@ -22,6 +22,8 @@ IMPORT_LINES = {
     "rust": r"^\s*use\s+.+;$",
     "java": r"^\s*import\s+.+;$",
 }
+#: Fixed value: a text between triple quotes that a Python file begins with.
+DOCSTRING = r"^\s*(?:'''|\"\"\")([\s\S]*?)(?:'''|\"\"\")"
 
 
 def decoded(content: Column) -> Column:
@@ -72,8 +74,7 @@ def import_lines(text: Column, language: Column) -> Column:
 
 def module_docstring(text: Column) -> Column:
     """The text between triple quotes that a Python file begins with; null if it doesn't."""
-    found = F.regexp_extract(text, r"^\s*(?:'''|\"\"\")([\s\S]*?)(?:'''|\"\"\")", 1)
-    return F.when(text.rlike(r"^\s*(?:'''|\"\"\")[\s\S]*?(?:'''|\"\"\")"), F.btrim(found, F.lit(" \t\r\n\f")))
+    return F.when(text.rlike(DOCSTRING), F.btrim(F.regexp_extract(text, DOCSTRING, 1), F.lit(" \t\r\n\f")))
 
 
 def used_names(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """From a file's text to its imports, symbols, docstrings and used names.
 
-Python files go through Python's own parser; other languages through line patterns, and are marked as
-partly parsed. A file that can't be parsed keeps what patterns find and is marked as failed. Batches of
+Python files go through Python's own parser; other languages through line patterns over their code, with
+comments and strings told apart first, and are marked as partly parsed. A file that can't be parsed keeps what patterns find and is marked as failed. Batches of
 files are parsed where they lie, each on its own.
 """
 
@@ -88,6 +88,41 @@ def _python(source: str) -> dict[str, Any]:
 
 # -- other languages --------------------------------------------------------------------------------
 
+def _signs(comments: str, strings: str) -> re.Pattern:
+    return re.compile(f"(?P<comment>{comments})|(?P<string>{strings})", re.S)
+
+
+_LINE, _BLOCK = r"//[^\n]*", r"/\*.*?(?:\*/|\Z)"
+_DOUBLE, _SINGLE, _LETTER = r'"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z)', r"'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)", r"'(?:\\[^\n]{1,9}?|[^'\\\n])'"
+_TICKS = r"`(?:\\.|[^`\\])*(?:`|\Z)"
+#: A regular expression literal stands where a value is expected.
+_REGEX = r"(?<=[=(,:\[!&|?{;])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
+#: Comments and strings of each language.
+SIGNS = {
+    "javascript": _signs(f"{_LINE}|{_BLOCK}", f"{_DOUBLE}|{_SINGLE}|{_TICKS}|{_REGEX}"),
+    "go": _signs(f"{_LINE}|{_BLOCK}", rf"{_DOUBLE}|{_LETTER}|`[^`]*(?:`|\Z)"),
+    "rust": _signs(f"{_LINE}|{_BLOCK}", rf'r(?P<hashes>\#+)".*?(?:"(?P=hashes)|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|{_LETTER}'),
+    "java": _signs(f"{_LINE}|{_BLOCK}", rf'"""(?:\\.|[^\\])*?(?:"""|\Z)|{_DOUBLE}|{_LETTER}'),
+    "c": _signs(f"{_LINE}|{_BLOCK}", f"{_DOUBLE}|{_LETTER}"),
+    "cpp": _signs(f"{_LINE}|{_BLOCK}", rf'R"(?P<mark>[^\s()\\]*)\(.*?(?:\)(?P=mark)"|\Z)|{_DOUBLE}|{_LETTER}'),
+    "ruby": _signs(r"(?m:^=begin\b).*?(?m:^=end\b[^\n]*|\Z)|(?m:(?<![\w\"'#])\#(?!\{)[^\n]*)", rf"<<[~-]?(?P<quote>['\"]?)(?P<word>[A-Z_]+)(?P=quote).*?\n[ \t]*(?P=word)(?=\n|\Z)|{_DOUBLE}|{_SINGLE}"),
+}
+SIGNS["typescript"] = SIGNS["javascript"]
+
+
+def code_of(source: str, language: str) -> tuple[str, str]:
+    """The source with comments and strings blanked out, and with comments and strings of several lines
+    alone; every letter stays in its place."""
+    blank = lambda t: re.sub(r"[^\n]", " ", t)
+    code, kept, at = [], [], 0
+    for m in SIGNS[language].finditer(source):
+        between, own = source[at : m.start()], m[0]
+        code += [between, blank(own)]
+        kept += [between, blank(own) if m["comment"] is not None or "\n" in own else own]
+        at = m.end()
+    return "".join([*code, source[at:]]), "".join([*kept, source[at:]])
+
+
 _C_TYPE = r"(?:[A-Za-z_][\w:<>,&*\s\[\]~]*?[\s&*])"
 #: (pattern with ``name``, kind) of a language's top-level symbols; Java's may stand deeper.
 SYMBOL_LINES: dict[str, tuple[tuple[str, str], ...]] = {
@@ -100,7 +135,7 @@ SYMBOL_LINES: dict[str, tuple[tuple[str, str], ...]] = {
     "rust": ((r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<name>\w+)", "function"), (r"^(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|impl(?:<[^>]*>)?)\s+(?P<name>\w+)", "class")),
     "java": (
         (r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*class\s+(?P<name>\w+)", "class"),
-        (r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?!return\b|new\b|else\b|throw\b)[\w<>\[\],.?]+\s+(?P<name>\w+)\s*\([^;]*$", "function"),
+        (r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?!(?:return|new|else|throw|assert|yield|case|import|package)\b)[\w<>\[\],.?]+\s+(?P<name>\w+)\s*\([^;{}]*(?:\{[^;]*|\)\s*(?:throws\s[\w\s,.]+|default\b[^;]*)?;\s*)?$", "function"),
     ),
     "c": ((rf"^{_C_TYPE}(?P<name>\w+)\s*\([^;]*\)?\s*\{{?\s*$", "function"), (r"^(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{", "class")),
     "cpp": ((rf"^{_C_TYPE}(?P<name>[\w:~]+)\s*\([^;]*\)?[\w\s]*\{{?\s*$", "function"), (r"^(?:class|struct)\s+(?P<name>\w+)[^;]*$", "class")),
@@ -111,7 +146,6 @@ METHOD_LINE = re.compile(r"^\s+(?:(?:public|private|protected|static|async|get|s
 NOT_METHODS = frozenset("if for while switch catch function return".split())
 IMPORT_STATEMENTS = {
     "javascript": r"^[ \t]*import\b[^;'\"]*(?:from\s*)?['\"][^'\"]+['\"];?|\brequire\(\s*['\"][^'\"]+['\"]\s*\)",
-    "go": r"^[ \t]*import\s+(?:[\w.]+\s+)?\"[^\"]+\"|^[ \t]+(?:[\w.]+\s+)?\"[^\"]+\"[ \t]*$",
     "rust": r"^[ \t]*(?:pub\s+)?use\s+[^;]+;",
     "java": r"^[ \t]*import\s+[^;]+;",
     "c": r"^[ \t]*#\s*include\s*[<\"][^>\"]+[>\"]",
@@ -136,23 +170,38 @@ def _end(lines: list[str], start: int, language: str) -> int:
     return len(lines) if opened or language == "ruby" else start + 1
 
 
+def _go_imports(code: str, kept: str) -> list[str]:
+    """Single imports, and the lines of import blocks."""
+    out = []
+    for m in re.finditer(r"^[ \t]*import\b[ \t]*(?:\(([^)]*)\)|(?:[\w.]+[ \t]+)?\"[^\"\n]+\")", kept, re.M):
+        if not code[m.start() : m.end()].strip():
+            continue
+        out += [(m.start(), m[0].strip())] if m[1] is None else [(m.start(1) + x.start(), x[0].strip()) for x in re.finditer(r"(?:[\w.]+[ \t]+)?\"[^\"\n]+\"", m[1])]
+    return [x for _, x in sorted(out)]
+
+
 def _by_lines(source: str, language: str) -> dict[str, Any]:
-    lines, symbols = source.split("\n"), []
+    code, kept = code_of(source, language)
+    lines, shown, symbols = code.split("\n"), source.split("\n"), []
     for i, line in enumerate(lines):
         for pattern, kind in SYMBOL_LINES[language]:
             if m := re.match(pattern, line):
                 end, name = _end(lines, i, language), m["name"] or "<anonymous>"
-                head = line.strip().rstrip(" {") if kind != "arrow" else f"const {name} = ..."
+                head = shown[i].strip().rstrip(" {;") if kind != "arrow" else f"const {name} = ..."
                 if kind == "class" and language in ("javascript", "typescript"):
                     head = f"class {name}"
                 methods = []
                 if kind == "class":
                     inner = ((j, x) for j in range(i + 1, end) if (x := METHOD_LINE.match(lines[j])) and x["name"] not in NOT_METHODS)
-                    methods = [_symbol(x["name"], "method", lines[j].strip().rstrip(" {"), "", j + 1, _end(lines, j, language)) for j, x in inner] if language in ("javascript", "typescript") else []
+                    methods = [_symbol(x["name"], "method", shown[j].strip().rstrip(" {"), "", j + 1, _end(lines, j, language)) for j, x in inner] if language in ("javascript", "typescript") else []
                 symbols.append(_symbol(name, "function" if kind == "arrow" else kind, head, "", i + 1, end, methods))
                 break
-    imports = [m[0].strip() for m in re.finditer(IMPORT_STATEMENTS[language], source, re.M)]
-    used = sorted({x for groups in _USED.findall(source) for x in groups if x})
+    if language == "go":
+        imports = _go_imports(code, kept)
+    else:  # an import begins with code, not within a string
+        found = ((m, m.start() + len(m[0]) - len(m[0].lstrip())) for m in re.finditer(IMPORT_STATEMENTS[language], kept, re.M))
+        imports = [m[0].strip() for m, at in found if not code[at].isspace()]
+    used = sorted({x for groups in _USED.findall(code) for x in groups if x})
     return {"imports": imports, "symbols": symbols, "docstrings": [], "usages": used, "constants": [], "partial_parse": True, "parse_failed": False}
 
 
@@ -162,22 +211,23 @@ def _plain() -> dict[str, Any]:
 
 def _failed(source: str, language: str) -> dict[str, Any]:
     pattern = tx.IMPORT_LINES.get(language)
-    doc = re.match(r"^\s*(?:'''|\"\"\")([\s\S]*?)(?:'''|\"\"\")", source) if language == "python" else None
+    doc = re.match(tx.DOCSTRING, source) if language == "python" else None
     names = dict.fromkeys(re.findall(tx.IDENTIFIER, source))
     return _plain() | {"imports": [x.strip() for x in source.splitlines() if pattern and re.match(pattern, x)], "docstrings": [doc[1].strip()] if doc else [], "usages": [n for n in names if n not in tx.KEYWORDS], "partial_parse": True, "parse_failed": True}
 
 
-#: A language's parser: text to facets. More can be added, also in place of those here.
+#: A language's parser: text to facets. More can be added on the driver, also in place of those here:
+#: executors get those that are there when ``parse`` is called.
 PARSERS: dict[str, Callable[[str], dict[str, Any]]] = {"python": _python} | {lang: (lambda s, lang=lang: _by_lines(s, lang)) for lang in SYMBOL_LINES}
 
 
-def facets(source: str, language: str) -> dict[str, Any]:
-    """Of one file. A language without a parser has none."""
-    parser = PARSERS.get(language)
+def facets(source: str, language: str, parsers: dict[str, Callable[[str], dict[str, Any]]] | None = None) -> dict[str, Any]:
+    """Of one file. A language without a parser has none; what a parser leaves out is empty."""
+    parser = (PARSERS if parsers is None else parsers).get(language)
     if parser is None:
         return _plain()
     try:
-        return parser(source)
+        return _plain() | parser(source)
     except (SyntaxError, ValueError, RecursionError):
         return _failed(source, language)
 
@@ -185,11 +235,11 @@ def facets(source: str, language: str) -> dict[str, Any]:
 def parse(files: DataFrame) -> DataFrame:
     """``files`` (path, language, text, ...) with their facets, lines and bytes. Facets ride beside the
     row's other columns, so nothing is joined."""
-    rest = [f for f in files.schema.fields if f.name != "path"]
+    rest, parsers = [f for f in files.schema.fields if f.name != "path"], dict(PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [{"path": p} | facets(s, lang) for p, lang, s in zip(b["path"], b["language"], b["text"], strict=True)]
+            own = [{"path": p} | facets(s, lang, parsers) for p, lang, s in zip(b["path"], b["language"], b["text"], strict=True)]
             yield pd.concat([pd.DataFrame(own, columns=FACETS.names), b[[f.name for f in rest]].reset_index(drop=True)], axis=1)
 
     parsed = files.mapInPandas(run, T.StructType([*FACETS.fields, *rest]))

@@ -102,26 +102,67 @@ def call_paths(edges_: DataFrame, entries: DataFrame, max_depth: int = 5, max_pa
     Entries go in the order of their names. Within one, shorter paths end first, and of equal length
     those over nodes of more fan-in, then of lesser name. The first ``max_paths`` of all count; they
     are given longest first. As every entry has a path, only the first ``max_paths`` entries are
-    followed. A path is known by the ranks of its steps, so that a level is found in one join and the
-    order is a sort.
+    followed, one after the other, and only until enough paths have ended. Steps are rows, so no
+    node's successors are gathered; of paths that are one step short of ``max_depth`` only the first
+    that go on are followed, as each of them ends there.
     """
+    spark = edges_.sparkSession
     fan = edges_.groupBy(F.col("dst").alias("d")).agg(F.count("*").alias("fan"))
-    steps = stored(edges_.select("src", "dst").distinct().join(fan, F.col("dst") == F.col("d")).groupBy("src").agg(F.array_sort(F.collect_list(F.struct((-F.col("fan")).alias("k"), F.col("dst").alias("n")))).alias("next")), "next")
-    level = stored(entries.select("path").distinct().orderBy("path").limit(max_paths).select(F.array("path").alias("nodes"), F.array().cast("array<int>").alias("order")), "paths")
-    done = None
-    for depth in range(1, max_depth + 1):
-        ended = level.withColumn("ended", F.lit(True))
-        if depth < max_depth:
-            grown = level.join(steps, F.element_at("nodes", -1) == F.col("src"), "left")
-            ahead = F.filter(F.coalesce("next", F.array().cast("array<struct<k: bigint, n: string>>")), lambda x: ~F.array_contains("nodes", x["n"]))
-            grown = grown.select("nodes", "order", F.transform(ahead, lambda x: x["n"]).alias("ahead"))
-            ended = grown.where(F.size("ahead") == 0).select("nodes", "order")
-            on = grown.select("nodes", "order", F.posexplode("ahead").alias("i", "n")).select(F.concat("nodes", F.array("n")).alias("nodes"), F.concat("order", F.array("i")).alias("order"))
-            level = stored(on, "paths")
-        part = ended.select("nodes", "order")
-        done = part if done is None else done.unionByName(part)
-    first = done.orderBy(F.col("nodes")[0], F.size("nodes"), "order").limit(max_paths)
-    return first.select(F.row_number().over(Window.orderBy(F.desc(F.size("nodes")), "nodes")).alias("rank"), "nodes")  # max_paths rows
+    step = F.struct((-F.col("fan")).alias("k"), F.col("dst").alias("n"))
+    steps = stored(edges_.select("src", "dst").distinct().join(fan, F.col("dst") == F.col("d")).select("src", "dst", step.alias("step")), "steps")
+    done: list[list[str]] = []
+    for r in entries.select("path").distinct().orderBy("path").limit(max_paths).collect():
+        level = spark.createDataFrame([([r["path"]], [])], "nodes array<string>, trail array<struct<k: bigint, n: string>>")
+        for size in range(1, max_depth + 1):
+            need = max_paths - len(done)
+            grown = level.join(steps, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+            go_on = grown.select("nodes").distinct()
+            ended = level if size == max_depth else level.join(go_on, "nodes", "left_anti")
+            done += [list(x["nodes"]) for x in ended.orderBy("trail").limit(need).collect()]
+            if len(done) == max_paths or size == max_depth:
+                break
+            if size + 1 == max_depth:
+                last = spark.createDataFrame([tuple(x) for x in level.join(go_on, "nodes", "left_semi").orderBy("trail").limit(max_paths - len(done)).collect()], level.schema)
+                grown = last.join(steps, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+            level = stored(grown.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("trail", F.array("step")).alias("trail")), "paths")
+            if level.isEmpty():
+                break
+        if len(done) == max_paths:
+            break
+    done.sort(key=lambda x: (-len(x), x))
+    return spark.createDataFrame([(i, x) for i, x in enumerate(done, 1)], "rank int, nodes array<string>")
+
+
+def importers(edges_: DataFrame) -> DataFrame:
+    """Rows (path, importer): who imports each file, as a relation, so that no file gathers them."""
+    return edges_.where("edge_type = 'import'").select(F.col("dst").alias("path"), F.col("src").alias("importer")).distinct()
+
+
+def counts(nodes: DataFrame, edges_: DataFrame) -> DataFrame:
+    """One row (nodes, edges)."""
+    return nodes.select("path").distinct().agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(edges_.agg(F.count("*").alias("edges"))))  # one row each
+
+
+def cycles(edges_: DataFrame, on_cycles: DataFrame, longest: int = 5, n: int = 25) -> DataFrame:
+    """Rows (nodes): the first ``n`` simple cycles of ``longest`` nodes at most, shorter ones first, then
+    by names; each once, from its least node on. Only edges between nodes ``on_cycles`` are walked, and
+    no longer cycles than are needed."""
+    spark = edges_.sparkSession
+    own = edges_.select("src", "dst").where("src <> dst").distinct().join(on_cycles.select(F.col("path").alias("src")), "src", "left_semi").join(on_cycles.select(F.col("path").alias("dst")), "dst", "left_semi")
+    own = stored(own, "cycle_edges")
+    found: list[list[str]] = []
+    level = own.where("src < dst").select(F.array("src", "dst").alias("nodes"))
+    for size in range(2, longest + 1):
+        back = own.select(F.col("src").alias("b"), F.col("dst").alias("a"))
+        closed = level.join(back, (F.element_at("nodes", -1) == F.col("b")) & (F.col("nodes")[0] == F.col("a"))).select("nodes")
+        found += [list(r["nodes"]) for r in closed.orderBy("nodes").limit(n - len(found)).collect()]
+        if len(found) == n or size == longest:
+            break
+        on = level.join(own, F.element_at("nodes", -1) == F.col("src")).where((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst")))
+        level = stored(on.select(F.concat("nodes", F.array("dst")).alias("nodes")), "cycle_paths")
+        if level.isEmpty():
+            break
+    return spark.createDataFrame([(x,) for x in found], "nodes array<string>")
 
 
 def top_edges(ranked: DataFrame, edges_: DataFrame, n: int) -> DataFrame:

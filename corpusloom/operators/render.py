@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..functions import paths
@@ -76,12 +77,47 @@ def notes(partial: Column, symbols: Column, text: Column, lines: Column) -> Colu
     )
 
 
-def internal_modules(resolved: DataFrame, modules_of: str = "modules") -> DataFrame:
-    """Rows (path, modules): the distinct modules, by name and without the package's own, that a file's
-    resolved imports (path, file) mean."""
-    bare = F.regexp_replace(F.regexp_replace("file", r"^src/", ""), r"(?:/__init__)?\.[^./]+$", "")
-    module = F.regexp_replace(F.regexp_replace(bare, r"^[^/]+/", ""), "/", ".")
-    return resolved.where("path <> file").groupBy("path").agg(F.array_sort(F.collect_set(module)).alias(modules_of))
+def _package(path: Column) -> tuple[Column, Column, Column]:
+    """(package, its folder, the file's folders within it): the first folder that is an identifier, below
+    ``src`` if the file is there; null if there is none."""
+    parts = paths.parts(path)
+    skip = F.when(F.startswith(path, F.lit("src/")), 1).otherwise(0)
+    name = F.get(parts, skip)
+    name = F.when(name.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), name)
+    return name, paths.joined(F.slice(parts, F.lit(1), skip + 1)), F.slice(parts, skip + 2, F.greatest(F.size(parts) - skip - 2, F.lit(0)))
+
+
+def module_candidates(text: Column, path: Column) -> Column:
+    """Modules of a file's own package that an import of it may mean, without the package's name."""
+    package, _, within = _package(path)
+    line = F.btrim(F.regexp_replace(text, r"\s+", " "))
+    none = F.array().cast("array<string>")
+    bare = lambda x: F.btrim(F.substring_index(F.btrim(x, F.lit("() ")), " as ", 1))
+    inside = lambda m: F.when(m.startswith(F.concat(package, F.lit("."))), F.substring(m, F.length(package) + 2, F.length(m)))
+    plain = F.filter(F.transform(F.split(F.regexp_extract(line, r"^import (.*)$", 1), ","), lambda x: inside(bare(x))), lambda x: x.isNotNull())
+    module, names = F.btrim(F.regexp_extract(line, r"^from (.*?) import (.*)$", 1)), F.regexp_extract(line, r"^from (.*?) import (.*)$", 2)
+    # names that may be modules: small letters, digits and underscores
+    names = F.filter(F.transform(F.split(names, ","), bare), lambda x: x.rlike(r"^[a-z0-9_]*[a-z0-9][a-z0-9_]*$"))
+    below = lambda base: F.concat(F.when(base != "", F.array(base)).otherwise(none), F.transform(names, lambda x: F.when(base != "", F.concat(base, F.lit("."), x)).otherwise(x)))
+    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+    up = F.greatest(dots - 1, F.lit(0))
+    anchor = F.when(up > F.size(within), none).otherwise(F.slice(within, F.lit(1), F.size(within) - up))
+    rest = F.filter(F.split(F.substring(module, dots + 1, F.length(module)), r"\."), lambda x: x != "")
+    beside = F.concat(F.when(F.size(rest) > 0, F.array(F.array_join(F.concat(anchor, rest), "."))).otherwise(none), F.transform(names, lambda x: F.array_join(F.concat(anchor, rest, F.array(x)), ".")))
+    whole = F.when(module == package, names).otherwise(F.coalesce(below(inside(module)), none))
+    out = F.when(line.startswith("import "), plain).when(line.rlike("^from .* import "), F.when(module.startswith("."), beside).otherwise(whole)).otherwise(none)
+    return F.when(package.isNull(), none).otherwise(F.array_distinct(F.coalesce(out, none)))
+
+
+def internal_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (root, path, modules): by name, the modules of its own package that a file's ``imports``
+    (root, path, import_text) name and that are among ``files`` (root, path)."""
+    _, folder, _ = _package(F.col("path"))
+    asked = imports.select("root", "path", folder.alias("_folder"), F.explode(module_candidates(F.col("import_text"), F.col("path"))).alias("module")).distinct()
+    base = F.concat("_folder", F.lit("/"), F.replace("module", F.lit("."), F.lit("/")))
+    asked = asked.withColumn("file", F.explode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))))
+    known = files.select("root", F.col("path").alias("file")).distinct()
+    return asked.join(known, ["root", "file"], "left_semi").groupBy("root", "path").agg(F.array_sort(F.collect_set("module")).alias("modules"))
 
 
 def summarize(path: str, docstrings: list[str], modules: list[str], symbols: list[dict], constants: list[str], noted: list[str], tokens: Callable[[str], int]) -> str:
@@ -140,14 +176,12 @@ def contents(files: DataFrame, tokens: Callable[[str], int] = estimated) -> Data
     spread = F.transform("symbols", lambda s: s.withField("bases", tx.bases(s["signature"])).withField("short", tx.short_signature(s["signature"])))
     rows = files.withColumns({"_symbols": spread, "_notes": notes(F.col("partial_parse"), F.col("symbols"), F.col("text"), F.col("line_count"))})
 
-    @F.pandas_udf("string")
-    def summary(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
+    def summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for path, doc, modules, symbols, constants, noted in zip(*columns, strict=True):
-                own = [dict(s) | {"children": list(s["children"]) if s["children"] is not None else []} for s in symbols] if symbols is not None else []
-                out.append(summarize(path, list(doc), list(modules) if modules is not None else [], own, list(constants), list(noted), tokens) if path is not None else "")
-            yield pd.Series(out)
+            for path, doc, modules, symbols, constants, noted in zip(*(b.column(c).to_pylist() for c in ("path", "docstrings", "modules", "_symbols", "constants", "_notes")), strict=True):
+                out.append(summarize(path, doc, modules or [], symbols or [], constants, noted, tokens))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "content"])
 
     p, lang = F.col("path"), F.col("language")
     whole = source(p, lang, F.col("text"))
@@ -155,6 +189,6 @@ def contents(files: DataFrame, tokens: Callable[[str], int] = estimated) -> Data
     three = F.format_string("- `%s` — %s\n", p, one_liner(F.col("docstrings"), F.col("symbols"), F.col("imports"), F.col("line_count")))
     summed = (F.col("tier") == 1) & ~paths.is_entry(p)
     with_, without = rows.where(summed), rows.where(~summed)
-    with_ = with_.withColumn("content", summary("path", "docstrings", "modules", "_symbols", "constants", "_notes"))
+    with_ = with_.mapInArrow(summed_up, T.StructType([*with_.schema.fields, T.StructField("content", T.StringType())]))
     without = without.withColumn("content", F.when(F.col("tier") == 1, whole).when(F.col("tier") == 2, two).otherwise(three))
     return with_.unionByName(without).drop("_symbols", "_notes")

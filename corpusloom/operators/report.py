@@ -42,6 +42,14 @@ def statistics(included: DataFrame, total_files: int) -> DataFrame:
     )
 
 
+def savings(files: DataFrame, included: DataFrame) -> DataFrame:
+    """One row: files and tokens there are (tokens), those shown (token_count), and what was saved, in
+    hundredths."""
+    there = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
+    shown = included.agg(F.count("*").alias("shown"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("shown_tokens"))
+    return there.crossJoin(F.broadcast(shown)).withColumn("saved", F.when(F.col("tokens") > 0, 100 - F.floor(100 * F.col("shown_tokens") / F.col("tokens"))).otherwise(0).cast("long"))  # one row each
+
+
 def top_folders(included: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` top folders with most files, ties by name; ``.`` for files in the root."""
     top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(".")
@@ -75,9 +83,18 @@ def diagram(included: DataFrame, edges: DataFrame, n: int = config.DIAGRAM_NODES
     return "\n".join(["```mermaid", "graph LR", *nodes, *links, "```\n\n"])
 
 
-def cycles(cyclic: DataFrame) -> str:
-    found = [r["path"] for r in cyclic.orderBy("path").limit(config.DIAGRAM_NODES).collect()]
-    return "### Cyclic Dependencies\n\n> [!WARNING]\n> These files are on circular import chains:\n\n" + "".join(f"- `{p}`\n" for p in found) + "\n" if found else ""
+def cycles(cyclic: DataFrame, edges: DataFrame) -> str:
+    """Circular chains, shorter ones first, and files on cycles too long to be shown as chains."""
+    from . import graph
+
+    if cyclic.isEmpty():
+        return ""
+    chains = [list(r["nodes"]) for r in graph.cycles(edges, cyclic, n=config.DIAGRAM_NODES).collect()]
+    shown = {p for c in chains for p in c}
+    rest = [r["path"] for r in cyclic.where(~F.col("path").isin(*shown)).orderBy("path").limit(config.DIAGRAM_NODES).collect()] if len(chains) < config.DIAGRAM_NODES else []
+    lines = [f"{i}. " + " -> ".join(f"`{p}`" for p in c) for i, c in enumerate(chains, 1)]
+    more = ["", "Files on longer chains:", "", *(f"- `{p}`" for p in rest)] if rest else []
+    return "\n".join(["### Cyclic Dependencies", "", "> [!WARNING]", "> The following circular import chains were detected:", "", *lines, *more, "", ""])
 
 
 def symbol_lines(rows: list) -> str:
@@ -132,7 +149,7 @@ def sections(included: DataFrame, edges: DataFrame, cyclic: DataFrame, symbols:
         "important_call_paths": call_path_lines(found_paths, symbols),
         "core_modules": whole(lambda r: r["tier"] == 1 and not is_entry(r), "*No core modules selected within budget.*\n\n"),
         "supporting_modules": whole(lambda r: r["tier"] == 2, "*No supporting modules selected within budget.*\n\n"),
-        "dependency_graph": diagram(included, edges) + cycles(cyclic),
+        "dependency_graph": diagram(included, edges) + cycles(cyclic, edges),
         "ranked_files": ranked_table(included),
         "periphery": "".join(r["content"] for r in rows if r["tier"] == 3) + "\n" if any(r["tier"] == 3 for r in rows) else "*No periphery files selected within budget.*\n\n",
     }

@@ -95,19 +95,22 @@ def _folders(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(paths.folder(path))), lambda i: paths.joined(F.slice(paths.folder(path), 1, i)))
 
 
-def _go(imports: DataFrame, known: DataFrame, modules: DataFrame) -> DataFrame:
+def _go(imports: DataFrame, known: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(imports with the folder or file ``want`` that they mean, places of files by ``want``)."""
     go = imports.where("language = 'go'").withColumn("pkg", _first(F.col("import_text"), r'"([^"]+)"')).where(F.col("pkg").contains("/"))
     # the module file in the nearest folder above
     above = go.select("root", "path", F.explode(_folders(F.col("path"))).alias("dir")).distinct().join(modules, ["root", "dir"])
     nearest = above.groupBy("root", "path").agg(F.max_by("module", F.length("dir")).alias("module"))
     go = go.join(nearest, ["root", "path"], "left")
     inside = F.when(F.col("pkg") == F.col("module"), F.lit("")).when(F.col("pkg").startswith(F.concat("module", F.lit("/"))), F.substring("pkg", F.length("module") + 2, F.length("pkg"))).otherwise(F.col("pkg"))
-    go = go.withColumn("want", F.btrim(inside, F.lit("/"))).select("root", "path", "pos", "import_text", "want", "target_root")
+    go = go.select(*_IMPORT, F.btrim(inside, F.lit("/")).alias("want"))
     files = known.where(F.col("file").endswith(".go"))
-    file_at = files.select("root", "file", F.explode(_folders(F.col("file"))).alias("want"))
-    plain = files.select("root", "file", F.regexp_replace("file", r"\.go$", "").alias("want"))
-    places = file_at.unionByName(plain).distinct().withColumnRenamed("root", "target_root")
-    return go.join(places, ["target_root", "want"]).select("root", "path", "pos", "import_text", "target_root", "file")
+    file_at = files.select("target_root", "file", F.explode(_folders(F.col("file"))).alias("want"))
+    plain = files.select("target_root", "file", F.regexp_replace("file", r"\.go$", "").alias("want"))
+    return go, file_at.unionByName(plain).distinct()
+
+
+_IMPORT = ("root", "path", "pos", "import_text")
 
 
 def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None, other_roots: bool = False) -> DataFrame:
@@ -115,23 +118,27 @@ def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = No
     ``imports`` (root, path, language, pos, import_text) means among ``files`` (root, path).
 
     With ``other_roots`` an import that means nothing in its own root is looked up in the others, in
-    the order of their names, and the first root that knows it wins.
+    the order of their names, and the first root that knows it wins: candidates are joined by their
+    path alone, so that imports are not multiplied by roots.
     """
-    known = files.select("root", F.col("path").alias("file")).distinct()
-    spark = imports.sparkSession
-    modules = modules if modules is not None else spark.createDataFrame([], "root string, dir string, module string")
-
-    def among(rows: DataFrame) -> DataFrame:
-        spread = rows.where("language <> 'go'").select("root", "path", "pos", "import_text", "target_root", F.explode(F.array_distinct(candidates(F.col("import_text"), F.col("language"), F.col("path")))).alias("file"))
-        return spread.join(known.withColumnRenamed("root", "target_root"), ["target_root", "file"]).select("root", "path", "pos", "import_text", "target_root", "file").unionByName(_go(rows, known, modules))
-
-    own = among(imports.withColumn("target_root", F.col("root")))
+    known = files.select(F.col("root").alias("target_root"), F.col("path").alias("file")).distinct()
+    modules = modules if modules is not None else imports.sparkSession.createDataFrame([], "root string, dir string, module string")
+
+    def among(rows: DataFrame, own_root: bool) -> DataFrame:
+        meant = F.array_distinct(candidates(F.col("import_text"), F.col("language"), F.col("path")))
+        spread = rows.where("language <> 'go'").select(*_IMPORT, F.explode(meant).alias("want"))
+        go, places = _go(rows, known, modules)
+        parts = []
+        for left, right in ((spread, known.withColumn("want", F.col("file"))), (go, places)):
+            met = left.join(right.withColumn("root", F.col("target_root")), ["root", "want"]) if own_root else left.join(right, "want").where("root <> target_root")
+            parts.append(met.select(*_IMPORT, "target_root", "file"))
+        return parts[0].unionByName(parts[1])
+
+    own = among(imports, True)
     if not other_roots:
         return own
     keys = ["root", "path", "pos"]
-    rest = imports.join(own.select(*keys).distinct(), keys, "left_anti")
-    roots = files.select(F.col("root").alias("target_root")).distinct()
-    elsewhere = among(rest.join(F.broadcast(roots), rest["root"] != roots["target_root"]))  # as many roots as the run was given
+    elsewhere = among(imports.join(own.select(*keys).distinct(), keys, "left_anti"), False)
     first = elsewhere.groupBy(*keys).agg(F.min("target_root").alias("target_root"))
     return own.unionByName(elsewhere.join(first, [*keys, "target_root"]).select(*own.columns))
 

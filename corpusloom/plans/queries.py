@@ -210,11 +210,6 @@ def run_stats(spark, sf):
     return report.statistics(rows, rows.count() + 7)
 
 
-@query(supplier_sql("default") + f", {COSTS} SELECT path, CASE tier WHEN 1 THEN 'CORE' WHEN 2 THEN 'SUPPORTING' ELSE 'PERIPHERAL' END AS tier, CASE tier WHEN 1 THEN 'structured summary' WHEN 2 THEN 'signatures' ELSE 'one-liner' END AS label, to_json({{'path': path, 'tokens': tokens}})::VARCHAR AS record FROM c")
-def json_payload(spark, sf):
-    return charged_rows(spark, sf).select("path", report.tier_name(F.col("tier")).alias("tier"), report.tier_label(F.col("tier"), F.col("path")).alias("label"), F.to_json(F.struct("path", "tokens")).alias("record"))
-
-
 # -- graph ------------------------------------------------------------------------------------------
 
 
@@ -240,9 +235,9 @@ def entry_names(spark, sf):
     return graph.entry_points(nodes, nodes.select(F.col("path").alias("src"), F.col("path").alias("dst")))
 
 
-@query(f"WITH RECURSIVE {TRADE}, {WALK} SELECT path, dist FROM near")
+@query(f"WITH RECURSIVE {TRADE}, {WALK.replace("SELECT '0' AS path, 0 AS dist UNION", "SELECT path, 0 AS dist FROM nodes WHERE path IN ('0', '7', '19') UNION")} SELECT path, dist FROM near")
 def bfs_undirected(spark, sf):
-    return graph.distances(trade(spark, sf), spark.createDataFrame([("0",)], "path string"))
+    return graph.distances(trade(spark, sf), spark.createDataFrame([("0",), ("7",), ("19",)], "path string"))
 
 
 @query(f"WITH RECURSIVE {TRADE}, w AS (SELECT '0' AS path, 0 AS dist UNION SELECT e.dst, dist + 1 FROM w JOIN e ON path = src WHERE dist < 24) SELECT path, min(dist) AS dist FROM w GROUP BY path")
@@ -308,9 +303,13 @@ def recent_changes(spark, sf):
     return spark.createDataFrame([(repo_files.recent_changes(log, tx.parse_since("2 days ago", last)),)], "markdown string")
 
 
-@query("SELECT * FROM (VALUES ('7 days ago', 395200.0::DOUBLE), ('1 day ago', 913600.0::DOUBLE), ('2024-01-02', 1704153600.0::DOUBLE), ('2024-01-02T03:00:00+03:00', 1704153600.0::DOUBLE), ('nonsense', NULL::DOUBLE)) AS t(since, cutoff)")
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(day(ts) AS INTEGER) AS n FROM events),
+s AS (SELECT n || ' days ago' AS since, 1000000.0::DOUBLE - n * 86400 AS cutoff FROM d UNION ALL SELECT CAST(day AS VARCHAR), epoch(day::TIMESTAMP) FROM d
+      UNION ALL SELECT day || 'T0' || n % 10 || ':00:00+03:00', epoch(day::TIMESTAMP) + (n % 10 - 3) * 3600 FROM d UNION ALL SELECT 'on ' || day, NULL FROM d)
+SELECT since, cutoff FROM s""")
 def since_parse(spark, sf):
-    given = ("7 days ago", "1 day ago", "2024-01-02", "2024-01-02T03:00:00+03:00", "nonsense")
+    days = [r["day"] for r in table(spark, sf, "events").select(F.col("ts").cast("date").alias("day")).distinct().collect()]  # as many as the events' days
+    given = [s for d in days for s in (f"{d.day} days ago", str(d), f"{d}T0{d.day % 10}:00:00+03:00", f"on {d}")]
     return spark.createDataFrame([(s, tx.parse_since(s, 1_000_000.0)) for s in given], "since string, cutoff double")
 
 
@@ -445,24 +444,45 @@ def multi_root_resolve(spark, sf):
     return resolve.resolve(*modules_of(spark, sf), other_roots=True).select("root", "path", "pos", "target_root", "file")
 
 
-@query("""SELECT * FROM (VALUES ('javascript', 'src/a/x.ts', 'import {q} from "../lib/util"', 'src/lib/util'), ('rust', 'src/main.rs', 'use crate::a::b;', 'src/a/b'), ('java', 'A.java', 'import com.x.Y;', 'com/x/Y'), ('cpp', 'src/a/x.cpp', '#include "../h/y.hpp"', 'src/h/y.hpp'), ('ruby', 'lib/a.rb', 'require_relative "b/c"', 'lib/b/c')) AS t(language, path, import_text, stem)""")
+_SCRIPT = ", ".join(f"'src/lib/u' || doc_id || '{x}'" for x in (*resolve.SCRIPT_SUFFIXES, *("/index" + y for y in resolve.SCRIPT_SUFFIXES)))
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN array_to_string([{_SCRIPT}], '|') WHEN 1 THEN 'src/a/b' || doc_id || '.rs|src/a/b' || doc_id || '/mod.rs'
+WHEN 2 THEN 'com/x/Y' || doc_id || '.java|src/main/java/com/x/Y' || doc_id || '.java|src/com/x/Y' || doc_id || '.java' WHEN 3 THEN 'src/h/y' || doc_id || '.hpp'
+WHEN 4 THEN 'src/a/c' || doc_id || '.rb|src/a/c' || doc_id ELSE 'src/p/m' || doc_id || '.py|src/p/m' || doc_id || '/__init__.py' END AS candidates FROM documents""")
 def import_candidates(spark, sf):
-    given = [("javascript", "src/a/x.ts", 'import {q} from "../lib/util"'), ("rust", "src/main.rs", "use crate::a::b;"), ("java", "A.java", "import com.x.Y;"), ("cpp", "src/a/x.cpp", '#include "../h/y.hpp"'), ("ruby", "lib/a.rb", 'require_relative "b/c"')]
-    found = spark.createDataFrame(given, "language string, path string, import_text string").withColumn("c", resolve.candidates(F.col("import_text"), F.col("language"), F.col("path")))
-    return found.select("language", "path", "import_text", F.regexp_replace(F.col("c")[0], r"(\.ts|\.rs|\.java|\.rb)$", "").alias("stem"))
+    n = F.col("doc_id").cast("string")
+    forms = {"javascript": ('import {q} from "../lib/u', '"'), "rust": ("use crate::a::b", ";"), "java": ("import com.x.Y", ";"), "cpp": ('#include "../h/y', '.hpp"'), "ruby": ('require_relative "c', '"'), "python": ("from ..p.m", " import q")}
+    at = (F.col("doc_id") % 6 + 1).cast("int")
+    lang = F.element_at(F.array(*map(F.lit, forms)), at)
+    text = F.element_at(F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in forms.values()]), at)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(resolve.candidates(text, lang, F.lit("src/a/x")), "|").alias("candidates"))
+
 
+def python_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated sources, one for each document."""
+    n = F.col("doc_id").cast("string")
+    source = F.concat(F.lit('"""Module '), n, F.lit('."""\nimport os\nfrom .a import b\n\nLIMIT: int = '), n, F.lit('\n\n\nclass C'), n, F.lit('(Base):\n    """Doc."""\n\n    def m(self, x: int) -> str:\n        return f(x)\n\n\nasync def g(*a, k=1): ...\n'))
+    return table(spark, sf, "documents").select(F.concat(F.lit("m"), n, F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("text"))
 
-@query()
+
+@query("""SELECT 'm' || doc_id || '.py' AS path, 0 AS pos, 'C' || doc_id AS name, 'class' AS kind, 'class C' || doc_id || '(Base)' AS signature, 'Doc.' AS docstring, 8 AS start_line, 12 AS end_line FROM documents
+UNION ALL SELECT 'm' || doc_id || '.py', 1, 'g', 'function', 'async def g(*a, k=1)', '', 15, 15 FROM documents""")
 def parse_python(spark, sf):
-    """Facets of generated sources; Python's own parser is no SQL."""
-    source = F.concat(F.lit('"""Module '), F.col("doc_id").cast("string"), F.lit('."""\nimport os\nfrom .a import b\n\nLIMIT: int = 3\n\n\nclass C'), F.col("doc_id").cast("string"), F.lit('(Base):\n    """Doc."""\n\n    def m(self, x: int) -> str:\n        return f(x)\n\n\nasync def g(*a, k=1): ...\n'))
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("text"))
-    return extract.symbols(extract.parse(docs))
+    return extract.symbols(extract.parse(python_files(spark, sf)))
+
+
+@query("""SELECT 'm' || doc_id || '.py' AS path, 'import os|from .a import b' AS imports, 'Module ' || doc_id || '.' AS docstring, 'LIMIT: int = ' || doc_id AS constants, 'Base|C' || doc_id || '|f|int|str|x' AS usages, 'def m(self, x: int) -> str' AS methods, 16 AS line_count FROM documents""")
+def python_facets(spark, sf):
+    one = extract.parse(python_files(spark, sf))
+    return one.select("path", F.array_join("imports", "|").alias("imports"), F.col("docstrings")[0].alias("docstring"), F.array_join("constants", "|").alias("constants"), F.array_join("usages", "|").alias("usages"), F.col("symbols")[0]["children"][0]["signature"].alias("methods"), "line_count")
 
 
-@query("WITH x AS (SELECT lang AS language, doc_id % 7 = 0 AS failed FROM documents) SELECT language, count(*) AS total, count(*) FILTER (WHERE NOT failed) AS success, count(*) FILTER (WHERE failed) AS failed FROM x GROUP BY language")
+@query("WITH x AS (SELECT doc_id % 7 = 0 AS failed, doc_id % 2 = 0 AS py FROM documents) SELECT CASE WHEN py THEN 'python' ELSE 'javascript' END AS language, count(*) AS total, count(*) FILTER (WHERE NOT (py AND failed)) AS success, count(*) FILTER (WHERE py AND failed) AS failed FROM x GROUP BY py")
 def parse_health(spark, sf):
-    return extract.health(table(spark, sf, "documents").select(F.col("lang").alias("language"), (F.col("doc_id") % 7 == 0).alias("parse_failed")))
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit("def (:\n")).otherwise(F.lit("x = 1\n"))
+    lang = F.when(F.col("doc_id") % 2 == 0, F.lit("python")).otherwise(F.lit("javascript"))
+    return extract.health(extract.parse(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), lang.alias("language"), text.alias("text"))))
 
 
 # -- reports ----------------------------------------------------------------------------------------
@@ -505,10 +525,16 @@ def arch_excerpt(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.excerpt(text).alias("excerpt"), tx.summary_line(F.replace(F.replace(text, F.lit("# Head"), F.lit("### `x`\n```py")), F.lit("\n  and"), F.lit("  \n"))).alias("summary"))
 
 
-@query(f"WITH {FILES} SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'partial parse' || CASE WHEN n > 300 THEN '; large file (' || n || ' lines)' ELSE '' END WHEN n > 300 THEN 'large file (' || n || ' lines)' ELSE '' END AS notes FROM (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM f)")
+@query(f"""WITH {FILES}, n AS (SELECT path, doc_id, length(text) - length(replace(text, chr(10), '')) + 1 + doc_id % 9 AS n, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x, ' ' || chr(9)), '@'))) + doc_id % 9 AS ats FROM f)
+SELECT path, concat_ws('; ', CASE WHEN doc_id % 7 = 0 THEN 'partial parse' END, CASE WHEN doc_id % 5 > 2 THEN 'async-heavy (' || doc_id % 5 || ' async functions)' END, CASE WHEN ats > 5 THEN 'decorator-heavy (' || ats || ' decorators)' END, CASE WHEN n > 300 THEN 'large file (' || n || ' lines)' END) AS notes FROM n""")
 def notes(spark, sf):
-    none = F.from_json(F.lit("[]"), "array<struct<signature: string, children: array<struct<signature: string>>>>")
-    return files(spark, sf).select("path", F.array_join(render.notes(F.col("doc_id") % 7 == 0, none, F.col("text"), tx.line_count(F.col("text"))), "; ").alias("notes"))
+    own = F.from_json(F.lit('[{"signature": "async def f()"}, {"signature": "def s()"}]'), "array<struct<signature: string>>")
+    # methods of a class count too
+    children = F.array_repeat(own[0], F.greatest(F.col("doc_id") % 5 - 1, F.lit(0)).cast("int"))
+    first = F.when(F.col("doc_id") % 5 > 0, own[0]["signature"]).otherwise(own[1]["signature"])
+    symbols = F.array(F.struct(first.alias("signature"), children.alias("children")))
+    text = F.concat(F.repeat(F.lit(" @d\n"), (F.col("doc_id") % 9).cast("int")), F.col("text"))
+    return files(spark, sf).select("path", F.array_join(render.notes(F.col("doc_id") % 7 == 0, symbols, text, tx.line_count(F.col("text"))), "; ").alias("notes"))
 
 
 # -- embeddings -------------------------------------------------------------------------------------
@@ -574,3 +600,6 @@ SELECT event_type, min(ts) AS start, count(*) AS events, array_to_string(list_so
 def debounce_sessions(spark, sf):
     events = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src_path"), F.lit(False).alias("is_directory"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return debounce.batches(events, 600, key="event_type").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "events", F.array_join("paths", ",").alias("paths"))
+
+
+from . import run_queries  # noqa: E402, F401  more queries, of runs and what they keep

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import tarfile
 import time
 import uuid
@@ -48,8 +49,9 @@ def evicted(table: DataFrame, current: DataFrame, key: str) -> DataFrame:
 
 
 def split_by_cache(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cached rows that hold, files to be done): a row holds if path and hash are the same."""
-    keys = ["path", "sha256"]
+    """(cached rows that hold, files to be done): a row holds if path and hash are the same, and the root
+    where there is one."""
+    keys = [k for k in ("root", "path", "sha256") if k != "root" or "root" in files.columns and "root" in cached.columns]
     return cached.join(files.select(*keys), keys, "left_semi"), files.join(cached.select(*keys), keys, "left_anti")
 
 
@@ -104,5 +106,38 @@ def import_archive(archive: str | Path, folder: str | Path) -> None:
         tar.extractall(folder, filter="data")
 
 
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def fetch(spark: SparkSession, uri: str, folder: str | Path) -> None:
+    """Copy a kept folder from wherever it is into a local one, which it replaces."""
+    fs, at = _hadoop(spark, uri)
+    shutil.rmtree(folder, ignore_errors=True)
+    if fs.exists(at):
+        Path(folder).parent.mkdir(parents=True, exist_ok=True)
+        fs.copyToLocalFile(False, at, spark._jvm.org.apache.hadoop.fs.Path(f"file://{Path(folder).resolve()}"), True)
+
+
+def put(spark: SparkSession, folder: str | Path, uri: str) -> None:
+    """Copy a local folder to where runs keep it, which it replaces."""
+    fs, to = _hadoop(spark, uri)
+    fs.delete(to, True)
+    if Path(folder).is_dir():
+        fs.mkdirs(to.getParent())
+        fs.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{Path(folder).resolve()}"), to)
+
+
+def kept_bytes(spark: SparkSession, uri: str) -> int:
+    fs, at = _hadoop(spark, uri)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
+def drop(spark: SparkSession, uri: str) -> None:
+    fs, at = _hadoop(spark, uri)
+    fs.delete(at, True)
+
+
 def folder_bytes(folder: str | Path) -> int:
     return sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())

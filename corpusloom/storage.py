@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder; a cluster has to name one."""
+def shared_root(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share; None where one machine runs everything and names none.
+    A cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = LOCAL_CHECKPOINTS
-    return f"{named.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_root(spark) or LOCAL_CHECKPOINTS}/corpusloom-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:

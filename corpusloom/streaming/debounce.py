@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,15 +23,32 @@ def batches(events: DataFrame, delay: float = config.DEBOUNCE_SECONDS, late: str
     """Rows (start, end, events, paths): the set of paths that changed until it was quiet for ``delay``
     seconds. Works on a stream, with a watermark, and on a table alike. ``key`` keeps trees apart."""
     rows = events.where(~F.coalesce("is_directory", F.lit(False)) & (F.coalesce("src_path", F.lit("")) != ""))
-    if events.isStreaming:
-        rows = rows.withWatermark("ts", late)
+    if not events.isStreaming:
+        return _of_table(rows, delay, key)
     session = F.session_window("ts", f"{int(delay * 1000)} milliseconds")
     # a stream's sessions need a key: without one, a column that is the same for all
-    rows = rows.withColumn("_tree", F.col(key) if key else F.substring("src_path", 1, 0))
+    rows = rows.withWatermark("ts", late).withColumn("_tree", F.col(key) if key else F.substring("src_path", 1, 0))
     found = rows.groupBy(session.alias("w"), *([key] if key else []), "_tree").agg(F.count("*").alias("events"), F.collect_set("src_path").alias("paths"))
     return found.select(*([key] if key else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", F.array_sort("paths").alias("paths"))
 
 
+def _of_table(rows: DataFrame, delay: float, key: str | None) -> DataFrame:
+    """``batches`` of a table, in which one tree may have all events: they are first added up by path and
+    step of ``delay``, within which they are of one batch, and batches are told apart on the steps."""
+    quiet = int(delay * 1_000_000)
+    tree = F.col(key) if key else F.lit(0)
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    steps = rows.groupBy(tree.alias("_tree"), F.floor(ts / F.lit(quiet)).alias("_step"), "src_path").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count("*").alias("_n"))
+    marks = steps.groupBy("_tree", "_step").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))  # as many as time has steps
+    order = Window.partitionBy("_tree").orderBy("_step")
+    fresh = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) > quiet, F.lit(True)).cast("int")
+    marks = marks.withColumn("_fresh", fresh).withColumn("_batch", F.sum("_fresh").over(order)).select(F.col("_tree").alias("_t"), F.col("_step").alias("_s"), "_batch")
+    met = steps.join(marks, F.col("_tree").eqNullSafe(F.col("_t")) & (F.col("_step") == F.col("_s")))
+    found = met.groupBy("_tree", "_batch").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.sum("_n").alias("events"), F.collect_set("src_path").alias("paths"))
+    own = [F.col("_tree").alias(key)] if key else []
+    return found.select(*own, F.timestamp_micros("lo").alias("start"), F.timestamp_micros(F.col("hi") + quiet).alias("end"), "events", F.array_sort("paths").alias("paths"))
+
+
 def relevant(found: DataFrame) -> DataFrame:
     """Batches with the watched paths alone; without any they are dropped."""
     return found.withColumn("paths", F.filter("paths", paths.is_watched)).where(F.size("paths") > 0)

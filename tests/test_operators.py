@@ -83,6 +83,25 @@ def test_other_languages(language, source, imports, names):
     assert got["partial_parse"] == (language != "scala") and not got["parse_failed"]
 
 
+@pytest.mark.parametrize(
+    ("language", "source", "imports", "names"),
+    [
+        ("typescript", "// function a() {}\n/*\nimport x from './x'\nclass B {\n}\n*/\nconst s = 'require(\"./no\")' + `\nfunction c() {}\n`\nconst r = /[\"'`]function/\nfunction d() {}\n", [], ["d"]),
+        ("javascript", "const a = `x ${f('`')}`; // it's\nimport {b} from './b' // import c from './c'\nlet e = x / y / z; function q() {}\nfunction g() {}\n", ["import {b} from './b'"], ["g"]),
+        ("go", 'package m\nimport (\n\t"a/b"\n\t_ "c/d" // "e/f"\n)\nvar s = `\n\t"g/h"\nimport "i/j"\n`\nfunc R() rune { return \'"\' }\nfunc S() {}\n', ['"a/b"', '_ "c/d"'], ["R", "S"]),
+        ("java", 'import a.B;\ninterface I {\n    int size();\n    <T> java.util.List<T> all(Class<T> c) throws E;\n}\nclass C {\n    String t = """\n    void no() {\n    """;\n    abstract void run(int a);\n    void go() {\n        foo(1);\n        return bar(2);\n        new Thing(3);\n    }\n}\n', ["import a.B;"], ["size", "all", "C", "run", "go"]),
+        ("rust", "fn a<'x>(s: &'x str) -> char { '\"' }\nlet r = r#\"\nfn no() {}\n\"#;\nfn b() {}\n", [], ["a", "b"]),
+        ("c", "#include <a.h> // #include <b.h>\nchar q = '\"';\nint f(void) {\n}\n", ["#include <a.h>"], ["f"]),
+        ("ruby", "x = <<~TEXT\n  require 'no'\ndef no\nTEXT\ny = \"#{z} # not\"\ndef f(x) # def g\nend\n", [], ["f"]),
+    ],
+)
+def test_comments_and_strings_are_no_code(language, source, imports, names):
+    got = extract.facets(source, language)
+    assert got["imports"] == imports and [s["name"] for s in got["symbols"]] == names
+    code, kept = extract.code_of(source, language)
+    assert len(code) == len(kept) == len(source) and code.count("\n") == kept.count("\n") == source.count("\n")
+
+
 def test_parse_keeps_rows(spark):
     rows = [("a.py", "python", PYTHON), ("b.py", "python", "def ("), ("c.txt", "unknown", ""), ("d.js", "javascript", "function z() {}\n")]
     parsed = extract.parse(spark.createDataFrame(rows, "path string, language string, text string"))
@@ -151,6 +170,21 @@ def test_cross_references(spark):
     assert {tuple(r) for r in resolve.cross_references(symbols, used).collect()} == {("T", "a.py", "b.py"), ("U", "b.py", "c.py")}
 
 
+@pytest.mark.parametrize(
+    ("text", "path", "modules"),
+    [
+        ("import pkg.a, pkg.sub.b as c, os", "pkg/m.py", ["a", "sub.b"]), ("from pkg import a, None_, Q", "pkg/m.py", ["a"]), ("from pkg.sub import (b,\n    x as y)", "pkg/m.py", ["sub", "sub.b"]), ("from . import a", "pkg/m.py", ["a"]),
+        ("from .sub import b", "pkg/m.py", ["sub", "sub.b"]), ("from .. import a", "pkg/sub/b.py", ["a"]), ("from ... import a", "pkg/sub/b.py", ["a"]), ("from ..sub import b", "pkg/sub/b.py", ["sub", "sub.b"]), ("import pkg", "pkg/m.py", []), ("import other.a", "pkg/m.py", []),
+        ("from pkg2 import z", "src/pkg2/y.py", ["z"]), ("from .z import q", "src/pkg2/y.py", ["z"]), ("import a", "top.py", []), ("from .missing import q", "pkg/m.py", []),
+    ],
+)
+def test_internal_modules(spark, text, path, modules):
+    known = ["pkg/__init__.py", "pkg/a.py", "pkg/m.py", "pkg/sub/__init__.py", "pkg/sub/b.py", "src/pkg2/z.py", "src/pkg2/y.py", "top.py", "a.py"]
+    files = spark.createDataFrame([(r, p) for r in "rs" for p in known], "root string, path string")
+    got = render.internal_modules(spark.createDataFrame([("r", path, text)], "root string, path string, import_text string"), files).collect()
+    assert [m for r in got for m in r.modules] == modules
+
+
 # -- graph
 
 
@@ -203,6 +237,44 @@ def test_call_paths(spark):
     assert graph.call_paths(e, nodes_of(spark, [])).count() == 0
 
 
+def brute_call_paths(pairs, entries, max_depth, max_paths):
+    fan = {}
+    for _, d in set(pairs):
+        fan[d] = fan.get(d, 0) + 1
+    out = []
+    for e in sorted(set(entries)):
+        level, ended = [([e], [])], []
+        for size in range(1, max_depth + 1):
+            grown = [(n + [d], t + [(-fan[d], d)]) for n, t in level for s, d in set(pairs) if s == n[-1] and d not in n]
+            ended += sorted((t, n) for n, t in level if size == max_depth or not any(g[:-1] == n for g, _ in grown))
+            level = grown
+        out += [n for _, n in ended]
+    return sorted(out[:max_paths], key=lambda n: (-len(n), n))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_call_paths_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(8 + 5 * seed)]
+    pairs = [(a, b) for a, b in pairs if a != b] + [("n0", f"leaf{i}") for i in range(12 * (seed == 3))]
+    entries = ["n0", "n1", "n2", "n3"][: 1 + seed]
+    for depth, n in ((5, 3), (3, 2), (2, 4), (1, 2)):
+        got = [list(r.nodes) for r in graph.call_paths(edges_of(spark, pairs), nodes_of(spark, entries), depth, n).orderBy("rank").collect()]
+        assert got == brute_call_paths(pairs, entries, depth, n)
+
+
+def test_cycles_are_given_once_from_their_least_node(spark):
+    e = edges_of(spark, [("b", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("x", "y"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "t"), ("t", "u"), ("u", "p")])
+    on = graph.cyclic(e)
+    assert {r.path for r in on.collect()} == set("abcpqrstu")
+    assert [list(r.nodes) for r in graph.cycles(e, on).collect()] == [["a", "b"], ["a", "b", "c"]]  # p to u is too long
+    text = report.cycles(on, e)
+    assert "1. `a` -> `b`\n2. `a` -> `b` -> `c`\n" in text and "Files on longer chains:\n\n- `p`\n- `q`" in text
+    assert report.cycles(on.limit(0), e) == ""
+    assert {tuple(r) for r in graph.importers(e.limit(2)).collect()} == {("a", "b"), ("b", "a")}
+    assert tuple(graph.counts(nodes_of(spark, ["a", "b", "b"]), e).first()) == (2, 12)
+
+
 # -- ranking and budget
 
 
@@ -262,6 +334,18 @@ def test_fill_against_brute_force(spark, seed):
     assert {r.path: r.charged for r in budget.fill(df, cap).collect()} == brute_fill(rows, cap)
 
 
+@pytest.mark.parametrize("step", [1, 3, 100])
+@pytest.mark.parametrize("seed", range(6))
+def test_fill_where_one_score_has_nearly_all(spark, monkeypatch, seed, step):
+    monkeypatch.setattr(budget, "STEP", step)
+    rng = random.Random(seed)
+    rows = [(f"p{i:02}", 0.0 if rng.random() < 0.9 else 0.5, rng.choice((2, 3, 3, 3)) if seed % 2 else 3, rng.choice((1, 2, 5, 40, 90))) for i in range(60)]
+    df = spark.createDataFrame(rows, "path string, score double, tier int, tokens int").repartition(4)
+    cap = (30, 61, 200, 333, 1, 800)[seed]
+    filled = budget.fill(df, cap)
+    assert {r.path: r.charged for r in filled.collect()} == brute_fill(rows, cap)
+
+
 # -- similarity
 
 

@@ -1,15 +1,22 @@
 """Sources, kept results, streams, whole runs and the command line, on temporary trees."""
 
+import base64
 import datetime
+import http.server
 import json
+import random
 import subprocess
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from corpusloom import cli, config
+from corpusloom.functions import tokens as bpe
 from corpusloom.plans import analyze as plan
+from corpusloom.plans import providers
 from corpusloom.sources import cache, repo_files
 from corpusloom.streaming import debounce, watcher
 
@@ -51,6 +58,32 @@ def test_two_roots(spark, tree):
     assert repo_files.files(spark, [str(tree / "missing")]).count() == 0
 
 
+def test_two_roots_with_the_same_paths(spark, tmp_path):
+    """Every file once, under its root's label; imports prefer the own root; commits go to their own file."""
+    a, b = tmp_path / "x/app", tmp_path / "y/app"
+    for root, files in ((a, {"src/main.py": "from . import u\nimport only_b\n", "src/u.py": "A = 1\n"}), (b, {"src/main.py": "from . import u\n", "src/u.py": "B = 1\n", "only_b.py": "C = 1\n"})):
+        for path, text in files.items():
+            (root / path).parent.mkdir(parents=True, exist_ok=True)
+            (root / path).write_text(text)
+    git(b, "init", "-q")
+    git(b, "add", "src/main.py")
+    git(b, "commit", "-qm", "one")
+    kept = f"file://{tmp_path}/kept"
+    for _ in range(2):  # the second time from what is kept
+        stages = plan.analyze(spark, [str(a), str(b)], config.Config(query="u", task="feature"), as_of=1e9, encode=cli.hashed_words, kept=kept)
+        paths = sorted(r.path for r in stages.included.collect())
+        assert paths == ["@app-2/only_b.py", "@app-2/src/main.py", "@app-2/src/u.py", "@app/src/main.py", "@app/src/u.py"]
+        assert {(r.src, r.dst) for r in stages.edges.collect()} == {("@app/src/main.py", "@app/src/u.py"), ("@app/src/main.py", "@app-2/only_b.py"), ("@app-2/src/main.py", "@app-2/src/u.py")}
+        got = {r.path: r for r in stages.signals.collect()}
+        assert len(got) == stages.signals.count() == 5 and {p for p, r in got.items() if r.freq} == {"@app-2/src/main.py"}
+        assert {round(1 / r.depth) for r in got.values()} == {2, 3}
+    text = plan.write(stages, str(a), config.Config(), as_of=1e9)
+    assert "`@app-2/src/main.py`" in text and "`@app/src/main.py`" in text
+    assert spark.read.parquet(f"{kept}/vectors").count() == 5
+    one, two = (plan.manifest_of(spark, roots, config.Config())["files"] for roots in ([str(a), str(b)], [str(a), str(a)]))
+    assert one != two
+
+
 def git(root, *args, date="2024-01-01T00:00:00"):
     subprocess.run(["git", "-C", root, "-c", "user.name=x", "-c", "user.email=x@x", *args], check=True, capture_output=True, env={"GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": date, "PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": "/tmp"})
 
@@ -118,11 +151,87 @@ def test_json_run_with_a_query_and_a_provider(spark, tree):
     assert core and all(f["summary"] == f"SUMMARY of {f['path']}" for f in core if not f["path"].endswith(("main.py",)))
 
 
+class Busy(http.server.BaseHTTPRequestHandler):
+    """A service that is busy at first, and then says what it was asked."""
+
+    seen: list[dict] = []
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["content-length"])))
+        Busy.seen.append(asked | {"key": self.headers.get("authorization")})
+        busy = len(Busy.seen) < 3
+        self.send_response(503 if busy else 400 if "refuse" in asked["messages"][0]["content"] else 200)
+        self.end_headers()
+        if not busy:
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": " A summary. "}}]}).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_providers(monkeypatch):
+    server = http.server.HTTPServer(("127.0.0.1", 0), Busy)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("OPENAI_BASE_URL", f"http://127.0.0.1:{server.server_port}/")
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    monkeypatch.setattr(time, "sleep", lambda s: None)
+    settings = config.Config(llm_enabled=True, llm_provider="openai", llm_max_tokens=9)
+    write = providers.summarizer(settings)
+    assert write("a.py", "\n  first\nsecond") == "A summary."  # the third time
+    assert len(Busy.seen) == 3 and Busy.seen[-1]["max_tokens"] == 9 and Busy.seen[-1]["key"] == "Bearer k" and "a.py" in Busy.seen[-1]["messages"][0]["content"]
+    assert write("b.py", "refuse") == "b.py: refuse" and len(Busy.seen) == 4  # what is refused isn't tried again
+    server.shutdown()
+    server.server_close()
+    assert write("c.py", "") == "c.py: empty file"
+    with pytest.raises(providers.ProviderError):
+        providers.PROVIDERS["openai"](settings)("c.py", "x")
+    assert providers.summarizer(config.Config(llm_provider="none"))("d.py", "\n one\n") == "d.py: one"
+
+
+def test_tokens_of_a_vocabulary(spark, tree):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", "def f(x): return x\n" * 9, "<|endoftext|> né", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(bpe.count(path, F.col("t")).alias("n")).collect()] == [None if t is None else len(own.encode_ordinary(t)) for t in texts]
+    cut = df.limit(2).where("t <> ''").select(bpe.truncated(path, F.col("t"), F.lit(3)).alias("c")).first().c
+    assert cut == own.decode(own.encode_ordinary(texts[1])[:3]) + bpe.NOTE
+    assert bpe.counter(public_tokenizers.path("word_bpe_49k.json"))("hello <|endoftext|>") > 2
+    stages = plan.analyze(spark, [str(tree)], config.Config(no_git=True, token_budget=150, vocabulary=path), as_of=1e9)
+    rows = stages.included.collect()
+    assert sum(r.charged for r in rows) <= 150 and all(r.token_count == len(own.encode_ordinary(r.content)) for r in rows)
+
+
 def test_search(spark, tree):
     best = plan.search(spark, [str(tree)], "helper Thing m", cli.hashed_words, 2).collect()
     assert best[0].path == "src/pkg/utils.py" and len(best) <= 2
 
 
+def test_vectors_are_kept(spark, tree, tmp_path):
+    """Only what changed is embedded again; vectors of another length are made anew."""
+    kept, log = f"file://{tmp_path}/kept", tmp_path / "log"
+
+    def encode(texts, size=3):
+        with open(log, "a") as f:
+            f.write("x" * len(texts))
+        return [[float(len(t)), 1.0, 2.0][:size] for t in texts]
+
+    def made(how=encode):
+        log.write_text("")
+        assert plan.search(spark, [str(tree)], "q", how, kept=kept).count() > 0
+        return len(log.read_text()) - 1  # the query itself
+
+    assert made() == len(KEPT) and made() == 0
+    (tree / "src/pkg/config.py").write_text("LIMIT = 4\n")
+    (tree / "README.md").unlink()
+    assert made() == 1 and spark.read.parquet(f"{kept}/vectors").count() == len(KEPT) - 1
+    assert made(lambda texts: encode(texts, 2)) == len(KEPT) - 1
+
+
 def test_parse_cache(spark, tree, tmp_path):
     kept = f"file://{tmp_path}/kept"
     files = plan.scan(spark, [str(tree)], config.Config())
@@ -185,6 +294,24 @@ def test_batches_of_a_table(spark):
     assert [r.paths for r in debounce.relevant(debounce.batches(rows)).orderBy("start").collect()] == [["src/a.py", "src/b.py", "src/c.py", "src/d.py", "src/e.py"], ["src/z.py"], ["src/late.py"]]
 
 
+@pytest.mark.parametrize("key", [None, "tree"])
+def test_batches_of_a_hot_tree(spark, key):
+    """One tree, or a null one, has nearly all events, most at the same places."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a.py", "b.py", f"c{i % 7}.py"]), False, rng.randrange(400) / 2, None if i % 10 else "t") for i in range(3000)]
+    df = spark.createDataFrame(rows, "src_path string, is_directory boolean, s double, tree string").withColumn("ts", F.timestamp_seconds("s"))
+    want = []
+    for t in {r[3] if key else 0 for r in rows}:
+        own, last = sorted((s, p) for p, _, s, k in rows if not key or k == t), None
+        for s, p in own:
+            if last is None or s - last > 0.5:
+                want.append([t, s, 0, 0, set()])
+            want[-1][2:4], last = [s + 0.5, want[-1][3] + 1], s
+            want[-1][4].add(p)
+    got = [(r.tree if key else 0, r.start.timestamp(), r.end.timestamp(), r.events, set(r.paths)) for r in debounce.batches(df, 0.5, key=key).collect()]
+    assert sorted(got, key=repr) == sorted(map(tuple, want), key=repr)
+
+
 def test_batches_of_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text("\n".join(map(json.dumps, EVENTS)))
@@ -230,9 +357,20 @@ def test_commands(spark, tree, tmp_path, monkeypatch, capsys):
     assert "src/pkg" in capsys.readouterr().out
     assert cli.main(["cache", "info", "--root", str(tree)]) == 0
     assert int(capsys.readouterr().out.split()[-2]) > 0
+    parsed = lambda: spark.read.parquet(f"{cli.kept_folder(spark, str(tree))}/parsed").count()
     assert cli.main(["cache", "export", str(tmp_path / "c.tgz"), "--root", str(tree)]) == 0
-    assert cli.main(["cache", "clear", "--root", str(tree)]) == 0
+    assert parsed() == len(KEPT) and cli.main(["cache", "clear", "--root", str(tree)]) == 0
+    assert not cli.cache_dir(str(tree)).exists()
+    capsys.readouterr()
+    # packed and unpacked also where what is kept lies in a shared folder
+    monkeypatch.setattr(cli, "kept_folder", lambda spark, root: f"file://{tmp_path}/shared/kept")
     assert cli.main(["cache", "import", str(tmp_path / "c.tgz"), "--root", str(tree)]) == 0
+    assert parsed() == len(KEPT) and cli.main(["cache", "export", str(tmp_path / "d.tgz"), "--root", str(tree)]) == 0
+    assert cli.main(["cache", "info", "--root", str(tree)]) == 0
+    assert "last changed 2" in capsys.readouterr().out
+    assert cli.main(["cache", "clear", "--root", str(tree)]) == 0 and not (tmp_path / "shared/kept").exists()
+    assert cli.main(["analyze", str(tree), "--no-git", "--verbose", "--vocabulary", ""]) == 0
+    assert "on cycles" in capsys.readouterr().out
     assert cli.main(["analyze", str(tree / "none")]) == 1
     with pytest.raises(SystemExit) as e:
         cli.main(["--version"])
