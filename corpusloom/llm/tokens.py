@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: Fixed: the id that ends a document.
 END_ID = 1
 #: Bytes of texts that are best encoded together: what is held meanwhile is some twenty times that.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 #: Signs that end a word as a token of their own.
 _TAILS = (",", ".")
 #: First bytes of the combining marks that ASCII letters can be composed with (U+0300 to U+037F).
