@@ -8,7 +8,8 @@ language is the one that labels most of its letters, its score that share of all
 Most texts have one language. Viterbi's answer is a single span if no stretch of words gains more
 than the penalty by any other language, nor a first and a last stretch together, as a path that
 leaves the best language altogether has one switch less than it has stretches. Running sums show
-both at once; only other texts go through the word-by-word walk. The answer is the same.
+both at once; only other texts go through the word-by-word walk, many of them side by side. The answer
+is the same.
 
 The model is fitted on ``SAMPLE`` labelled documents at most, those whose hashed doc_id is least;
 counts are gathered as hashed tables of fixed size, so neither texts nor what grows with the corpus
@@ -132,26 +133,49 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, out[0], out[1], out[2] >= SCRIPT_SHARE * np.maximum(out[2].sum(axis=0), 1))
 
 
-def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The language of each word: the path of the highest sum of scores less ``switch`` for each
-    change. s: [words, languages]."""
+def single(s: np.ndarray, switch: float) -> int | None:
+    """The language of all words, if running sums show that no switch pays. s: [words, languages]."""
     best = int(s.sum(axis=0).argmax())
     gain = np.cumsum(s - s[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, s.shape[1])), gain[:-1]]), axis=0)
-    if (gain - low).max() <= switch and gain.max() + (gain[-1] - low[-1]).max() <= switch:
-        return np.full(len(s), best)
-    came = np.empty(s.shape, np.int64)
-    v, stay = s[0].copy(), np.arange(s.shape[1])
-    for t in range(1, len(s)):
-        top = int(v.argmax())
-        other = v[top] - switch
-        came[t] = np.where(v >= other, stay, top)
-        v = np.maximum(v, other) + s[t]
-    path = np.empty(len(s), np.int64)
-    path[-1] = v.argmax()
-    for t in range(len(s) - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
+    return best if (gain - low).max() <= switch and gain.max() + (gain[-1] - low[-1]).max() <= switch else None
+
+
+def walk(texts: list[np.ndarray], switch: float) -> list[np.ndarray]:
+    """Viterbi's walk over the words of many texts at once, a word of each in one step."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    size = np.array([len(texts[i]) for i in order])
+    first = np.cumsum(size) - size
+    s = np.concatenate([texts[i] for i in order])
+    came = np.empty(s.shape, np.int32)
+    v, stay = s[first], np.arange(s.shape[1])
+    open_ = np.searchsorted(-size, -np.arange(size[0]))  # texts that have a word t
+    for t in range(1, size[0]):
+        n = open_[t]
+        at, now = first[:n] + t, v[:n]
+        top = now.argmax(axis=1)
+        other = (now[np.arange(n), top] - switch)[:, None]
+        came[at] = np.where(now >= other, stay, top[:, None])
+        v[:n] = np.maximum(now, other) + s[at]
+    path, state = np.empty(len(s), np.int64), v.argmax(axis=1)
+    for t in range(size[0] - 1, -1, -1):
+        n = open_[t]
+        at = first[:n] + t
+        path[at] = state[:n]
+        if t:
+            state[:n] = came[at, state[:n]]
+    out: list[np.ndarray] = [path] * len(texts)
+    for i, x, n in zip(order, first.tolist(), size.tolist(), strict=True):
+        out[i] = path[x : x + n]
+    return out
+
+
+def viterbi(texts: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
+    """The language of each word of each text: the path of the highest sum of scores less ``switch`` for
+    each change. texts: [words, languages] each, none without words."""
+    best = [single(s, switch) for s in texts]
+    walked = iter(walk([s for s, x in zip(texts, best, strict=True) if x is None], switch) if None in best else ())
+    return [next(walked) if x is None else np.full(len(s), x) for s, x in zip(texts, best, strict=True)]
 
 
 class Labeller:
@@ -189,20 +213,22 @@ class Labeller:
         if new := [w for w in distinct if w not in self._number]:
             self._learn(new)
         number, all_known = self._number, bool(self._known.all())
+        rows, letters = [], []
         for words in split:
             ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            letters = self._size[ids].sum()
-            if not all_known:
-                ids = ids[self._known[ids]]
+            letters.append(self._size[ids].sum())
+            rows.append(ids if all_known else ids[self._known[ids]])
+        paths = iter(viterbi([self._scores[ids] for ids in rows if len(ids)]) if langs else ())
+        for ids, n in zip(rows, letters, strict=True):
             if not len(ids) or not langs:
                 yield "und", 0.0, []
                 continue
-            path = viterbi(self._scores[ids])
+            path = next(paths)
             weight = np.bincount(path, self._size[ids], len(langs))
             top = int(weight.argmax())
             cut = np.flatnonzero(np.diff(path)) + 1
             spans = [(int(y - x), langs[path[x]]) for x, y in zip([0, *cut], [*cut, len(path)], strict=True)]
-            yield langs[top], float(weight[top] / letters), spans
+            yield langs[top], float(weight[top] / n), spans
 
 
 def label(texts: list[str], model: Model) -> Iterator[tuple[str, float, list[tuple[int, str]]]]:

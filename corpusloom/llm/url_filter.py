@@ -126,12 +126,22 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) ->
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "of_class", F.lit("allow")).alias("verdict"))
 
 
-#: The same result in DuckDB for pages without aliases among them, with the query's rules.
+#: The same result in DuckDB, with the query's rules, where pages name their aliases by whole addresses:
+#: classes are the closure of all links.
 ORACLE_SQL = r"""
-WITH r(rule_host, rule_path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-             regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-m AS (SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS k
-      FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
-SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.k = 1
+WITH RECURSIVE r(rule_host, rule_path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+tag AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM pages WHERE contains(url, '://')),
+alias AS (SELECT url, CASE WHEN regexp_matches(t, '(?i)^<link') AND regexp_matches(t, '(?i)\srel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(t, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
+                 WHEN regexp_matches(t, '(?i)^<meta') AND regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?i)[;,\s"'']url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END AS target FROM tag),
+u0(page_id, url) AS (SELECT page_id, coalesce(url, '') FROM pages UNION ALL SELECT NULL, target FROM alias WHERE contains(target, '://')),
+u AS (SELECT *, lower(regexp_extract(url, '^((?s:.*?)://)', 1)) || host || CASE WHEN rest = '' THEN '/' ELSE rest END AS node
+      FROM (SELECT page_id, url, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) AS rest FROM u0)),
+e AS (SELECT DISTINCT x.node AS a, y.node AS b FROM alias JOIN u x ON x.url = alias.url JOIN u y ON y.url = alias.target WHERE contains(alias.target, '://')),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+m AS (SELECT url, rule_host || rule_path AS rule, verdict FROM (SELECT DISTINCT url, host, path FROM u) JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC) = 1),
+c AS (SELECT reach.a AS node, min(m.verdict) AS of_class FROM reach JOIN u ON u.node = reach.b JOIN m ON m.url = u.url GROUP BY reach.a)
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, c.of_class, 'allow') AS verdict FROM u LEFT JOIN m ON u.url = m.url LEFT JOIN c ON u.node = c.node WHERE page_id IS NOT NULL
 """

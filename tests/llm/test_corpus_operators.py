@@ -1,6 +1,7 @@
 """Operators across documents and the pipeline: against brute force, planted cases and odd inputs."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -302,6 +303,27 @@ def test_aliases_take_their_class_decision(spark):
     assert {r.verdict for r in url_filter.judge(pages, url_filter.rule_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_aliases_against_the_sql(spark):
+    """Chains, stars and loops of aliases by whole addresses."""
+    import duckdb
+
+    rng = random.Random(4)
+    urls = [f"http://{h}/{p}{i}" for i, (h, p) in enumerate((rng.choice(("a.com", "x.example.com", "b.net", "y.example.net", "c.org", "plain.io")), rng.choice(("en/", "de/", "es/", "en/7", "de/8", "q"))) for _ in range(120))]
+    rows = []
+    for i, u in enumerate(urls):
+        to = rng.choice(urls[max(0, i - 5) : i + 6]) if rng.random() < 0.5 else None
+        link = "" if to is None else f'<link rel="canonical" href="{to}">' if i % 2 else f'<meta http-equiv="refresh" content="0; url={to}">'
+        rows.append((i, u, f"<html><head>{link}</head></html>"))
+    rows += [(200, None, None), (201, "none", ""), (202, urls[3].upper().replace("HTTP", "http"), "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in url_filter.judge(pages, url_filter.rule_table(spark)).collect())
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert got == sorted(con.execute(url_filter.ORACLE_SQL).fetchall())
+    ruled = [r for r in got if r[3] is None and r[4] == "block"]
+    assert ruled, "some page is blocked by an alias alone"
+
+
 # -- the pipeline
 
 

@@ -331,17 +331,43 @@ def test_scripts_that_no_language_uses_lower_the_score(spark):
 
 
 def test_viterbi_leaves_the_best_single_language_altogether():
-    assert langid.viterbi(np.array([[3.0, 0, -9], [-9, 0, 3]]), 4.0).tolist() == [0, 2]
-    assert langid.viterbi(np.array([[1.0, 5, 0], [4, 0, 5]]), 4.0).tolist() == [1, 2]
+    got = langid.viterbi([np.array([[3.0, 0, -9], [-9, 0, 3]]), np.array([[1.0, 0, 0]]), np.array([[1.0, 5, 0], [4, 0, 5]])], 4.0)
+    assert [x.tolist() for x in got] == [[0, 2], [0], [1, 2]]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.lists(st.integers(-9, 9), min_size=3, max_size=3), min_size=1, max_size=25))
-def test_viterbi_is_optimal(s):
-    s = np.array(s, float)
-    path = langid.viterbi(s, 4.0)
-    value = s[np.arange(len(s)), path].sum() - 4.0 * np.count_nonzero(np.diff(path))
-    assert value == brute_viterbi(s.tolist(), 4.0)[0]
+@given(st.lists(st.lists(st.lists(st.integers(-9, 9), min_size=3, max_size=3), min_size=1, max_size=25), min_size=1, max_size=6))
+def test_viterbi_is_optimal(texts):
+    texts = [np.array(s, float) for s in texts]
+    for s, path in zip(texts, langid.viterbi(texts, 4.0), strict=True):
+        value = s[np.arange(len(s)), path].sum() - 4.0 * np.count_nonzero(np.diff(path))
+        assert value == brute_viterbi(s.tolist(), 4.0)[0]
+
+
+def test_viterbi_of_random_texts():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(-9, 10, (rng.integers(1, 8), 3)).astype(float) for _ in range(3000)]
+    for s, path in zip(texts, langid.viterbi(texts, 4.0), strict=True):
+        assert s[np.arange(len(s)), path].sum() - 4.0 * np.count_nonzero(np.diff(path)) == brute_viterbi(s.tolist(), 4.0)[0]
+
+
+def test_labels_against_brute_force(spark):
+    """Of whole texts: scores of words one by one, all paths, shares of letters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.where("n_chars < 600").limit(60).collect()]
+    texts += [f"{a[:200]} {b[:200]} {c[:100]}" for a, b, c in zip(texts, texts[1:], texts[2:])] + ["x1 2", "1 2", "", "漢字 the"]
+    for text, (lang, score, spans) in zip(texts, langid.Labeller(model, kept=300).label(texts), strict=True):
+        words = [w for w in re.findall(r"[^\W\d_]+", text.lower())]
+        known = [(w, model.scores([w])[0]) for w in words if any(map(str.isalpha, w))]
+        known = [(w, s) for w, s in known if not np.isnan(s).any()]
+        if not known:
+            assert (lang, score, spans) == ("und", 0.0, [])
+            continue
+        _, path = brute_viterbi([s.tolist() for _, s in known], langid.SWITCH)
+        letters = [sum(len(w) for (w, _), k in zip(known, path) if k == i) for i in range(len(model.langs))]
+        assert (lang, score) == (model.langs[int(np.argmax(letters))], pytest.approx(max(letters) / sum(len(w) for w in words if any(map(str.isalpha, w)))))
+        assert [x for n, x in spans for _ in range(n)] == [model.langs[k] for k in path]
 
 
 def test_mixed_texts_have_spans(spark):
