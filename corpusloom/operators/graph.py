@@ -7,11 +7,13 @@ the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..storage import stored
+from ..storage import stored, stored_counted
 
 
 def edges(imports: DataFrame, references: DataFrame | None = None) -> DataFrame:
@@ -47,14 +49,16 @@ def distances(edges_: DataFrame, sources: DataFrame, both_ways: bool = True, max
     if both_ways:
         steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     steps = stored(steps.distinct(), "steps")
-    frontier = stored(sources.select("path").distinct().withColumn("dist", F.lit(0)), "frontier")
-    seen, hop = frontier, 0
-    while not frontier.isEmpty() and (max_hops is None or hop < max_hops) and (target is None or seen.where(F.col("path") == target).isEmpty()):
-        hop += 1
-        ahead = steps.join(frontier.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
-        frontier = stored(ahead.join(seen, "path", "left_anti").withColumn("dist", F.lit(hop)), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen
+    found = F.col("path") == target if target is not None else F.lit(False)
+    first, (n, hit) = stored_counted(sources.select("path").distinct().withColumn("dist", F.lit(0)), "frontier", F.lit(True), found)
+    hops = [first]
+    while n and not hit and (max_hops is None or len(hops) <= max_hops):
+        ahead = steps.join(hops[-1].select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
+        # along both ways a step leads no further back than to the hop before
+        known = reduce(DataFrame.unionByName, hops[-2:] if both_ways else hops)
+        new, (n, hit) = stored_counted(ahead.join(known, "path", "left_anti").withColumn("dist", F.lit(len(hops))), "frontier", F.lit(True), found)
+        hops.append(new)
+    return reduce(DataFrame.unionByName, hops)
 
 
 def distance(edges_: DataFrame, source: str, target: str) -> int | None:
@@ -71,29 +75,33 @@ def cyclic(edges_: DataFrame) -> DataFrame:
     name that reaches it; from the nodes that kept their own, the walk back among equal names finds
     their components, which are taken out. What is left goes round again.
     """
-    left = stored(edges_.where("src <> dst").select("src", "dst").distinct(), "left")
+    left, (n,) = stored_counted(edges_.where("src <> dst").select("src", "dst").distinct(), "left")
     found = left.select(F.col("src").alias("path")).limit(0)
     while True:
-        n = -1
-        while n != (n := left.count()):
-            ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-            left = stored(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "left")
+        before = -1
+        while n and before != n:
+            before, trimmed = n, left
+            for _ in range(2):  # two rounds in one table
+                ins, outs = trimmed.select(F.col("dst").alias("src")).distinct(), trimmed.select(F.col("src").alias("dst")).distinct()
+                trimmed = trimmed.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
+            left, (n,) = stored_counted(trimmed, "left")
         if not n:
             return found.distinct()
-        color = stored(left.select(F.col("src").alias("path")).distinct().withColumn("color", F.col("path")), "color")
-        while True:
-            came = left.join(color.withColumnRenamed("path", "src"), "src").groupBy(F.col("dst").alias("path")).agg(F.max("color").alias("c"))
-            new = stored(color.join(came, "path", "left").select("path", F.greatest("color", "c").alias("color"), (F.coalesce(F.col("c") > F.col("color"), F.lit(False))).alias("up")), "color")
-            color = new.drop("up")
-            if new.where("up").isEmpty():
-                break
+        color, up = stored(left.select(F.col("src").alias("path")).distinct().withColumn("color", F.col("path")), "color"), 1
+        while up:
+            new = color.withColumn("was", F.col("color"))
+            for _ in range(2):
+                came = left.join(new.select(F.col("path").alias("src"), "color"), "src").groupBy(F.col("dst").alias("path")).agg(F.max("color").alias("c"))
+                new = new.join(came, "path", "left").select("path", F.greatest("color", "c").alias("color"), "was")
+            new, (up,) = stored_counted(new, "color", F.col("color") > F.col("was"))
+            color = new.drop("was")
         of = color.withColumnsRenamed({"path": "src", "color": "a"})
         same = stored(left.join(of, "src").join(color.withColumnsRenamed({"path": "dst", "color": "b"}), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "same")
         roots = color.where("path = color").select("path")
         own = stored(distances(same, roots, both_ways=False).select("path").join(color, "path"), "own")
         large = own.groupBy("color").count().where("count > 1").select("color")
         found = stored(found.unionByName(own.join(large, "color", "left_semi").select("path")), "found")
-        left = stored(left.join(own.select(F.col("path").alias("src")), "src", "left_anti").join(own.select(F.col("path").alias("dst")), "dst", "left_anti"), "left")
+        left, (n,) = stored_counted(left.join(own.select(F.col("path").alias("src")), "src", "left_anti").join(own.select(F.col("path").alias("dst")), "dst", "left_anti"), "left")
 
 
 def call_paths(edges_: DataFrame, entries: DataFrame, max_depth: int = 5, max_paths: int = 3) -> DataFrame:

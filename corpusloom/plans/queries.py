@@ -80,8 +80,8 @@ def nations(spark: SparkSession, sf: str) -> DataFrame:
 def suppliers(spark: SparkSession, sf: str, task: str) -> DataFrame:
     """Signals of suppliers as ranked entities."""
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate")
-    as_of = line.agg(F.max(seconds(F.col("l_shipdate"))).alias("t")).first()["t"]
-    sold = line.groupBy("l_suppkey").agg(F.count("*").alias("freq"), F.max(seconds(F.col("l_shipdate"))).alias("last_ts"))
+    sold = stored(line.groupBy("l_suppkey").agg(F.count("*").alias("freq"), F.max(seconds(F.col("l_shipdate"))).alias("last_ts")), "sold")
+    as_of = sold.agg(F.max("last_ts").alias("t")).first()["t"]
     parts = line.select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("symbols"))
     buyers = line.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("fan_in"))
     edges = trade(spark, sf)
