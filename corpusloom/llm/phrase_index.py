@@ -69,13 +69,19 @@ def build(docs: DataFrame, block_bytes: int = 1_000_000) -> DataFrame:
                 lists = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(terms)))]).astype("<u4")
                 whole = (b" ".join(terms), lists, positions)
                 del terms, ids
-                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), *[_listed(b.column(k)[lo:hi]) for k in (0, 1)], *[pa.array([memoryview(x)], pa.binary()) for x in (bounds, *whole)]], _INDEX)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), *[_listed(b.column(k)[lo:hi]) for k in (0, 1)], *[_cell(x) for x in (bounds, *whole)]], _INDEX)
                 seq += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return common.stored_large(common.mapped(rows, index, INDEX), "postings")
 
 
+def _cell(x: bytes | np.ndarray) -> pa.Array:
+    """One binary value, not copied."""
+    ends = np.array([0, len(x) if isinstance(x, bytes) else x.nbytes], np.int32)
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
 def _listed(values: pa.Array) -> pa.ListArray:
     """One list of all values."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)

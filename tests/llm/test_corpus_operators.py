@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 import pytest
@@ -112,6 +113,15 @@ def test_items_without_an_id_still_contaminate(spark, part_words):
 
 
 
+def test_cells_let_go_of_their_arrays():
+    """Else a worker keeps every list it ever wrote."""
+    x = np.arange(1000, dtype="<u4")
+    cell, held = phrase_index._cell(x), weakref.ref(x)
+    assert cell[0].as_py() == x.tobytes() and phrase_index._cell(b"ab")[0].as_py() == b"ab" and phrase_index._cell(x[:0])[0].as_py() == b""
+    del x, cell
+    assert held() is None
+
+
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "cat the sat"), (3, "mat x x x x the cat"), (4, "the"), (5, "cat")], "doc_id long, text string")
     index = phrase_index.build(docs)
