@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import hashlib
+import re
 import shutil
 import sys
 import time
@@ -34,13 +35,22 @@ def kept_folder(spark, root: str) -> str:
     return f"{named}/corpusloom-kept/{place.name}" if named else f"file://{place}/tables"
 
 
-def hashed_words(texts: list[str], size: int = 256) -> list[list[float]]:
-    """Vectors without a model: counts of words, by hash. A stand-in where no encoder is given."""
+def hashed_words(texts: list[str], size: int = 512) -> list[list[float]]:
+    """Vectors without a model, where no encoder is given: the words of a text, names cut at capitals and
+    underscores, and the three-letter pieces of longer ones, so that forms of a word are near each
+    other; by signed hashes, often used ones with less weight."""
     out = []
     for t in texts:
+        counts: dict[str, float] = {}
+        for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+", t):
+            w = w.lower()
+            counts[w] = counts.get(w, 0) + 1
+            for i in range(len(w) - 2 if len(w) > 3 else 0):
+                counts[f"~{w[i : i + 3]}"] = counts.get(f"~{w[i : i + 3]}", 0) + 1 / len(w)
         v = [0.0] * size
-        for w in t.lower().replace("_", " ").split():
-            v[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "big") % size] += 1.0
+        for w, n in counts.items():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            v[h % size] += (1.0 if h >> 63 else -1.0) * n**0.5
         out.append(v)
     return out
 

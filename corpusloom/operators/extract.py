@@ -246,6 +246,47 @@ def parse(files: DataFrame) -> DataFrame:
     return parsed.withColumns({"line_count": tx.line_count(F.col("text")), "file_size_bytes": tx.byte_size(F.col("text"))})
 
 
+_SPEC = re.compile(r";[^\n]*|\"(?:\\.|[^\"\\])*\"|[()\[\]]|@[A-Za-z0-9_]+|[^\s()\[\]@\";]+")
+#: What a capture of a query makes of the node it stands after.
+SPEC_KINDS = {"import": "import", "from_import": "import", "function": "function", "method": "function", "class": "class"}
+
+
+def spec_patterns(text: str) -> list[tuple[str, str]]:
+    """(node type, capture) of each outermost pattern of a syntax query that has a capture right after
+    it: ``(function_definition name: (identifier) @name) @function``."""
+    out, depth, node, closed = [], 0, None, False
+    for token in _SPEC.findall(text):
+        if token[0] in ";\"":
+            continue
+        if token == "(":
+            depth += 1
+            if depth == 1:
+                node, closed = None, False
+        elif token == ")":
+            depth = max(depth - 1, 0)
+            closed = depth == 0
+        elif token[0] == "@":
+            if closed and node:
+                out.append((node, token[1:]))
+            closed = False
+        elif depth == 1 and node is None:
+            node = token
+        elif depth == 0:
+            closed = False
+    return out
+
+
+def spec_types(specs: DataFrame) -> DataFrame:
+    """Rows (language, kind, node_type) of syntax queries (language, text): which node types are imports,
+    functions and classes, each once; other captures say nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(lang, SPEC_KINDS[c], n) for lang, t in zip(b["language"], b["text"], strict=True) for n, c in spec_patterns(t or "") if c in SPEC_KINDS], columns=["language", "kind", "node_type"])
+
+    return specs.select("language", "text").mapInPandas(run, "language string, kind string, node_type string").distinct()
+
+
 def health(parsed: DataFrame) -> DataFrame:
     """Files by language: all, parsed, failed."""
     return parsed.groupBy("language").agg(F.count("*").alias("total"), F.count_if(~F.col("parse_failed")).alias("success"), F.count_if(F.col("parse_failed")).alias("failed"))

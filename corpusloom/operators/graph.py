@@ -2,7 +2,8 @@
 
 Walks are loops over a frontier: each hop joins the frontier with the edges, drops what was seen, and
 is written to the shared folder; a hop costs its frontier's edges, and no path or node set comes to
-the driver.
+the driver. Only a graph that is known to have ``SMALL`` edges at most, as most source trees do, is
+walked on the driver, where a hop costs no job.
 """
 
 from __future__ import annotations
@@ -16,6 +17,16 @@ from ..functions import paths
 from ..storage import stored, stored_counted
 
 
+#: Edges and sources of a graph that is walked on the driver.
+SMALL = 20_000
+
+
+def _rows(table: DataFrame) -> list[tuple] | None:
+    """All rows, if there are SMALL at most; else None."""
+    found = table.limit(SMALL + 1).collect()
+    return None if len(found) > SMALL else [tuple(r) for r in found]
+
+
 def edges(imports: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Distinct edges without loops; where an import and a symbol join the same files, the import
     names the edge."""
@@ -49,6 +60,8 @@ def distances(edges_: DataFrame, sources: DataFrame, both_ways: bool = True, max
     if both_ways:
         steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     steps = stored(steps.distinct(), "steps")
+    if (known := _rows(steps)) is not None and (starts := _rows(sources.select("path").distinct())) is not None:
+        return edges_.sparkSession.createDataFrame(_near(known, [p for (p,) in starts], max_hops, target), "path string, dist int")
     found = F.col("path") == target if target is not None else F.lit(False)
     first, (n, hit) = stored_counted(sources.select("path").distinct().withColumn("dist", F.lit(0)), "frontier", F.lit(True), found)
     hops = [first]
@@ -61,6 +74,19 @@ def distances(edges_: DataFrame, sources: DataFrame, both_ways: bool = True, max
     return reduce(DataFrame.unionByName, hops)
 
 
+def _near(steps: list[tuple[str, str]], starts: list[str], max_hops: int | None, target: str | None) -> list[tuple[str, int]]:
+    """``distances`` of a small graph."""
+    ahead: dict[str, list[str]] = {}
+    for a, b in steps:
+        ahead.setdefault(a, []).append(b)
+    dist, frontier, hop = dict.fromkeys(starts, 0), starts, 0
+    while frontier and (max_hops is None or hop < max_hops) and (target is None or target not in dist):
+        hop += 1
+        frontier = list({b for a in frontier for b in ahead.get(a, ()) if b not in dist})
+        dist |= dict.fromkeys(frontier, hop)
+    return list(dist.items())
+
+
 def distance(edges_: DataFrame, source: str, target: str) -> int | None:
     """Hops along edges from one node to another; None if there is no way."""
     start = edges_.sparkSession.createDataFrame([(source,)], "path string")
@@ -72,10 +98,13 @@ def cyclic(edges_: DataFrame) -> DataFrame:
     """Nodes (path) on a cycle: those of strongly connected components of two nodes or more.
 
     Nodes without a way in or out are trimmed until none is left. Then each node takes the greatest
-    name that reaches it; from the nodes that kept their own, the walk back among equal names finds
-    their components, which are taken out. What is left goes round again.
+    name that reaches it, and with each step also the name that its name's node has by then, so that
+    names don't have to walk long ways edge by edge; from the nodes that kept their own, the walk back
+    among equal names finds their components, which are taken out. What is left goes round again.
     """
     left, (n,) = stored_counted(edges_.where("src <> dst").select("src", "dst").distinct(), "left")
+    if n <= SMALL:
+        return edges_.sparkSession.createDataFrame([(p,) for p in _on_cycles(_rows(left))], "path string")
     found = left.select(F.col("src").alias("path")).limit(0)
     while True:
         before = -1
@@ -93,6 +122,8 @@ def cyclic(edges_: DataFrame) -> DataFrame:
             for _ in range(2):
                 came = left.join(new.select(F.col("path").alias("src"), "color"), "src").groupBy(F.col("dst").alias("path")).agg(F.max("color").alias("c"))
                 new = new.join(came, "path", "left").select("path", F.greatest("color", "c").alias("color"), "was")
+            further = color.select(F.col("path").alias("color"), F.col("color").alias("c"))
+            new = new.join(further, "color").select("path", F.greatest("color", "c").alias("color"), "was")
             new, (up,) = stored_counted(new, "color", F.col("color") > F.col("was"))
             color = new.drop("was")
         of = color.withColumnsRenamed({"path": "src", "color": "a"})
@@ -104,6 +135,43 @@ def cyclic(edges_: DataFrame) -> DataFrame:
         left, (n,) = stored_counted(left.join(own.select(F.col("path").alias("src")), "src", "left_anti").join(own.select(F.col("path").alias("dst")), "dst", "left_anti"), "left")
 
 
+def _on_cycles(steps: list[tuple[str, str]]) -> list[str]:
+    """``cyclic`` of a small graph, by one walk that keeps what is still open (Tarjan)."""
+    ahead: dict[str, list[str]] = {}
+    for a, b in steps:
+        ahead.setdefault(a, []).append(b)
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    held: set[str] = set()
+    out: list[str] = []
+    for start in ahead:
+        work = [] if start in number else [(start, iter(ahead[start]))]
+        while work:
+            node, after = work[-1]
+            if node not in number:
+                number[node] = low[node] = len(number)
+                open_.append(node)
+                held.add(node)
+            for b in after:
+                if b not in number:
+                    work.append((b, iter(ahead.get(b, ()))))
+                    break
+                if b in held:
+                    low[node] = min(low[node], number[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(open_.pop())
+                    held.difference_update(own)
+                    out += own if len(own) > 1 else []
+    return out
+
+
 def call_paths(edges_: DataFrame, entries: DataFrame, max_depth: int = 5, max_paths: int = 3) -> DataFrame:
     """Rows (rank, nodes): paths from entries to where they can't go on, or ``max_depth`` nodes.
 

@@ -86,7 +86,7 @@ def _chat(model: str, text: str, most: int) -> dict[str, Any]:
     return {"model": model, "max_tokens": most, "temperature": 0, "messages": [{"role": "user", "content": text}]}
 
 
-#: Makers of summarizers by name; more can be added.
+#: Makers of summarizers by name; more can be added. Default models and public addresses.
 PROVIDERS: dict[str, Provider] = {
     "openai": Service("gpt-4o-mini", "https://api.openai.com/v1/chat/completions", "OPENAI_BASE_URL", "OPENAI_API_KEY", lambda k: {"authorization": f"Bearer {k}"}, _chat, lambda x: x["choices"][0]["message"]["content"]),
     "anthropic": Service("claude-3-5-haiku-latest", "https://api.anthropic.com/v1/messages", "ANTHROPIC_BASE_URL", "ANTHROPIC_API_KEY", lambda k: {"x-api-key": k, "anthropic-version": "2023-06-01"}, _chat, lambda x: x["content"][0]["text"]),

@@ -295,7 +295,7 @@ def recency(spark, sf):
 @query("""WITH x AS (SELECT CAST(event_id AS VARCHAR) AS sha, ts, event_type, 'u' || user_id AS path FROM events WHERE epoch(ts) >= (SELECT max(epoch(ts)) FROM events) - 2 * 86400),
 c AS (SELECT '- `' || left(sha, 8) || '` (' || strftime(ts, '%Y-%m-%d') || ') ' || event_type AS l, row_number() OVER (ORDER BY ts DESC, sha) AS k FROM x),
 p AS (SELECT DISTINCT path FROM x), t AS (SELECT path, row_number() OVER (ORDER BY path) AS k, count(*) OVER () AS n FROM p)
-SELECT '### Commits' || chr(10) || chr(10) || (SELECT string_agg(l, chr(10) ORDER BY k) FROM c WHERE k <= 5000) || chr(10) || chr(10) || '### Files' || chr(10) || chr(10) || (SELECT string_agg('- `' || path || '`', chr(10) ORDER BY k) FROM t WHERE k <= 50)
+SELECT '### Commits' || chr(10) || chr(10) || (SELECT string_agg(l, chr(10) ORDER BY k) FROM c) || chr(10) || chr(10) || '### Files' || chr(10) || chr(10) || (SELECT string_agg('- `' || path || '`', chr(10) ORDER BY k) FROM t WHERE k <= 50)
   || (SELECT CASE WHEN count(*) > 50 THEN chr(10) || '- ... and ' || (count(*) - 50) || ' more' ELSE '' END FROM p) || chr(10) AS markdown""")
 def recent_changes(spark, sf):
     log = changes(spark, sf)

@@ -26,8 +26,11 @@ from .queries import COSTS, FILES, MODULES, TRADE, WALK, charged_rows, files, mo
 
 
 def workspace(spark: SparkSession) -> Path:
-    """A new folder in the shared one."""
-    place = Path(urlparse(shared_dir(spark)).path) / f"trees-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which has to be mounted: sources read trees as plain folders."""
+    at = urlparse(shared_dir(spark))
+    if at.scheme not in ("", "file"):
+        raise RuntimeError(f"trees need a mounted folder, not {at.scheme}")
+    place = Path(at.path) / f"trees-{uuid.uuid4().hex}"
     place.mkdir(parents=True)
     return place
 
@@ -258,6 +261,19 @@ def parse_languages(spark, sf):
     return extract.parse(rows).select("doc_id", "language", found.alias("symbols"), F.array_join("imports", "|").alias("imports"))
 
 
+@query("""WITH s AS (SELECT doc_id, lang FROM documents)
+SELECT DISTINCT lang AS language, kind, node_type FROM (SELECT lang, 'function' AS kind, 'function_' || doc_id % 50 AS node_type FROM s UNION ALL SELECT lang, 'import', 'import_' || doc_id % 7 FROM s UNION ALL SELECT lang, 'class', 'class_' || doc_id FROM s WHERE doc_id % 3 = 0
+  UNION ALL SELECT lang, 'function', 'method_' || doc_id % 3 FROM s)""")
+def syntax_specs(spark, sf):
+    """Node types of syntax queries by what they are."""
+    n, three = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    text = F.concat(
+        F.lit("; (comment_type) @class\n(function_"), (F.col("doc_id") % 50).cast("string"), F.lit(" name: (identifier) @name\n  body: (block (inner) @class)) @function\n(import_"), (F.col("doc_id") % 7).cast("string"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit(") @import\n(class_")).otherwise(F.lit(' "(") @from_import (class_')), n, F.when(three == 0, F.lit(") @class")).otherwise(F.lit(") @decorated (uncaptured)\n")), F.lit("\n( method_"), three.cast("string"), F.lit(") @method"),
+    )
+    return extract.spec_types(table(spark, sf, "documents").select(F.col("lang").alias("language"), text.alias("text")))
+
+
 @query("SELECT 'p' || doc_id AS path, upper(source) AS name, 'toy' AS kind, 'x-' || doc_id AS imports FROM documents")
 def parser_plugin(spark, sf):
     """A language that a plug-in knows."""

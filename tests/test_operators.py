@@ -102,6 +102,13 @@ def test_comments_and_strings_are_no_code(language, source, imports, names):
     assert len(code) == len(kept) == len(source) and code.count("\n") == kept.count("\n") == source.count("\n")
 
 
+def test_syntax_specs(spark):
+    text = "; (no) @class\n(function_definition name: (identifier) @name) @function\n(a (b (c) @class)) @method (x) (y)\n @class (z) word @import\n(s \"(\") @from_import (open"
+    assert extract.spec_patterns(text) == [("function_definition", "function"), ("a", "method"), ("y", "class"), ("s", "from_import")]
+    specs = spark.createDataFrame([("p", text), ("q", None), ("p", "(s) @import (t) @other")], "language string, text string")
+    assert {tuple(r) for r in extract.spec_types(specs).collect()} == {("p", "function", "function_definition"), ("p", "function", "a"), ("p", "class", "y"), ("p", "import", "s")}
+
+
 def test_parse_keeps_rows(spark):
     rows = [("a.py", "python", PYTHON), ("b.py", "python", "def ("), ("c.txt", "unknown", ""), ("d.js", "javascript", "function z() {}\n")]
     parsed = extract.parse(spark.createDataFrame(rows, "path string, language string, text string"))
@@ -196,13 +203,20 @@ def nodes_of(spark, names):
     return spark.createDataFrame([(n,) for n in names], "path string")
 
 
+@pytest.fixture(params=["driver", "jobs"])
+def walk(request, monkeypatch):
+    """Small graphs are walked on the driver, others in jobs; both give the same."""
+    if request.param == "jobs":
+        monkeypatch.setattr(graph, "SMALL", 0)
+
+
 def test_edges_are_distinct_and_imports_come_first(spark):
     imports = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a")], "src string, dst string")
     refs = spark.createDataFrame([("T", "b", "a"), ("T", "c", "a")], "symbol string, defined_in string, used_in string")
     assert {tuple(r) for r in graph.edges(imports, refs).collect()} == {("a", "b", "import"), ("a", "c", "symbol_ref")}
 
 
-def test_distances(spark):
+def test_distances(spark, walk):
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("d", "b"), ("x", "y")])
     got = {r.path: r.dist for r in graph.distances(e, nodes_of(spark, ["a"])).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 2}
@@ -210,7 +224,7 @@ def test_distances(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_cycles_against_reachability(spark, seed):
+def test_cycles_against_reachability(spark, walk, seed):
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(13 + 3 * seed)]
     reach = {(a, b) for a, b in pairs if a != b}
@@ -222,6 +236,12 @@ def test_cycles_against_reachability(spark, seed):
     assert {r.path for r in graph.cyclic(edges_of(spark, pairs)).collect()} == {a for a, b in reach if a == b}
 
 
+def test_long_cycles(spark, walk):
+    ring = [(f"n{i:02}", f"n{(i + 1) % 40:02}") for i in range(40)]
+    tail = [("n05", "t0"), ("t0", "t1"), ("t1", "t2"), ("s", "n00")]
+    assert {r.path for r in graph.cyclic(edges_of(spark, ring + tail)).collect()} == {a for a, _ in ring}
+
+
 def test_entry_points(spark):
     e = edges_of(spark, [("a", "b"), ("b", "c")])
     assert [r.path for r in graph.entry_points(nodes_of(spark, ["a", "b", "c"]), e).collect()] == ["a"]
@@ -263,7 +283,7 @@ def test_call_paths_against_brute_force(spark, seed):
         assert got == brute_call_paths(pairs, entries, depth, n)
 
 
-def test_cycles_are_given_once_from_their_least_node(spark):
+def test_cycles_are_given_once_from_their_least_node(spark, walk):
     e = edges_of(spark, [("b", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("x", "y"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "t"), ("t", "u"), ("u", "p")])
     on = graph.cyclic(e)
     assert {r.path for r in on.collect()} == set("abcpqrstu")

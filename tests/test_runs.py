@@ -211,6 +211,12 @@ def test_search(spark, tree):
     assert best[0].path == "src/pkg/utils.py" and len(best) <= 2
 
 
+def test_vectors_without_a_model():
+    a, b, c = cli.hashed_words(["parseConfigFile reads settings", "parsing the config_file", "draw a circle"])
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    assert cos(a, b) > 0.3 > cos(a, c) and cli.hashed_words([""]) == [[0.0] * 512]
+
+
 def test_vectors_are_kept(spark, tree, tmp_path):
     """Only what changed is embedded again; vectors of another length are made anew."""
     kept, log = f"file://{tmp_path}/kept", tmp_path / "log"
