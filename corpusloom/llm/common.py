@@ -22,7 +22,7 @@ __all__ = ["ascii_lower", "free_name", "frugal", "mapped", "sized", "slices", "s
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: The GNU C library's M_ARENA_MAX, M_MMAP_THRESHOLD and M_TRIM_THRESHOLD, and what they are set to.
-_MALLOPT = ((-8, 1), (-3, 1 << 20), (-1, 1 << 20))
+_MALLOPT = ((-8, 1), (-3, 8 << 20), (-1, 16 << 20))
 #: Parquet's groups of rows for tables whose cells have megabytes: writers and readers hold one group.
 LARGE_CELLS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
@@ -67,8 +67,8 @@ def free_name(taken: list[str], name: str) -> str:
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` in a Python worker that keeps no more memory than it uses: freed blocks go back to the
-    system at once, and all that is left after the partition. Workers stay for later tasks, also of
+    """``run`` in a Python worker that keeps no more memory than it uses: large freed blocks go back to
+    the system at once, and all that is left after the partition. Workers stay for later tasks, also of
     stages that need their memory elsewhere."""
 
     @wraps(run)
