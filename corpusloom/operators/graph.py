@@ -172,6 +172,36 @@ def _on_cycles(steps: list[tuple[str, str]]) -> list[str]:
     return out
 
 
+def _paths(steps: list[tuple], starts: list[str], max_depth: int, max_paths: int) -> list[list[str]] | None:
+    """``call_paths`` of a small graph with SMALL ways at most from its entries; None if there are more."""
+    ahead: dict[str, list[tuple]] = {}
+    for a, b, step in steps:
+        ahead.setdefault(a, []).append((tuple(step), b))
+    ways = dict.fromkeys(starts, 1)
+    for _ in range(max_depth - 1):
+        new: dict[str, int] = {}
+        for a, n in ways.items():
+            for _, b in ahead.get(a, ()):
+                new[b] = new.get(b, 0) + n
+        ways = new
+        if sum(ways.values()) > SMALL:
+            return None
+    done: list[list[str]] = []
+    for start in starts:
+        level: list[tuple[list, list[str]]] = [([], [start])]
+        for size in range(1, max_depth + 1):
+            grown, ended = [], []
+            for trail, nodes in sorted(level):
+                more = [([*trail, step], [*nodes, b]) for step, b in ahead.get(nodes[-1], ()) if b not in nodes] if size < max_depth else []
+                grown += more
+                ended += [] if more else [nodes]
+            done += ended[: max_paths - len(done)]
+            level = grown
+        if len(done) == max_paths:
+            break
+    return done
+
+
 def call_paths(edges_: DataFrame, entries: DataFrame, max_depth: int = 5, max_paths: int = 3) -> DataFrame:
     """Rows (rank, nodes): paths from entries to where they can't go on, or ``max_depth`` nodes.
 
@@ -186,9 +216,12 @@ def call_paths(edges_: DataFrame, entries: DataFrame, max_depth: int = 5, max_pa
     fan = edges_.groupBy(F.col("dst").alias("d")).agg(F.count("*").alias("fan"))
     step = F.struct((-F.col("fan")).alias("k"), F.col("dst").alias("n"))
     steps = stored(edges_.select("src", "dst").distinct().join(fan, F.col("dst") == F.col("d")).select("src", "dst", step.alias("step")), "steps")
+    starts = [r["path"] for r in entries.select("path").distinct().orderBy("path").limit(max_paths).collect()]
     done: list[list[str]] = []
-    for r in entries.select("path").distinct().orderBy("path").limit(max_paths).collect():
-        level = spark.createDataFrame([([r["path"]], [])], "nodes array<string>, trail array<struct<k: bigint, n: string>>")
+    if (known := _rows(steps)) is not None and (found := _paths(known, starts, max_depth, max_paths)) is not None:
+        done, starts = found, []
+    for start in starts:
+        level = spark.createDataFrame([([start], [])], "nodes array<string>, trail array<struct<k: bigint, n: string>>")
         for size in range(1, max_depth + 1):
             need = max_paths - len(done)
             grown = level.join(steps, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))

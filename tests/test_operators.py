@@ -248,7 +248,7 @@ def test_entry_points(spark):
     assert [r.path for r in graph.entry_points(nodes_of(spark, ["x/main.py", "b"]), e).collect()] == ["x/main.py"]
 
 
-def test_call_paths(spark):
+def test_call_paths(spark, walk):
     e = edges_of(spark, [("e", "a"), ("e", "b"), ("e", "c"), ("a", "d"), ("b", "f"), ("c", "g"), ("x", "c"), ("g", "e")])
     got = [r.nodes for r in graph.call_paths(e, nodes_of(spark, ["e"])).orderBy("rank").collect()]
     assert got == [["e", "a", "d"], ["e", "b", "f"], ["e", "c", "g"]]
@@ -273,7 +273,7 @@ def brute_call_paths(pairs, entries, max_depth, max_paths):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_call_paths_against_brute_force(spark, seed):
+def test_call_paths_against_brute_force(spark, walk, seed):
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(8 + 5 * seed)]
     pairs = [(a, b) for a, b in pairs if a != b] + [("n0", f"leaf{i}") for i in range(12 * (seed == 3))]
