@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", options: dict[st
     still pruned, which a checkpoint of an RDD prevents. ``options``: of the Parquet writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).option("compression", compression).parquet(path)
-    _release_at_exit(df.sparkSession)
+    release_at_exit(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +54,7 @@ def _folder(spark: SparkSession):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _release_at_exit(spark: SparkSession) -> None:
+def release_at_exit(spark: SparkSession) -> None:
     """Have this application's stored tables deleted when its driver ends."""
     if spark.sparkContext.applicationId not in _RELEASED:
         fs, path = _folder(spark)
