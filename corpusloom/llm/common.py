@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..storage import stored
+from ..storage import release_at_exit, shared_dir, stored, stored_counted
 
-__all__ = ["ascii_lower", "free_name", "frugal", "mapped", "sized", "slices", "stored", "stored_large", "table"]
+__all__ = ["ascii_lower", "free_name", "frugal", "mapped", "sized", "slices", "stored", "stored_bucketed", "stored_counted", "stored_large", "table"]
 
 #: Bytes of rows that a Python worker is handed at once; one larger row is handed alone.
 BATCH_BYTES = 4 << 20
@@ -100,3 +100,11 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def stored_large(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
     """``stored`` for tables whose cells have megabytes."""
     return stored(df, name, compression, LARGE_CELLS)
+
+
+def stored_bucketed(df: DataFrame, name: str, buckets: int, keys: tuple[str, ...]) -> DataFrame:
+    """``stored``, in buckets by ``keys``: a join on these shuffles its other side alone. ``name`` has to
+    be one that no other table has."""
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(df.sparkSession)}/{name}").bucketBy(buckets, *keys).saveAsTable(name)
+    release_at_exit(df.sparkSession)
+    return df.sparkSession.table(name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, line_dedup, packing, phrase_index, pii, simhash_golay, tiff, token_store, url_filter
+from . import html_text, langid, line_dedup, merkle, packing, phrase_index, pii, simhash_golay, suffix_dedup, tiff, token_store, url_filter
 from .common import table
 
 
@@ -57,8 +57,16 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_langid, op3_phrase_index, op4_tiff, op5_simhash_golay, op6_pii, op7_line_dedup, op8_url_filter, op9_best_fit_packing, op10_token_store)}
+    return {f.__name__: f for f in (op1_html_text, op2_langid, op3_phrase_index, op4_tiff, op5_simhash_golay, op6_pii, op7_line_dedup, op8_url_filter, op9_best_fit_packing, op10_token_store, op11_merkle_manifest, op12_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
