@@ -17,7 +17,9 @@ has to be found is which windows have an equal. Four steps, of which the last is
   what was equal up to a token is compared in the next one. Common prefixes of neighbours then tell,
   for each place d of the anchor in a window, which suffixes share LENGTH - d bytes after the anchor's
   start and d before. Windows that could have an equal in another bucket, those that share a first or
-  last suffix's bytes, are compared across the boundaries by digests of 128 bits.
+  last suffix's bytes, are compared across the boundaries by digests of 128 bits: first, for ``BLOCK``
+  places of the anchor at once, of the bytes that all these windows have, and only where such a core is in
+  two buckets, of the windows themselves.
 
 Texts are told apart by two 64-bit hashes; of equal texts one is looked at, and is removed whole if it
 has a window at all. Distinct texts are stored once, bucketed by their hashes, so that they are shuffled
@@ -50,6 +52,8 @@ GRAM = 32
 STEP = 1 << 20
 #: Suffixes that a bucket has about.
 BUCKET = 100_000
+#: Windows of a suffix that are first compared together across buckets; as many as an int has bits, at most.
+BLOCK = 24
 #: Bits of a place among the bytes that are looked at together.
 _PLACE = np.uint64((1 << (STEP + LENGTH).bit_length()) - 1)
 _ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -58,6 +62,7 @@ KEY = ("k1", "k2")
 STRETCH = "k1 long, k2 long, a long, s long, start int, anchor int, n int, times int"
 SUFFIX = "a long, s long, whole boolean, first int, right binary, left binary"
 FOUND = "part int, a long, s long, lo int, hi int, h1 long, h2 long"
+EDGE = "part int, a long, s long, d int, h1 long, h2 long"
 RESULT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -230,10 +235,9 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_windows(first: np.ndarray, right: list[bytes], left: list[bytes], edges: bool) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
-    """Of a bucket's distinct suffixes: (which windows have an equal here, by place d of the anchor in the
-    window and suffix; (suffix, d, bytes) of windows that could have an equal in another bucket, of
-    equal ones one)."""
+def bucket_windows(first: np.ndarray, right: list[bytes], left: list[bytes], edges: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's distinct suffixes, by place d of the anchor in the window and suffix: which windows have an
+    equal here, and which, of equal ones one, could have one in another bucket."""
     m, width = len(right), LENGTH - GRAM
     rows, back = matrix(right, LENGTH), matrix([x[::-1] for x in left], width)
     last = np.fromiter(map(len, left), np.int64, m)
@@ -242,7 +246,7 @@ def bucket_windows(first: np.ndarray, right: list[bytes], left: list[bytes], edg
         order = multikey_order(r)
         kinds.append((order, common_prefixes(r[order])))
     (by_right, right_common), (by_left, left_common) = kinds
-    equal, border = np.zeros((width + 1, m), bool), []
+    equal, border = np.zeros((width + 1, m), bool), np.zeros((width + 1, m), bool)
     group, other = np.empty(m, np.int64), np.empty(m, np.int64)
     for d in range(width + 1):
         have = np.flatnonzero((first <= d) & (d <= last))
@@ -258,14 +262,19 @@ def bucket_windows(first: np.ndarray, right: list[bytes], left: list[bytes], edg
         equal[d, own] = np.repeat(size > 1, size)
         if edges:
             one = own[start]
-            at_edge = np.isin(group[one], (group[by_right[0]], group[by_right[-1]]))
-            border += [(i, d, left[i][len(left[i]) - d :] + right[i][: LENGTH - d]) for i in one[at_edge].tolist()]
+            border[d, one] = np.isin(group[one], (group[by_right[0]], group[by_right[-1]]))
     return equal, border
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """Two 64-bit numbers of each."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), ">i8").reshape(-1, 2).astype(np.int64)
+
+
 def sorted_windows(some: DataFrame, parts: int) -> DataFrame:
     """Rows of FOUND: windows of suffixes (a, s) that have an equal, by ranges ``lo`` to ``hi`` of the
-    anchor's place; and, with their digest, those that may have one in another bucket."""
+    anchor's place; and, where windows may have one in another bucket, the number of their block (lo),
+    which of its windows these are (bits of hi), and the digest of their core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -282,26 +291,50 @@ def sorted_windows(some: DataFrame, parts: int) -> DataFrame:
         equal[:, whole] = False  # known, and so not told again; they are here to be met
         step = np.diff(np.pad(equal, ((1, 1), (0, 0))).astype(np.int8), axis=0).T
         (i, lo), (_, hi) = np.nonzero(step == 1), np.nonzero(step == -1)
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for _, _, w in border), ">i8").reshape(-1, 2).astype(np.int64)
-        at, d = (np.array([x[k] for x in border], np.int64) for k in (0, 1))
-        n, e = len(i), len(at)
+        bits = np.stack([np.left_shift(border[x : x + BLOCK], np.arange(len(border[x : x + BLOCK]))[:, None]).sum(axis=0) for x in range(0, len(border), BLOCK)])
+        block, at = np.nonzero(bits)
+        ends = np.minimum((block + 1) * BLOCK, len(border)) - 1
+        core = digests([left[k][len(left[k]) - x :] + right[k][: LENGTH - y] for k, x, y in zip(at.tolist(), (block * BLOCK).tolist(), ends.tolist(), strict=True)])
+        n = len(i)
         both = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())])
-        columns = [pa.array([part] * (n + e), pa.int32()), both(a[i], a[at]), both(s[i], s[at]), both(lo, d).cast(pa.int32()), both(hi - 1, d).cast(pa.int32())]
-        columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(digests[:, k])]) for k in (0, 1)]
+        columns = [pa.array([part] * (n + len(at)), pa.int32()), both(a[i], a[at]), both(s[i], s[at]), both(lo, block).cast(pa.int32()), both(hi - 1, bits[block, at]).cast(pa.int32())]
+        columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(core[:, k])]) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
     return common.mapped(some.repartitionByRange(parts, "right", F.reverse("left")), run, FOUND)
 
 
+def edge_windows(some: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of EDGE: the windows of ``wanted`` blocks (part, a, s, lo, hi), with their digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, strings = [], []
+            for part, a, s, block, bits, right, left in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for d in (block * BLOCK + k for k in range(BLOCK) if bits >> k & 1):
+                    rows.append((part, a, s, d))
+                    strings.append(left[len(left) - d :] + right[: LENGTH - d])
+            found = digests(strings)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found[:, 0]), pa.array(found[:, 1])], [x.split()[0] for x in EDGE.split(", ")])
+
+    return common.mapped(wanted.join(some, ["a", "s"]).select("part", "a", "s", "lo", "hi", "right", "left"), run, EDGE)
+
+
+def in_two_buckets(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` whose ``key`` is that of a row of another ``part``."""
+    across = rows.groupBy(*key).agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select(*key)
+    return rows.join(across, list(key), "left_semi")
+
+
 def windows(texts: DataFrame, distinct: DataFrame, n: int) -> DataFrame:
     """Ranges (a, s, lo, hi) of windows, in distinct stretches that occur once, that have an equal."""
     spark = texts.sparkSession
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1000), -(-n // BUCKET))
     some = common.stored(suffixes(texts, distinct), "suffixes")
     found = common.stored(sorted_windows(some, parts), "sorted_suffixes")
-    edge = found.where("h1 is not null")
-    across = edge.groupBy("h1", "h2").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h1", "h2")
-    met = edge.join(across, ["h1", "h2"]).select("a", "s", "lo", "hi")
+    edge = in_two_buckets(found.where("h1 is not null"), "lo", "h1", "h2").select("part", "a", "s", "lo", "hi")
+    met = in_two_buckets(common.stored(edge_windows(some, edge), "edge_windows"), "h1", "h2").select("a", "s", F.col("d").alias("lo"), F.col("d").alias("hi"))
     return found.where("h1 is null").select("a", "s", "lo", "hi").unionAll(met)
 
 
