@@ -19,8 +19,10 @@ _TAILS = (",", ".")
 _MARKS = (b"\xcc", b"\xcd")
 #: Words that are encoded as one text.
 _AT_ONCE = 4096
+#: ASCII signs that the vocabulary takes as space; Python's own class has U+001C to U+001F besides.
+_SPACES = " \t\n\r\f\v"
 #: Fixed by the vocabulary: how it cuts a lower-case ASCII word into runs.
-_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^{_SPACES}a-z0-9]+")
 
 
 class WordTokenizer:
@@ -49,6 +51,8 @@ class WordTokenizer:
         vocab = self._tok.get_vocab(with_added_tokens=True)
         self._last = np.zeros(max(vocab.values()) + 1, bool)
         self._last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._bytes = np.zeros(len(self._last), np.int64)  # a token's letters stand for a byte each
+        self._bytes[list(vocab.values())] = [len(t.removesuffix("</w>")) for t in vocab]
         self._words = pa.array([], pa.string())
         self._first = self._size = self._used = np.zeros(0, np.int32)
         self._flat = np.zeros(0, np.uint32)
@@ -81,10 +85,13 @@ class WordTokenizer:
             return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         ids = np.array(self._tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self._last[ids]) + 1
-        if len(ends) != sum(runs):  # a letter that turns into more than letters
-            own = self._each(words)
-            return np.concatenate(own), np.array([len(x) for x in own])
-        return ids, np.diff(ends[np.cumsum(runs) - 1], prepend=0)
+        if len(ends) == sum(runs):
+            size = np.diff(ends[np.cumsum(runs) - 1], prepend=0)
+            held = np.add.reduceat(self._bytes[ids], np.cumsum(size) - size)
+            if (held == [len(w.encode()) - sum(map(w.count, _SPACES)) for w in words]).all():
+                return ids, size
+        own = self._each(words)  # a letter that turns into others, or one that isn't what it was taken for
+        return np.concatenate(own), np.array([len(x) for x in own])
 
     def _append(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
         self._words = pa.concat_arrays([self._words, words])
