@@ -12,8 +12,8 @@ rarest term's positions and asks for every other term within a slop of it.
 
 The windows are sent to the executors in parts of at most ``PART_WORDS`` words, one part after the
 other, so that neither the driver nor a task holds more than one. All parts go over the same stored
-index; with more than one part a document's partial results meet in one shuffle of hit ranges. A
-task holds one block at a time, as views of the row it got.
+index; with more than one part, what documents with a hit have of each meets in one shuffle of hit
+ranges. A task holds one block at a time, as views of the row it got.
 
 Defined cases: null text has no words; a null item text has no window; items of one id count as
 one item, and so do all without an id, which the digest leaves out; repeated doc_ids are judged row by row where the items fit in one part, and are told
@@ -141,18 +141,46 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 class Windows:
-    """Windows of test items as rows of term numbers, by window length."""
+    """Windows of test items: one stream of term numbers, and where distinct windows begin in it.
+
+    A part of ``PART_WORDS`` words takes some forty bytes for each, is made once, on the driver, and is
+    broadcast; a window is a slice of the stream."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], width: int = WINDOW):
         number: dict[bytes, int] = {}
-        by: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
-        for item, text in items:
-            ids = [number.setdefault(w, len(number)) for w in words(text)]
-            n = min(width, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                by.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
+        split = [words(text) for _, text in items]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        self.stream = np.fromiter((number.setdefault(w, len(number)) for ws in split for w in ws), np.int32, int(size.sum()))
+        del split
         self.terms = list(number)
-        self.by_width = [(n, np.array(list(w), np.int64).reshape(-1, n), [list(x) for x in w.values()]) for n, w in sorted(by.items())]
+        ids: dict[str | None, int] = {}
+        item = np.fromiter((ids.setdefault(i, len(ids)) for i, _ in items), np.int32, len(items))
+        self.items = list(ids)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        #: of each width: (where windows begin, bounds of their owners, owners)
+        self.by_width: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(np.minimum(size, width)).tolist():
+            own = np.flatnonzero(np.minimum(size, width) == n)
+            if n:
+                count = size[own] - n + 1
+                first = np.repeat(bounds[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                self.by_width.append((n, *self._distinct(n, first.astype(np.int32), np.repeat(item[own], count))))
+
+    def _distinct(self, n: int, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that are equal become one with all its owners; they are found by a hash, and compared."""
+        h = np.zeros(len(first), np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + self.stream[first + k].astype(np.uint64)
+            h ^= h >> np.uint64(29)
+        order = np.lexsort((first, h))
+        first, owner, h = first[order], owner[order], h[order]
+        new = np.append(True, h[1:] != h[:-1])
+        of = np.flatnonzero(new)[np.cumsum(new) - 1]
+        for k in range(n):  # what only shares a hash is a window of its own
+            new |= self.stream[first + k] != self.stream[first[of] + k]
+        start = np.flatnonzero(new)
+        key = np.unique((np.cumsum(new) - 1) * len(self.items) + owner)
+        return first[start], np.searchsorted(key, np.arange(len(start) + 1) * len(self.items)), (key % len(self.items)).astype(np.int32)
 
 
 def hits(block: Block, windows: Windows) -> tuple[np.ndarray, dict[int, set[str | None]]]:
@@ -160,16 +188,16 @@ def hits(block: Block, windows: Windows) -> tuple[np.ndarray, dict[int, set[str
     n = int(block.bounds[-1])
     edge = np.zeros(n + 1, np.int32)
     items: dict[int, set[str | None]] = {}
-    own = block.numbers(windows.terms)
-    for width, rows, owners in windows.by_width:
-        local = own[rows]
-        for w in np.flatnonzero((local >= 0).all(axis=1)).tolist():
-            starts = block.phrase(local[w])
+    own = block.numbers(windows.terms).astype(np.int32)
+    known = np.concatenate([[0], np.cumsum(own[windows.stream] >= 0, dtype=np.int32)])
+    for width, first, bounds, owners in windows.by_width:
+        for w in np.flatnonzero(known[first + width] - known[first] == width).tolist():
+            starts = block.phrase(own[windows.stream[first[w] : first[w] + width]])
             if len(starts):
                 edge[starts] += 1
                 np.subtract.at(edge, starts + width, 1)
                 for d in np.unique(block.document_of(starts)).tolist():
-                    items.setdefault(d, set()).update(owners[w])
+                    items.setdefault(d, set()).update(windows.items[i] for i in owners[bounds[w] : bounds[w + 1]].tolist())
     return np.cumsum(edge[:-1]) > 0, items
 
 
@@ -198,21 +226,26 @@ def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART
     """Per indexed document: its words, those hit by any window, and the items that occur in it. With
     ``text_key`` also the xxhash64 of its text, which tells rows of one doc_id apart."""
 
+    spark = index.sparkSession
+
     def judge(part: list[tuple[str | None, bytes]]):
+        sent = spark.sparkContext.broadcast(Windows(part))  # bounded by part_words
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(part)
             for block in blocks(batches):
-                hit, items = hits(block, windows)
+                hit, items = hits(block, sent.value)
                 sums = np.concatenate([[0], np.cumsum(hit)])[block.bounds]
                 yield _result(block.doc_ids, block.texts, np.diff(block.bounds.astype(np.int64)), np.diff(sums), [items.get(d, ()) for d in range(len(block.doc_ids))])
 
         return run
 
     def partial(part: list[tuple[str | None, bytes]]):
+        """Of documents with a hit alone: their ranges of hit words, and items."""
+        sent = spark.sparkContext.broadcast(Windows(part))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(part)
             for block in blocks(batches):
-                hit, items = hits(block, windows)
+                hit, items = hits(block, sent.value)
                 step = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                 # a range of hit words may run over documents that follow each other
                 ranges: dict[int, list[list[int]]] = {}
@@ -221,23 +254,29 @@ def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART
                         s, e = int(block.bounds[d]), int(block.bounds[d + 1])
                         if max(x, s) < min(y, e):
                             ranges.setdefault(d, []).append([max(x, s) - s, min(y, e) - s])
-                n = len(block.doc_ids)
-                columns = {"block": pa.array([block.name] * n), "place": pa.array(range(n), pa.int32()), "doc_id": block.doc_ids, "text_key": block.texts, "n_words": pa.array(np.diff(block.bounds.astype(np.int64)))}
-                columns |= {"ranges": pa.array([ranges.get(d, []) for d in range(n)], pa.list_(pa.list_(pa.int32()))), "items": pa.array([list(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))}
+                own = sorted(ranges)
+                columns = {"block": pa.array([block.name] * len(own), pa.string()), "place": pa.array(own, pa.int32())}
+                columns |= {"ranges": pa.array([ranges[d] for d in own], pa.list_(pa.list_(pa.int32()))), "items": pa.array([list(items.get(d, ())) for d in own], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(columns)
 
         return run
 
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            n = len(block.doc_ids)
+            columns = {"block": pa.array([block.name] * n, pa.string()), "place": pa.array(range(n), pa.int32()), "doc_id": block.doc_ids, "text_key": block.texts, "n_words": pa.array(np.diff(block.bounds.astype(np.int64)))}
+            yield pa.RecordBatch.from_pydict(columns)
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ranges, items = b.column(3).to_pylist(), b.column(4).to_pylist()
             n_hit = []
             for lists in ranges:
                 total = end = 0
-                for x, y in sorted((x, y) for one in lists for x, y in one):
+                for x, y in sorted((x, y) for one in lists or () for x, y in one):
                     total, end = total + max(0, y - max(x, end)), max(end, y)
                 n_hit.append(total)
-            yield _result(b.column(0), b.column(1), b.column(2).to_numpy(), np.array(n_hit, np.int64), [{x for one in own for x in one} for own in items])
+            yield _result(b.column(0), b.column(1), b.column(2).to_numpy(), np.array(n_hit, np.int64), [{x for one in own or () for x in one} for own in items])
 
     result = RESULT + ", text_key long"
     parts = parts_of(benchmark, part_words)
@@ -247,12 +286,13 @@ def contamination(index: DataFrame, benchmark: DataFrame, part_words: int = PART
         return out if text_key else out.drop("text_key")
     some = None
     while part is not None:
-        one = common.mapped(index, partial(part), "block string, place int, doc_id long, text_key long, n_words long, ranges array<array<int>>, items array<string>")
+        one = common.mapped(index, partial(part), "block string, place int, ranges array<array<int>>, items array<string>")
         one = common.stored(one, "benchmark_part")
         some = one if some is None else some.unionAll(one)
         part, following = following, next(parts, None)
-    met = some.groupBy("block", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "n_words")], F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
-    out = common.mapped(met.select("doc_id", "text_key", "n_words", "ranges", "items"), join, result)
+    met = some.groupBy("block", "place").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
+    all_ = common.mapped(index, documents, "block string, place int, doc_id long, text_key long, n_words long")
+    out = common.mapped(all_.join(met, ["block", "place"], "left").select("doc_id", "text_key", "n_words", "ranges", "items"), join, result)
     return out if text_key else out.drop("text_key")
 
 
