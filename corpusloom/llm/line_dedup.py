@@ -42,7 +42,7 @@ from . import common
 MIN_WORDS = 5
 #: Of a variant's key; tests take fewer, so that keys meet by chance.
 KEY_BITS = 64
-#: Rows of a checked broadcast: beyond, the same join shuffles.
+#: Rows of a checked broadcast, or items of the lists in them, of some forty bytes each: beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 _BLANK = " \t\r\f"
 _POS = ("doc_id", "th", "line")
@@ -118,10 +118,11 @@ def candidates(docs: DataFrame, lines: DataFrame, again: DataFrame) -> DataFrame
     shared = common.stored(spread.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("k"), "line_halves")
     few = spread.join(small(shared), "k", "left_semi").groupBy(*_POS).agg(F.collect_set("half").alias("halves"))
     same = [few[c].eqNullSafe(again[c]) for c in _POS]
-    few = common.stored(few.join(again, same, "left_anti"), "near_lines")
+    few, (n,) = common.stored_counted(few.join(again, same, "left_anti"), "near_lines")
     by_doc = few.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "halves")).alias("near"))
+    by_doc = F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc  # so many lines, in however many documents
     texts = numbered(docs)
-    met = texts.join(small(by_doc).withColumnsRenamed({"doc_id": "d2", "th": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", F.split("text", "\n").alias("all"), "near")
+    met = texts.join(by_doc.withColumnsRenamed({"doc_id": "d2", "th": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", F.split("text", "\n").alias("all"), "near")
     met = met.select("doc_id", "th", F.explode(F.transform("near", lambda x: F.struct(x["line"].alias("line"), x["halves"].alias("halves"), F.get("all", x["line"]).alias("s")))).alias("x"))
     met = met.select("doc_id", "th", "x.line", "x.halves", words(F.col("x.s")).alias("w")).withColumn("n", F.size("w")).dropDuplicates([*_POS])
     n = F.col("n")

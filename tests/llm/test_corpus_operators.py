@@ -380,3 +380,33 @@ def test_queries_run_and_have_their_sql(spark):
     assert set(queries.oracle_sql()) <= set(names)
     for name, query in names.items():
         assert query(spark, SF).columns, name
+
+
+def test_a_full_part_of_a_benchmark_is_small_and_parts_give_the_same(spark):
+    import pickle
+
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}".encode() for i in range(100_000)]
+    windows = phrase_index.Windows([(str(i), b" ".join(rnd.choices(vocabulary, k=100))) for i in range(phrase_index.PART_WORDS // 100)])
+    assert len(windows.stream) == phrase_index.PART_WORDS and len(pickle.dumps(windows)) < 100e6
+    few = [f"u{i}" for i in range(30)]
+    items = [(f"i{i % 70}", " ".join(rnd.choices(few, k=rnd.choice((0, 3, 9, 10, 14))))) for i in range(90)] + [(None, "u1 u2 u3 u4"), ("i1", None), ("i2", "u1 u2 u3 u4")]
+    docs = [(i, " ".join(rnd.choices(few, k=20)) + " " + rnd.choice(items[:90])[1] * (i % 2)) for i in range(60)] + [(7, None), (None, "u1 u2 u3 u4")]
+    index = phrase_index.build(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=400)
+    benchmark = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    got = [sorted(map(tuple, phrase_index.contamination(index, benchmark, part_words=n).collect()), key=str) for n in (phrase_index.PART_WORDS, 400, 60)]
+    assert got[0] == got[1] == got[2] and len(list(phrase_index.parts_of(benchmark, 60))) > 3
+    by_doc = {d: phrase for d, phrase in docs}
+    for doc_id, n_words, n_hit, n_items, _, contaminated in got[0]:
+        ws = brute_words(by_doc[doc_id])
+        assert doc_id == 7 or n_words == len(ws)
+        assert contaminated == (n_hit > 0) == (n_items > 0)
+
+
+def test_very_many_near_lines_of_few_documents_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 20)
+    docs = spark.createDataFrame([(d, "\n".join(f"one two three four five l{i} d{d}" for i in range(30))) for d in range(2)], "doc_id long, text string")
+    lines = line_dedup.common.stored(line_dedup.hashed_lines(docs), "hashed_lines")
+    again = line_dedup.common.stored(line_dedup.repeated(lines), "repeated_lines")
+    plan = line_dedup.candidates(docs, lines, again)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan
