@@ -7,6 +7,9 @@ file, never by a prefix comparison of all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,17 @@ from ..functions import paths
 
 #: Suffixes that a script's import may leave out, in order.
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+#: What an import names, by language.
+PYTHON_MODULE = r"(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
+PYTHON_NAME = r"import\s+([\w.]+)"
+SCRIPT_SPEC = r"""(?:from|require\()\s*['"]([^'"]+)['"]"""
+RUST_PATH = r"use\s+crate::([\w:]+)"
+JAVA_CLASS = r"import\s+([\w.]+);"
+C_HEADER = r'#include\s*"([^"]+)"'
+GO_PACKAGE = r'"([^"]+)"'
+#: These take more on purpose: a parenthesis before a Ruby file, blanks before a Go module's line.
+RUBY_FILE = r"""require(?:_relative)?\s*\(?\s*['"]([^'"]+)['"]"""
+GO_MODULE = r"(?m)^\s*module\s+(\S+)"
 
 
 def _slashes(module: Column) -> Column:
@@ -34,12 +48,15 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def _module(text: Column) -> Column:
+    return F.when(text.rlike(PYTHON_MODULE), F.concat(F.regexp_extract(text, PYTHON_MODULE, 1), F.regexp_extract(text, PYTHON_MODULE, 2)))
+
+
 def python(text: Column, path: Column) -> Column:
-    pattern = r"(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
-    module = F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
+    module = _module(text)
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
     rest = F.substring(module, dots + 1, F.length(module))
-    rest = F.when(rest == "", _first(text, r"import\s+([\w.]+)")).otherwise(rest)
+    rest = F.when(rest == "", _first(text, PYTHON_NAME)).otherwise(rest)
     depth = F.size(paths.folder(path))
     # each further dot goes up one folder and stops at the root; from the root there is no up
     up = F.when((depth == 0) & (dots > 1), None).otherwise(F.slice(paths.folder(path), 1, F.greatest(depth - dots + 1, F.lit(0))))
@@ -48,25 +65,25 @@ def python(text: Column, path: Column) -> Column:
 
 
 def script(text: Column, path: Column) -> Column:
-    spec = _first(text, r"""(?:from|require\()\s*['"]([^'"]+)['"]""")
+    spec = _first(text, SCRIPT_SPEC)
     rel = F.when(spec.startswith("."), _below(path, spec))
     return _forms(rel, *["{}" + s for s in SCRIPT_SUFFIXES], *["{}/index" + s for s in SCRIPT_SUFFIXES])
 
 
 def rust(text: Column, path: Column) -> Column:
-    return _forms(F.replace(_first(text, r"use\s+crate::([\w:]+)"), F.lit("::"), F.lit("/")), "src/{}.rs", "src/{}/mod.rs")
+    return _forms(F.replace(_first(text, RUST_PATH), F.lit("::"), F.lit("/")), "src/{}.rs", "src/{}/mod.rs")
 
 
 def java(text: Column, path: Column) -> Column:
-    return _forms(_slashes(_first(text, r"import\s+([\w.]+);")), "{}.java", "src/main/java/{}.java", "src/{}.java")
+    return _forms(_slashes(_first(text, JAVA_CLASS)), "{}.java", "src/main/java/{}.java", "src/{}.java")
 
 
 def c(text: Column, path: Column) -> Column:
-    return _forms(_below(path, _first(text, r'#include\s*"([^"]+)"')), "{}")
+    return _forms(_below(path, _first(text, C_HEADER)), "{}")
 
 
 def ruby(text: Column, path: Column) -> Column:
-    spec = _first(text, r"""require(?:_relative)?\s*\(?\s*['"]([^'"]+)['"]""")
+    spec = _first(text, RUBY_FILE)
     beside = _below(path, spec)
     return F.when(text.contains("require_relative"), _forms(beside, "{}.rb", "{}")).otherwise(_forms(spec, "{}.rb", "lib/{}.rb"))
 
@@ -84,9 +101,15 @@ def candidates(text: Column, language: Column, path: Column) -> Column:
     return F.filter(F.coalesce(out, none), lambda x: x.isNotNull())
 
 
+def is_relative(text: Column, language: Column) -> Column:
+    """Whether an import is meant from its file's folder on, and so means nothing in another root."""
+    own = F.when(language == "python", F.coalesce(_module(text).startswith("."), F.lit(False))).when(language == "ruby", text.contains("require_relative"))
+    return F.coalesce(own.otherwise(language.isin("javascript", "typescript", "c", "cpp")), F.lit(False))
+
+
 def go_modules(files: DataFrame) -> DataFrame:
     """Rows (root, dir, module) of the go.mod files among ``files`` (root, path, text)."""
-    module = _first(F.col("text"), r"(?m)^\s*module\s+(\S+)")
+    module = _first(F.col("text"), GO_MODULE)
     return files.where(paths.name(F.col("path")) == "go.mod").select("root", paths.joined(paths.folder(F.col("path"))).alias("dir"), module.alias("module")).where("module is not null")
 
 
@@ -97,7 +120,7 @@ def _folders(path: Column) -> Column:
 
 def _go(imports: DataFrame, known: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(imports with the folder or file ``want`` that they mean, places of files by ``want``)."""
-    go = imports.where("language = 'go'").withColumn("pkg", _first(F.col("import_text"), r'"([^"]+)"')).where(F.col("pkg").contains("/"))
+    go = imports.where("language = 'go'").withColumn("pkg", _first(F.col("import_text"), GO_PACKAGE)).where(F.col("pkg").contains("/"))
     # the module file in the nearest folder above
     above = go.select("root", "path", F.explode(_folders(F.col("path"))).alias("dir")).distinct().join(modules, ["root", "dir"])
     nearest = above.groupBy("root", "path").agg(F.max_by("module", F.length("dir")).alias("module"))
@@ -113,34 +136,35 @@ def _go(imports: DataFrame, known: DataFrame, modules: DataFrame) -> tuple[DataF
 _IMPORT = ("root", "path", "pos", "import_text")
 
 
-def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None, other_roots: bool = False) -> DataFrame:
+def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None, roots: Sequence[str] | None = None) -> DataFrame:
     """Rows (root, path, pos, import_text, target_root, file) for each file that an import of
     ``imports`` (root, path, language, pos, import_text) means among ``files`` (root, path).
 
-    With ``other_roots`` an import that means nothing in its own root is looked up in the others, in
-    the order of their names, and the first root that knows it wins: candidates are joined by their
-    path alone, so that imports are not multiplied by roots.
+    With ``roots``, an import that means nothing in its own root is looked up in the others, in the order
+    given, and the first root that knows it wins; relative imports stay in their own. Of each path only the
+    first root that has it meets the imports, so that these are not multiplied by roots: an import's own
+    root is none of those that have its paths, or it would have been found there.
     """
     known = files.select(F.col("root").alias("target_root"), F.col("path").alias("file")).distinct()
     modules = modules if modules is not None else imports.sparkSession.createDataFrame([], "root string, dir string, module string")
 
-    def among(rows: DataFrame, own_root: bool) -> DataFrame:
-        meant = F.array_distinct(candidates(F.col("import_text"), F.col("language"), F.col("path")))
-        spread = rows.where("language <> 'go'").select(*_IMPORT, F.explode(meant).alias("want"))
-        go, places = _go(rows, known, modules)
-        parts = []
-        for left, right in ((spread, known.withColumn("want", F.col("file"))), (go, places)):
-            met = left.join(right.withColumn("root", F.col("target_root")), ["root", "want"]) if own_root else left.join(right, "want").where("root <> target_root")
-            parts.append(met.select(*_IMPORT, "target_root", "file"))
-        return parts[0].unionByName(parts[1])
-
-    own = among(imports, True)
-    if not other_roots:
+    def meant(rows: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+        """(imports with each path ``want`` that they may mean, files by ``want``): of most languages, and of Go."""
+        paths_ = F.array_distinct(candidates(F.col("import_text"), F.col("language"), F.col("path")))
+        return [(rows.where("language <> 'go'").select(*_IMPORT, F.explode(paths_).alias("want")), known.withColumn("want", F.col("file"))), _go(rows, known, modules)]
+
+    own = reduce(DataFrame.unionByName, [left.join(right.withColumn("root", F.col("target_root")), ["root", "want"]).select(*_IMPORT, "target_root", "file") for left, right in meant(imports)])
+    if not roots:
         return own
     keys = ["root", "path", "pos"]
-    elsewhere = among(imports.join(own.select(*keys).distinct(), keys, "left_anti"), False)
-    first = elsewhere.groupBy(*keys).agg(F.min("target_root").alias("target_root"))
-    return own.unionByName(elsewhere.join(first, [*keys, "target_root"]).select(*own.columns))
+    order = imports.sparkSession.createDataFrame([(r, i) for i, r in enumerate(dict.fromkeys(map(str, roots)))], "target_root string, place int")
+    open_ = imports.where(~is_relative(F.col("import_text"), F.col("language"))).join(own.select(*keys).distinct(), keys, "left_anti")
+    found = []
+    for left, right in meant(open_):
+        first = right.join(order, "target_root").groupBy("want").agg(F.min(F.struct("place", "target_root")).alias("first"))
+        best = left.join(first, "want").groupBy(*keys).agg(F.min("first")["target_root"].alias("target_root"))
+        found.append(left.join(best, keys).join(right, ["want", "target_root"]).select(*_IMPORT, "target_root", "file"))
+    return reduce(DataFrame.unionByName, [own, *found])
 
 
 def cross_references(symbols: DataFrame, usages: DataFrame) -> DataFrame:

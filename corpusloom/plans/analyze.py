@@ -104,7 +104,7 @@ def dependencies(parsed: DataFrame, files: DataFrame, names: dict[str, str] | No
     define. ``parsed`` and ``files`` have (root, path)."""
     names = names or {}
     imports = parsed.select("root", "path", "language", F.posexplode("imports").alias("pos", "import_text"))
-    found = resolve.resolve(imports, files, resolve.go_modules(files), other_roots=len(names) > 1)
+    found = resolve.resolve(imports, files, resolve.go_modules(files), roots=list(names) if len(names) > 1 else None)  # labels keep the order given
     own = keyed(parsed, names)
     refs = resolve.cross_references(extract.symbols(own).where("kind <> 'method'"), extract.usages(own))
     src, dst = key(names, F.col("root"), F.col("path")), key(names, F.col("target_root"), F.col("file"))

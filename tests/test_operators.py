@@ -167,10 +167,42 @@ def test_resolution(spark, text, language, path, found):
 def test_other_roots_come_after_the_own(spark):
     files = spark.createDataFrame([("a", "m.py"), ("b", "m.py"), ("b", "n.py"), ("c", "n.py")], "root string, path string")
     imports = spark.createDataFrame([("a", "x.py", "python", 0, "import m"), ("a", "x.py", "python", 1, "import n"), ("a", "x.py", "python", 2, "import o")], "root string, path string, language string, pos int, import_text string")
-    got = {(r.pos, r.target_root, r.file) for r in resolve.resolve(imports, files, other_roots=True).collect()}
+    got = {(r.pos, r.target_root, r.file) for r in resolve.resolve(imports, files, roots=["a", "b", "c"]).collect()}
     assert got == {(0, "a", "m.py"), (1, "b", "n.py")}
 
 
+def test_other_roots_are_asked_in_the_order_given(spark):
+    files = spark.createDataFrame([(r, "util.py") for r in "zb"] + [("b", "pkg/f.go"), ("z", "pkg/a.go"), ("z", "pkg/b.go")], "root string, path string")
+    texts = [("python", "import util"), ("python", "from .util import x"), ("c", '#include "util.py"'), ("go", '"x/pkg"'), ("go", '"/pkg"')]
+    imports = spark.createDataFrame([("m", "x", lang, i, t) for i, (lang, t) in enumerate(texts)], "root string, path string, language string, pos int, import_text string")
+    ask = lambda *roots: {(r.pos, r.target_root, r.file) for r in resolve.resolve(imports, files, roots=roots).collect()}
+    assert ask("m", "z", "b") == {(0, "z", "util.py"), (4, "z", "pkg/a.go"), (4, "z", "pkg/b.go")}
+    assert ask("b", "m", "z") == {(0, "b", "util.py"), (4, "b", "pkg/f.go")}
+
+
+def test_imports_are_not_multiplied_by_roots(spark):
+    """2000 imports that mean a file of each of 2000 roots: no join makes more rows than there are of both."""
+    roots = [f"r{i}" for i in range(2000)]
+    files = spark.createDataFrame([(r, "util.py") for r in roots], "root string, path string")
+    imports = spark.createDataFrame([("own", f"f{i}.py", "python", 0, "import util") for i in range(2000)], "root string, path string, language string, pos int, import_text string")
+    found = resolve.resolve(imports, files, roots=["own", *reversed(roots)])
+    assert {tuple(r) for r in found.select("target_root", "file").distinct().collect()} == {("r1999", "util.py")}
+    rows, todo = [], [found._jdf.queryExecution().executedPlan()]
+    found.collect()
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage")):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert sum(rows) < 10_000
+
+
 def test_cross_references(spark):
     symbols = spark.createDataFrame([("a.py", "T"), ("b.py", "T"), ("b.py", "U")], "path string, name string")
     used = spark.createDataFrame([("a.py", "T"), ("b.py", "T"), ("c.py", "U"), ("b.py", "U"), ("c.py", "nothing")], "path string, name string")
