@@ -1,13 +1,14 @@
 """From a file's text to its imports, symbols, docstrings and used names.
 
-Python files go through Python's own parser; other languages through line patterns over their code, with
-comments and strings told apart first, and are marked as partly parsed. A file that can't be parsed keeps what patterns find and is marked as failed. Batches of
+Python files go through Python's own parser; other languages through tables of productions (``syntax``) over
+their tokens, with comments and strings told apart first, and are marked as partly parsed. A file that can't be parsed keeps what patterns find and is marked as failed. Batches of
 files are parsed where they lie, each on its own.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from . import syntax
 
 _METHOD = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "kind", "signature", "docstring")] + [T.StructField(n, T.IntegerType()) for n in ("start_line", "end_line")])
 SYMBOL = T.StructType([*_METHOD.fields, T.StructField("children", T.ArrayType(_METHOD))])
@@ -123,27 +125,6 @@ def code_of(source: str, language: str) -> tuple[str, str]:
     return "".join([*code, source[at:]]), "".join([*kept, source[at:]])
 
 
-_C_TYPE = r"(?:[A-Za-z_][\w:<>,&*\s\[\]~]*?[\s&*])"
-#: (pattern with ``name``, kind) of a language's top-level symbols; Java's may stand deeper.
-SYMBOL_LINES: dict[str, tuple[tuple[str, str], ...]] = {
-    "javascript": (
-        (r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]*)", "function"),
-        (r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)", "class"),
-        (r"^(?:const|let)\s+(?P<name>[\w$]+)(?:\s*:[^=]+)?\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=]*=>|[\w$]+\s*=>)", "arrow"),
-    ),
-    "go": ((r"^func\s+(?P<name>\w+)", "function"), (r"^func\s+\([^)]*\)\s*(?P<name>\w+)", "method"), (r"^type\s+(?P<name>\w+)", "class")),
-    "rust": ((r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<name>\w+)", "function"), (r"^(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|impl(?:<[^>]*>)?)\s+(?P<name>\w+)", "class")),
-    "java": (
-        (r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*class\s+(?P<name>\w+)", "class"),
-        (r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?!(?:return|new|else|throw|assert|yield|case|import|package)\b)[\w<>\[\],.?]+\s+(?P<name>\w+)\s*\([^;{}]*(?:\{[^;]*|\)\s*(?:throws\s[\w\s,.]+|default\b[^;]*)?;\s*)?$", "function"),
-    ),
-    "c": ((rf"^{_C_TYPE}(?P<name>\w+)\s*\([^;]*\)?\s*\{{?\s*$", "function"), (r"^(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{", "class")),
-    "cpp": ((rf"^{_C_TYPE}(?P<name>[\w:~]+)\s*\([^;]*\)?[\w\s]*\{{?\s*$", "function"), (r"^(?:class|struct)\s+(?P<name>\w+)[^;]*$", "class")),
-    "ruby": ((r"^def\s+(?P<name>[\w.?!=]+)", "function"), (r"^class\s+(?P<name>[\w:]+)", "class")),
-}
-SYMBOL_LINES["typescript"] = SYMBOL_LINES["javascript"]
-METHOD_LINE = re.compile(r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*(?P<name>[\w$]+)\s*\([^;]*\{\s*$")
-NOT_METHODS = frozenset("if for while switch catch function return".split())
 IMPORT_STATEMENTS = {
     "javascript": r"^[ \t]*import\b[^;'\"]*(?:from\s*)?['\"][^'\"]+['\"];?|\brequire\(\s*['\"][^'\"]+['\"]\s*\)",
     "rust": r"^[ \t]*(?:pub\s+)?use\s+[^;]+;",
@@ -155,21 +136,6 @@ IMPORT_STATEMENTS |= {"typescript": IMPORT_STATEMENTS["javascript"], "cpp": IMPO
 _USED = re.compile(r"\b([A-Za-z_]\w*)\s*\(|[:(,<]\s*([A-Z]\w*)|\bnew\s+([A-Za-z_]\w*)|\b(?:extends|implements)\s+([A-Za-z_]\w*)")
 
 
-def _end(lines: list[str], start: int, language: str) -> int:
-    """The last line of what begins at a line: where its braces close, or its ``end`` stands."""
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
-        if language == "ruby":
-            if i > start and re.match(r"end\b", lines[i]):
-                return i + 1
-            continue
-        depth += lines[i].count("{") - lines[i].count("}")
-        opened = opened or "{" in lines[i]
-        if opened and depth <= 0 or not opened and lines[i].rstrip().endswith(";"):
-            return i + 1
-    return len(lines) if opened or language == "ruby" else start + 1
-
-
 def _go_imports(code: str, kept: str) -> list[str]:
     """Single imports, and the lines of import blocks."""
     out = []
@@ -180,22 +146,22 @@ def _go_imports(code: str, kept: str) -> list[str]:
     return [x for _, x in sorted(out)]
 
 
-def _by_lines(source: str, language: str) -> dict[str, Any]:
+def _by_tables(source: str, language: str) -> dict[str, Any]:
     code, kept = code_of(source, language)
-    lines, shown, symbols = code.split("\n"), source.split("\n"), []
-    for i, line in enumerate(lines):
-        for pattern, kind in SYMBOL_LINES[language]:
-            if m := re.match(pattern, line):
-                end, name = _end(lines, i, language), m["name"] or "<anonymous>"
-                head = shown[i].strip().rstrip(" {;") if kind != "arrow" else f"const {name} = ..."
-                if kind == "class" and language in ("javascript", "typescript"):
-                    head = f"class {name}"
-                methods = []
-                if kind == "class":
-                    inner = ((j, x) for j in range(i + 1, end) if (x := METHOD_LINE.match(lines[j])) and x["name"] not in NOT_METHODS)
-                    methods = [_symbol(x["name"], "method", shown[j].strip().rstrip(" {"), "", j + 1, _end(lines, j, language)) for j, x in inner] if language in ("javascript", "typescript") else []
-                symbols.append(_symbol(name, "function" if kind == "arrow" else kind, head, "", i + 1, end, methods))
-                break
+    kinds = {node: SPEC_KINDS[c] for node, c in spec_patterns(syntax.SPECS[language])}
+    strings = [m.span() for m in SIGNS[language].finditer(source) if m["comment"] is None]
+    ends = [m.start() for m in re.finditer("\n", source)]
+    line_of = lambda at: bisect.bisect_left(ends, at) + 1
+    symbols = []
+    for node in syntax.nodes(code, source, strings, language):
+        kind, head = kinds[node.type], source[node.start : node.end].split("\n")[0].rstrip(" {;")
+        if node.type == "lexical_declaration":
+            head = f"const {node.name} = ..."
+        elif kind == "class" and language in ("javascript", "typescript"):
+            head = f"class {node.name}"
+        methods = [_symbol(x.name, "method", source[x.start : x.end].split("\n")[0].rstrip(" {"), "", line_of(x.start), line_of(x.end)) for x in node.children]
+        kind = "method" if node.type == "method_declaration" and language == "go" else kind
+        symbols.append(_symbol(node.name or "<anonymous>", kind, head, "", line_of(node.start), line_of(node.end), methods))
     if language == "go":
         imports = _go_imports(code, kept)
     else:  # an import begins with code, not within a string
@@ -218,7 +184,7 @@ def _failed(source: str, language: str) -> dict[str, Any]:
 
 #: A language's parser: text to facets. More can be added on the driver, also in place of those here:
 #: executors get those that are there when ``parse`` is called.
-PARSERS: dict[str, Callable[[str], dict[str, Any]]] = {"python": _python} | {lang: (lambda s, lang=lang: _by_lines(s, lang)) for lang in SYMBOL_LINES}
+PARSERS: dict[str, Callable[[str], dict[str, Any]]] = {"python": _python} | {lang: (lambda s, lang=lang: _by_tables(s, lang)) for lang in syntax.SPECS}
 
 
 def facets(source: str, language: str, parsers: dict[str, Callable[[str], dict[str, Any]]] | None = None) -> dict[str, Any]:

@@ -237,13 +237,14 @@ def internal_modules(spark, sf):
 #: Sources of other languages with comments and strings that look like code, and the names that are
 #: symbols there, with ``#`` for the document's number.
 TRAPS = {
-    "javascript": ("// import c from './c#'\n/* function no#() {} */\nimport {a} from './a#';\nconst s = \"import z from './z'\", t = `\nfunction no2() {}\n`;\nexport class K# {\n  run(x) {\n  }\n}\nfunction g#(u) {\n  return require('./q#');\n}\n", "K#:class|g#:function", "import {a} from './a#';|require('./q#')"),
-    "go": ("package m\n\nimport (\n\t\"a/b#\"\n\tq \"c/d\"\n)\nconst s = `\nimport \"x/y\"\n\t\"z/w\"\nfunc No() {}\n`\n// func No2() {}\nfunc F#(x int) int {\n}\nfunc (t *T) M#() {\n}\ntype T# struct {\n}\n", "F#:function|M#:method|T#:class", "\"a/b#\"|q \"c/d\""),
-    "java": ("import a.B#;\n/*\nimport no.No;\n*/\npublic interface I# {\n    int size#();\n    default String text(int a) {\n        return other(a);\n    }\n}\nabstract class C# extends B {\n    // void no() {}\n    protected abstract void run#(String a, int b) throws E;\n}\n", "size#:function|text:function|C#:class|run#:function", "import a.B#;"),
-    "rust": ("use crate::a#::b;\n// use no::no;\npub fn f#() {\n    let s = \"\nfn no() {\n\";\n}\npub struct S# {\n}\n", "f#:function|S#:class", "use crate::a#::b;"),
-    "ruby": ("require 'x#'\n=begin\nrequire 'no'\n=end\n# def no\nclass A#\n  def m\n  end\nend\ndef f#(x)\nend\n", "A#:class|f#:function", "require 'x#'"),
-    "c": ("#include \"a#.h\"\n/* #include \"no.h\" */\nstatic const char *s = \"int no(void) {\";\nint main#(void) {\n}\nstruct P# {\n};\n", "main#:function|P#:class", "#include \"a#.h\""),
-    "cpp": ("#include \"a#.hpp\"\nconst char *s = R\"x(\nclass No {\n)x\";\nclass Q# {\n};\nint Q#::run(int x) {\n}\n", "Q#:class|Q#::run:function", "#include \"a#.hpp\""),
+    "javascript": ("// import c from './c#'\n/* function no#() {} */\nimport {a} from './a#';\nconst s = \"import z from './z'\", t = `\nfunction no2() {}\n`;\nexport class K# {\n  run(x) {\n  }\n}\nfunction g#(u) {\n  return require('./q#');\n}\n", "K#:class|run:method|g#:function", "import {a} from './a#';|require('./q#')"),
+    "typescript": ("import {\n  a,\n  b\n} from './ab#';\nexport async function load#<T extends Base>(\n  x: T,\n  opts: { deep: boolean } = {}\n): Promise<Map<string, T>> {\n  if (x) { run() }\n}\n@Injectable()\nexport default class Store#<T> extends Base<T> implements I {\n  private n = 0;\n  handle = (e: Event) => { go(); };\n  constructor(private readonly http: Http) { super(); }\n  static async *walk#<K>(\n    a: K,\n  ): AsyncIterator<K> {\n    for (const x of y) { f(x) }\n  }\n  get size(): number { return 1 }\n}\nconst pick# = async <T,>(x: T): Promise<T> => {\n  return x;\n};\nconst plain = foo(() => {});\nlet z = 1; function last#() {}\n", "load#:function|Store#:class|constructor:method|walk#:method|size:method|pick#:function|last#:function", "import {\n  a,\n  b\n} from './ab#';"),
+    "go": ("package m\n\nimport (\n\t\"a/b#\"\n\tq \"c/d\"\n)\nconst s = `\nimport \"x/y\"\n\t\"z/w\"\nfunc No() {}\n`\n// func No2() {}\ntype (\n\tA# struct {\n\t\tx int\n\t}\n\tB = A#\n)\nfunc F#[T any](\n\txs []T,\n\tf func(T) int,\n) (out []int, err error) {\n\ttype local struct{}\n\treturn\n}\nfunc (t *T) M#(k string) map[string]interface{} {\n\treturn nil\n}\ntype T# struct {\n}\n", "A#:class|F#:function|M#:method|T#:class", "\"a/b#\"|q \"c/d\""),
+    "java": ("import a.B#;\n/*\nimport no.No;\n*/\npublic interface I# {\n    int size#();\n    default String text(int a) {\n        return other(a);\n    }\n}\nabstract class C#<T extends Comparable<T>> extends B {\n    // void no() {}\n    public C#(int a) { this.a = a; }\n    protected abstract void run#(String a, int b) throws E;\n    public <K, V extends Map<K, ?>> java.util.List<V>\n            find#(\n        K key, String other\n    ) throws IOException, E {\n        return find(key);\n    }\n    static class In# {\n        int[] deep() { return new int[]{1}; }\n        void anon() {\n            Runnable r = new Runnable() {\n                public void go#() { call(); }\n            };\n            if (x) { foo(1); } else bar(2);\n        }\n    }\n}\n", "size#:function|text:function|C#:class|run#:function|find#:function|In#:class|deep:function|anon:function|go#:function", "import a.B#;"),
+    "rust": ("use crate::a#::b;\n// use no::no;\npub fn f#() {\n    let s = \"\nfn no() {\n\";\n}\n#[derive(Debug)]\npub(crate) struct S#<T>(T);\npub async unsafe fn w#<'a, F>(\n    f: F,\n) -> Result<(), E>\nwhere\n    F: Fn(&'a str) -> bool,\n{\n}\nmod m { fn hidden() {} }\nenum E# { A { x: i32 }, B }\n", "f#:function|S#:class|w#:function|E#:class", "use crate::a#::b;"),
+    "ruby": ("require 'x#'\n=begin\nrequire 'no'\n=end\n# def no\nclass A#\n  def m\n    return 1 if x\n  end\nend\ndef f#(x)\n  [1].each do |i|\n    while i do puts i end\n  end\n  v = if x then 1 else 2 end\nend\ndef self.g#?(x) = x + 1\ndef last#!\nend\n", "A#:class|f#:function|self.g#?:function|last#!:function", "require 'x#'"),
+    "c": ("#include \"a#.h\"\n/* #include \"no.h\" */\nstatic const char *s = \"int no(void) {\";\nint main#(void) {\n}\nstruct P# {\n};\nstatic const char *\nname#(const struct node *n,\n        int k)\n{\n  if (n) { return foo(n); }\n}\nint table[] = { 1, 2 };\n", "main#:function|P#:class|name#:function", "#include \"a#.h\""),
+    "cpp": ("#include \"a#.hpp\"\nconst char *s = R\"x(\nclass No {\n)x\";\nclass Q# {\n};\nint Q#::run(int x) {\n}\nQ#::Q#(int a)\n    : a_(a), b_{2} {\n}\nbool operator==(const A& a, const A& b) { return true; }\n", "Q#:class|Q#::run:function|Q#::Q#:function|operator==:function", "#include \"a#.hpp\""),
 }
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -251,13 +252,16 @@ _quoted = lambda s: "'" + s.replace("'", "''") + "'"
 @query(f"""SELECT doc_id, language, replace(symbols, '#', doc_id::VARCHAR) AS symbols, replace(replace(replace(imports, '#include', chr(1)), '#', doc_id::VARCHAR), chr(1), '#include') AS imports
 FROM documents JOIN (VALUES {", ".join(f"({i}, {_quoted(lang)}, {_quoted(s)}, {_quoted(m)})" for i, (lang, (_, s, m)) in enumerate(TRAPS.items()))}) AS t(k, language, symbols, imports) ON doc_id % {len(TRAPS)} = k""")
 def parse_languages(spark, sf):
-    """Symbols and imports of other languages, with comments and strings that look like code."""
+    """Symbols and imports of other languages: comments and strings that look like code, heads over several lines,
+    nested members, generics, fields, grouped declarations."""
     at = (F.col("doc_id") % len(TRAPS) + 1).cast("int")
     lang = F.element_at(F.array(*map(F.lit, TRAPS)), at)
-    text = F.element_at(F.array(*[F.lit(t.replace("#include", "\1")) for t, _, _ in TRAPS.values()]), at)
+    text = F.element_at(F.array(*[F.lit(t.replace("#include", "\1").replace("#[derive", "\3")) for t, _, _ in TRAPS.values()]), at)
     text = F.replace(F.replace(F.replace(text, F.lit("# def"), F.lit("\2")), F.lit("#"), F.col("doc_id").cast("string")), F.lit("\1"), F.lit("#include"))
+    text = F.replace(text, F.lit("\3"), F.lit("#[derive"))
     rows = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), lang.alias("language"), F.replace(text, F.lit("\2"), F.lit("# def")).alias("text"))
-    found = F.array_join(F.transform("symbols", lambda s: F.concat(s["name"], F.lit(":"), s["kind"])), "|")
+    with_members = F.flatten(F.transform("symbols", lambda s: F.concat(F.array(F.concat(s["name"], F.lit(":"), s["kind"])), F.transform(s["children"], lambda c: F.concat(c["name"], F.lit(":"), c["kind"])))))
+    found = F.array_join(with_members, "|")
     return extract.parse(rows).select("doc_id", "language", found.alias("symbols"), F.array_join("imports", "|").alias("imports"))
 
 

@@ -87,7 +87,7 @@ def test_other_languages(language, source, imports, names):
     ("language", "source", "imports", "names"),
     [
         ("typescript", "// function a() {}\n/*\nimport x from './x'\nclass B {\n}\n*/\nconst s = 'require(\"./no\")' + `\nfunction c() {}\n`\nconst r = /[\"'`]function/\nfunction d() {}\n", [], ["d"]),
-        ("javascript", "const a = `x ${f('`')}`; // it's\nimport {b} from './b' // import c from './c'\nlet e = x / y / z; function q() {}\nfunction g() {}\n", ["import {b} from './b'"], ["g"]),
+        ("javascript", "const a = `x ${f('`')}`; // it's\nimport {b} from './b' // import c from './c'\nlet e = x / y / z; function q() {}\nfunction g() {}\n", ["import {b} from './b'"], ["q", "g"]),
         ("go", 'package m\nimport (\n\t"a/b"\n\t_ "c/d" // "e/f"\n)\nvar s = `\n\t"g/h"\nimport "i/j"\n`\nfunc R() rune { return \'"\' }\nfunc S() {}\n', ['"a/b"', '_ "c/d"'], ["R", "S"]),
         ("java", 'import a.B;\ninterface I {\n    int size();\n    <T> java.util.List<T> all(Class<T> c) throws E;\n}\nclass C {\n    String t = """\n    void no() {\n    """;\n    abstract void run(int a);\n    void go() {\n        foo(1);\n        return bar(2);\n        new Thing(3);\n    }\n}\n', ["import a.B;"], ["size", "all", "C", "run", "go"]),
         ("rust", "fn a<'x>(s: &'x str) -> char { '\"' }\nlet r = r#\"\nfn no() {}\n\"#;\nfn b() {}\n", [], ["a", "b"]),
@@ -102,6 +102,35 @@ def test_comments_and_strings_are_no_code(language, source, imports, names):
     assert len(code) == len(kept) == len(source) and code.count("\n") == kept.count("\n") == source.count("\n")
 
 
+def test_heads_over_lines_and_members():
+    got = extract.facets("class A<T> extends B<T> {\n  f = () => { x() }\n  async run<K>(\n    a: K,\n  ): Promise<K> {\n    if (a) { y() }\n  }\n}\nexport function g(\n  a\n) {\n}\n", "typescript")
+    assert [(s["name"], s["kind"], s["signature"], s["start_line"], s["end_line"]) for s in got["symbols"]] == [("A", "class", "class A", 1, 8), ("g", "function", "function g(", 9, 12)]
+    assert [(m["name"], m["kind"], m["start_line"], m["end_line"]) for m in got["symbols"][0]["children"]] == [("run", "method", 3, 7)]
+
+
+@pytest.mark.parametrize("language", sorted(extract.syntax.SPECS))
+def test_broken_sources_are_read_as_far_as_they_go(language):
+    """Any order of brackets, words and strings gives some facets: nothing is raised and no node leaves the file."""
+    import random
+
+    rnd = random.Random(3)
+    words = ["{", "}", "(", ")", "[", "]", ";", "\n", '"', "'", "`", "#", "class", "def", "end", "func", "fn", "function", "type", "if", "do", "x", "=", "=>", "<", ">", ":", "é", "struct", "int", "//", "/*", "interface", "new"]
+    for _ in range(400):
+        source = " ".join(rnd.choices(words, k=rnd.randint(0, 40)))
+        got = extract.facets(source, language)
+        assert not got["parse_failed"]
+        assert all(1 <= s["start_line"] <= s["end_line"] <= source.count("\n") + 1 for s in got["symbols"])
+
+
+def test_long_sources_take_linear_time():
+    import time
+
+    source = "".join(f"int f{i}(int a) {{ return g(a, {{1}}); }}\nstruct S{i} {{ int x; }};\n" for i in range(4000))
+    at = time.time()
+    assert len(extract.facets(source, "c")["symbols"]) == 8000
+    assert time.time() - at < 10
+
+
 def test_syntax_specs(spark):
     text = "; (no) @class\n(function_definition name: (identifier) @name) @function\n(a (b (c) @class)) @method (x) (y)\n @class (z) word @import\n(s \"(\") @from_import (open"
     assert extract.spec_patterns(text) == [("function_definition", "function"), ("a", "method"), ("y", "class"), ("s", "from_import")]
