@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import tarfile
 import time
@@ -15,27 +16,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(number, whether it was written to its end) of the versions of a kept table, oldest first."""
+    fs, at = _hadoop(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted((int(n[8:]), fs.exists(_hadoop(spark, f"{path}/{n}/_SUCCESS")[1])) for n in names if re.fullmatch(r"version=\d+", n))
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A kept table; none, or one of another schema, is empty."""
-    try:
-        found = spark.read.parquet(path)
-        if {(f.name, f.dataType) for f in found.schema} == {(f.name, f.dataType) for f in schema}:
+    """A kept table, in the last version that was written to its end; none, or one of another schema, is
+    empty."""
+    done = [n for n, whole in _versions(spark, path) if whole]
+    if done:
+        found = spark.read.option("basePath", path).parquet(f"{path}/version={done[-1]}")
+        own = lambda s: {(f.name, f.dataType) for f in s if f.name != "version"}
+        if own(found.schema) == own(schema):
             return found.select(*schema.names)
-    except Exception as e:  # noqa: BLE001  no table yet, or a broken one: a miss
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
     return spark.createDataFrame([], schema)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the old table, then take its place, so that a failed run leaves the old one."""
-    jvm = df.sparkSession._jvm
-    new = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    at, to = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
-    fs = to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    fs.delete(to, True)
-    fs.rename(at, to)
+    """Write the table's next version, and only then take the old ones away: whenever a run is killed, one
+    version is there whole."""
+    old = [n for n, _ in _versions(df.sparkSession, path)]
+    df.write.parquet(f"{path}/version={max(old, default=0) + 1}")
+    for n in old:
+        drop(df.sparkSession, f"{path}/version={n}")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -252,6 +252,22 @@ def test_parse_cache(spark, tree, tmp_path):
     assert cache.read_table(spark, f"{kept}-none", schema).count() == 0
 
 
+def test_a_killed_write_leaves_the_old_version(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/kept", spark.range(1).schema
+    cache.replace_table(spark.range(3), path)
+    assert cache.read_table(spark, path, schema).count() == 3
+    # a run that died within its write: files, but no mark that they are all there
+    spark.range(9).write.parquet(f"{path}/version=2")
+    (tmp_path / "kept/version=2/_SUCCESS").unlink()
+    assert cache.read_table(spark, path, schema).count() == 3
+    cache.replace_table(cache.read_table(spark, path, schema).union(spark.range(3, 4)), path)
+    assert cache.read_table(spark, path, schema).count() == 4
+    assert [p.name for p in sorted((tmp_path / "kept").iterdir())] == ["version=3"]
+    # one that died before it took the old one away
+    spark.range(7).write.parquet(f"{path}/version=4")
+    assert cache.read_table(spark, path, schema).count() == 7
+
+
 def test_manifest(spark, tree, tmp_path):
     one = plan.manifest_of(spark, [str(tree)], config.Config())
     cache.write_manifest(one, tmp_path / "m" / "manifest.json")
