@@ -19,6 +19,8 @@ from ..storage import stored, stored_counted
 
 #: Edges and sources of a graph that is walked on the driver.
 SMALL = 20_000
+#: Paths of a length that a search follows at once.
+BLOCK = 1000
 
 
 def _rows(table: DataFrame) -> list[tuple] | None:
@@ -209,8 +211,7 @@ def call_paths(edges_: DataFrame, entries: DataFrame, max_depth: int = 5, max_pa
     those over nodes of more fan-in, then of lesser name. The first ``max_paths`` of all count; they
     are given longest first. As every entry has a path, only the first ``max_paths`` entries are
     followed, one after the other, and only until enough paths have ended. Steps are rows, so no
-    node's successors are gathered; of paths that are one step short of ``max_depth`` only the first
-    that go on are followed, as each of them ends there.
+    node's successors are gathered, and no more than ``BLOCK`` paths of a length are held.
     """
     spark = edges_.sparkSession
     fan = edges_.groupBy(F.col("dst").alias("d")).agg(F.count("*").alias("fan"))
@@ -220,28 +221,64 @@ def call_paths(edges_: DataFrame, entries: DataFrame, max_depth: int = 5, max_pa
     done: list[list[str]] = []
     if (known := _rows(steps)) is not None and (found := _paths(known, starts, max_depth, max_paths)) is not None:
         done, starts = found, []
-    for start in starts:
-        level = spark.createDataFrame([([start], [])], "nodes array<string>, trail array<struct<k: bigint, n: string>>")
-        for size in range(1, max_depth + 1):
-            need = max_paths - len(done)
-            grown = level.join(steps, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-            go_on = grown.select("nodes").distinct()
-            ended = level if size == max_depth else level.join(go_on, "nodes", "left_anti")
-            done += [list(x["nodes"]) for x in ended.orderBy("trail").limit(need).collect()]
-            if len(done) == max_paths or size == max_depth:
-                break
-            if size + 1 == max_depth:
-                last = spark.createDataFrame([tuple(x) for x in level.join(go_on, "nodes", "left_semi").orderBy("trail").limit(max_paths - len(done)).collect()], level.schema)
-                grown = last.join(steps, F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-            level = stored(grown.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("trail", F.array("step")).alias("trail")), "paths")
-            if level.isEmpty():
-                break
-        if len(done) == max_paths:
-            break
+    if starts:
+        done = _search(steps, starts, max_depth, max_paths)
     done.sort(key=lambda x: (-len(x), x))
     return spark.createDataFrame([(i, x) for i, x in enumerate(done, 1)], "rank int, nodes array<string>")
 
 
+_TRAIL = "nodes array<string>, trail array<struct<k: bigint, n: string>>"
+
+
+def _search(steps: DataFrame, starts: list[str], max_depth: int, max_paths: int) -> list[list[str]]:
+    """``call_paths`` of any graph, depth first in blocks: of the ways on from a block of paths the first
+    ``BLOCK`` in order are followed to their end before the next are looked at, so that no more is held of
+    any level. Only nodes are entered from which as many steps as are left lead to a node that a path can end
+    at: one with so few successors that a path can hold them all, or any node at ``max_depth``."""
+    spark = steps.sparkSession
+    pairs = stored(steps.select("src", "dst"), "ways")
+    ends = pairs.select(F.col("dst").alias("node")).distinct().join(pairs.groupBy("src").count().where(F.col("count") > max_depth - 2), F.col("node") == F.col("src"), "left_anti")
+    ahead: dict[bool, list[DataFrame]] = {True: [stored(ends, "ends")], False: [pairs.select(F.col("dst").alias("node")).distinct()]}
+    for some in ahead.values():
+        for _ in range(max_depth - 2):
+            some.append(stored(pairs.join(some[-1], F.col("dst") == F.col("node"), "left_semi").select(F.col("src").alias("node")).distinct(), "ahead"))
+
+    def frame(paths: list[tuple]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([tuple(x) for x in paths], _TRAIL))  # BLOCK rows
+
+    def grown(paths: list[tuple]) -> DataFrame:
+        return steps.join(frame(paths), F.element_at("nodes", -1) == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+
+    def follow(paths: list[tuple], size: int, need: int) -> list[list[str]]:
+        """The first paths of ``size`` nodes that ``paths`` become and that end there."""
+        if not paths:
+            return []
+        at = len(paths[0][0])
+        if at == size:
+            on = {tuple(r["nodes"]) for r in grown(paths).select("nodes").distinct().collect()} if size < max_depth else set()  # of BLOCK paths
+            return [list(nodes) for nodes, _ in paths if tuple(nodes) not in on][:need]
+        out: list[list[str]] = []
+        after = None
+        while len(out) < need:
+            more = grown(paths).join(ahead[size < max_depth][size - at - 1], F.col("dst") == F.col("node"), "left_semi").select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("trail", F.array("step")).alias("trail"))
+            if after is not None:
+                more = more.where(F.col("trail") > F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(n).alias("n")) for k, n in after]))
+            block = more.orderBy("trail").limit(BLOCK).collect()
+            out += follow([tuple(r) for r in block], size, need - len(out))
+            if len(block) < BLOCK:
+                break
+            after = block[-1]["trail"]
+        return out
+
+    done: list[list[str]] = []
+    for start in starts:
+        for size in range(1, max_depth + 1):
+            done += follow([([start], [])], size, max_paths - len(done))
+            if len(done) == max_paths:
+                return done
+    return done
+
+
 def importers(edges_: DataFrame) -> DataFrame:
     """Rows (path, importer): who imports each file, as a relation, so that no file gathers them."""
     return edges_.where("edge_type = 'import'").select(F.col("dst").alias("path"), F.col("src").alias("importer")).distinct()
@@ -259,17 +296,39 @@ def cycles(edges_: DataFrame, on_cycles: DataFrame, longest: int = 5, n: int = 2
     spark = edges_.sparkSession
     own = edges_.select("src", "dst").where("src <> dst").distinct().join(on_cycles.select(F.col("path").alias("src")), "src", "left_semi").join(on_cycles.select(F.col("path").alias("dst")), "dst", "left_semi")
     own = stored(own, "cycle_edges")
+    back = own.select(F.col("src").alias("b"), F.col("dst").alias("a"))
+
+    def closing(paths: DataFrame, need: int) -> list[list[str]]:
+        both = paths.join(back, (F.element_at("nodes", -1) == F.col("b")) & (F.col("nodes")[0] == F.col("a")))
+        return [list(r["nodes"]) for r in both.select("nodes").orderBy("nodes").limit(need).collect()]
+
+    def follow(paths: list[list[str]], size: int, need: int) -> list[list[str]]:
+        """The first cycles of ``size`` nodes that begin with one of ``paths``, depth first in blocks: of the
+        ways on from these the first ``BLOCK`` are followed to their end before the next."""
+        out: list[list[str]] = []
+        after: list[str] | None = None
+        while len(out) < need:
+            if paths:
+                some = F.broadcast(spark.createDataFrame([(x,) for x in paths], "nodes array<string>"))  # BLOCK rows
+                more = own.join(some, F.element_at("nodes", -1) == F.col("src")).where((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst"))).select(F.concat("nodes", F.array("dst")).alias("nodes"))
+            else:
+                more = own.where("src < dst").select(F.array("src", "dst").alias("nodes"))
+            if len(paths[0] if paths else [0]) + 1 == size:
+                return closing(more, need)
+            if after is not None:
+                more = more.where(F.col("nodes") > F.array(*map(F.lit, after)))
+            block = [list(r["nodes"]) for r in more.orderBy("nodes").limit(BLOCK).collect()]
+            if block:
+                out += follow(block, size, need - len(out))
+            if len(block) < BLOCK:
+                break
+            after = block[-1]
+        return out
+
     found: list[list[str]] = []
-    level = own.where("src < dst").select(F.array("src", "dst").alias("nodes"))
     for size in range(2, longest + 1):
-        back = own.select(F.col("src").alias("b"), F.col("dst").alias("a"))
-        closed = level.join(back, (F.element_at("nodes", -1) == F.col("b")) & (F.col("nodes")[0] == F.col("a"))).select("nodes")
-        found += [list(r["nodes"]) for r in closed.orderBy("nodes").limit(n - len(found)).collect()]
-        if len(found) == n or size == longest:
-            break
-        on = level.join(own, F.element_at("nodes", -1) == F.col("src")).where((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst")))
-        level = stored(on.select(F.concat("nodes", F.array("dst")).alias("nodes")), "cycle_paths")
-        if level.isEmpty():
+        found += follow([], size, n - len(found))
+        if len(found) == n:
             break
     return spark.createDataFrame([(x,) for x in found], "nodes array<string>")
 

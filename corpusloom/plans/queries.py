@@ -266,6 +266,38 @@ def mermaid_edges(spark, sf):
     return graph.top_edges(graph.degrees(nations(spark, sf), e).select("path", F.col("fan_in").alias("score")), e, 10)
 
 
+#: Orders and the parts they buy, both ways.
+BOUGHT = "b AS (SELECT DISTINCT 'o' || l_orderkey AS o, 'p' || l_partkey AS p FROM lineitem), u AS (SELECT o AS src, p AS dst FROM b UNION ALL SELECT p, o FROM b)"
+
+
+@query(f"""WITH {BOUGHT}, h0 AS (SELECT 'p0' AS path), h1 AS (SELECT DISTINCT dst AS path FROM u JOIN h0 ON src = path), h2 AS (SELECT DISTINCT dst AS path FROM u JOIN h1 ON src = path), h3 AS (SELECT DISTINCT dst AS path FROM u JOIN h2 ON src = path),
+a AS (SELECT path, 0 AS dist FROM h0 UNION ALL SELECT path, 1 FROM h1 UNION ALL SELECT path, 2 FROM h2 UNION ALL SELECT path, 3 FROM h3) SELECT path, CAST(min(dist) AS INTEGER) AS dist FROM a GROUP BY path""")
+def bfs_orders(spark, sf):
+    """Hops from a part over all orders and parts: an edge for each line, walked in jobs beyond ``graph.SMALL``."""
+    line = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return graph.distances(line, spark.createDataFrame([("p0",)], "path string"), max_hops=3)
+
+
+RINGS = """l AS (SELECT l_orderkey AS k, l_linenumber AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))"""
+
+
+@query(f"WITH {RINGS} SELECT k || '-' || r AS path FROM l WHERE k % 2 = 0 AND n > 1")
+def cyclic_lines(spark, sf):
+    """Lines on a cycle: of each order they lead from one to the next, in every second order also from the last to
+    the first; and from an order's first line a way leads to the next order's, in every fourth."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("k")
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).distinct()
+    line = line.select("k", F.row_number().over(own.orderBy("i")).alias("r"), F.count("*").over(own).alias("n"))
+    node = lambda k, r: F.concat_ws("-", k.cast("string"), r.cast("string"))
+    k, r, n = F.col("k"), F.col("r"), F.col("n")
+    ahead = line.where(r < n).select(node(k, r).alias("src"), node(k, r + 1).alias("dst"))
+    closed = line.where((r == n) & (n > 1) & (k % 2 == 0)).select(node(k, r).alias("src"), node(k, F.lit(1)).alias("dst"))
+    firsts = line.where((r == 1) & (k % 4 == 0)).select(node(k, r).alias("src"), node(k + 1, r).alias("dst"))
+    return graph.cyclic(ahead.unionAll(closed).unionAll(firsts))
+
+
 # -- change log -------------------------------------------------------------------------------------
 
 

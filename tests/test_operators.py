@@ -344,6 +344,48 @@ def test_call_paths_against_brute_force(spark, walk, seed):
         assert got == brute_call_paths(pairs, entries, depth, n)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_searches_in_blocks_are_whole(spark, monkeypatch, seed):
+    """Blocks of two paths: what is not in the first is found in a later one."""
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    rng = random.Random(seed)
+    pairs = sorted({(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}") for _ in range(14)} | {("n0", f"leaf{i}") for i in range(4 * (seed == 1))})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    got = [list(r.nodes) for r in graph.call_paths(edges_of(spark, pairs), nodes_of(spark, ["n0", "n1"]), 4, 5).orderBy("rank").collect()]
+    assert got == brute_call_paths(pairs, ["n0", "n1"], 4, 5)
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    simple = [[n] for n in ahead]
+    rings = []
+    for _ in range(4):
+        rings += [p for p in simple if len(p) > 1 and p[0] in ahead.get(p[-1], ()) and p[0] == min(p)]
+        simple = [[*p, b] for p in simple for b in ahead.get(p[-1], ()) if b not in p]
+    rings.sort(key=lambda p: (len(p), p))
+    e = edges_of(spark, pairs)
+    assert [list(r.nodes) for r in graph.cycles(e, graph.cyclic(e), longest=4, n=6).collect()] == rings[:6]
+
+
+def test_a_hub_stores_few_paths(spark, monkeypatch):
+    """300 successors that each have the same 300: 27 million ways of four steps, of which only blocks are held."""
+    monkeypatch.setattr(graph, "SMALL", 0)
+    kept = []
+
+    def counted(df, name, *args):
+        out = stored(df, name, *args)
+        kept.append(out.count())
+        return out
+
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", counted)
+    names = [f"m{i:03}" for i in range(300)]
+    pairs = [("e", m) for m in names] + [(a, b) for a in names for b in names if a != b]
+    got = [list(r.nodes) for r in graph.call_paths(edges_of(spark, pairs), nodes_of(spark, ["e"])).orderBy("rank").collect()]
+    assert got == [["e", "m000", "m001", "m002", m] for m in ("m003", "m004", "m005")]
+    assert sum(kept) < 1_000_000
+
+
 def test_cycles_are_given_once_from_their_least_node(spark, walk):
     e = edges_of(spark, [("b", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("x", "y"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "t"), ("t", "u"), ("u", "p")])
     on = graph.cyclic(e)
