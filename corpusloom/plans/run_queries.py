@@ -422,6 +422,20 @@ def watch_batches(spark, sf):
     return spark.createDataFrame([(i, ",".join(p)) for i, p in enumerate(got, 1)], "batch int, paths string")
 
 
+@query("""WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x),
+b AS (SELECT event_type, min(ts) AS start, max(ts) AS last, count(*) AS events, array_to_string(list_sort(list(DISTINCT 'u' || user_id)), ',') AS paths FROM y GROUP BY event_type, s)
+SELECT event_type, start, events, paths FROM b WHERE epoch_ms(last) + 600000 < epoch_ms((SELECT max(ts) FROM events)) - 86400000""")
+def stream_batches(spark, sf):
+    """A stream's batches, by type of event, written by executors as they close: state by key, with timers."""
+    place = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    own = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src_path"), F.lit(False).alias("is_directory"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    own.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{place}/in")
+    stream = debounce.event_stream(spark, f"{place}/in", debounce.EVENTS + ", event_type string")
+    debounce.write_batches(stream, f"{place}/out", f"{place}/state", 600, "1 day", "event_type").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "events", F.array_join("paths", ",").alias("paths"))
+
+
 @query("""WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 300 SECOND THEN 0 ELSE 1 END AS fresh FROM events), y AS (SELECT *, sum(fresh) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x)
 SELECT min(ts) AS start, max(ts) + INTERVAL 300 SECOND AS "end", count(*) AS events, array_to_string(list_sort(list(DISTINCT 'u' || user_id)), ',') AS paths FROM y GROUP BY s""")
 def keyless_batches(spark, sf):

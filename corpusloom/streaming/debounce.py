@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import config
 from ..functions import paths
@@ -21,15 +24,95 @@ def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS) -> Data
 
 def batches(events: DataFrame, delay: float = config.DEBOUNCE_SECONDS, late: str = "10 seconds", key: str | None = None) -> DataFrame:
     """Rows (start, end, events, paths): the set of paths that changed until it was quiet for ``delay``
-    seconds. Works on a stream, with a watermark, and on a table alike. ``key`` keeps trees apart."""
+    seconds. Works on a stream, with a watermark, and on a table alike; a stream has to be started within
+    ``state_store``. ``key`` keeps trees apart."""
     rows = events.where(~F.coalesce("is_directory", F.lit(False)) & (F.coalesce("src_path", F.lit("")) != ""))
     if not events.isStreaming:
         return _of_table(rows, delay, key)
-    session = F.session_window("ts", f"{int(delay * 1000)} milliseconds")
-    # a stream's sessions need a key: without one, a column that is the same for all
-    rows = rows.withWatermark("ts", late).withColumn("_tree", F.col(key) if key else F.substring("src_path", 1, 0))
-    found = rows.groupBy(session.alias("w"), *([key] if key else []), "_tree").agg(F.count("*").alias("events"), F.collect_set("src_path").alias("paths"))
-    return found.select(*([key] if key else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", F.array_sort("paths").alias("paths"))
+    own = rows.schema[key].dataType if key else None
+    # null is a tree of its own; every other one begins with a sign
+    tree = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")) if key else F.lit("")
+    rows = rows.withWatermark("ts", late).select(tree.alias("_tree"), "src_path", "ts", F.unix_micros("ts").alias("at"))
+    found = rows.groupBy("_tree").transformWithStateInPandas(_Open(int(delay * 1_000_000)), OPEN, "Append", "EventTime")
+    keyed = [F.when(F.col("_tree") != "", F.substring("_tree", 2, 1 << 30)).cast(own).alias(key)] if key else []
+    return found.select(*keyed, F.timestamp_micros("lo").alias("start"), F.timestamp_micros("hi").alias("end"), "events", F.array_sort("paths").alias("paths"))
+
+
+OPEN = "_tree string, lo long, hi long, events long, paths array<string>"
+
+
+class _Open(StatefulProcessor):
+    """A tree's batches that are still open: of each path and step of time, within which all is of one batch,
+    the first and last time and the events. A timer for the first end that is ahead looks which batches have been
+    quiet for long enough: no event that comes later than the watermark can belong to them."""
+
+    def __init__(self, quiet: int):
+        self._quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._steps = handle.getMapState("steps", "step long, src_path string", "lo long, hi long, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
+        for b in rows:
+            for (step, path), own in b.groupby([b["at"] // self._quiet, "src_path"])["at"]:
+                at, lo, hi, n = (int(step), path), int(own.min()), int(own.max()), len(own)
+                was = self._steps.getValue(at)
+                if was is not None:
+                    lo, hi, n = min(lo, was[0]), max(hi, was[1]), n + was[2]
+                self._steps.updateValue(at, (lo, hi, n))
+                first = hi if first is None else min(first, hi)
+        if first is not None:
+            self._handle.registerTimer(self._closed_at(first))
+        return iter(())
+
+    def _closed_at(self, last: int) -> int:
+        """The millisecond from which a batch with its last event then is closed."""
+        return (last + self._quiet) // 1000 + 1
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        found: list[list] = []  # of each batch: its last time, and entries
+        for at, v in sorted(((tuple(k), tuple(v)) for k, v in self._steps.iterator()), key=lambda x: (x[0][0], x[1][0])):
+            if not found or v[0] - found[-1][0] > self._quiet:
+                found.append([v[1], []])
+            found[-1][0] = max(found[-1][0], v[1])
+            found[-1][1].append((at, v))
+        done, left = [x for x in found if self._closed_at(x[0]) <= now], [x for x in found if self._closed_at(x[0]) > now]
+        if done:
+            self._steps.clear()
+            for at, v in (e for _, own in left for e in own):
+                self._steps.updateValue(at, v)
+        if left:
+            self._handle.registerTimer(min(self._closed_at(x[0]) for x in left))
+        out = [(key[0], min(v[0] for _, v in own), last + self._quiet, sum(v[2] for _, v in own), sorted({at[1] for at, _ in own})) for last, own in done]
+        return iter([pd.DataFrame(out, columns=["_tree", "lo", "hi", "events", "paths"])] if out else [])
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, as maps and timers need; the session's own
+    setting comes back."""
+    was = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, was)
+
+
+def write_batches(events: DataFrame, out: str, checkpoint: str, delay: float = config.DEBOUNCE_SECONDS, late: str = "10 seconds", key: str | None = None) -> StreamingQuery:
+    """Closed batches of what is there now, as Parquet below ``out``, each once over any number of runs."""
+    with state_store(events.sparkSession):
+        writer = batches(events, delay, late, key).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+        return writer.trigger(availableNow=True).start()
 
 
 def _of_table(rows: DataFrame, delay: float, key: str | None) -> DataFrame:
@@ -64,8 +147,9 @@ def watch(events: DataFrame, handle: Callable[[list[str]], None], checkpoint: st
             except Exception as e:  # noqa: BLE001  the next change may mend it
                 print(f"batch failed: {e}")
 
-    writer = batches(events, delay).writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with state_store(events.sparkSession):
+        writer = batches(events, delay).writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def first_seen(events: DataFrame, within: str = "1 hour") -> DataFrame:

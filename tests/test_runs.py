@@ -347,6 +347,34 @@ def test_batches_of_a_stream(spark, tmp_path):
     assert got[:2] == [["src/a.py", "src/b.py", "src/c.py", "src/d.py", "src/e.py"], ["src/z.py"]]
 
 
+@pytest.mark.parametrize("key", [None, "tree"])
+def test_a_streams_batches_are_the_tables_over_a_restart(spark, tmp_path, key):
+    """Events out of order, in several files and two runs, with paths that come again: what has been quiet for
+    long enough is there once, as in the table; the rest stays open."""
+    rng = random.Random(8)
+    rows, at = [], 0.0
+    for i in range(400):
+        at += rng.choice((0.1, 0.5, 1.0, 2.999, 3.0, 3.001, 5.0, 9.0))
+        rows.append({"src_path": f"src/{rng.choice('abc')}.py", "is_directory": False, "ts": (AT + datetime.timedelta(seconds=at)).isoformat(), "tree": rng.choice(["x", "y", None])})
+    schema = debounce.EVENTS + ", tree string"
+    want = debounce.batches(spark.read.schema(schema).json(spark.sparkContext.parallelize(map(json.dumps, rows))), key=key)
+    told = lambda df: sorted(((r["tree"] if key else None, r.start, r.end, r.events, tuple(r.paths)) for r in df.collect()), key=repr)
+    want = told(want)
+    # each file's events are shuffled, and up to four seconds late against the file before
+    late = sorted(range(len(rows)), key=lambda i: (datetime.datetime.fromisoformat(rows[i]["ts"]) + datetime.timedelta(seconds=rng.random() * 4)))
+    (tmp_path / "in").mkdir()
+    for run, part in enumerate((late[:150], late[150:])):
+        for k in range(3):
+            some = part[k * len(part) // 3 : (k + 1) * len(part) // 3]
+            (tmp_path / f"in/{run}{k}.json").write_text("\n".join(json.dumps(rows[i]) for i in rng.sample(some, len(some))))
+        debounce.write_batches(debounce.event_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "state"), key=key).awaitTermination(180)
+    got = told(spark.read.parquet(str(tmp_path / "out")))
+    end = max(datetime.datetime.fromisoformat(r["ts"]) for r in rows) - datetime.timedelta(seconds=10)
+    closed = [w for w in want if w[2].timestamp() < end.timestamp()]
+    assert got == closed and len(want) > len(closed) > 20
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
 def test_first_seen(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [event("a", 0) | {"sha256": "1"}, event("a", 1) | {"sha256": "1"}, event("a", 2) | {"sha256": "2"}]
