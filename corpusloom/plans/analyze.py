@@ -20,7 +20,7 @@ from ..functions import tokens as bpe
 from ..operators import budget, extract, graph, rank, render, report, resolve, semantic
 from ..sources import cache, repo_files
 from ..storage import stored
-from .providers import PROVIDERS, Summarizer, summarizer
+from .providers import PROVIDERS, Summarizer, summarizer, together
 
 __all__ = ["PROVIDERS", "Stages", "analyze", "benchmark", "manifest_of", "search", "write"]
 
@@ -152,7 +152,7 @@ def include(files: DataFrame, settings: config.Config, summarize: Summarizer | N
 
         @F.pandas_udf("string")
         def rewrite(path: pd.Series, text: pd.Series) -> pd.Series:
-            return pd.Series([f"### `{p}`\n\n{summarize(p, t)}\n" for p, t in zip(path, text, strict=True)])
+            return pd.Series([f"### `{p}`\n\n{told}\n" for p, told in zip(path, together(summarize, path, text), strict=True)])
 
         own = (F.col("tier") == 1) & ~paths.is_entry(F.col("path"))
         shown = shown.where(~own).unionByName(shown.where(own).withColumn("content", rewrite("path", "text")))
@@ -193,7 +193,8 @@ def analyze(spark: SparkSession, roots: list[str], settings: config.Config, as_o
     changes = stored(history(spark, roots, names, settings), "changes")
     near = relevance(parsed, settings.query, encode, f"{kept}/vectors" if kept else None) if settings.query and encode else None
     rows, cyclic = signals(parsed, edges, changes, settings.task, now, near)
-    scores = rank.score(rows, settings.task, near is not None)
+    rows = stored(rows, "signals")
+    scores = stored(rank.score(rows, settings.task, near is not None), "scores")
     all_ = ranked(parsed, edges, scores, files)
     return Stages(files, parsed, edges, rows, all_, include(all_, settings, summarizer(settings) if settings.llm_enabled else None), cyclic, list(map(str, roots)))
 
@@ -250,7 +251,7 @@ def benchmark(spark: SparkSession, roots: list[str], settings: config.Config) ->
     lap("graph")
     parsed = keyed(plain, names)
     rows, _ = signals(parsed, edges, stored(history(spark, roots, names, settings), "changes"), settings.task, time.time())
-    scores = stored(rank.score(rows, settings.task), "scores")
+    scores = stored(rank.score(stored(rows, "signals"), settings.task), "scores")
     lap("rank")
     include(ranked(parsed, edges, scores, files), settings).count()
     lap("compress")

@@ -13,7 +13,8 @@ import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -106,3 +107,13 @@ def summarizer(settings: config.Config) -> Summarizer:
             return first_line(path, text)
 
     return summarize
+
+
+#: Requests that a task has under way at once.
+AT_ONCE = 4
+
+
+def together(summarize: Summarizer, paths: Iterable[str], texts: Iterable[str], at_once: int = AT_ONCE) -> list[str]:
+    """A batch's summaries in its order, so many at once."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(summarize, paths, texts))

@@ -79,16 +79,15 @@ def nations(spark: SparkSession, sf: str) -> DataFrame:
 
 def suppliers(spark: SparkSession, sf: str, task: str) -> DataFrame:
     """Signals of suppliers as ranked entities."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate")
-    sold = stored(line.groupBy("l_suppkey").agg(F.count("*").alias("freq"), F.max(seconds(F.col("l_shipdate"))).alias("last_ts")), "sold")
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate").join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = [F.count("*").alias("freq"), F.max(seconds(F.col("l_shipdate"))).alias("last_ts"), F.count_distinct("l_partkey").alias("symbols"), F.count_distinct("o_custkey").alias("fan_in")]
+    sold = stored(line.groupBy("l_suppkey").agg(*own), "sold")
     as_of = sold.agg(F.max("last_ts").alias("t")).first()["t"]
-    parts = line.select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("symbols"))
-    buyers = line.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("fan_in"))
     edges = trade(spark, sf)
     near = graph.distances(edges, spark.createDataFrame([("0",)], "path string")).select(F.col("path").alias("nation"), "dist")
     cyclic = graph.cyclic(edges).select(F.col("path").alias("nation"), F.lit(True).alias("cyclic"))
     rows = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), "s_suppkey", "s_nationkey", F.col("s_nationkey").cast("string").alias("nation"))
-    rows = rows.join(sold, F.col("s_suppkey") == sold["l_suppkey"], "left").drop("l_suppkey").join(parts, F.col("s_suppkey") == parts["l_suppkey"], "left").drop("l_suppkey").join(buyers, F.col("s_suppkey") == buyers["l_suppkey"], "left").drop("l_suppkey")
+    rows = rows.join(sold, F.col("s_suppkey") == sold["l_suppkey"], "left").drop("l_suppkey")
     rows = rows.join(near, "nation", "left").join(cyclic, "nation", "left")
     days = rank.days_since(F.col("last_ts"), as_of)
     return rows.select("path", "s_suppkey", "s_nationkey", "freq", "fan_in", rank.recency(days, task).alias("recency"), rank.nearness(F.col("dist")).alias("proximity"), "symbols", (F.lit(1.0) / (F.lit(1.0) + F.col("s_nationkey") % 4)).alias("depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
@@ -122,7 +121,7 @@ rel AS (SELECT vec_id, label, round(greatest(1.0::DOUBLE - d / CASE WHEN max(d)
 
 
 def scores(spark: SparkSession, sf: str, task: str = "default") -> DataFrame:
-    return rank.score(suppliers(spark, sf, task), task)
+    return stored(rank.score(stored(suppliers(spark, sf, task), "signals"), task), "scores")
 
 
 def relevances(spark: SparkSession, sf: str) -> DataFrame:
@@ -437,8 +436,8 @@ def symbol_index(spark, sf):
 
 @query(f"WITH {NAMED} SELECT d.path AS defined_in, nm.path AS used_in, count(*) AS symbols, min(nm.name) AS first_symbol FROM nm JOIN d ON nm.name = d.name WHERE nm.path <> d.path GROUP BY 1, 2")
 def xref_edges(spark, sf):
-    names = named(spark, sf)
-    met = resolve.cross_references(names, names.select("path", "name"))
+    names = stored(named(spark, sf).select("path", "name"), "names")
+    met = resolve.cross_references(names, names)
     return met.groupBy("defined_in", "used_in").agg(F.count("*").alias("symbols"), F.min("symbol").alias("first_symbol"))
 
 

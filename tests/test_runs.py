@@ -188,6 +188,24 @@ def test_providers(monkeypatch):
     assert providers.summarizer(config.Config(llm_provider="none"))("d.py", "\n one\n") == "d.py: one"
 
 
+def test_summaries_are_asked_for_together_and_stay_in_order(monkeypatch):
+    lock, now, most = threading.Lock(), 0, 0
+
+    def ask(path, text):
+        nonlocal now, most
+        with lock:
+            now += 1
+            most = max(most, now)
+        time.sleep(0.02 * (len(text) % 3))
+        with lock:
+            now -= 1
+        return f"{path}:{text}"
+
+    texts = ["x" * i for i in range(40)]
+    assert providers.together(ask, [f"p{i}" for i in range(40)], texts) == [f"p{i}:{t}" for i, t in enumerate(texts)]
+    assert most == providers.AT_ONCE and providers.together(ask, [], []) == []
+
+
 def test_tokens_of_a_vocabulary(spark, tree):
     import public_tokenizers
     import tiktoken
