@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import globs, paths
 from ..functions import text as tx
-from ..operators import budget, extract, graph, rank, render, report, resolve, semantic
+from ..operators import budget, extract, graph, rank, render, report, resolve, semantic, vectors
 from ..sources import cache, repo_files
 from ..storage import stored
 from ..streaming import debounce
@@ -598,6 +598,13 @@ def semantic_topk(spark, sf):
     return semantic.top(relevances(spark, sf), 10, "vec_id").select("vec_id", "relevance")
 
 
+@query(f"WITH {REL} SELECT vec_id, label, relevance FROM rel ORDER BY relevance DESC, vec_id LIMIT 10")
+def semantic_index_topk(spark, sf):
+    """The search by cells."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return vectors.build(rows).search(rows.where("vec_id = 0").first()["embedding"], 10, "vec_id").select("vec_id", "label", "relevance")
+
+
 @query("SELECT CAST(len(embedding) AS INTEGER) AS dimension, count(*) AS n FROM embeddings GROUP BY 1")
 def embedding_dims(spark, sf):
     return table(spark, sf, "embeddings").groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("n"))

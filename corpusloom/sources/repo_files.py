@@ -1,8 +1,9 @@
 """Source trees and change logs as Spark data sources.
 
 Spark's own file sources leave out names that begin with a dot or an underscore, so trees are read by
-a Python data source: a partition for each top-level folder, ignored folders pruned before they are
-entered. Roots are folders that the executors can open too (one machine, or a shared mount).
+a Python data source: folders are opened level by level, ignored ones pruned before they are entered, until
+there are enough for all tasks; each then walks the tree below one. A change log is read by ranges of its
+commits. Roots are folders that the executors can open too (one machine, or a shared mount).
 """
 
 from __future__ import annotations
@@ -25,9 +26,19 @@ FILES = "root string, path string, size long, mtime double, content binary, sha2
 CHANGES = "sha string, ts double, path string, subject string"
 
 
-class _Top(InputPartition):
-    def __init__(self, entry: str):
-        self.entry = entry
+#: Folders from which on no further level is opened before tasks are dealt, and commits of a range.
+WIDE, RANGE = 256, 500
+
+
+class _Part(InputPartition):
+    """Folders or files to walk, or ids of commits."""
+
+    def __init__(self, entries: list[str]):
+        self.entries = entries
+
+
+def _dealt(entries: list[str], size: int) -> list[_Part]:
+    return [_Part(entries[i : i + size]) for i in range(0, len(entries), size)]
 
 
 class _TreeReader(DataSourceReader):
@@ -35,10 +46,22 @@ class _TreeReader(DataSourceReader):
         self._root, self._rules = options["path"], globs.parse_rules(options.get("ignore", "").split("\n"))
 
     def partitions(self) -> list[InputPartition]:
-        try:
-            return [_Top(e) for e in sorted(os.listdir(self._root))] or [_Top("")]
-        except OSError:
-            return [_Top("")]
+        folders, found = [""], []
+        while folders and len(folders) < WIDE:
+            below = []
+            for rel in folders:
+                try:
+                    with os.scandir(os.path.join(self._root, rel)) as entries:
+                        for e in entries:
+                            own = f"{rel}/{e.name}" if rel else e.name
+                            if not e.is_dir(follow_symlinks=False):
+                                found.append(own)
+                            elif not globs.decide(own + "/", self._rules):
+                                below.append(own)
+                except OSError:
+                    continue
+            folders = below
+        return [*_dealt(sorted(folders), 1), *_dealt(sorted(found), max(1, -(-len(found) // WIDE)))] or [_Part([])]
 
     def _walk(self, rel: str) -> Iterator[str]:
         full = os.path.join(self._root, rel)
@@ -57,8 +80,8 @@ class _TreeReader(DataSourceReader):
         for n in names:
             yield from self._walk(f"{rel}/{n}")
 
-    def read(self, partition: _Top) -> Iterator[tuple]:
-        for rel in self._walk(partition.entry) if partition.entry else ():
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        for rel in (x for e in partition.entries for x in self._walk(e)):
             full = os.path.join(self._root, rel)
             try:
                 content = Path(full).read_bytes()
@@ -86,13 +109,21 @@ class _LogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self._root, self._since, self._limit = options["path"], options.get("since"), int(options.get("limit", config.COMMITS))
 
-    def read(self, partition) -> Iterator[tuple]:
-        # newest first, against the first parent only; a root commit against nothing
-        command = ["git", "-C", self._root, "log", f"--since=@{self._since}" if self._since else f"-n{self._limit}", "--date-order", "--no-renames", "--diff-merges=first-parent", "--root", "--name-only", "-z", "--format=%x01%H%x02%ct%x02%s%x02"]
-        found = subprocess.run(command, capture_output=True)
-        if found.returncode:
+    def _git(self, *args: str, told: str = "") -> str:
+        found = subprocess.run(["git", "-C", self._root, *args], input=told.encode(), capture_output=True)
+        return "" if found.returncode else found.stdout.decode("utf-8", "replace")
+
+    def partitions(self) -> list[InputPartition]:
+        """Ranges of commits, newest first."""
+        ids = self._git("rev-list", f"--since=@{self._since}" if self._since else f"-n{self._limit}", "--date-order", "HEAD").split()
+        return _dealt(ids, RANGE) or [_Part([])]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        if not partition.entries:
             return
-        for commit in found.stdout.decode("utf-8", "replace").split("\x01")[1:]:
+        # against the first parent only; a root commit against nothing
+        how = ["log", "--no-walk=unsorted", "--stdin", "--no-renames", "--diff-merges=first-parent", "--root", "--name-only", "-z", "--format=%x01%H%x02%ct%x02%s%x02"]
+        for commit in self._git(*how, told="\n".join(partition.entries)).split("\x01")[1:]:
             sha, ts, subject, names = commit.split("\x02", 3)
             changed = [n.strip("\n") for n in names.split("\0") if n.strip("\n")]
             for n in changed or [None]:

@@ -2,12 +2,13 @@
 
 import json
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import config
-from corpusloom.operators import budget, extract, graph, rank, render, report, resolve, semantic
+from corpusloom.operators import budget, extract, graph, rank, render, report, resolve, semantic, vectors
 from corpusloom.sources import cache
 
 # -- extraction
@@ -544,3 +545,45 @@ def test_payload(spark):
     assert got["files"][0] == {"path": "main.py", "tier": "CORE", "tokens": 10, "rank_score": 0.9, "summary": "run", "included": True}
     assert got["symbol_index"] == {"run": "b/x.py"}
     assert got["stats"] == {"total_files": 7, "included_files": 3, "total_tokens": 60, "core_count": 1, "supporting_count": 1, "peripheral_count": 1}
+
+
+# -- vector index
+
+
+def near_of(rows, query, k):
+    rows = [(i, v) for i, v in rows if v is not None]
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    far = {i: 1.0 if not size(v) else 1 - max(min(sum(a * b for a, b in zip(v, query, strict=True)) / (size(v) * size(query)), 1), -1) for i, v in rows}
+    most = max(far.values()) or 1.0
+    got = sorted(((-round(max(1 - d / most, 0), 6), i) for i, d in far.items()))[:k]
+    return [(i, -r) for r, i in got if r < 0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_search_by_cells_is_exact_and_reads_some(spark, seed):
+    rng = random.Random(seed)
+    hearts = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(30)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in hearts[i % 30]]) for i in range(1500)]
+    rows += [(2000, [0.0] * 12), (2001, None), (2002, rows[3][1]), (2003, rows[3][1]), (2004, [2 * x for x in rows[3][1]])]
+    index = vectors.build(spark.createDataFrame(rows, "id long, embedding array<float>"))
+    plain = [(i, None if v is None else [struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, v in rows]
+    for query in (rows[3][1], hearts[7], [-x for x in hearts[1]]):
+        got = index.search(query, 7, "id")
+        assert [(r.id, r.relevance) for r in got.collect()] == [(i, pytest.approx(x, abs=2e-6)) for i, x in near_of(plain, query, 7)]
+        assert len(index.probed) < len(index.cells) / 2
+    assert "PartitionFilters: [isnotnull(cell" in got._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [cell" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_vectors(spark):
+    none = vectors.build(spark.createDataFrame([], "id long, embedding array<float>"))
+    assert none.search([1.0, 2.0], 3, "id").count() == 0
+    zero = vectors.build(spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "id long, embedding array<float>"))
+    assert zero.search([1.0, 2.0], 3, "id").count() == 0
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(50, [0.0, 1.0])], "id long, embedding array<float>")
+    same = vectors.build(rows)
+    for query in ([1.0, 0.0], [1.0, 1.0], [0.0, 3.0]):
+        want = [r.id for r in semantic.top(semantic.relevance(rows, query), 3, "id").collect()]
+        assert [r.id for r in same.search(query, 3, "id").collect()] == want
+    assert same.search([0.0, 0.0], 3, "id").count() == 0
+    with pytest.raises(Exception, match="numbers"):
+        vectors.build(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "id long, embedding array<float>"))

@@ -286,6 +286,46 @@ def test_a_killed_write_leaves_the_old_version(spark, tmp_path):
     assert cache.read_table(spark, path, schema).count() == 7
 
 
+def test_a_deep_tree_and_a_long_log_are_dealt_out(tmp_path, monkeypatch):
+    for i in range(60):
+        (tmp_path / f"src/p{i // 10}/q{i % 10}").mkdir(parents=True)
+        (tmp_path / f"src/p{i // 10}/q{i % 10}/m.py").write_text(str(i))
+    (tmp_path / "top.py").write_text("x")
+    (tmp_path / "src/out").mkdir()
+    (tmp_path / "src/out/no.py").write_text("x")
+    monkeypatch.setattr(repo_files, "WIDE", 8)
+    reader = repo_files._TreeReader({"path": str(tmp_path), "ignore": "out/"})
+    parts = reader.partitions()
+    assert len(parts) > 50 and all(len(p.entries) == 1 for p in parts)
+    found = sorted(r[1] for p in parts for r in reader.read(p))
+    assert found == sorted(["top.py", *(f"src/p{i // 10}/q{i % 10}/m.py" for i in range(60))])
+    assert [p.entries for p in repo_files._TreeReader({"path": str(tmp_path / "none")}).partitions()] == [[]]
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    for i in range(12):
+        (tmp_path / "top.py").write_text(str(i))
+        git("add", "top.py")
+        git("commit", "-q", "-m", f"change {i}")
+    git("checkout", "-q", "-b", "side", "HEAD~3")
+    (tmp_path / "side.py").write_text("s")
+    git("add", "side.py")
+    git("commit", "-q", "-m", "aside")
+    git("checkout", "-q", "main")
+    git("merge", "-q", "--no-ff", "-m", "merged", "side")
+
+    def log(size, **options):
+        monkeypatch.setattr(repo_files, "RANGE", size)
+        r = repo_files._LogReader({"path": str(tmp_path)} | options)
+        return len(r.partitions()), [x for p in r.partitions() for x in r.read(p)]
+
+    n, whole = log(1000)
+    some, dealt = log(5)
+    assert (n, some) == (1, 3) and dealt == whole and len(whole) == 14
+    assert ("side.py", "merged") in {(x[2], x[3]) for x in whole}  # what a merge brings, against its first parent
+    assert len(log(5, limit="4")[1]) == 4 and log(5, since="99999999999")[1] == []
+
+
 def test_manifest(spark, tree, tmp_path):
     one = plan.manifest_of(spark, [str(tree)], config.Config())
     cache.write_manifest(one, tmp_path / "m" / "manifest.json")
