@@ -323,7 +323,7 @@ def test_a_deep_tree_and_a_long_log_are_dealt_out(tmp_path, monkeypatch):
     some, dealt = log(5)
     assert (n, some) == (1, 3) and dealt == whole and len(whole) == 14
     assert ("side.py", "merged") in {(x[2], x[3]) for x in whole}  # what a merge brings, against its first parent
-    assert len(log(5, limit="4")[1]) == 4 and log(5, since="99999999999")[1] == []
+    assert len(log(5, limit="4")[1]) == 4 and log(5, since="4000000000")[1] == []
 
 
 def test_manifest(spark, tree, tmp_path):
