@@ -323,3 +323,47 @@ def node_records(docs: DataFrame, fanout: int = 2) -> DataFrame:
     """All nodes of the groups' trees: (g, level, j, hash), to be kept as the manifest."""
     leaves, runs = indexed(document_leaves(docs), [F.col("doc_id"), F.col("leaf")])
     return nodes(leaves, runs, fanout, records=True).where("fresh or not edge").select("g", "level", "j", "hash")
+
+
+#: The same result in DuckDB: both trees level by level, siblings by their places, tampered leaves folded level by level.
+ORACLE_SQL = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, n_chars, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS own, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] AS other FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(array_to_string(list_transform(own, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '')) AS leaf,
+         sha256(array_to_string(list_transform(other, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '')) AS changed FROM f),
+leaves AS (SELECT doc_id, lang, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS j, count(*) OVER (PARTITION BY lang) AS n FROM l),
+tree AS (
+  SELECT coalesce('=' || lang, '') AS g, 0 AS lvl, j, leaf AS h, n FROM leaves
+  UNION ALL SELECT g, lvl + 1, j // 2, sha256(string_agg(h, '' ORDER BY j)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, n, j // 2),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS j, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, j, h, n FROM subroots
+  UNION ALL SELECT lvl + 1, j // 2, sha256(string_agg(h, '' ORDER BY j)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, n, j // 2),
+way AS (
+  SELECT x.doc_id, x.leaf, tree.lvl, tree.j < (x.j >> tree.lvl) AS before, tree.h, x.lang, x.j AS place
+  FROM leaves x JOIN tree ON tree.g = coalesce('=' || x.lang, '') AND tree.j = xor(x.j >> tree.lvl, 1)
+  UNION ALL
+  SELECT x.doc_id, x.leaf, 1000 + top.lvl, top.j < (s.j >> top.lvl), top.h, x.lang, x.j
+  FROM leaves x JOIN subroots s ON s.g = coalesce('=' || x.lang, '') JOIN top ON top.j = xor(s.j >> top.lvl, 1)),
+lone AS (  -- levels where a node is alone in its run, which becomes its own H
+  SELECT x.lang, x.j AS place, tree.lvl, tree.n FROM leaves x JOIN tree ON tree.g = coalesce('=' || x.lang, '') AND tree.j = x.j >> tree.lvl WHERE tree.n > 1
+  UNION ALL SELECT x.lang, x.j, 1000 + top.lvl, top.n FROM leaves x JOIN subroots s ON s.g = coalesce('=' || x.lang, '') JOIN top ON top.j = s.j >> top.lvl WHERE top.n > 1),
+steps AS (
+  SELECT lone.lang, lone.place, row_number() OVER (PARTITION BY lone.lang, lone.place ORDER BY lone.lvl) AS k, way.h, way.before
+  FROM lone LEFT JOIN way ON way.lang IS NOT DISTINCT FROM lone.lang AND way.place = lone.place AND way.lvl = lone.lvl),
+crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+told AS (
+  SELECT lang, j AS place, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, d: xor(t[(xor(c, d) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 7 = 0 THEN changed ELSE leaf END AS h
+  FROM leaves, crc),
+fold AS (
+  SELECT lang, place, 0 AS k, h FROM told
+  UNION ALL SELECT fold.lang, fold.place, steps.k, CASE WHEN steps.h IS NULL THEN sha256(fold.h) WHEN steps.before THEN sha256(steps.h || fold.h) ELSE sha256(fold.h || steps.h) END
+  FROM fold JOIN steps ON steps.lang IS NOT DISTINCT FROM fold.lang AND steps.place = fold.place AND steps.k = fold.k + 1),
+ended AS (SELECT lang, place, max_by(h, k) AS h FROM fold GROUP BY lang, place),
+proofs AS (SELECT lang, place, sha256(string_agg(h, '' ORDER BY lvl)) AS p FROM way GROUP BY lang, place),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT x.doc_id, x.leaf, s.h AS subroot, root.h AS root, coalesce(p.p, sha256('')) AS proof_sha256, e.h AS folded_root, e.h = root.h AS verified
+FROM leaves x CROSS JOIN root JOIN subroots s ON s.g = coalesce('=' || x.lang, '')
+LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM x.lang AND p.place = x.j JOIN ended e ON e.lang IS NOT DISTINCT FROM x.lang AND e.place = x.j
+"""
