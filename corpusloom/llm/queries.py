@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_phrase_index": phrase_index.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op3_phrase_index": phrase_index.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_suffix_dedup": suffix_dedup.ORACLE_SQL}

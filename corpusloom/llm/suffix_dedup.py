@@ -400,3 +400,18 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 def kept_text(kept: Column) -> Column:
     """Bytes that stay as text; letters that a cut broke become U+FFFD."""
     return F.decode(kept, "UTF-8")
+
+
+#: The same result in DuckDB: all windows of all texts are grouped by a hash.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + {LENGTH - 1}]) AS h FROM d, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS t(i)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+gap AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM gap),
+span AS (SELECT r, min(i) AS x, max(i) + {LENGTH - 1} AS y FROM run GROUP BY r, k),
+cut AS (SELECT r, list(x ORDER BY x) AS xs, list(y ORDER BY x) AS ys, sum(y - x + 1) AS gone, count(*) AS n FROM span GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN b ELSE list_reduce(list_transform(range(1, n + 2), lambda k: CASE WHEN coalesce(ys[k - 1], 0) + 1 > coalesce(xs[k] - 1, octet_length(b)) THEN ''::BLOB ELSE b[coalesce(ys[k - 1], 0) + 1:coalesce(xs[k] - 1, octet_length(b))] END), lambda p, q: p || q) END) AS kept_sha256
+FROM d LEFT JOIN cut ON d.r = cut.r
+"""
