@@ -376,7 +376,7 @@ def test_stages_keep_the_columns_and_odd_rows_pass(spark):
 
 def test_queries_run_and_have_their_sql(spark):
     names = queries.queries()
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 13)]
     assert set(queries.oracle_sql()) <= set(names)
     for name, query in names.items():
         assert query(spark, SF).columns, name
