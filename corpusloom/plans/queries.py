@@ -582,7 +582,7 @@ def notes(spark, sf):
     first = F.when(F.col("doc_id") % 5 > 0, own[0]["signature"]).otherwise(own[1]["signature"])
     symbols = F.array(F.struct(first.alias("signature"), children.alias("children")))
     text = F.concat(F.repeat(F.lit(" @d\n"), (F.col("doc_id") % 9).cast("int")), F.col("text"))
-    return files(spark, sf).select("path", F.array_join(render.notes(F.col("doc_id") % 7 == 0, symbols, text, tx.line_count(F.col("text"))), "; ").alias("notes"))
+    return files(spark, sf).select("path", F.array_join(render.notes(F.col("doc_id") % 7 == 0, symbols, text, tx.line_count(text)), "; ").alias("notes"))
 
 
 # -- embeddings -------------------------------------------------------------------------------------
