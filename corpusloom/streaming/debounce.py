@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import config
 from ..functions import paths
+from ..storage import stored
 
 EVENTS = "src_path string, is_directory boolean, ts timestamp"
 
@@ -24,7 +24,7 @@ def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS) -> Data
 
 def batches(events: DataFrame, delay: float = config.DEBOUNCE_SECONDS, late: str = "10 seconds", key: str | None = None) -> DataFrame:
     """Rows (start, end, events, paths): the set of paths that changed until it was quiet for ``delay``
-    seconds. Works on a stream, with a watermark, and on a table alike; a stream has to be started within
+    seconds. Works on a stream, with a watermark, and on a table alike; a stream is to be started within
     ``state_store``. ``key`` keeps trees apart."""
     rows = events.where(~F.coalesce("is_directory", F.lit(False)) & (F.coalesce("src_path", F.lit("")) != ""))
     if not events.isStreaming:
@@ -32,62 +32,44 @@ def batches(events: DataFrame, delay: float = config.DEBOUNCE_SECONDS, late: str
     own = rows.schema[key].dataType if key else None
     # null is a tree of its own; every other one begins with a sign
     tree = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")) if key else F.lit("")
-    rows = rows.withWatermark("ts", late).select(tree.alias("_tree"), "src_path", "ts", F.unix_micros("ts").alias("at"))
-    found = rows.groupBy("_tree").transformWithStateInPandas(_Open(int(delay * 1_000_000)), OPEN, "Append", "EventTime")
+    quiet = int(delay * 1_000_000)
+    parts = rows.where("ts is not null").select(tree.alias("_tree"), "src_path", F.unix_micros("ts").alias("at")).mapInPandas(_parts(quiet), PART)
+    parts = parts.withColumns({"lo": F.timestamp_micros("lo"), "_open": F.make_interval(secs=((F.col("hi") - F.col("lo") + quiet).cast("decimal(24,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))})
+    found = parts.withWatermark("lo", late).groupBy("_tree", F.session_window("lo", F.col("_open")).alias("_at")).agg(F.sum("events").alias("events"), F.collect_list("paths").alias("paths"))
     keyed = [F.when(F.col("_tree") != "", F.substring("_tree", 2, 1 << 30)).cast(own).alias(key)] if key else []
-    return found.select(*keyed, F.timestamp_micros("lo").alias("start"), F.timestamp_micros("hi").alias("end"), "events", F.array_sort("paths").alias("paths"))
-
-
-OPEN = "_tree string, lo long, hi long, events long, paths array<string>"
-
-
-class _Open(StatefulProcessor):
-    """A tree's batches that are still open: of each path and step of time, within which all is of one batch,
-    the first and last time and the events. A timer for the first end that is ahead looks which batches have been
-    quiet for long enough: no event that comes later than the watermark can belong to them."""
-
-    def __init__(self, quiet: int):
-        self._quiet = quiet
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._steps = handle.getMapState("steps", "step long, src_path string", "lo long, hi long, n long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
-        for b in rows:
-            for (step, path), own in b.groupby([b["at"] // self._quiet, "src_path"])["at"]:
-                at, lo, hi, n = (int(step), path), int(own.min()), int(own.max()), len(own)
-                was = self._steps.getValue(at)
-                if was is not None:
-                    lo, hi, n = min(lo, was[0]), max(hi, was[1]), n + was[2]
-                self._steps.updateValue(at, (lo, hi, n))
-                first = hi if first is None else min(first, hi)
-        if first is not None:
-            self._handle.registerTimer(self._closed_at(first))
-        return iter(())
-
-    def _closed_at(self, last: int) -> int:
-        """The millisecond from which a batch with its last event then is closed."""
-        return (last + self._quiet) // 1000 + 1
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        found: list[list] = []  # of each batch: its last time, and entries
-        for at, v in sorted(((tuple(k), tuple(v)) for k, v in self._steps.iterator()), key=lambda x: (x[0][0], x[1][0])):
-            if not found or v[0] - found[-1][0] > self._quiet:
-                found.append([v[1], []])
-            found[-1][0] = max(found[-1][0], v[1])
-            found[-1][1].append((at, v))
-        done, left = [x for x in found if self._closed_at(x[0]) <= now], [x for x in found if self._closed_at(x[0]) > now]
-        if done:
-            self._steps.clear()
-            for at, v in (e for _, own in left for e in own):
-                self._steps.updateValue(at, v)
-        if left:
-            self._handle.registerTimer(min(self._closed_at(x[0]) for x in left))
-        out = [(key[0], min(v[0] for _, v in own), last + self._quiet, sum(v[2] for _, v in own), sorted({at[1] for at, _ in own})) for last, own in done]
-        return iter([pd.DataFrame(out, columns=["_tree", "lo", "hi", "events", "paths"])] if out else [])
+    return found.select(*keyed, F.col("_at.start").alias("start"), F.col("_at.end").alias("end"), "events", F.array_sort(F.array_distinct(F.flatten("paths"))).alias("paths"))
+
+
+PART = "_tree string, lo long, hi long, events long, paths array<string>"
+
+
+def _parts(quiet: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of a partition of events (_tree, src_path, at) the batches that these alone make, so that a tree's task
+    joins batches, not events, and one more with the last event alone: the watermark goes by where batches begin."""
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby(["_tree", "step", "src_path"], sort=False, as_index=False).agg(lo=("lo", "min"), hi=("hi", "max"), n=("n", "sum"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for b in batches:
+            if len(b):  # events of one path and step of time are of one batch
+                held.append(added(b.assign(step=b["at"] // quiet, lo=b["at"], hi=b["at"], n=1)))
+                size += len(held[-1])
+            if len(held) > 1 and size > 2 * len(held[0]):
+                held = [added(pd.concat(held))]
+                size = len(held[0])
+        if not held:
+            return
+        rows = added(pd.concat(held)).sort_values(["_tree", "lo"], ignore_index=True)
+        until = rows.groupby("_tree")["hi"].cummax().shift()
+        fresh = (rows["_tree"] != rows["_tree"].shift()) | (rows["lo"] - until > quiet)
+        out = rows.groupby(["_tree", fresh.cumsum().rename("batch")]).agg(lo=("lo", "min"), hi=("hi", "max"), events=("n", "sum"), paths=("src_path", lambda p: list(set(p)))).reset_index()
+        last = out.loc[[out["hi"].idxmax()]]
+        yield pd.concat([out, last.assign(lo=last["hi"], events=0, paths=[[]])])[["_tree", "lo", "hi", "events", "paths"]]
+
+    return run
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -95,8 +77,7 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 @contextlib.contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that start within keep their state in RocksDB, as maps and timers need; the session's own
-    setting comes back."""
+    """Streams that start within keep their state in RocksDB; the session's own setting comes back."""
     was = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -141,7 +122,8 @@ def watch(events: DataFrame, handle: Callable[[list[str]], None], checkpoint: st
     """Call ``handle`` with the sorted paths of each quiet batch. An error in it ends that batch alone."""
 
     def each(df: DataFrame, _: int) -> None:
-        for r in relevant(df).orderBy("start").toLocalIterator():
+        closed = stored(relevant(df), "closed_batches")  # sorting reads them twice
+        for r in closed.orderBy("start").toLocalIterator():
             try:
                 handle(list(r["paths"]))
             except Exception as e:  # noqa: BLE001  the next change may mend it

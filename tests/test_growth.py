@@ -1,6 +1,10 @@
 """What larger tables showed: results at limits that small tables don't reach, and what is shuffled and kept."""
 
+import datetime
+import json
+
 from corpusloom.plans import queries
+from corpusloom.streaming import debounce
 
 DOCUMENT = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -15,3 +19,15 @@ def test_notes_count_the_lines_of_the_same_text(spark, tmp_path):
     """Eight lines go before the text of document 8: 301 lines and 300, where a file is large from 301 on."""
     sf = documents(spark, tmp_path, [(8, "a", "en", "x\n" * 292), (17, "a", "en", "x\n" * 291)])
     assert {r.path: r.notes for r in queries.notes(spark, sf).collect()} == {"a/en/8.txt": "async-heavy (3 async functions); decorator-heavy (8 decorators); large file (301 lines)", "a/en/17.txt": "decorator-heavy (8 decorators)"}
+
+
+def test_a_streams_events_reach_its_state_as_batches(spark, tmp_path):
+    """2000 events of one tree at 500 places: what is kept and looked at are the batches that are open."""
+    at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [{"src_path": f"src/{i % 500}.py", "is_directory": False, "ts": (at + datetime.timedelta(seconds=i / 2)).isoformat()} for i in range(2000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join(map(json.dumps, rows)))
+    run = debounce.write_batches(debounce.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    run.awaitTermination(120)
+    assert max(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]) <= 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 0
