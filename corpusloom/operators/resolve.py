@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions import text as tx
+from ..storage import stored, stored_counted
 
 #: Suffixes that a script's import may leave out, in order.
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -167,9 +169,38 @@ def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = No
     return reduce(DataFrame.unionByName, [own, *found])
 
 
-def cross_references(symbols: DataFrame, usages: DataFrame) -> DataFrame:
+#: Names, the most frequent ones, and paths that go to every task at once.
+BROADCAST = 100_000
+
+
+def used_names(files: DataFrame) -> DataFrame:
+    """Rows (path, name) of ``files`` (path, text), each once. A file's names are distinct in its own array, so
+    only those of paths that several rows have are compared with each other."""
+    again, (n,) = stored_counted(files.groupBy("path").count().where("count > 1").select(F.col("path").alias("again")), "paths_again")
+    names = files.select("path", F.explode(tx.used_names(F.col("text"))).alias("name"))
+    if not n:
+        return names
+    again = F.broadcast(again) if n <= BROADCAST else again
+    same = names.join(again, F.col("path").eqNullSafe(F.col("again")), "left_semi").distinct()
+    return names.join(again, F.col("path").eqNullSafe(F.col("again")), "left_anti").unionAll(same)
+
+
+def cross_references(symbols: DataFrame, usages: DataFrame, distinct: bool = False) -> DataFrame:
     """Rows (symbol, defined_in, used_in): a used name of ``usages`` (path, name) means the symbol of
-    ``symbols`` (path, name) with that name in the least path; own symbols make no row."""
-    defined = symbols.where(F.btrim("name") != "").groupBy("name").agg(F.min("path").alias("defined_in"))
-    met = usages.select("name", F.col("path").alias("used_in")).distinct().join(defined, "name")
+    ``symbols`` (path, name) with that name in the least path; own symbols make no row. ``distinct``: each row
+    of ``usages`` is there once.
+
+    The most frequent names, which make up most of the rows, meet their symbols in the task that reads them;
+    only the others are shuffled."""
+    defined = symbols.where(F.btrim("name") != "").groupBy("name").agg(F.min("path").alias("defined_in"), F.count("*").alias("_n"))
+    defined, (n,) = stored_counted(defined, "defined")
+    used = usages.select("name", F.col("path").alias("used_in"))
+    used = used if distinct else used.distinct()
+    if n <= BROADCAST:
+        met = used.join(F.broadcast(defined.drop("_n")), "name")
+    else:
+        often = stored(defined.orderBy(F.desc("_n")).limit(BROADCAST).drop("_n"), "frequent_names")
+        near = used.join(F.broadcast(often), "name", "left")
+        rest = near.where("defined_in is null").drop("defined_in").join(defined.drop("_n"), "name")
+        met = near.where("defined_in is not null").select("name", "used_in", "defined_in").unionByName(rest)
     return met.where("used_in <> defined_in").select(F.col("name").alias("symbol"), "defined_in", "used_in")

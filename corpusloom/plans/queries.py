@@ -436,8 +436,8 @@ def symbol_index(spark, sf):
 
 @query(f"WITH {NAMED} SELECT d.path AS defined_in, nm.path AS used_in, count(*) AS symbols, min(nm.name) AS first_symbol FROM nm JOIN d ON nm.name = d.name WHERE nm.path <> d.path GROUP BY 1, 2")
 def xref_edges(spark, sf):
-    names = stored(named(spark, sf).select("path", "name"), "names")
-    met = resolve.cross_references(names, names)
+    names = stored(resolve.used_names(files(spark, sf)), "names")
+    met = resolve.cross_references(names, names, distinct=True)
     return met.groupBy("defined_in", "used_in").agg(F.count("*").alias("symbols"), F.min("symbol").alias("first_symbol"))
 
 

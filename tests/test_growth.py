@@ -3,6 +3,8 @@
 import datetime
 import json
 
+import pytest
+from corpusloom.operators import resolve
 from corpusloom.plans import queries
 from corpusloom.streaming import debounce
 
@@ -31,3 +33,17 @@ def test_a_streams_events_reach_its_state_as_batches(spark, tmp_path):
     run.awaitTermination(120)
     assert max(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]) <= 2
     assert spark.read.parquet(str(tmp_path / "out")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_cross_references_of_frequent_and_other_names(spark, monkeypatch, most):
+    """Rows are the same whether all names, some or hardly any go to every task; a path that comes twice counts once."""
+    monkeypatch.setattr(resolve, "BROADCAST", most)
+    texts = [("b", "x y z own_b"), ("a", "x w"), ("c", "x y w z"), ("c", "x y q"), ("d", "w x return"), (None, "x y"), ("e", None)]
+    names = resolve.used_names(spark.createDataFrame(texts, "path string, text string"))
+    rows = [(r.path, r.name) for r in names.collect()]
+    want = {(p, n) for p, t in texts for n in (t or "").split() if n != "return"}
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    first = {n: min(p for p, m in want if m == n and p) for _, n in want}
+    got = resolve.cross_references(names, names, distinct=True)
+    assert sorted(map(tuple, got.collect())) == sorted((n, first[n], p) for p, n in want if p and p != first[n])
