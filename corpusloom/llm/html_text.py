@@ -24,7 +24,9 @@ The array is built without ever holding a host in one place:
   its range's ends is added from one row per range. Of suffixes of one and the same page that follow
   each other the common prefixes are passed on.
 
-Pages of hosts where structure settles every page take no part, and texts are not shuffled.
+Every page takes part, those without an open block too: their menus and notices are what others of their
+host are compared to, and each page's row says how much of it the array found. Equal streams of a host
+go in as one; where those with boilerplate are too many to be sent to every task, texts are shuffled once.
 
 Defined cases: null html is empty; a page without an article is all open text; unclosed and stray
 tags end where HTML's parser would end them, as far as blocks matter; a null url has an empty host;
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -270,32 +273,43 @@ def main_text(parsed: list[tuple[str, int]], repeats: list[tuple[int, int]] = ()
     return " ".join(out)
 
 
-PARSED = "page_id long, url string, text string, blocks array<struct<text: string, kind: int>>, stream binary, short array<long>, host long, page long"
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
+def boilerplate_tokens(parsed: list[tuple[str, int]], repeats: list[tuple[int, int]], short: set[str]) -> np.ndarray:
+    """Of each token outside articles whether it is in one of ``repeats`` or in one of the ``short`` blocks."""
+    outside = [(t, t.count(" ") + 1) for t, k in parsed if k != MAIN]
+    covered = np.zeros(sum(n for _, n in outside), bool)
+    for at, n in repeats:
+        covered[at : at + n] = True
+    at = 0
+    for text, n in outside:
+        covered[at : at + n] |= n < RUN and text in short
+        at += n
+    return covered
+
+
+PARSED = "page_id long, url string, kinds array<int>, texts binary, stream binary, short array<long>, host long, page long, same long"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Each page with its text, if structure settles all of it, else with its blocks; its stream outside
-    articles and the names of its short blocks. ``page`` names a host's distinct contents."""
+    """Each page with its blocks (kinds, and texts by lines, which no block has, packed), its stream outside articles and the names of its short blocks there.
+    ``page`` names a host's distinct contents, ``same`` its distinct streams with their short blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in common.slices(b.column(2), common.BATCH_BYTES):
-                texts, parsed, streams, short = [], [], [], []
+                kinds, packed, streams, short = [], [], [], []
                 for page, h in zip(b.column(2)[lo:hi], b.column(3)[lo:hi].to_pylist(), strict=True):
                     got = blocks(page.as_py() or "")
-                    settled = all(k != OPEN for _, k in got)
-                    texts.append(main_text(got) if settled else None)
-                    parsed.append(None if settled else [{"text": t, "kind": k} for t, k in got])
+                    kinds.append([k for _, k in got])
+                    packed.append(zlib.compress("\n".join(t for t, _ in got).encode()))
                     streams.append(token_hashes(got).tobytes())
                     short.append(sorted({short_name(t, h) for t, k in got if k != MAIN and t.count(" ") < RUN - 1}))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(texts, pa.string()), pa.array(parsed, _BLOCKS), pa.array(streams, pa.binary()), pa.array(short, pa.list_(pa.int64())), b.column(3)[lo:hi], b.column(4)[lo:hi]],
-                    ["page_id", "url", "text", "blocks", "stream", "short", "host", "page"],
+                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(kinds, pa.list_(pa.int32())), pa.array(packed, pa.binary()), pa.array(streams, pa.binary()), pa.array(short, pa.list_(pa.int64())), b.column(3)[lo:hi], b.column(4)[lo:hi]],
+                    ["page_id", "url", "kinds", "texts", "stream", "short", "host", "page"],
                 )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host()).alias("host")).withColumn("page", F.xxhash64("host", "html"))
-    return common.mapped(rows, run, PARSED)
+    return common.mapped(rows, run, PARSED.removesuffix(", same long")).withColumn("same", F.xxhash64("host", "stream", "short"))
 
 
 def host() -> F.Column:
@@ -303,40 +317,41 @@ def host() -> F.Column:
 
 
 def names(streams: DataFrame, places: bool) -> DataFrame:
-    """Rows (name) of each page, every name once; with ``places`` rows (name, page, at) of every place,
+    """Rows (name, pages) of each stream, every name once; with ``places`` rows (name, same, at) of every place,
     -1 for short blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            page, own, at = [], [], []
-            for p, h, raw, short in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            of, own, at = [], [], []
+            for s, n, h, raw, short in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 got = run_names(np.frombuffer(raw, np.uint64), h)
                 own.append(np.concatenate([got, np.array(short, np.int64)]) if places else np.union1d(got, np.array(short, np.int64)))
                 at.append(np.concatenate([np.arange(len(got)), np.full(len(short), -1)]))
-                page.append(np.full(len(own[-1]), p))
+                of.append(np.full(len(own[-1]), s if places else n))
             if not own:
                 continue
-            columns = [own, page, at] if places else [own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["name", "page", "at"][: len(columns)])
+            columns = [own, of, at] if places else [own, of]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["name", "same" if places else "pages", "at"][: len(columns)])
 
-    return common.mapped(streams.select("page", "host", "stream", "short"), run, "name long, page long, at long" if places else "name long")
+    return common.mapped(streams.select("same", "pages", "host", "stream", "short"), run, "name long, same long, at long" if places else "name long, pages long")
 
 
 def suffixes(streams: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows (page, at, n, suffix, key) of the places of ``named`` (page, at, n): the host and the next
-    DEPTH tokens, in 4 bytes each, and its hash."""
-    mine = named.groupBy("page").agg(F.collect_list(F.struct("at", "n")).alias("places"))  # no more than a page's tokens
+    """Rows (same, least, greatest, at, n, suffix, key) of the places of ``named`` (same, at, n): the host and the
+    next DEPTH tokens, in 4 bytes each, and its hash."""
+    mine = named.groupBy("same").agg(F.collect_list(F.struct("at", "n")).alias("places"))  # no more than a page's tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, h, raw, places in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for s, least, greatest, h, raw, places in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 low = np.frombuffer(raw, np.uint64).astype(np.uint32).astype(">u4").tobytes()
                 head = (h & (2**64 - 1)).to_bytes(8, "big")
                 at = [x["at"] for x in places]
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([x["n"] for x in places], pa.int64()), pa.array([head + low[4 * i : 4 * (i + DEPTH)] for i in at], pa.binary())], ["page", "at", "n", "suffix"])
+                longs = [pa.array(c, pa.int64()) for c in ([s] * len(at), [least] * len(at), [greatest] * len(at), at, [x["n"] for x in places])]
+                yield pa.RecordBatch.from_arrays([*longs, pa.array([head + low[4 * i : 4 * (i + DEPTH)] for i in at], pa.binary())], ["same", "least", "greatest", "at", "n", "suffix"])
 
-    met = streams.select("page", "host", "stream").join(mine, "page")
-    return common.mapped(met, run, "page long, at long, n long, suffix binary").withColumn("key", F.xxhash64("suffix"))
+    met = streams.join(mine, "same").select("same", "least", "greatest", "host", "stream", "places")
+    return common.mapped(met, run, "same long, least long, greatest long, at long, n long, suffix binary").withColumn("key", F.xxhash64("suffix"))
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -417,40 +432,48 @@ def suffix_array(distinct: DataFrame) -> DataFrame:
 _EDGES = pa.struct([("first", pa.binary()), ("first_page", pa.int64()), ("last", pa.binary()), ("last_page", pa.int64()), *[(x, pa.int32()) for x in ("left", "left_reach", "right", "right_reach")]])
 
 
-def boilerplate(parsed: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Rows (page, repeats, short) of the pages of ``hosts`` (host) that have boilerplate: its places as
-    (at, n), and names of short blocks."""
-    streams = parsed.join(hosts, "host", "left_semi").select("host", "page", "stream", "short").dropDuplicates(["page"])
-    streams = common.stored(streams, "page_streams")
-    counted = names(streams, False).groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+def repeated(parsed: DataFrame) -> DataFrame:
+    """Rows (same, repeats, short) of the streams that have boilerplate: its places as (at, n), and names of
+    short blocks. Equal streams of a host are looked at once, and count for all of their pages."""
+    counts = parsed.select("page", "same").distinct().groupBy("same").agg(F.count("*").alias("pages"), F.min("page").alias("least"), F.max("page").alias("greatest"))
+    streams = common.stored(parsed.select("same", "host", "stream", "short").dropDuplicates(["same"]).join(counts, "same"), "page_streams")
+    counted = names(streams, False).groupBy("name").agg(F.sum("pages").alias("n")).where("n > 1")
     named = common.stored(names(streams, True).join(counted, "name"), "repeated_names")
-    places = common.stored(suffixes(streams, named.where("at >= 0").select("page", "at", "n")), "suffixes")
-    distinct = places.groupBy("key").agg(F.min("suffix").alias("suffix"), F.min("page").alias("least"), F.max("page").alias("greatest"))
-    met = places.select("key", "page", "at", "n").join(suffix_array(distinct), "key")
+    places = common.stored(suffixes(streams, named.where("at >= 0").select("same", "at", "n")), "suffixes")
+    distinct = places.groupBy("key").agg(F.min("suffix").alias("suffix"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    met = places.select("key", "same", "at", "n").join(suffix_array(distinct), "key")
     length = F.when(F.col("n") >= PAGES, F.greatest("shared", F.lit(RUN))).when(F.col("shared") >= LONG, F.col("shared"))
-    long = met.select("page", F.struct("at", length.cast("long").alias("n")).alias("repeat"), F.lit(None).cast("long").alias("name")).where("repeat.n is not null")
-    whole = named.where((F.col("at") < 0) & (F.col("n") >= PAGES)).select("page", F.lit(None).cast("struct<at: long, n: long>").alias("repeat"), "name")
-    return long.unionAll(whole).groupBy("page").agg(F.collect_list("repeat").alias("repeats"), F.collect_list("name").alias("short"))
+    long = met.select("same", F.struct("at", length.cast("long").alias("n")).alias("repeat"), F.lit(None).cast("long").alias("name")).where("repeat.n is not null")
+    whole = named.where((F.col("at") < 0) & (F.col("n") >= PAGES)).select("same", F.lit(None).cast("struct<at: long, n: long>").alias("repeat"), "name")
+    return long.unionAll(whole).groupBy("same").agg(F.collect_list("repeat").alias("repeats"), F.collect_list("name").alias("short"))
+
+
+def boilerplate(parsed: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows (page, repeats, short) of the pages of ``hosts`` (host) that have boilerplate."""
+    own = parsed.join(hosts, "host", "left_semi")
+    return own.select("page", "same").distinct().join(repeated(own), "same").select("page", "repeats", "short")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, url, text, n_chars) of ``pages`` (page_id, url, html)."""
+    """Rows (page_id, url, text, n_chars, n_outside, n_repeated) of ``pages`` (page_id, url, html); the last are tokens
+    outside articles, and those of them that are boilerplate by the array."""
     parsed = common.stored(parse(pages), "parsed_pages")
-    settled = parsed.where("blocks is null").select("page_id", "url", "text")
-    open_ = parsed.where("blocks is not null").select("page_id", "url", "blocks", "host", "page")
-    out = settled
-    if not open_.isEmpty():
-        found = boilerplate(parsed, open_.select("host").distinct())
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = []
-                for own, repeats, short, h in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                    got, known = [(x["text"], x["kind"]) for x in own], set(short or ())
-                    named = {t for t, k in got if known and k == OPEN and t.count(" ") < RUN - 1 and short_name(t, h) in known}
-                    texts.append(main_text(got, [(x["at"], x["n"]) for x in repeats or ()], named))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-        rest = open_.join(found, "page", "left").select("page_id", "url", "blocks", "repeats", "short", "host")
-        out = out.unionAll(common.mapped(rest, run, "page_id long, url string, text string"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = common.stored(repeated(parsed), "stream_boilerplate")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, outside, repeated = [], [], []
+            for kinds, packed, repeats, short, h in zip(*(b.column(k).to_pylist() for k in range(2, 7)), strict=True):
+                got = list(zip(zlib.decompress(packed).decode().split("\n"), kinds, strict=True)) if kinds else []
+                known = set(short or ())
+                places = [(x["at"], x["n"]) for x in repeats or ()]
+                named = {t for t, k in got if known and k != MAIN and t.count(" ") < RUN - 1 and short_name(t, h) in known}
+                covered = boilerplate_tokens(got, places, named)
+                texts.append(main_text(got, places, named))
+                outside.append(len(covered))
+                repeated.append(int(covered.sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(outside, pa.int64()), pa.array(repeated, pa.int64())], ["page_id", "url", "text", "n_outside", "n_repeated"])
+
+    met = parsed.select("page_id", "url", "kinds", "texts", "host", "same").join(found, "same", "left").select("page_id", "url", "kinds", "texts", "repeats", "short", "host")
+    out = common.mapped(met, run, "page_id long, url string, text string, n_outside long, n_repeated long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_outside", "n_repeated")

@@ -103,3 +103,11 @@ def test_the_walk_is_another_parsers_on_well_formed_pages():
         reader.close()
         got = " ".join(t for t, kind in html_text.blocks(page) if kind != html_text.OTHER)
         assert got == " ".join("".join(reader.parts).split()), page
+
+
+def test_pages_with_an_article_go_through_the_array(spark):
+    """No block of these pages is open; what their menus share is found all the same."""
+    menu = "<nav>home news about us contact help</nav>"
+    rows = [(i, "http://h.example/", f"{menu}<article>text {i}</article><footer>Bye</footer>") for i in range(3)] + [(3, "http://h.example/", "<nav>alone here</nav><main>text 3</main>"), (4, "http://other.example/", f"{menu}<main>text 4</main>")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.text, r.n_outside, r.n_repeated) for r in got} == {i: (f"text {i}", *((7, 7) if i < 3 else (2, 0) if i == 3 else (6, 0))) for i in range(5)}
