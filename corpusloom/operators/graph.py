@@ -8,8 +8,10 @@ walked on the driver, where a hop costs no job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from ..storage import stored, stored_counted
 SMALL = 20_000
 #: Paths of a length that a search follows at once.
 BLOCK = 1000
+#: Edges of a range that a task looks at together.
+EDGES = 200_000
 
 
 def _rows(table: DataFrame) -> list[tuple] | None:
@@ -99,23 +103,100 @@ def distance(edges_: DataFrame, source: str, target: str) -> int | None:
 def cyclic(edges_: DataFrame) -> DataFrame:
     """Nodes (path) on a cycle: those of strongly connected components of two nodes or more.
 
+    Files of a folder import each other most, and so do nodes of near names in general. So edges are first
+    sorted by name in ranges, and each task settles what is known there (``_ranges``); nodes without a way
+    in or out are trimmed, and what is left goes round again, as long as that halves it. The rest, if it
+    is large, is searched by colors.
+    """
+    left, before, found = edges_.where("src <> dst").select("src", "dst"), float("inf"), []
+    while True:
+        done, (n,) = stored_counted(_ranges(left), "ranges", F.col("dst").isNotNull())
+        found.append(done.where("dst is null").select(F.col("src").alias("path")))
+        left = done.where("dst is not null")
+        if n <= SMALL:
+            found.append(edges_.sparkSession.createDataFrame([(p,) for p in _on_cycles(_rows(left))], "path string"))
+        elif 2 * n > before:
+            found.append(_by_colors(left, n))
+        if n <= SMALL or 2 * n > before:
+            return reduce(DataFrame.unionByName, found)
+        left, before = _trimmed(left), n
+
+
+def _ranges(edges_: DataFrame) -> DataFrame:
+    """Nodes that are on a cycle, as rows (src, null), and edges that may be, of which they and all that leads
+    nowhere else are left out. A task has all ways out of its range's nodes, so what can't leave the range
+    can't be on a cycle beyond it. It holds ``EDGES`` edges or so at once, as a smaller range; a node with
+    more goes through as it is."""
+
+    def settled(pairs: dict[tuple[str, str], None], lo: str, hi: str) -> tuple[list[str], list[tuple[str, str]]]:
+        behind: dict[str, list[str]] = {}
+        leaving = []
+        for a, b in pairs:
+            if lo <= b <= hi:
+                behind.setdefault(b, []).append(a)
+            else:
+                leaving.append(a)
+        leads = set(leaving)
+        while leaving:
+            new = [a for a in behind.get(leaving.pop(), ()) if a not in leads]
+            leads.update(new)
+            leaving += new
+        return _on_cycles([x for x in pairs if x[0] not in leads]), [x for x in pairs if x[0] in leads and (x[1] in leads or not lo <= x[1] <= hi)]
+
+    def batch(on: list[str], pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*on, *(a for a, _ in pairs)], pa.string()), pa.array([*[None] * len(on), *(b for _, b in pairs)], pa.string())], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], None] = {}
+        large = last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            src, dst = b.column(0).to_pylist(), b.column(1).to_pylist()
+            last = src[-1]
+            held.update(dict.fromkeys(zip(src, dst, strict=True)))
+            if len(held) < EDGES:
+                continue
+            whole = {x: None for x in held if x[0] != last and x[0] != large}
+            if past := [x for x in held if x[0] == large]:
+                yield batch([], past)
+            if whole:
+                yield batch(*settled(whole, next(iter(whole))[0], next(reversed(whole))[0]))
+            held = {x: None for x in held if x[0] == last and last != large}
+            if len(held) >= EDGES:
+                yield batch([], list(held))
+                held, large = {}, last
+        whole = {x: None for x in held if x[0] != large}
+        if past := [x for x in held if x[0] == large]:
+            yield batch([], past)
+        if whole:
+            yield batch(*settled(whole, next(iter(whole))[0], next(reversed(whole))[0]))
+
+    return edges_.repartitionByRange("src").sortWithinPartitions("src", "dst").mapInArrow(run, "src string, dst string")
+
+
+def _trimmed(edges_: DataFrame) -> DataFrame:
+    """Edges without nodes that have no way in or none out, twice over."""
+    for _ in range(2):
+        ins, outs = edges_.select(F.col("dst").alias("src")).distinct(), edges_.select(F.col("src").alias("dst")).distinct()
+        edges_ = edges_.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
+    return edges_
+
+
+def _by_colors(left: DataFrame, n: int) -> DataFrame:
+    """``cyclic`` of a graph of ``n`` edges without near names, which may come twice.
+
     Nodes without a way in or out are trimmed until none is left. Then each node takes the greatest
     name that reaches it, and with each step also the name that its name's node has by then, so that
     names don't have to walk long ways edge by edge; from the nodes that kept their own, the walk back
     among equal names finds their components, which are taken out. What is left goes round again.
     """
-    left, (n,) = stored_counted(edges_.where("src <> dst").select("src", "dst").distinct(), "left")
-    if n <= SMALL:
-        return edges_.sparkSession.createDataFrame([(p,) for p in _on_cycles(_rows(left))], "path string")
     found = left.select(F.col("src").alias("path")).limit(0)
     while True:
         before = -1
         while n and before != n:
-            before, trimmed = n, left
-            for _ in range(2):  # two rounds in one table
-                ins, outs = trimmed.select(F.col("dst").alias("src")).distinct(), trimmed.select(F.col("src").alias("dst")).distinct()
-                trimmed = trimmed.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
-            left, (n,) = stored_counted(trimmed, "left")
+            before = n
+            left, (n,) = stored_counted(_trimmed(left), "left")
         if not n:
             return found.distinct()
         color, up = stored(left.select(F.col("src").alias("path")).distinct().withColumn("color", F.col("path")), "color"), 1

@@ -287,14 +287,14 @@ def cyclic_lines(spark, sf):
     from pyspark.sql import Window
 
     own = Window.partitionBy("k")
-    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).distinct()
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).repartition("k").distinct()  # one shuffle, for the windows too
     line = line.select("k", F.row_number().over(own.orderBy("i")).alias("r"), F.count("*").over(own).alias("n"))
     node = lambda k, r: F.concat_ws("-", k.cast("string"), r.cast("string"))
     k, r, n = F.col("k"), F.col("r"), F.col("n")
-    ahead = line.where(r < n).select(node(k, r).alias("src"), node(k, r + 1).alias("dst"))
-    closed = line.where((r == n) & (n > 1) & (k % 2 == 0)).select(node(k, r).alias("src"), node(k, F.lit(1)).alias("dst"))
-    firsts = line.where((r == 1) & (k % 4 == 0)).select(node(k, r).alias("src"), node(k + 1, r).alias("dst"))
-    return graph.cyclic(ahead.unionAll(closed).unionAll(firsts))
+    ahead = F.when(r < n, node(k, r + 1))
+    closed = F.when((r == n) & (n > 1) & (k % 2 == 0), node(k, F.lit(1)))
+    firsts = F.when((r == 1) & (k % 4 == 0), node(k + 1, r))
+    return graph.cyclic(line.select(node(k, r).alias("src"), F.explode(F.array(ahead, closed, firsts)).alias("dst")))
 
 
 # -- change log -------------------------------------------------------------------------------------

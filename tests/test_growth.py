@@ -4,7 +4,7 @@ import datetime
 import json
 
 import pytest
-from corpusloom.operators import resolve
+from corpusloom.operators import graph, resolve
 from corpusloom.plans import queries
 from corpusloom.streaming import debounce
 
@@ -47,3 +47,22 @@ def test_cross_references_of_frequent_and_other_names(spark, monkeypatch, most):
     first = {n: min(p for p, m in want if m == n and p) for _, n in want}
     got = resolve.cross_references(names, names, distinct=True)
     assert sorted(map(tuple, got.collect())) == sorted((n, first[n], p) for p, n in want if p and p != first[n])
+
+
+@pytest.mark.parametrize("most", [2, 5, 200_000])
+def test_cycles_by_ranges_of_names(spark, monkeypatch, most):
+    """Ranges of any size find the same nodes, whatever is left for the driver or the colors."""
+    monkeypatch.setattr(graph, "EDGES", most)
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "_by_colors", lambda left, n, by=graph._by_colors: left.select("src").distinct().count() < 60 and by(left, n))
+    rings = [(f"{k}-{r}", f"{k}-{r % 3 + 1}") for k in range(0, 60, 2) for r in (1, 2, 3)]
+    chains = [(f"{k}-{r}", f"{k}-{r + 1}") for k in range(1, 60, 2) for r in (1, 2)] + [(f"{k}-1", f"{k + 1}-1") for k in range(0, 60, 4)]
+    across = [("a", "z"), ("z", "a"), ("a", "m"), ("m", "n"), ("c", "c"), *(("hub", f"h{i}") for i in range(9)), ("h3", "hub")]
+    e = spark.createDataFrame((rings + chains + across) * 2, "src string, dst string")
+    got = sorted(r.path for r in graph.cyclic(e).collect())
+    assert got == sorted({a for a, _ in rings} | {"a", "z", "hub", "h3"})
+
+
+def test_a_range_leaves_no_edges_that_end_in_it(spark):
+    e = spark.createDataFrame([(f"{k:03}-{r}", f"{k:03}-{r % 4 + 1}") for k in range(50) for r in (1, 2, 3, 4)], "src string, dst string")
+    assert [(r.dst is None, r.n) for r in graph._ranges(e).groupBy("dst").agg({"*": "count"}).toDF("dst", "n").collect()] == [(True, 200)]
