@@ -5,9 +5,9 @@ many pieces of each length exist decides the packing, so the driver plans on tha
 many rows as a sequence has tokens, however large the corpus): best fit over lengths in falling
 order gives patterns with multiplicities, then a swap-based local search moves, swaps one for one
 and swaps two for one between underfull bins, all bins of two patterns at once, always raising the
-sum of squared fill, until no exchange raises it or the lower bound ceil(ids / length) is met. What
-can be exchanged is looked up by sums and room. Beyond ``GRAINS`` bins, exchanges of a smaller part of
-them are not made. Executors then look up each piece's place by its rank among the pieces of its length.
+sum of squared fill, until no exchange raises it or the lower bound ceil(ids / length) is met,
+whatever the number of bins. What can be exchanged is looked up by sums and room, and patterns that most
+bins have come first. Executors then look up each piece's place by its rank among the pieces of its length.
 
 No window or group holds a hot length whole: pieces are dealt by ranges of (length, hash), so that a
 length with a third of all pieces takes a third of the tasks. A task numbers its pieces of each
@@ -113,9 +113,9 @@ def sets_of(b: Bins) -> list[tuple[int, ...]]:
 
 
 class Shelf:
-    """Sets of patterns by a number, as heaps: the least entry of each number and the first number in a
-    range whose least entry is below a bound are looked up, not searched for. Entries of patterns that no
-    bin has any more go when they come up."""
+    """Sets of patterns by a number, as heaps: the least entry of each number and the number in a range whose
+    least entry gains most are looked up, not searched for. Entries of patterns that no bin has any more go
+    when they come up."""
 
     def __init__(self, numbers: int, alive: list[int]):
         self._heaps: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(numbers)]
@@ -126,29 +126,32 @@ class Shelf:
         heapq.heappush(self._heaps[number], entry)
         self._least[number] = self._heaps[number][0][0]
 
-    def first(self, lo: int, hi: int, bound: int | np.ndarray, unlike: int, down: bool = False) -> tuple[int, tuple[int, int, tuple[int, ...]]] | None:
-        """(number, entry) of the first number from ``lo`` on, before ``hi``, or with ``down`` of the last, with an
-        entry below ``bound``, which may be one for each number; not of pattern ``unlike``, if a single bin
-        has it."""
+    def best(self, lo: int, base: int | np.ndarray, factor: np.ndarray, unlike: int) -> tuple[int, int, tuple[int, int, tuple[int, ...]]] | None:
+        """(gain, number, entry) of the most gain, if any: of the numbers from ``lo`` on, ``base`` less the least entry
+        times ``factor``; not of pattern ``unlike``, if a single bin has it."""
+        least = self._least[lo : lo + len(factor)]
+        gains = (base - least) * factor
+        others: dict[int, tuple[int, int, tuple[int, ...]]] = {}
         while True:
-            fit = np.flatnonzero(self._least[lo:hi] < bound)
-            stale = False
-            for k in (fit[::-1] if down else fit).tolist():
-                heap, limit = self._heaps[lo + k], bound if isinstance(bound, int) else int(bound[k])
-                while heap and not self._alive[heap[0][1]]:
-                    heapq.heappop(heap)
-                now = heap[0][0] if heap else NEVER
-                stale = now != self._least[lo + k]
-                self._least[lo + k] = now
-                if stale:
-                    break
-                if heap[0][1] != unlike or self._alive[unlike] > 1:
-                    return lo + k, heap[0]
-                other = min((x for x in heap if x[1] != unlike and self._alive[x[1]]), default=None)
-                if other and other[0] < limit:
-                    return lo + k, other
-            if not stale:
+            i = int(gains.argmax())
+            if gains[i] <= 0:
                 return None
+            heap, floor = self._heaps[lo + i], base if isinstance(base, int) else int(base[i])
+            if i in others:
+                return int(gains[i]), lo + i, others[i]
+            while heap and not self._alive[heap[0][1]]:
+                heapq.heappop(heap)
+            now = heap[0][0] if heap else NEVER
+            if now != least[i]:
+                least[i] = now
+                gains[i] = (floor - now) * factor[i]
+            elif heap[0][1] != unlike or self._alive[unlike] > 1:
+                return int(gains[i]), lo + i, heap[0]
+            else:
+                other = min((x for x in heap if x[1] != unlike and self._alive[x[1]]), default=None)
+                gains[i] = (floor - other[0]) * factor[i] if other else 0
+                if other:
+                    others[i] = other
 
 
 NEVER = 1 << 40
@@ -162,6 +165,7 @@ class Open:
     def __init__(self, cap: int) -> None:
         self.cap, self.bins, self.times, self.number = cap, [], [], {}
         self._changed: list[tuple[int, int]] = []
+        self._upto = np.arange(1, cap + 1)
         self._leave = {n: Shelf(cap + 1, self.times) for n in (1, 2)}
         self._enter = {n: Shelf(2 * cap + 1, self.times) for n in (1, 2)}  # 1: nothing or one comes back
 
@@ -170,7 +174,7 @@ class Open:
         k = self.number.get(key)
         if k is not None:
             if self.times[k] == 1:
-                heapq.heappush(self._changed, (-b.room, k))  # it can now be exchanged with its like
+                heapq.heappush(self._changed, (-1 - b.times, k))  # it can now be exchanged with its like
             self.times[k] += b.times
             return
         k = self.number[key] = len(self.bins)
@@ -181,7 +185,7 @@ class Open:
             total = sum(one)
             self._leave[len(one)].add(total, (-b.room, k, one))
             self._enter[len(one)].add(total + b.room, (total, k, one))
-        heapq.heappush(self._changed, (-b.room, k))
+        heapq.heappush(self._changed, (-b.times, k))
 
     def take(self, k: int, times: int) -> Bins:
         self.times[k] -= times
@@ -192,21 +196,23 @@ class Open:
     def compacted(self) -> Open:
         """Without patterns that no bin has."""
         new, waiting = Open(self.cap), {k for _, k in self._changed}
+        settled = set()
         for k, b in enumerate(self.bins):
             if self.times[k]:
+                if k not in waiting:
+                    settled.add(len(new.bins))
                 b.times = self.times[k]
                 new.add(b)
-                if k not in waiting:
-                    new._changed.pop(new._changed.index((-b.room, len(new.bins) - 1)))
+        new._changed = [one for one in new._changed if one[1] not in settled]
         heapq.heapify(new._changed)
         return new
 
     def exchange(self) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
         """(donor, receiver, lengths that leave the donor, lengths that leave the receiver) of an exchange that
-        raises the sum of squared fill: of the emptiest pattern that something changed for, with any other,
-        the one that fills the receiver most. None if there is no such exchange at all."""
+        raises the sum of squared fill: of the pattern of most bins that something changed for, with any other,
+        the one that raises it most. None if there is no such exchange at all."""
         while self._changed:
-            room, k = self._changed[0]
+            k = self._changed[0][1]
             found = self.times[k] and (self._given(k) or self._taken(k))
             if found:
                 return found
@@ -221,12 +227,10 @@ class Open:
         for out in sets_of(self.bins[a]):
             total = sum(out)
             for n in (1, 2) if len(out) == 1 else (1,):
-                met = self._enter[n].first(total, total + room, total, a)
-                if met:
-                    number, (back, b, lengths) = met
-                    gain = (total - back) * (room - (number - total))
-                    if gain > most:
-                        best, most = (a, b, out, lengths), gain
+                met = self._enter[n].best(total, total, self._upto[room - 1 :: -1], a)
+                if met and met[0] > most:
+                    most, _, (_, b, lengths) = met
+                    best = (a, b, out, lengths)
         return best
 
     def _taken(self, b: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
@@ -235,23 +239,17 @@ class Open:
         room = self.bins[b].room
         for lengths in [(), *sets_of(self.bins[b])]:
             back = sum(lengths)
-            top = min(back + room, self.cap)
             # of the donors of what leaves, by its sum, one has to have more room than is left to b
-            left = back + room - np.arange(back + 1, top + 1)
             for n in (1, 2) if len(lengths) < 2 else (1,):
-                met = self._leave[n].first(back + 1, top + 1, -left, b, down=True)
-                if met:
-                    total, (emptiness, a, out) = met
-                    gain = (total - back) * (-emptiness - (back + room - total))
-                    if gain > most:
-                        best, most = (a, b, out, lengths), gain
+                met = self._leave[n].best(back + 1, self._upto[:room] - room, self._upto[:room], b)
+                if met and met[0] > most:
+                    most, _, (_, a, out) = met
+                    best = (a, b, out, lengths)
         return best
 
 
 #: Exchanges after which a row of them that comes again is looked for.
 CYCLE = 256
-#: The part of all bins that an exchange concerns at least, as one in so many.
-GRAINS = 1_000_000
 
 
 def key_of(b: Bins) -> Key:
@@ -259,16 +257,16 @@ def key_of(b: Bins) -> Key:
 
 
 class Search:
-    """Bins, and exchanges among them that raise the sum of squared fill, from the emptiest on."""
+    """Bins, and exchanges among them that raise the sum of squared fill, from the most frequent patterns on."""
 
     def __init__(self, bins: list[Bins], cap: int):
         self.cap, self.n, self.open = cap, sum(b.times for b in bins), Open(cap)
         self.least = -(-sum((cap - b.room) * b.times for b in bins) // cap)
-        self.full = [b for b in bins if not b.room]
+        self.full: dict[Key, Bins] = {}
         self.grain = 1
         self._few: dict[Key, Bins] = {}
         self._steps: list[tuple] = []
-        self.refine(max((b.times for b in bins), default=1), [Bins(b.times, b.room, dict(b.runs)) for b in bins if b.room])
+        self.refine(max((b.times for b in bins), default=1), [Bins(b.times, b.room, dict(b.runs)) for b in bins])
 
     def refine(self, grain: int, more: list[Bins] | None = None) -> None:
         """From now on take patterns of ``grain`` bins or more; the others wait."""
@@ -281,7 +279,9 @@ class Search:
         if not b.runs:
             self.n -= b.times
         elif not b.room:
-            self.full.append(b)
+            same = self.full.setdefault(key_of(b), b)
+            if same is not b:
+                same.times += b.times
         else:
             few = self._few.pop(key_of(b), None)
             if few:
@@ -292,7 +292,7 @@ class Search:
                 self._few[key_of(b)] = b
 
     def left(self) -> list[Bins]:
-        return self.full + list(self._few.values()) + [Bins(t, b.room, b.runs) for b, t in zip(self.open.bins, self.open.times, strict=True) if t]
+        return list(self.full.values()) + list(self._few.values()) + [Bins(t, b.room, b.runs) for b, t in zip(self.open.bins, self.open.times, strict=True) if t]
 
     def step(self) -> bool:
         """An exchange of as many bins as both patterns have; False if there is none."""
@@ -348,20 +348,20 @@ class Search:
 
 
 def local_search(bins: list[Bins], cap: int) -> list[Bins]:
-    """Raise the sum of squared fill by exchanges, from the emptiest bins on, until bins reach their lower
-    bound or no exchange raises it. As many bins as two patterns both have are exchanged at once, rows of
-    exchanges that come again are made at once too, and what is to be exchanged is looked up, so that
-    the work depends on patterns, not on how many bins have them."""
+    """Raise the sum of squared fill by exchanges, until bins reach their lower bound or no exchange raises it,
+    however many bins there are. As many bins as two patterns both have are exchanged at once, rows of exchanges
+    that come again are made at once too, and what is to be exchanged is looked up, so that the work depends on
+    patterns, not on how many bins have them. For this the most frequent patterns have to come first: with the
+    emptiest first, one bin goes through all patterns before the next one does the same."""
     if sum(b.times for b in bins) <= -(-sum((cap - b.room) * b.times for b in bins) // cap):
         return bins
     search = Search(bins, cap)
-    finest = max(1, search.n // GRAINS)
     while True:
         while search.n > search.least and search.step():
             pass
-        if search.n <= search.least or search.grain <= finest:
+        if search.n <= search.least or search.grain == 1:
             return search.left()
-        search.refine(max(search.grain // 4, finest))
+        search.refine(max(search.grain // 4, 1))
 
 
 def plan(counts: dict[int, int], cap: int) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from corpusloom.llm import packing
 
@@ -61,3 +62,36 @@ def test_the_search_takes_seconds_whatever_the_histogram(name):
     over = [sum(b.times for b in bins) - least for bins in (first, after)]
     # where all lengths are equally frequent, best fit leaves nothing to exchange
     assert over[1] == over[0] if name == "all" else over[1] < 0.7 * over[0]
+
+
+def raising_of_patterns(bins, cap):
+    """As ``raising``, of bins by pattern."""
+    sets = []
+    for k, b in enumerate(bins):
+        single = itertools.chain.from_iterable([length] * min(copies, 2) for length, copies in b.runs.items())
+        own = {tuple(sorted(s)) for s in itertools.chain.from_iterable(itertools.combinations(list(single), n) for n in (1, 2))}
+        sets += [(k, b.times, b.room, sum(s), len(s)) for s in {(), *own}]
+    k, times, room, total, n = np.array(sets).T
+    for i in np.flatnonzero(n):
+        d = total[i] - total
+        met = (d > 0) & (d <= room) & (room[i] - room + d > 0) & ((n[i] < 2) | (n < 2)) & ((k != k[i]) | (times > 1))
+        if met.any():
+            return sets[i], sets[int(met.argmax())]
+    return None
+
+
+@pytest.mark.parametrize("bins", [10**5, 10**7, 10**9])
+def test_rare_patterns_are_exchanged_among_however_many_bins(bins):
+    # nothing goes with 4000; 2058+1034+1004 and 1044+1044+1004+1004 fill sequences, best fit leaves 11
+    first = packing.best_fit({4000: bins, 2058: 6, 1044: 6, 1034: 6, 1004: 12}, 4096)
+    assert sum(b.times for b in first) == bins + 11
+    assert sum(b.times for b in packing.local_search(first, 4096)) == bins + 9
+
+
+@pytest.mark.parametrize("most", [10**3, 10**6, 10**9])
+def test_no_exchange_is_left_among_however_many_bins(most):
+    rnd = random.Random(1)
+    counts = {n: rnd.randint(1, most) for n in range(1000, 2101)}
+    after = packing.local_search(packing.best_fit(dict(counts), 4096), 4096)
+    assert lengths(after) == Counter(counts)
+    assert not raising_of_patterns([b for b in after if b.room], 4096)
