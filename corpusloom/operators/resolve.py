@@ -123,19 +123,60 @@ def _folders(path: Column) -> Column:
 def _go(imports: DataFrame, known: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(imports with the folder or file ``want`` that they mean, places of files by ``want``)."""
     go = imports.where("language = 'go'").withColumn("pkg", _first(F.col("import_text"), GO_PACKAGE)).where(F.col("pkg").contains("/"))
-    # the module file in the nearest folder above
-    above = go.select("root", "path", F.explode(_folders(F.col("path"))).alias("dir")).distinct().join(modules, ["root", "dir"])
-    nearest = above.groupBy("root", "path").agg(F.max_by("module", F.length("dir")).alias("module"))
-    go = go.join(nearest, ["root", "path"], "left")
+    # the module file in the nearest folder above, which is the same for all files of a folder
+    go = go.withColumn("_at", paths.joined(paths.folder(F.col("path"))))
+    above = go.select("root", "_at", F.explode(_folders(F.col("path"))).alias("dir")).distinct().join(modules, ["root", "dir"])
+    nearest = above.groupBy("root", "_at").agg(F.max_by("module", F.length("dir")).alias("module"))
+    go = go.join(nearest, ["root", "_at"], "left")
     inside = F.when(F.col("pkg") == F.col("module"), F.lit("")).when(F.col("pkg").startswith(F.concat("module", F.lit("/"))), F.substring("pkg", F.length("module") + 2, F.length("pkg"))).otherwise(F.col("pkg"))
     go = go.select(*_IMPORT, F.btrim(inside, F.lit("/")).alias("want"))
     files = known.where(F.col("file").endswith(".go"))
-    file_at = files.select("target_root", "file", F.explode(_folders(F.col("file"))).alias("want"))
-    plain = files.select("target_root", "file", F.regexp_replace("file", r"\.go$", "").alias("want"))
-    return go, file_at.unionByName(plain).distinct()
+    places = F.array_distinct(F.concat(_folders(F.col("file")), F.array(F.regexp_replace("file", r"\.go$", ""))))
+    return go, files.select("target_root", "file", F.explode(places).alias("want"))
 
 
 _IMPORT = ("root", "path", "pos", "import_text")
+_PLACE = ["target_root", "want"]
+#: Imports of a folder and files in it that meet in one place, and those of these files that come together.
+BLOCK, RUN = 2048, 512
+#: Pairs of an import and a file for a task, until there are so many tasks.
+PAIRS, TASKS = 4_000_000, 2_000
+
+
+def _one(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` (imports with target_root and want) with each ``file`` of ``right`` (target_root, want, file)
+    there; few rows of ``right`` share a place."""
+    return left.join(right, _PLACE)
+
+
+def _many(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of ``_one`` where many imports mean a folder of many files, so that there are far more pairs
+    than rows of either side. A folder's imports and files are dealt into blocks, which go to tasks by the
+    number of pairs, not by the bytes that are shuffled; a task holds one block's imports, whatever the
+    folder has. Rows come as a run of files for one import after the other, which a columnar format keeps
+    in about a tenth of a byte each."""
+    asked = left.groupBy(*_PLACE).agg(F.count("*").alias("_imports"))
+    folders = right.groupBy(*_PLACE).agg(F.count("*").alias("_files")).join(asked, _PLACE).withColumn("_folder", F.monotonically_increasing_id())
+    folders, (n,) = stored_counted(folders, "folders")
+    if not n:
+        return left.where("false").withColumn("file", F.lit(None).cast("string"))
+    pairs = folders.agg(F.sum(F.col("_imports").cast("double") * F.col("_files"))).first()[0]
+    tasks = min(int(pairs // PAIRS) + 1, TASKS)
+    folders = F.broadcast(folders) if n <= BROADCAST else folders
+    blocks = {c: F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_imports", "_files")}
+    number = lambda n, *by: F.pmod(F.xxhash64(*by), blocks[n]).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks[n] - 1))
+    # a folder's number and not its names: of these Spark takes one that is the same for all out of the join's key, and deals anew, by bytes
+    keys = ["_folder", "_a", "_b"]
+
+    def dealt(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+        return rows.join(folders, _PLACE).withColumn("_a", a).withColumn("_b", b).repartition(tasks, *keys)
+
+    files = dealt(right, each("_imports"), number("_files", "file")).groupBy(*keys).agg(F.collect_list("file").alias("_all"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / RUN).cast("int")), lambda i: F.slice("_all", i * RUN + 1, RUN))
+    # a merge join goes through its left side, the runs, and gives each all imports of its block
+    met = files.select(*keys, F.explode(runs).alias("_run")).hint("merge").join(dealt(left, number("_imports", "path", "pos"), each("_files")), keys)
+    return met.select(*_IMPORT, "target_root", F.explode("_run").alias("file"))
 
 
 def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None, roots: Sequence[str] | None = None) -> DataFrame:
@@ -155,17 +196,18 @@ def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = No
         paths_ = F.array_distinct(candidates(F.col("import_text"), F.col("language"), F.col("path")))
         return [(rows.where("language <> 'go'").select(*_IMPORT, F.explode(paths_).alias("want")), known.withColumn("want", F.col("file"))), _go(rows, known, modules)]
 
-    own = reduce(DataFrame.unionByName, [left.join(right.withColumn("root", F.col("target_root")), ["root", "want"]).select(*_IMPORT, "target_root", "file") for left, right in meant(imports)])
+    meet = (_one, _many)
+    own = reduce(DataFrame.unionByName, [join(left.withColumn("target_root", F.col("root")), right).select(*_IMPORT, "target_root", "file") for join, (left, right) in zip(meet, meant(imports), strict=True)])
     if not roots:
         return own
     keys = ["root", "path", "pos"]
     order = imports.sparkSession.createDataFrame([(r, i) for i, r in enumerate(dict.fromkeys(map(str, roots)))], "target_root string, place int")
     open_ = imports.where(~is_relative(F.col("import_text"), F.col("language"))).join(own.select(*keys).distinct(), keys, "left_anti")
     found = []
-    for left, right in meant(open_):
+    for join, (left, right) in zip(meet, meant(open_), strict=True):
         first = right.join(order, "target_root").groupBy("want").agg(F.min(F.struct("place", "target_root")).alias("first"))
         best = left.join(first, "want").groupBy(*keys).agg(F.min("first")["target_root"].alias("target_root"))
-        found.append(left.join(best, keys).join(right, ["want", "target_root"]).select(*_IMPORT, "target_root", "file"))
+        found.append(join(left.join(best, keys), right).select(*_IMPORT, "target_root", "file"))
     return reduce(DataFrame.unionByName, [own, *found])
 
 

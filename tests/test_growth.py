@@ -4,6 +4,8 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
+
 from corpusloom.operators import graph, resolve
 from corpusloom.plans import providers, queries, run_queries
 from corpusloom.streaming import debounce
@@ -82,3 +84,46 @@ def test_fallback_summaries_are_those_of_the_sql(spark, tmp_path):
     assert sorted(map(tuple, run_queries.fallback_summaries(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
     # whole runs keep to the reference: every sign that ends a line, every blank, and a note on empty files
     assert [providers.first_line("p", t) for t in ("\r\n a\r\nb", " \n", None)] == ["p: a", "p: empty file", "p: empty file"]
+
+
+@pytest.mark.parametrize("most", [1, 3, 2048])
+def test_go_folders_by_blocks(spark, monkeypatch, most):
+    """Blocks, runs and tasks of any size pair the same imports and files, in an import's own root and in another."""
+    for name, n in {"BLOCK": most, "RUN": most, "PAIRS": 50 * most, "BROADCAST": most}.items():
+        monkeypatch.setattr(resolve, name, n)
+    files = [(r, f"{d}/f{i}.go") for r, d, n in (("a", "x", 5), ("a", "x/y", 4), ("b", "z", 7), ("b", "x", 2)) for i in range(n)]
+    files += [("a", ".go"), ("a", "x.go"), ("a", "x/f0.py"), ("b", "top.go")]
+    modules = {("a", ""): "ex.com", ("b", ""): "ex.com/b", ("a", "x/y"): "own.org/y"}
+    packages = ["ex.com", "ex.com/x", "ex.com/x/", "ex.com/x/y", "ex.com/z", "ex.com/b", "ex.com/b/x", "own.org/y/x", "own.org/y", "x/y", "ex.com/top", "ex.com/none", "fmt", "a/b"]
+    imports = [(r, p, "go", i, f'"{g}"') for r, p in files if p.endswith(".go") for i, g in enumerate(packages)]
+
+    def above(path):
+        parts = path.split("/")[:-1]
+        return ["/".join(parts[:i]) for i in range(len(parts) + 1)]
+
+    def meant(r, p, text, root):
+        pkg, module = text.strip('"'), next((modules[r, d] for d in reversed(above(p)) if (r, d) in modules), None)
+        want = "" if pkg == module else pkg[len(module) + 1 :] if pkg.startswith(f"{module}/") else pkg
+        return [(root, f) for q, f in files if q == root and f.endswith(".go") and "/" in pkg and (want.strip("/") in above(f) or want.strip("/") == f[:-3])]
+
+    known = spark.createDataFrame(files * 2, "root string, path string")
+    named = spark.createDataFrame([(*k, m) for k, m in modules.items()], "root string, dir string, module string")
+    rows = spark.createDataFrame(imports, "root string, path string, language string, pos int, import_text string")
+    for roots in (None, ["b", "a"]):
+        found = [(i, next(filter(None, (meant(i[0], i[1], i[4], x) for x in [i[0], *(roots or ())])), [])) for i in imports]
+        want = [(r, p, pos, t, *m) for (r, p, _, pos, t), ms in found for m in ms]
+        assert sorted(map(tuple, resolve.resolve(rows, known, named, roots).collect())) == sorted(want)
+
+
+def test_pairs_of_one_folder_go_to_many_tasks_and_take_little_space(spark, tmp_path, monkeypatch):
+    """Half a million pairs of one folder's imports and files, from a few kilobytes."""
+    for name, most in {"BLOCK": 256, "RUN": 128, "PAIRS": 50_000}.items():
+        monkeypatch.setattr(resolve, name, most, raising=False)
+    known = spark.range(1000).select(F.lit("r").alias("root"), F.concat(F.lit("p/f"), F.col("id").cast("string"), F.lit(".go")).alias("path"))
+    rows = spark.range(500).select(F.lit("r").alias("root"), F.concat(F.lit("q/g"), F.col("id").cast("string"), F.lit(".go")).alias("path"), F.lit("go").alias("language"), F.lit(0).alias("pos"), F.lit('"x/p"').alias("import_text"))
+    named = spark.createDataFrame([("r", "", "x")], "root string, dir string, module string")
+    resolve.resolve(rows, known, named).select("path", "file").write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    sizes = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == out.distinct().count() == 500_000 and max(sizes) < 300_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 250_000
