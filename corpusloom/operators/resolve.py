@@ -137,8 +137,9 @@ def _go(imports: DataFrame, known: DataFrame, modules: DataFrame) -> tuple[DataF
 
 _IMPORT = ("root", "path", "pos", "import_text")
 _PLACE = ["target_root", "want"]
-#: Imports of a folder and files in it that meet in one place, and those of these files that come together.
-BLOCK, RUN = 2048, 512
+#: Imports of a folder and files in it that meet in one place, and those of these files that come together. Spark
+#: holds the pairs of a run with all imports of its block at once.
+BLOCK, RUN = 2048, 64
 #: Pairs of an import and a file for a task, until there are so many tasks.
 PAIRS, TASKS = 4_000_000, 2_000
 
@@ -154,7 +155,7 @@ def _many(left: DataFrame, right: DataFrame) -> DataFrame:
     than rows of either side. A folder's imports and files are dealt into blocks, which go to tasks by the
     number of pairs, not by the bytes that are shuffled; a task holds one block's imports, whatever the
     folder has. Rows come as a run of files for one import after the other, which a columnar format keeps
-    in about a tenth of a byte each."""
+    in a fifth of a byte each."""
     asked = left.groupBy(*_PLACE).agg(F.count("*").alias("_imports"))
     folders = right.groupBy(*_PLACE).agg(F.count("*").alias("_files")).join(asked, _PLACE).withColumn("_folder", F.monotonically_increasing_id())
     folders, (n,) = stored_counted(folders, "folders")
@@ -196,13 +197,14 @@ def resolve(imports: DataFrame, files: DataFrame, modules: DataFrame | None = No
         paths_ = F.array_distinct(candidates(F.col("import_text"), F.col("language"), F.col("path")))
         return [(rows.where("language <> 'go'").select(*_IMPORT, F.explode(paths_).alias("want")), known.withColumn("want", F.col("file"))), _go(rows, known, modules)]
 
-    meet = (_one, _many)
-    own = reduce(DataFrame.unionByName, [join(left.withColumn("target_root", F.col("root")), right).select(*_IMPORT, "target_root", "file") for join, (left, right) in zip(meet, meant(imports), strict=True)])
+    meet, here = (_one, _many), [(left.withColumn("target_root", F.col("root")), right) for left, right in meant(imports)]
+    own = reduce(DataFrame.unionByName, [join(left, right).select(*_IMPORT, "target_root", "file") for join, (left, right) in zip(meet, here, strict=True)])
     if not roots:
         return own
     keys = ["root", "path", "pos"]
+    closed = reduce(DataFrame.unionByName, [left.join(right, _PLACE, "left_semi").select(*keys) for left, right in here])
     order = imports.sparkSession.createDataFrame([(r, i) for i, r in enumerate(dict.fromkeys(map(str, roots)))], "target_root string, place int")
-    open_ = imports.where(~is_relative(F.col("import_text"), F.col("language"))).join(own.select(*keys).distinct(), keys, "left_anti")
+    open_ = imports.where(~is_relative(F.col("import_text"), F.col("language"))).join(closed.distinct(), keys, "left_anti")
     found = []
     for join, (left, right) in zip(meet, meant(open_), strict=True):
         first = right.join(order, "target_root").groupBy("want").agg(F.min(F.struct("place", "target_root")).alias("first"))
